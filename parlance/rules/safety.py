@@ -59,10 +59,55 @@ INJECTION_REASON = "Prompt injection detected — rules matched: "
 NSFW_REASON = "NSFW content detected — categories: "
 FINGERPRINT_CHARS = 16
 
-# A superset test per personal-data rule: what any match must contain.  A rule
-# whose test fails cannot match, so its scan is skipped without changing results.
+# Cheap necessary conditions, our own.  A rule whose condition fails cannot
+# match, so its pattern is not run; a condition that holds decides nothing.
+# Injection and unsafe-content rules: alternatives of words that must all occur
+# in the case-folded text.
+RULE_NEEDS = {
+    "instruction_override": ["ignore"],
+    "forget_instructions": ["forget", "discard", "disregard", "override", "bypass", "circumvent", "neutralize"],
+    "new_instructions": ["new&instruction", "from&now", "must&now&ignore"],
+    "system_prompt_leak": ["prompt", "hidden&instruction", "secret&instruction"],
+    "what_are_instructions": ["what&prompt", "what&instruction", "what&rule", "what&constraint"],
+    "jailbreak_dan": ["dan&mode", "dan&now&you", "anything&now", "pretend&restriction", "act&limit"],
+    "roleplay_override": ["pretend", "act&evil", "unrestricted", "unfiltered", "uncensored", "jailbroken",
+                          "now&ai&with&you"],
+    "opposite_mode": ["mode&developer", "mode&opposite", "mode&evil", "mode&chaos", "mode&jailbreak", "mode&god",
+                      "mode&unrestricted"],
+    "delimiter_injection": ["<", "inst]", "|"],
+    "special_token_inject": ["###", "---"],
+    "indirect_injection": ["when&you&this", "message&hidden", "payload:", "<injection>", "system&:"],
+    "nested_prompt": ["translate", "summarize"],
+    "base64_injection": ["decode", "base64"],
+    "leetspeak_jailbreak": ["1gn0r3", "byp4ss", "j41lbr34k", "syst3m"],
+    "fr_override": ["ignore", "oublie", "assistant"],
+    "ar_override": ["تجاهل", "أنت"],
+    "explicit_sexual": ["porn", "nude", "naked", "sex", "onlyfans", "xxx", "hentai", "erotic", "make&love",
+                        "sleep", "send&pic"],
+    "graphic_violence": ["kill", "murder", "torture", "behead", "decapitat", "disembowel", "gore", "bomb",
+                         "explosive", "weapon", "instruction&attack", "mass&shooting"],
+    "hate_speech": ["supremacy", "slur", "death&to", "--&er", "**&er", "-*&er", "*-&er", "faag", "fa*g", "f*ag",
+                    "f**g", "kike", "k*ke", "spic", "sp*c", "gas&jew", "cleansing", "nazi"],
+    "self_harm": ["suicide", "harm", "myself", "how&end&life", "best&way&die", "best&way&overdose", "lethal"],
+    "illegal_activity": ["hack&how", "crack&how", "pirate&how", "steal&how", "launder", "meth&how", "synthesize",
+                         "buy&online", "dark&web", "credit&card", "bypass"],
+    "harassment": ["kill&will", "hurt&will", "rape&will", "destroy&will", "deserve", "should&die", "should&suffer",
+                   "should&rot", "know&where", "will&find", "threat", "hate&mail", "dox"],
+}
+# Letters that case-insensitive matching equates with ASCII ones beyond lower().
+FOLD_EXTRA = [("ſ", "s"), ("ı", "i"), ("İ", "i"), ("\u212a", "k")]
+# Personal-data rules: a pattern every match contains.
 PII_NEEDS = {
-    "email": "@",
-    "full_name": ".",
+    "iban": r"[A-Z]\d",
+    "credit_card": r"\d{3}[\s\-]?\d{4}",
+    "ssn": r"\d{3}[-\s]?\d{2}[-\s]?\d{4}",
+    "passport": r"[A-Z][0-9]{7}",
+    "id": r"[A-Z]\d{5}",
+    "phone_ma": r"0[5-7]\d{8}|\+212|00212",
+    "phone_intl": r"\+[1-9]\d",
+    "email": r"@",
+    "date_of_birth": r"[/\-.](?:19|20)\d{2}",
+    "ip_address": r"\d\.\d{1,3}\.\d",
+    "full_name": r"(?:M|Mme|Mr|Mlle|Dr|Prof|Sr|Sra)\.\s",
 }
-PII_NEEDS_DIGIT = [t for t, _, _ in PII_RULES if t not in PII_NEEDS]
+PII_ANY = r"[\d@]|\b(?:M|Mme|Mr|Mlle|Dr|Prof|Sr|Sra)\.\s"
