@@ -75,7 +75,7 @@ def augmented_corpus(df: DataFrame, key: str, text: str, factor: int = C.AUG_FAC
     """Originals (copy 0) and ``factor`` variants of each row, with a shuffle key.
 
     Narrow: write it with ``repartitionByRange("shuffle_key")`` to shuffle."""
-    copies = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(factor))).cast("bigint"))
+    copies = df.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(factor).cast("bigint"))))
     k = [F.col(key), F.col("copy")]
     changed = F.when(F.col("copy") == 0, F.col(text)).otherwise(X.augment(F.col(text), *k))
     return copies.withColumn(text, changed).withColumn("shuffle_key", hash_bits(*k, F.lit("order")))
