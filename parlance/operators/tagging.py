@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from parlance.functions.safety import let
 from parlance.rules import corpus as C
 from parlance.rules import tags as T
 
@@ -33,7 +34,8 @@ def tag_multi_hot(df: DataFrame, vocabulary: DataFrame, keys: list[str], tags: s
     """
     ordered = vocabulary.agg(F.array_sort(F.collect_list(F.struct("tag_index", "tag"))).alias("v"))
     df = df.withColumn("_vocab", ordered.scalar())
-    hot = F.transform("_vocab", lambda v: F.when(F.array_contains(F.col(tags), v["tag"]), 1).otherwise(0))
+    hot = let(F.col(tags), lambda own: F.transform(
+        "_vocab", lambda v: F.when(F.array_contains(own, v["tag"]), 1).otherwise(0)))
     return df.select(*keys, hot.cast("array<float>").alias("vector"))
 
 

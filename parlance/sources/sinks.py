@@ -41,16 +41,20 @@ def feedback_rows(df: DataFrame) -> DataFrame:
     return df.where(F.col("rating").between(*R.RATING_RANGE))
 
 
-def append_json(df: DataFrame, path: str, partition: list[str] | None = None) -> None:
+# JSON keeps timestamps to the microsecond (the writer's default is milliseconds).
+TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
+def append_json(df: DataFrame, path: str, partition: list[str] | None = None, mode: str = "append") -> None:
     """Append JSON lines, one folder per partition value.
 
     No shuffle: every task writes the days it holds."""
-    writer = df.write.mode("append").option("ignoreNullFields", "false")
+    writer = df.write.mode(mode).option("ignoreNullFields", "false").option("timestampFormat", TS_FORMAT)
     (writer.partitionBy(*partition) if partition else writer).json(path)
 
 
 def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).option("timestampFormat", TS_FORMAT).json(path)
 
 
 def write_corpus(df: DataFrame, path: str) -> None:

@@ -28,8 +28,7 @@ def stream_guardrail(turns: DataFrame, out: str, checkpoint: str, trigger: dict
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         for name, rows in (("audit", sinks.audit_rows(batch)), ("vault", sinks.vault_rows(batch))):
-            rows.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("event_date").json(
-                f"{out}/{name}/batch={batch_id}")
+            sinks.append_json(rows, f"{out}/{name}/batch={batch_id}", ["event_date"], mode="overwrite")
         batch.unpersist()
 
     return (screen_turns(turns).writeStream.foreachBatch(write)
