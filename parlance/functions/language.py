@@ -5,43 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parlance.functions.safety import let
+from parlance.functions import sqltext as Q
 from parlance.rules import language as L
 
 
-def _strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def has_arabic(text: Column) -> Column:
     return text.rlike(f"[{L.ARABIC_BLOCK}]")
 
 
-def arabic_chars(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{L.ARABIC_BLOCK}]", ""))
+def detect_language_sql(text: str) -> str:
+    def hits(listed) -> str:
+        return f"size(array_intersect(_w, {Q.texts(listed)}))"
+
+    accent = f"CASE WHEN regexp_like({text}, {Q.regex('[' + L.FRENCH_ACCENTS + ']')}) THEN {L.FRENCH_ACCENT_WEIGHT} ELSE 0 END"
+    latin = (f"CASE WHEN arrays_overlap(_w, {Q.texts(L.DARIJA_MARKERS)}) THEN 'darija' "
+             f"WHEN {hits(L.FRENCH_WORDS)} + {accent} >= {hits(L.ENGLISH_WORDS)} THEN 'french' ELSE 'english' END")
+    mixed = f"arrays_overlap(split(lower({text}), '[^a-z0-9]+'), {Q.texts(L.DARIJA_WORDS)})"
+    arabic = Q.regex("[" + L.ARABIC_BLOCK + "]")
+    words = f"split(lower({text}), {Q.regex('''[^a-z']+''')})"
+    return (f"CASE WHEN regexp_like({text}, {arabic}) THEN CASE WHEN {mixed} THEN 'darija' ELSE 'arabic' END "
+            f"ELSE {Q.let(words, '_w', latin)} END")
 
 
-def detect_language(text: Column) -> Column:
+def detect_language(text: str) -> Column:
     """arabic, darija, french or english.
 
     Texts with Arabic script are Arabic unless a listed Latin word marks them
     as Darija.  Others are Darija on a marker word, else French or English by
     distinct list words (accents count for French, ties go to French).
     """
-
-    def hits(words: Column, listed: list[str]) -> Column:
-        return F.size(F.array_intersect(words, _strings(listed)))
-
-    def latin(words: Column) -> Column:
-        accent = F.when(text.rlike(f"[{L.FRENCH_ACCENTS}]"), L.FRENCH_ACCENT_WEIGHT).otherwise(0)
-        return (F.when(F.arrays_overlap(words, _strings(L.DARIJA_MARKERS)), "darija")
-                .when(hits(words, L.FRENCH_WORDS) + accent >= hits(words, L.ENGLISH_WORDS), "french")
-                .otherwise("english"))
-
-    low = F.lower(text)
-    mixed = F.arrays_overlap(F.split(low, "[^a-z0-9]+"), _strings(L.DARIJA_WORDS))
-    return (F.when(has_arabic(text), F.when(mixed, "darija").otherwise("arabic"))
-            .otherwise(let(F.split(low, "[^a-z']+"), latin)))
+    return F.expr(detect_language_sql(text))
 
 
 def resolve_language(detected: Column, hint: Column) -> Column:

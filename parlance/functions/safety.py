@@ -1,79 +1,81 @@
 """Screening columns: injection hits, unsafe categories, personal data.
 
-Patterns stay literal so that Spark compiles each one once per task.  Every
-builder binds its intermediate values with :func:`let`, so the expression stays
-linear in the number of rules even when the optimizer copies it into a filter.
+Builders take a column name or SQL expression for the text.  Patterns stay
+literal so that Spark compiles each one once per task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions import sqltext as Q
 from parlance.rules import safety as R
 
 HIT_TYPE = "array<struct<label:string,snippet:string>>"
 PII_TYPE = "array<struct<pii_type:string,ordinal:bigint,value:string,start:bigint,end:bigint>>"
+NO_PII = f"cast(array() as {PII_TYPE})"
 
 # U: Unicode classes and boundaries, d: only "\n" ends a line.
 CASELESS = "(?iUd)"
 CASED = "(?Ud)"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fold_case(text: Column) -> Column:
+def _folded(text: str) -> str:
     for a, b in R.FOLD_EXTRA:
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return F.lower(text)
+        text = f"replace({text}, {Q.text(a)}, {Q.text(b)})"
+    return f"lower({text})"
 
 
-def _possible(rule: str, low: Column) -> Column:
-    words = [reduce(lambda a, b: a & b, [low.contains(w) for w in alt.split("&")]) for alt in R.RULE_NEEDS[rule]]
-    return reduce(lambda a, b: a | b, words)
+def _possible(rule: str) -> str:
+    """Necessary condition on the folded text ``_low``."""
+    either = [" AND ".join(f"contains(_low, {Q.text(w)})" for w in alt.split("&")) for alt in R.RULE_NEEDS[rule]]
+    return "(" + " OR ".join(f"({e})" for e in either) + ")"
 
 
 def injection_pattern(label: str, pattern: str) -> str:
     return ("(?imUd)" if label in R.MULTILINE_RULES else CASELESS) + pattern
 
 
-def injection_hits(text: Column) -> Column:
-    """Labels that fire, in rule order, with the first match cut to 40 characters."""
+def injection_hits_sql(text: str) -> str:
+    items = []
+    for label, pattern in R.INJECTION_RULES:
+        p = Q.regex(injection_pattern(label, pattern))
+        snippet = f"substring(regexp_extract({text}, {p}, 0), 1, {R.INJECTION_SNIPPET_CHARS})"
+        items.append(f"CASE WHEN {_possible(label)} AND regexp_like({text}, {p}) "
+                     f"THEN named_struct('label', '{label}', 'snippet', {snippet}) END")
+    hits = Q.let(_folded(text), "_low", "array(" + ", ".join(items) + ")")
+    return f"cast(filter({hits}, _h -> _h IS NOT NULL) as {HIT_TYPE})"
 
-    def hits(low: Column) -> Column:
-        out = []
-        for label, pattern in R.INJECTION_RULES:
-            p = injection_pattern(label, pattern)
-            snippet = F.substring(F.regexp_extract(text, p, 0), 1, R.INJECTION_SNIPPET_CHARS)
-            out.append(F.when(_possible(label, low) & text.rlike(p),
-                              F.struct(F.lit(label).alias("label"), snippet.alias("snippet"))))
-        return F.filter(F.array(*out), lambda h: h.isNotNull())
 
-    return let(fold_case(text), hits).cast(HIT_TYPE)
+def injection_hits(text: str) -> Column:
+    """Labels that fire, in rule order, with the first match cut to 40 characters."""
+    return F.expr(injection_hits_sql(text))
 
 
-def nsfw_categories(text: Column) -> Column:
-    """Categories that fire, in rule order."""
+def nsfw_categories_sql(text: str) -> str:
+    items = [f"CASE WHEN {_possible(c)} AND regexp_like({text}, {Q.regex(CASELESS + p)}) THEN '{c}' END"
+             for c, p in R.NSFW_RULES]
+    cats = Q.let(_folded(text), "_low", "array(" + ", ".join(items) + ")")
+    return f"cast(filter({cats}, _c -> _c IS NOT NULL) as array<string>)"
 
-    def cats(low: Column) -> Column:
-        out = [F.when(_possible(c, low) & text.rlike(CASELESS + p), F.lit(c)) for c, p in R.NSFW_RULES]
-        return F.filter(F.array(*out), lambda c: c.isNotNull())
 
-    return let(fold_case(text), cats).cast("array<string>")
+def nsfw_categories(text: str) -> Column:
+    """Categories that fire, in rule order."""
+    return F.expr(nsfw_categories_sql(text))
 
 
-def injection_reason(hits: Column) -> Column:
-    shown = F.transform(hits, lambda h: F.concat(h["label"], F.lit(":'"), h["snippet"], F.lit("'")))
-    return F.concat(F.lit(R.INJECTION_REASON), F.array_join(shown, ", "))
+def injection_reason(hits: str) -> Column:
+    shown = f"transform({hits}, _h -> concat(_h.label, ':\\'', _h.snippet, '\\''))"
+    return F.expr(f"concat({Q.text(R.INJECTION_REASON)}, array_join({shown}, ', '))")
 
 
-def nsfw_reason(categories: Column) -> Column:
+def nsfw_reason(categories: str) -> Column:
     return F.concat(F.lit(R.NSFW_REASON), F.array_join(categories, ", "))
 
 
@@ -81,81 +83,68 @@ def fingerprint(value: Column) -> Column:
     return F.substring(F.sha2(value, 256), 1, R.FINGERPRINT_CHARS)
 
 
-def _masked(pii_type: str, pattern: str, token: str, text: Column) -> Column:
-    return F.when(text.rlike("(?U)" + R.PII_NEEDS[pii_type]),
-                  F.regexp_replace(text, CASED + pattern, token)).otherwise(text)
-
+def _masked(rule, text: str) -> str:
+    """One replacement, run only on texts that can hold a match."""
+    pii_type, pattern, token = rule
+    needs = Q.regex("(?U)" + R.PII_NEEDS[pii_type])
+    return (f"CASE WHEN regexp_like({text}, {needs}) THEN "
+            f"regexp_replace({text}, {Q.regex(CASED + pattern)}, {Q.text(token)}) ELSE {text} END")
 
-def mask_pii(text: Column) -> Column:
-    """Masked text only (no match table)."""
-    def masker(rule):
-        return lambda m: _masked(*rule, m)
 
+def mask_pii_sql(text: str) -> str:
     out = text
-    for rule in R.PII_RULES:
-        out = let(out, masker(rule))
-    return F.when(text.rlike("(?U)" + R.PII_ANY), out).otherwise(text)
+    for i, rule in enumerate(R.PII_RULES):
+        out = Q.let(out, f"_m{i}", _masked(rule, f"_m{i}"))
+    return f"CASE WHEN regexp_like({text}, {Q.regex('(?U)' + R.PII_ANY)}) THEN {out} ELSE {text} END"
 
 
-def _located(pii_type: str, before: Column, pattern: str) -> Column:
+def mask_pii(text: str) -> Column:
+    """Masked text only (no match table)."""
+    return F.expr(mask_pii_sql(text))
+
+
+def _located(pii_type: str, before: str, pattern: str) -> str:
     """Matches of one rule with offsets into the text that rule scanned.
 
     The pieces between matches come from ``split``; a match starts where all
     earlier pieces and matches end.
     """
-    values = F.regexp_extract_all(before, F.lit(pattern), F.lit(0))
-    steps = F.arrays_zip(values.alias("value"), F.split(before, pattern, -1).alias("gap"))
-
-    def add(acc, step):
-        start = acc["pos"] + F.length(step["gap"])
-        item = F.struct(
-            F.lit(pii_type).alias("pii_type"),
-            F.size(acc["items"]).cast("bigint").alias("ordinal"),
-            step["value"].alias("value"),
-            start.alias("start"),
-            (start + F.length(step["value"])).alias("end"),
-        )
-        moved = F.struct(item["end"].alias("pos"), F.concat(acc["items"], F.array(item)).alias("items"))
-        return F.when(step["value"].isNull(), acc).otherwise(moved)
-
-    first = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast(PII_TYPE).alias("items"))
-    return F.aggregate(steps, first, add, lambda acc: acc["items"])
-
-
-def pii_scan(text: Column) -> Column:
+    p = Q.regex(pattern)
+    steps = (f"zip_with(regexp_extract_all({before}, {p}, 0), split({before}, {p}, -1), "
+             f"(_v, _g) -> named_struct('value', _v, 'gap', _g))")
+    first = f"named_struct('pos', 0L, 'items', {NO_PII})"
+    start = "_a.pos + length(_x.gap)"
+    end = f"{start} + length(_x.value)"
+    item = (f"named_struct('pii_type', '{pii_type}', 'ordinal', cast(size(_a.items) as bigint), 'value', _x.value, "
+            f"'start', {start}, 'end', {end})")
+    step = f"named_struct('pos', {end}, 'items', concat(_a.items, array({item})))"
+    return (f"aggregate({steps}, {first}, (_a, _x) -> CASE WHEN _x.value IS NULL THEN _a ELSE {step} END, "
+            f"_a -> _a.items)")
+
+
+def pii_scan_sql(text: str) -> str:
     """struct(masked, items): rule i reads the text masked by rules 1..i-1.
 
     Matches are extracted only where a rule's replacement changed the text.
     """
-
-    def step(pii_type: str, pattern: str, token: str) -> Callable[[Column], Column]:
-        def run(state: Column) -> Column:
-            before = state["masked"]
-            return let(_masked(pii_type, pattern, token, before), lambda after: F.struct(
-                after.alias("masked"),
-                F.when(after != before, F.concat(state["items"], _located(pii_type, before, CASED + pattern)))
-                .otherwise(state["items"]).alias("items")))
-
-        return run
-
-    none = F.struct(text.alias("masked"), F.array().cast(PII_TYPE).alias("items"))
+    none = f"named_struct('masked', {text}, 'items', {NO_PII})"
     state = none
-    for rule in R.PII_RULES:
-        state = let(state, step(*rule))
-    return F.when(text.rlike("(?U)" + R.PII_ANY), state).otherwise(none)
+    for i, rule in enumerate(R.PII_RULES):
+        s, r = f"_s{i}", f"_r{i}"
+        found = _located(rule[0], f"{s}.masked", CASED + rule[1])
+        after = f"named_struct('masked', {r}, 'items', CASE WHEN {r} <> {s}.masked THEN concat({s}.items, {found}) ELSE {s}.items END)"
+        state = Q.let(state, s, Q.let(_masked(rule, f"{s}.masked"), r, after))
+    return f"CASE WHEN regexp_like({text}, {Q.regex('(?U)' + R.PII_ANY)}) THEN {state} ELSE {none} END"
 
 
-def scan_pii(df: DataFrame, text: str, where: Column | None = None) -> DataFrame:
+def scan_pii(df: DataFrame, text: str, where: str = "true") -> DataFrame:
     """Add ``pii`` (matches) and ``masked_text``; rows outside ``where`` stay unscanned."""
-    src = F.col(text)
-    none = F.struct(src.alias("masked"), F.array().cast(PII_TYPE).alias("items"))
-    scan = pii_scan(src) if where is None else F.when(where, pii_scan(src)).otherwise(none)
-    return (df.withColumn("_scan", scan)
-            .withColumn("pii", F.col("_scan.items"))
-            .withColumn("masked_text", F.col("_scan.masked"))
+    none = f"named_struct('masked', {text}, 'items', {NO_PII})"
+    return (df.withColumn("_scan", F.expr(f"CASE WHEN {where} THEN {pii_scan_sql(text)} ELSE {none} END"))
+            .withColumns({"pii": F.col("_scan.items"), "masked_text": F.col("_scan.masked")})
             .drop("_scan"))
 
 
-def pii_types(matches: Column) -> Column:
+def pii_types(matches: str) -> Column:
     """Distinct types, sorted (the record keeps them as a set)."""
-    return F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["pii_type"])))
+    return F.expr(f"array_sort(array_distinct(transform({matches}, _p -> _p.pii_type)))")

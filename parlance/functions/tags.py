@@ -1,22 +1,22 @@
 """Tag columns: keyword rules, script tags, precedence and conflicts.
 
 Rules are configuration, read when the plan is built; they become one narrow
-expression over the text, so tagging needs no join and no shuffle.
+expression over the text, so tagging needs no join and no shuffle.  Builders
+take column names or SQL expressions and return SQL text (``*_sql``) or Columns.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parlance.functions.language import arabic_chars
-from parlance.functions.safety import let
+from parlance.functions import sqltext as Q
 from parlance.rules import language as L
 from parlance.rules import tags as T
 
-EMPTY = "array<string>"
+NONE = "cast(array() as array<string>)"
+RULES = T.DEFAULT_TAG_RULES
+OFFICIAL = T.DEFAULT_OFFICIAL_TAGS
 
 
 def canonical_tags(official: list[str]) -> dict[str, str]:
@@ -24,72 +24,75 @@ def canonical_tags(official: list[str]) -> dict[str, str]:
     return {t.lower(): t for t in official}
 
 
-def keyword_tags(text: Column, rules: list[tuple[str, str]] = T.DEFAULT_TAG_RULES,
-                 official: list[str] = T.DEFAULT_OFFICIAL_TAGS) -> Column:
-    """Sorted distinct official tags with a keyword inside the lower-cased text."""
+def keyword_tags_sql(text: str, rules=RULES, official=OFFICIAL) -> str:
     names = canonical_tags(official)
     by_tag: dict[str, list[str]] = {}
     for keyword, tag in rules:
         low = tag.lower()
         if not low.startswith(T.LANGUAGE_PREFIX) and low in names:
             by_tag.setdefault(names[low], []).append(keyword)
+    if not by_tag:
+        return NONE
+    hits = ", ".join("CASE WHEN " + " OR ".join(f"contains(_low, {Q.text(k)})" for k in kws) + f" THEN {Q.text(tag)} END"
+                     for tag, kws in by_tag.items())
+    found = Q.let(f"lower({text})", "_low", f"array({hits})")
+    return f"array_sort(filter({found}, _t -> _t IS NOT NULL))"
 
-    def matched(low: Column) -> Column:
-        hits = [F.when(reduce(lambda a, b: a | b, [low.contains(k) for k in kws]), F.lit(tag))
-                for tag, kws in by_tag.items()]
-        return F.filter(F.array(*hits), lambda t: t.isNotNull())
 
-    if not by_tag:
-        return F.array().cast(EMPTY)
-    return F.array_sort(let(F.lower(text), matched))
+def script_tags_sql(text: str) -> str:
+    darija = " OR ".join(f"contains(_low, {Q.text(w)})" for w in L.DARIJA_TAG_SUBSTRINGS)
+    chars = f"length(regexp_replace({text}, {Q.regex('[^' + L.ARABIC_BLOCK + ']')}, ''))"
+    return Q.let(f"lower({text})", "_low",
+                 f"CASE WHEN {darija} THEN array('{T.TAG_DARIJA}') "
+                 f"WHEN {chars} > {L.ARABIC_TAG_MIN_CHARS} THEN array('{T.TAG_ARABIC}') ELSE {NONE} END")
 
 
-def script_tags(text: Column) -> Column:
-    """At most one language tag, from Darija substrings or Arabic script."""
-    low = F.lower(text)
-    darija = reduce(lambda a, b: a | b, [low.contains(w) for w in L.DARIJA_TAG_SUBSTRINGS])
-    return (F.when(darija, F.array(F.lit(T.TAG_DARIJA)))
-            .when(arabic_chars(text) > L.ARABIC_TAG_MIN_CHARS, F.array(F.lit(T.TAG_ARABIC)))
-            .otherwise(F.array().cast(EMPTY)))
+def resolve_conflicts_sql(tags: str) -> str:
+    losers = ", ".join(f"CASE WHEN array_contains(_set, {Q.text(w)}) THEN {Q.text(lo)} END" for w, lo in T.CONFLICTS)
+    lowered = f"array_distinct(transform({tags}, _t -> lower(_t)))"
+    return "array_sort(" + Q.let(lowered, "_set", f"array_except(_set, array({losers}))") + ")"
 
 
-def resolve_conflicts(tags: Column) -> Column:
-    """Lower-cased sorted set without the weaker tag of each opposed pair."""
+def rule_tags_sql(text: str, rules=RULES, official=OFFICIAL) -> str:
+    return resolve_conflicts_sql(f"concat({script_tags_sql(text)}, {keyword_tags_sql(text, rules, official)})")
 
-    def drop(low: Column) -> Column:
-        losers = F.array(*[F.when(F.array_contains(low, w), F.lit(lo)) for w, lo in T.CONFLICTS])
-        return F.array_except(low, losers)
 
-    return F.array_sort(let(F.array_distinct(F.transform(tags, lambda t: F.lower(t))), drop))
+def keyword_tags(text: str, rules=RULES, official=OFFICIAL) -> Column:
+    """Sorted distinct official tags with a keyword inside the lower-cased text."""
+    return F.expr(keyword_tags_sql(text, rules, official))
+
 
+def script_tags(text: str) -> Column:
+    """At most one language tag, from Darija substrings or Arabic script."""
+    return F.expr(script_tags_sql(text))
 
-def valid_tags(existing: Column, official: list[str] = T.DEFAULT_OFFICIAL_TAGS) -> Column:
-    """Lower-cased known tags of a comma list, in order."""
-    names = F.array(*[F.lit(n) for n in sorted(canonical_tags(official))])
-    parts = F.transform(F.split(F.lower(F.coalesce(existing, F.lit(""))), ","), lambda t: F.trim(t))
-    keep = F.filter(parts, lambda t: ~t.isin(*T.EMPTY_TAGS))
-    return F.filter(keep, lambda t: F.array_contains(names, t))
+
+def resolve_conflicts(tags: str) -> Column:
+    """Lower-cased sorted set without the weaker tag of each opposed pair."""
+    return F.expr(resolve_conflicts_sql(tags))
 
 
-def rule_tags(text: Column, rules=T.DEFAULT_TAG_RULES, official=T.DEFAULT_OFFICIAL_TAGS) -> Column:
+def rule_tags(text: str, rules=RULES, official=OFFICIAL) -> Column:
     """Script and keyword tags after conflicts."""
-    return resolve_conflicts(F.concat(script_tags(text), keyword_tags(text, rules, official)))
+    return F.expr(rule_tags_sql(text, rules, official))
 
 
-def enrich(text: Column, existing: Column, rules=T.DEFAULT_TAG_RULES, official=T.DEFAULT_OFFICIAL_TAGS) -> Column:
-    """Valid existing tags win, else rule tags, else ``untagged``; ', '-joined."""
-    valid = valid_tags(existing, official)
-    found = F.array_join(rule_tags(text, rules, official), ", ")
-    return (F.when(F.size(valid) > 0, F.array_join(valid, ", "))
-            .otherwise(let(found, lambda f: F.when(f != "", f).otherwise(T.UNTAGGED))))
+def enrich(text: str, existing: str, rules=RULES, official=OFFICIAL) -> Column:
+    """Valid existing tags (lower-cased, in order) win, else rule tags, else
+    ``untagged``; ', '-joined."""
+    parts = f"transform(split(lower(coalesce({existing}, '')), ','), _t -> trim(_t))"
+    names = Q.texts(sorted(set(canonical_tags(official)) - set(T.EMPTY_TAGS)))
+    valid = f"filter({parts}, _t -> array_contains({names}, _t))"
+    found = Q.let(f"array_join({rule_tags_sql(text, rules, official)}, ', ')", "_f",
+                  f"CASE WHEN _f <> '' THEN _f ELSE '{T.UNTAGGED}' END")
+    return F.expr(Q.let(valid, "_v", f"CASE WHEN size(_v) > 0 THEN array_join(_v, ', ') ELSE {found} END"))
 
 
-def merge_tags(model_tags: Column, text: Column, rules=T.DEFAULT_TAG_RULES,
-               official=T.DEFAULT_OFFICIAL_TAGS) -> Column:
-    """Model tags and rule tags of the text, conflicts dropped."""
-    return resolve_conflicts(F.concat(model_tags, rule_tags(text, rules, official)))
+def merge_tags(model_tags: str, text: str, rules=RULES, official=OFFICIAL) -> Column:
+    """Model tags (an array) and rule tags of the text, conflicts dropped."""
+    return F.expr(resolve_conflicts_sql(f"concat({model_tags}, {rule_tags_sql(text, rules, official)})"))
 
 
-def split_list(value: Column, sep: str = "\\|") -> Column:
-    """Non-empty items of a delimited string."""
-    return F.filter(F.split(F.coalesce(value, F.lit("")), sep), lambda t: t != "")
+def split_list_sql(value: str, sep: str = "|") -> str:
+    """Array of the non-empty items of a delimited string."""
+    return f"filter(split(coalesce({value}, ''), {Q.regex('[' + sep + ']')}), _t -> _t <> '')"

@@ -19,12 +19,12 @@ def screen_turns(turns: DataFrame) -> DataFrame:
     ``lang`` is the resolved language of the masked text.
     """
     t = guardrail(turns)
-    detected = F.when(~F.col("is_blocked"), LG.detect_language(F.col("masked_text"))).otherwise("unknown")
+    detected = F.when(~F.col("is_blocked"), LG.detect_language("masked_text")).otherwise("unknown")
     return (
         t.withColumn("lang", F.when(F.col("is_blocked"), F.coalesce("lang_hint", F.lit("unknown")))
                      .otherwise(LG.resolve_language(detected, F.col("lang_hint"))))
         .withColumn("tags", F.when(F.col("is_blocked"), F.array().cast("array<string>"))
-                    .otherwise(TG.merge_tags(TG.split_list(F.col("model_tags")), F.col("masked_text")))))
+                    .otherwise(TG.merge_tags(TG.split_list_sql("model_tags"), "masked_text"))))
 
 
 def exchanges(screened: DataFrame) -> DataFrame:
@@ -71,5 +71,5 @@ def turn_decisions(screened: DataFrame) -> DataFrame:
         F.col("u.lang").alias("lang"),
         F.when(blocked, 1.0).otherwise(F.col("u.confidence")).alias("confidence"),
         (F.size("u.pii") > 0).alias("pii_detected"),
-        S.pii_types(F.col("u.pii")).alias("pii_types"),
+        S.pii_types("u.pii").alias("pii_types"),
         blocked.alias("was_blocked"), exchange_risk().alias("risk_level"))

@@ -11,28 +11,28 @@ from parlance.rules import safety as R
 
 def injection_matches(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per (text, rule that fires): label and snippet.  Narrow, no shuffle."""
-    hits = df.select(*keys, F.explode(S.injection_hits(F.col(text))).alias("h"))
+    hits = df.select(*keys, F.explode(S.injection_hits(text)).alias("h"))
     return hits.select(*keys, F.col("h.label").alias("label"), F.col("h.snippet").alias("snippet"))
 
 
 def injection_blocked(df: DataFrame, keys: list[str], text: str = "text",
                       threshold: int = R.INJECTION_BLOCK_THRESHOLD) -> DataFrame:
     """Blocked flag, labels and reason per text."""
-    out = df.select(*keys, S.injection_hits(F.col(text)).alias("hits"))
+    out = df.select(*keys, S.injection_hits(text).alias("hits"))
     blocked = F.size("hits") >= threshold
     return out.select(
         *keys,
         blocked.alias("is_injection"),
         F.size("hits").cast("bigint").alias("n_hits"),
         F.array_join(F.transform("hits", lambda h: h["label"]), "|").alias("labels"),
-        F.when(blocked, S.injection_reason(F.col("hits"))).otherwise("").alias("block_reason"),
+        F.when(blocked, S.injection_reason("hits")).otherwise("").alias("block_reason"),
     )
 
 
 def nsfw_matches(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per (text, category that fires) with the text's whole reason line."""
-    out = df.select(*keys, S.nsfw_categories(F.col(text)).alias("cats"))
-    return out.select(*keys, S.nsfw_reason(F.col("cats")).alias("block_reason"), F.explode("cats").alias("category"))
+    out = df.select(*keys, S.nsfw_categories(text).alias("cats"))
+    return out.select(*keys, S.nsfw_reason("cats").alias("block_reason"), F.explode("cats").alias("category"))
 
 
 def guardrail(df: DataFrame, text: str = "text") -> DataFrame:
@@ -43,22 +43,21 @@ def guardrail(df: DataFrame, text: str = "text") -> DataFrame:
     ``nsfw_categories``, ``pii``, ``masked_text``, ``is_blocked``,
     ``block_layer`` and ``block_reason``; narrow, no shuffle.
     """
-    src = F.col(text)
-    df = df.withColumn("injection_hits", S.injection_hits(src))
+    df = df.withColumn("injection_hits", S.injection_hits(text))
     injected = F.size("injection_hits") >= R.INJECTION_BLOCK_THRESHOLD
     df = df.withColumn(
         "nsfw_categories",
-        F.when(injected, F.array().cast("array<string>")).otherwise(S.nsfw_categories(src)))
+        F.when(injected, F.array().cast("array<string>")).otherwise(S.nsfw_categories(text)))
     unsafe = F.size("nsfw_categories") > 0
     df = df.withColumn("block_layer", F.when(injected, "injection").when(unsafe, "nsfw").otherwise(""))
-    df = S.scan_pii(df, text, where=F.col("block_layer") == "")
+    df = S.scan_pii(df, text, where="block_layer = ''")
     layer = F.col("block_layer")
     return (
         df.withColumn("masked_text", F.when(layer == "injection", R.BLOCKED_INJECTION_TEXT)
                       .when(layer == "nsfw", R.BLOCKED_NSFW_TEXT).otherwise(F.col("masked_text")))
         .withColumn("is_blocked", layer != "")
-        .withColumn("block_reason", F.when(layer == "injection", S.injection_reason(F.col("injection_hits")))
-                    .when(layer == "nsfw", S.nsfw_reason(F.col("nsfw_categories"))).otherwise(""))
+        .withColumn("block_reason", F.when(layer == "injection", S.injection_reason("injection_hits"))
+                    .when(layer == "nsfw", S.nsfw_reason("nsfw_categories")).otherwise(""))
     )
 
 
@@ -68,7 +67,7 @@ def verdict_columns(df: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "is_blocked", "block_layer", "block_reason", "masked_text",
         F.array_join(F.transform("injection_hits", lambda h: h["label"]), "|").alias("injection_labels"),
         F.array_join("nsfw_categories", "|").alias("nsfw_categories"),
-        F.array_join(S.pii_types(F.col("pii")), "|").alias("pii_types"),
+        F.array_join(S.pii_types("pii"), "|").alias("pii_types"),
         F.size("pii").cast("bigint").alias("pii_count"),
     )
 
@@ -82,7 +81,7 @@ def pii_matches(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame
 
 
 def pii_masked(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    return df.select(*keys, S.mask_pii(F.col(text)).alias("masked_text"))
+    return df.select(*keys, S.mask_pii(text).alias("masked_text"))
 
 
 def pii_type_summary(matches: DataFrame, by: list[str]) -> DataFrame:

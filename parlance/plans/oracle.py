@@ -40,7 +40,7 @@ def sql(body: str) -> str:
 
     def visit(text: str) -> None:
         for name in CTE:
-            if name not in need and re.search(rf"\b{name}\b", text):
+            if name not in need and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
                 visit(CTE[name])
                 if name not in need:
                     need.append(name)
@@ -327,3 +327,338 @@ FROM texts t CROSS JOIN tag_vocab v LEFT JOIN tx_f f ON f.text_id = t.text_id AN
 oracle("intent_auto_tags", f"""
 SELECT c.message_id, c.intent, coalesce(a.tags, '') AS auto_tags FROM chat_base c
 LEFT JOIN (VALUES {rows([(i, '|'.join(t)) for i, t in T.INTENT_TAGS])}) a(intent, tags) ON c.intent = a.intent""")
+
+# ---- text features and corpus ----------------------------------------------
+FOLDED = (f"lower(CASE WHEN regexp_matches(text, '[\\x{{0600}}-\\x{{06ff}}]') THEN "
+          f"translate(text, {lit(C.ARABIC_FOLD_FROM + C.ARABIC_DROP)}, {lit(C.ARABIC_FOLD_TO)}) ELSE text END)")
+WORDS = rf"regexp_extract_all({FOLDED}, '[\x{{0600}}-\x{{06ff}}]+|[a-z0-9][a-z0-9''\-]*')"
+CTE["doc_words"] = f"SELECT doc_id, lang, {WORDS} AS words FROM documents"
+CTE["doc_tokens"] = """
+SELECT doc_id, lang, list_concat(words, list_transform(flatten(list_transform(words,
+  lambda w: list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)))), lambda s: '#' || s)) AS toks FROM doc_words"""
+CTE["tok"] = "SELECT doc_id, lang, unnest(range(len(toks))) AS pos, unnest(toks) AS token FROM doc_tokens"
+CTE["tok_counts"] = "SELECT token, count(*) AS n FROM tok GROUP BY token"
+CTE["voc"] = f"""
+SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + {C.RESERVED_IDS - 1} AS id
+FROM tok_counts ORDER BY n DESC, token LIMIT {C.VOCAB_SIZE - C.RESERVED_IDS}"""
+oracle("tokens", "SELECT doc_id, pos, token FROM tok")
+oracle("vocab", "SELECT token, n, id FROM voc")
+oracle("vocab_coverage", """
+SELECT count(*) AS tokens, count(v.id) AS covered, round(count(v.id) / count(*), 6) AS coverage
+FROM tok_counts t LEFT JOIN voc v ON t.token = v.token""")
+oracle("encoded_sequences", f"""
+SELECT d.doc_id, array_to_string(list_concat([{C.BOS}], coalesce(e.ids, []), [{C.EOS}],
+    list_transform(range({C.SEQ_LEN - 2} - len(coalesce(e.ids, []))), lambda i: {C.PAD})), ',') AS ids
+FROM documents d LEFT JOIN (SELECT doc_id, list(coalesce(v.id, {C.UNK}) ORDER BY pos) AS ids FROM tok t
+  LEFT JOIN voc v ON t.token = v.token WHERE pos < {C.SEQ_LEN - 2} GROUP BY doc_id) e ON d.doc_id = e.doc_id""")
+
+
+def bits(*key: str) -> str:
+    return f"CAST(('0x' || substr(md5(concat_ws(':', {', '.join(key)})), 1, 8)) AS UBIGINT)"
+
+
+def uni(*key: str) -> str:
+    return f"(CAST({bits(*key)} AS DOUBLE) / CAST(4294967296 AS DOUBLE))"
+
+
+def choose(options, u: str) -> str:
+    return f"({arr(options)})[CAST(floor({u} * {len(options)}) AS INT) + 1]"
+
+
+def _d(purpose: str) -> str:
+    return uni("doc_id", "copy", lit(purpose))
+
+
+CTE["aug_in"] = f"""
+SELECT doc_id, text, lang, copy, {_d('branch')} AS r, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS w
+FROM documents, range({C.AUG_FACTOR + 1}) t(copy)"""
+CTE["aug_i"] = f"""
+SELECT *, len(w) AS n, CAST(floor({_d('drop')} * len(w)) AS INT) AS cut, CAST(floor({_d('swap')} * (len(w) - 1)) AS INT) AS sw,
+  greatest(2, CAST(floor(len(w) * (CAST(0.6 AS DOUBLE) + CAST(0.3 AS DOUBLE) * {_d('keep')})) AS INT)) AS keep FROM aug_in"""
+oracle("augmented_corpus", f"""
+SELECT doc_id, lang AS intent, copy, CAST({bits('doc_id', 'copy', lit('order'))} AS BIGINT) AS shuffle_key,
+  CASE WHEN copy = 0 THEN text
+    WHEN r < 0.15 AND n > 4 THEN array_to_string(list_concat(w[1:cut], w[cut + 2:]), ' ')
+    WHEN r < 0.28 THEN regexp_replace(text, '[{C.AUG_TRAILING}]+$', '') || {choose(C.AUG_SUFFIXES, _d('suffix'))}
+    WHEN r < 0.40 THEN lower(text)
+    WHEN r < 0.52 AND n > 2 THEN array_to_string(list_concat(w[1:sw], [w[sw + 2], w[sw + 1]], w[sw + 3:]), ' ')
+    WHEN r < 0.64 THEN text || ' ' || {choose(C.AUG_POLITE, _d('polite'))}
+    WHEN r < 0.78 AND n > 3 THEN array_to_string(w[1:keep], ' ')
+    ELSE text END AS user_msg
+FROM aug_i""")
+CTE["doc_split"] = """
+SELECT doc_id, lang AS intent, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)))
+  <= (count(*) OVER (PARTITION BY lang) * 10 + 50) // 100 THEN 'eval' ELSE 'train' END AS split FROM documents"""
+oracle("stratified_split", "SELECT doc_id, intent, split FROM doc_split")
+oracle("intent_index", """
+SELECT intent, row_number() OVER (ORDER BY intent) - 1 AS intent_index, n
+FROM (SELECT intent, count(*) AS n FROM chat_base GROUP BY intent)""")
+
+# ---- intent scoring and evaluation -----------------------------------------
+CTE["lab"] = """
+SELECT d.doc_id, d.lang AS intent, s.split, coalesce(l.quality, 0) = 1 AS q, coalesce(l.toxic, 0) = 1 AS x
+FROM documents d JOIN doc_split s ON d.doc_id = s.doc_id LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+# Every document is one row per head: its intent, and yes/no per tag.
+CTE["lab_heads"] = """
+SELECT doc_id, split, 'intent' AS head, intent AS class FROM lab
+UNION ALL SELECT doc_id, split, 'tag:quality:high', CASE WHEN q THEN 'yes' ELSE 'no' END FROM lab
+UNION ALL SELECT doc_id, split, 'tag:toxic', CASE WHEN x THEN 'yes' ELSE 'no' END FROM lab"""
+CTE["tok_doc"] = "SELECT doc_id, token, count(*) AS n FROM tok GROUP BY ALL"
+CTE["tvoc"] = f"""
+SELECT token FROM (SELECT token, sum(t.n) AS n FROM tok_doc t JOIN lab ON t.doc_id = lab.doc_id WHERE split = 'train' GROUP BY token)
+ORDER BY n DESC, token LIMIT {C.VOCAB_SIZE - C.RESERVED_IDS}"""
+CTE["tok_voc"] = "SELECT t.doc_id, t.token, t.n FROM tok_doc t JOIN tvoc v ON t.token = v.token"
+CTE["head_docs"] = "SELECT head, class, count(*) AS docs FROM lab_heads WHERE split = 'train' GROUP BY ALL"
+CTE["head_tok"] = """
+SELECT h.head, h.class, t.token, sum(t.n) AS n FROM lab_heads h JOIN tok_voc t ON h.doc_id = t.doc_id
+WHERE h.split = 'train' GROUP BY ALL"""
+CTE["head_w"] = """
+SELECT g.head, g.class, g.token, ln((coalesce(h.n, 0) + 1) / (sum(coalesce(h.n, 0)) OVER w + count(*) OVER w)) AS wt
+FROM (SELECT head, class, token FROM head_docs CROSS JOIN tvoc) g
+LEFT JOIN head_tok h ON g.head = h.head AND g.class = h.class AND g.token = h.token WINDOW w AS (PARTITION BY g.head, g.class)"""
+CTE["head_z"] = """
+SELECT t.doc_id, w.head, w.class, sum(t.n * w.wt) + any_value(ln((d.docs + 1) / ((SELECT count(*) FROM lab WHERE split = 'train') + 1))) AS z
+FROM tok_voc t JOIN head_w w ON t.token = w.token JOIN head_docs d ON d.head = w.head AND d.class = w.class GROUP BY ALL"""
+CTE["head_p"] = """
+SELECT doc_id, head, class, e / sum(e) OVER (PARTITION BY doc_id, head) AS p
+FROM (SELECT *, exp(z - max(z) OVER (PARTITION BY doc_id, head)) AS e FROM head_z)"""
+CTE["pred"] = f"""
+SELECT doc_id, arg_max(class, p) FILTER (head = 'intent') AS guess, max(p) FILTER (head = 'intent') AS confidence,
+  coalesce(string_agg(substr(head, 5), '|' ORDER BY head) FILTER (head <> 'intent' AND class = 'yes' AND p > {C.TAG_THRESHOLD}), '') AS tags
+FROM head_p GROUP BY doc_id"""
+oracle("intent_scores", f"""
+SELECT lab.doc_id, lab.split, {language('d.text')} AS lang, p.guess AS intent, round(p.confidence, 4) AS confidence, p.tags
+FROM lab JOIN documents d ON lab.doc_id = d.doc_id LEFT JOIN pred p ON lab.doc_id = p.doc_id""")
+CTE["pairs"] = "SELECT lab.doc_id, split, intent AS truth, q, x, guess, coalesce(tags, '') AS tags FROM lab LEFT JOIN pred ON lab.doc_id = pred.doc_id"
+oracle("eval_intent_accuracy", """
+SELECT split, count(*) AS n, count(*) FILTER (truth = guess) AS correct, round(count(*) FILTER (truth = guess) / count(*), 6) AS accuracy
+FROM pairs GROUP BY split""")
+CTE["votes"] = """
+SELECT split, 'quality:high' AS tag, q AS t, list_contains(string_split(tags, '|'), 'quality:high') AS g FROM pairs
+UNION ALL SELECT split, 'toxic', x, list_contains(string_split(tags, '|'), 'toxic') FROM pairs"""
+CTE["f1s"] = """
+SELECT split, tag, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r FROM (
+  SELECT split, tag, count(*) FILTER (t AND g) AS tp, count(*) FILTER (NOT t AND g) AS fp, count(*) FILTER (t AND NOT g) AS fn
+  FROM votes WHERE t OR g GROUP BY ALL)"""
+oracle("eval_tag_macro_f1", """
+SELECT split, count(*) AS tags, round(avg(2 * p * r / greatest(p + r, CAST(1e-9 AS DOUBLE))), 6) AS macro_f1 FROM f1s GROUP BY split""")
+CTE["per_class"] = """
+SELECT c.split, c.intent, count(truth) AS n, count(truth) FILTER (truth = guess) AS correct
+FROM (SELECT DISTINCT lang AS intent, s.split FROM documents, (VALUES ('train'), ('eval')) s(split)) c
+LEFT JOIN pairs p ON p.truth = c.intent AND p.split = c.split GROUP BY ALL"""
+oracle("eval_per_intent", """
+SELECT 'intent' AS scope, split, intent, n, correct, CASE WHEN n > 0 THEN round(correct / n, 6) END AS accuracy,
+  coalesce(n > 0 AND correct / n < 0.5, false) AS warn, n > 5 AND correct = 0 AS collapse FROM per_class
+UNION ALL SELECT 'overall', split, NULL, CAST(sum(n) AS BIGINT), CAST(sum(correct) AS BIGINT),
+  CASE WHEN sum(n) > 0 THEN round(sum(correct) / sum(n), 6) END, false, false FROM per_class GROUP BY split""")
+
+# ---- sessions and users -----------------------------------------------------
+CTE["user_tags"] = """
+SELECT user_id, tag, min((ts, message_id)) AS first FROM (
+  SELECT user_id, ts, message_id, unnest(string_split(tags, '|')) AS tag FROM turns WHERE role = 'assistant' AND tags <> '')
+GROUP BY ALL"""
+CTE["user_intents"] = """
+SELECT user_id, intent, min((ts, message_id)) AS first FROM turns WHERE role = 'assistant' AND intent <> '' GROUP BY ALL"""
+CTE["user_pii"] = """
+SELECT s.user_id, m.pii_type, min((s.ts, s.message_id)) AS first, count(DISTINCT m.value_hash) AS vals
+FROM scp_m m JOIN sc s ON m.message_id = s.message_id GROUP BY ALL"""
+CTE["profile"] = """
+SELECT t.user_id, arg_min(session_id, (ts, message_id)) AS session_id, arg_min(lang, (ts, message_id)) AS lang,
+  epoch_us(min(ts)) AS created_us, epoch_us(max(ts)) AS updated_us, count(*) AS message_count,
+  count(*) FILTER (is_blocked OR pii_count > 0) AS flagged_count, count(*) FILTER (block_layer = 'injection') AS injection_attempts,
+  count(*) FILTER (block_layer = 'nsfw') AS nsfw_attempts,
+  coalesce(any_value(i.v), '') AS intents_seen, coalesce(any_value(g.v), '') AS tags_seen, coalesce(any_value(p.v), '') AS pii_types_seen,
+  CAST(coalesce(any_value(p.vals), 0) AS BIGINT) AS pii_values
+FROM turns t
+LEFT JOIN (SELECT user_id, string_agg(intent, '|' ORDER BY first, intent) AS v FROM user_intents GROUP BY user_id) i ON t.user_id = i.user_id
+LEFT JOIN (SELECT user_id, string_agg(tag, '|' ORDER BY first, tag) AS v FROM user_tags GROUP BY user_id) g ON t.user_id = g.user_id
+LEFT JOIN (SELECT user_id, string_agg(pii_type, '|' ORDER BY first, pii_type) AS v, sum(vals) AS vals FROM user_pii GROUP BY user_id) p
+  ON t.user_id = p.user_id
+GROUP BY t.user_id"""
+oracle("user_profile", "SELECT * FROM profile")
+oracle("stream_user_profile", """
+SELECT user_id, message_count, flagged_count, injection_attempts, nsfw_attempts, created_us, updated_us FROM profile""")
+for name, n in (("session_history", S.HISTORY_TURNS), ("session_history_3", 3)):
+    oracle(name, f"""
+SELECT session_id, user_id, turn, role, masked_text FROM sc
+QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) <= {n}""")
+oracle("context_window", f"""
+SELECT a.session_id, a.turn, {lit(S.INTENT_HINT[0])} || a.intent || {lit(S.INTENT_HINT[1])} || replace(a.tags, '|', ', ') || {lit(S.INTENT_HINT[2])} AS hint,
+  coalesce((SELECT string_agg(b.role || ': ' || b.masked_text, chr(10) ORDER BY b.turn) FROM turns b
+    WHERE b.session_id = a.session_id AND b.turn BETWEEN a.turn - {S.CONTEXT_TURNS} AND a.turn - 1), '') AS context
+FROM turns a WHERE a.role = 'assistant'""")
+AS_OF = "TIMESTAMP '2024-01-20 12:00:00'"
+
+
+def segments(state: str, hours: int) -> str:
+    return f"""
+SELECT '{state}' AS state, user_id, segment, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) AS ended_us, count(*) AS turns,
+  min(ts) <= {AS_OF} AND {AS_OF} < max(ts) + INTERVAL {hours} HOUR AS live
+FROM (SELECT user_id, ts, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM (
+  SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL {hours} HOUR THEN 0 ELSE 1 END AS new
+  FROM events)) GROUP BY user_id, segment"""
+
+
+oracle("session_segments", segments("session", 24) + " UNION ALL " + segments("summary", 168))
+# Append mode leaves out segments that the final watermark has not passed.
+oracle("stream_sessions", f"""
+SELECT concat('u', CAST(user_id AS VARCHAR)) AS user_id, started_us, ended_us, turns FROM ({segments('session', 24)})
+WHERE ended_us + 86400000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 86400000000 FROM events)""")
+oracle("session_erase", """
+SELECT message_id, session_id, role FROM chat_base
+WHERE session_id NOT IN (SELECT session_id FROM chat_base WHERE intent = 'harmful')""")
+oracle("session_view", f"""
+SELECT s.user_id, s.session_id, s.history_preview, s.preview_turns, p.lang, p.message_count, p.intents_seen, p.tags_seen,
+  p.pii_types_seen, p.flagged_count
+FROM (SELECT user_id, session_id, string_agg(role || ': ' || masked_text, chr(10) ORDER BY turn) AS history_preview,
+        count(*) AS preview_turns FROM (
+        SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) <= {S.PREVIEW_TURNS})
+      GROUP BY ALL) s JOIN profile p ON s.user_id = p.user_id""")
+CTE["rep_words"] = r"""
+SELECT session_id, turn, text, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')) AS w
+FROM conv WHERE role = 'assistant'"""
+CTE["rep"] = f"""
+SELECT a.session_id, a.turn, CASE WHEN p.n IS NULL OR (p.n = 1 AND p.chars = 0) THEN CAST(0 AS DOUBLE) WHEN len(a.w) = 0 THEN CAST(1 AS DOUBLE)
+   ELSE len(list_intersect(a.w, p.seen)) / len(a.w) END AS repetition
+FROM rep_words a LEFT JOIN (
+  SELECT a.session_id, a.turn, flatten(list(b.w)) AS seen, count(*) AS n, sum(length(b.text)) AS chars
+  FROM rep_words a JOIN rep_words b ON a.session_id = b.session_id AND b.turn BETWEEN a.turn - {S.HISTORY_TURNS} AND a.turn - 1
+  GROUP BY ALL) p ON a.session_id = p.session_id AND a.turn = p.turn"""
+oracle("repetition_score", "SELECT session_id, turn, round(repetition, 6) AS repetition FROM rep")
+for name, t in (("repetition_flags", S.REPETITION_THRESHOLD), ("repetition_flags_10", 0.1)):
+    oracle(name, f"""
+SELECT CASE WHEN grouping(session_id) = 1 THEN 'overall' ELSE 'session' END AS scope, session_id, count(*) AS replies,
+  count(*) FILTER (repetition > CAST({t} AS DOUBLE)) AS flagged,
+  round(count(*) FILTER (repetition > CAST({t} AS DOUBLE)) / count(*), 6) AS rate FROM rep GROUP BY ROLLUP (session_id)""")
+
+# ---- summaries and risk -----------------------------------------------------
+oracle("conversation_stats", """
+SELECT session_id, count(*) AS total_turns, count(*) FILTER (role = 'user') AS user_turns,
+  count(*) FILTER (role = 'assistant') AS assistant_turns,
+  round(coalesce(avg(length(text)) FILTER (role = 'user'), 0), 6) AS avg_user_msg_len FROM conv GROUP BY session_id""")
+CTE["intent_n"] = "SELECT session_id, intent, count(*) AS n, min(turn) AS first FROM chat WHERE intent <> '' GROUP BY ALL"
+CTE["first_intent"] = """
+SELECT session_id, intent AS primary_intent, n AS mentions FROM intent_n
+QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n DESC, first) = 1"""
+oracle("primary_intent", "SELECT session_id, primary_intent, mentions FROM first_intent")
+
+
+def summary_ctes(p: str, source: str) -> None:
+    """``{p}``: summary records over the screened turns in ``source``."""
+    CTE[f"{p}_i"] = f"""SELECT session_id, string_agg(DISTINCT intent, '|' ORDER BY intent) AS all_intents,
+  count(DISTINCT intent) AS n_intents FROM {source} WHERE intent <> '' GROUP BY session_id"""
+    CTE[f"{p}_n"] = f"SELECT session_id, intent, count(*) AS n, min(turn) AS first FROM {source} WHERE intent <> '' GROUP BY ALL"
+    CTE[f"{p}_p"] = f"""SELECT session_id, intent AS primary_intent FROM {p}_n
+QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n DESC, first) = 1"""
+    CTE[f"{p}_g"] = f"""SELECT session_id, string_agg(DISTINCT tag, '|' ORDER BY tag) AS all_tags FROM (
+  SELECT session_id, unnest(string_split(tags, '|')) AS tag FROM {source} WHERE tags <> '') GROUP BY session_id"""
+    CTE[f"{p}_y"] = f"""SELECT session_id, string_agg(DISTINCT y, '|' ORDER BY y) AS pii FROM (
+  SELECT session_id, unnest(string_split(pii_types, '|')) AS y FROM {source} WHERE pii_types <> '') GROUP BY session_id"""
+    CTE[f"{p}_b"] = f"""
+SELECT t.session_id, arg_min(user_id, turn) AS user_id, arg_max(lang, turn) AS lang, max(ts) AS created_at, count(*) AS total_turns,
+  count(*) FILTER (role = 'user') AS user_turns, count(*) FILTER (role = 'assistant') AS assistant_turns,
+  round(coalesce(avg(length(masked_text)) FILTER (role = 'user'), 0), 6) AS avg_user_msg_len, bool_or(is_blocked) AS was_blocked
+FROM {source} t GROUP BY t.session_id"""
+    has = lambda col, v: f"list_contains(string_split(coalesce({col}, ''), '|'), '{v}')"
+    CTE[f"{p}_r"] = f"""
+SELECT b.*, coalesce(pi.primary_intent, '{S.DEFAULT_INTENT}') AS primary_intent, coalesce(i.all_intents, '') AS all_intents,
+  coalesce(i.n_intents, 0) AS n_intents, coalesce(g.all_tags, '') AS all_tags, coalesce(y.pii, '') AS pii_types_detected,
+  CASE WHEN {has('i.all_intents', 'harmful')} OR {has('g.all_tags', 'security_risk')} THEN 'critical'
+       WHEN {has('i.all_intents', 'sensitive')} AND {has('g.all_tags', 'requires_human')} THEN 'high'
+       WHEN y.pii IS NOT NULL OR coalesce(i.n_intents, 0) > 2 THEN 'medium' ELSE 'low' END AS risk_level
+FROM {p}_b b LEFT JOIN {p}_i i ON b.session_id = i.session_id LEFT JOIN {p}_p pi ON b.session_id = pi.session_id
+LEFT JOIN {p}_g g ON b.session_id = g.session_id LEFT JOIN {p}_y y ON b.session_id = y.session_id"""
+    actions = f"""coalesce(nullif(concat_ws('|',
+    CASE WHEN {has('all_intents', 'harmful')} THEN {lit('|'.join(S.ACTIONS_HARMFUL))} END,
+    CASE WHEN {has('all_intents', 'sensitive')} THEN {lit(S.ACTION_SENSITIVE)} END,
+    CASE WHEN pii_types_detected <> '' THEN {lit(S.ACTION_PII)} END), ''), {lit(S.ACTION_DEFAULT)})"""
+    CTE[p] = f"""
+SELECT session_id, user_id, lang, epoch_us(created_at) AS created_us,
+  {lit(S.TEXT_TURNS[0])} || total_turns || {lit(S.TEXT_TURNS[1])} || {lit(S.TEXT_INTENT[0])} || primary_intent || {lit(S.TEXT_INTENT[1])}
+  || CASE WHEN pii_types_detected <> '' THEN {lit(S.TEXT_PII)} ELSE '' END
+  || CASE WHEN {has('all_intents', 'emergency')} OR risk_level = 'critical' THEN {lit(S.TEXT_EMERGENCY)} ELSE '' END
+  || {lit(S.TEXT_RISK[0])} || risk_level || {lit(S.TEXT_RISK[1])} AS summary_text,
+  '{S.SUMMARY_LANGUAGE}' AS summary_lang, primary_intent, all_intents, all_tags, total_turns, user_turns, assistant_turns,
+  avg_user_msg_len, risk_level, pii_types_detected, was_blocked, {actions} AS recommended_actions,
+  risk_level IN ('high', 'critical') AS needs_human_takeover,
+  CASE WHEN risk_level = 'critical' THEN {lit(S.ESCALATION_CRITICAL)} ELSE '' END AS escalation_reason
+FROM {p}_r"""
+
+
+CTE["opening"] = "SELECT * FROM turns WHERE turn = 0"
+summary_ctes("summ", "turns")
+summary_ctes("summ0", "opening")
+oracle("conversation_summary", "SELECT * FROM summ")
+oracle("stream_summaries", "SELECT * FROM summ")
+oracle("summary_sink", "SELECT * FROM summ UNION ALL SELECT * FROM summ0")
+oracle("summary_lookup", """
+SELECT session_id, summary_text, primary_intent, all_intents, all_tags, risk_level, recommended_actions, needs_human_takeover,
+  escalation_reason FROM (SELECT * FROM summ UNION ALL SELECT * FROM summ0)
+QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_us DESC, total_turns DESC) = 1""")
+oracle("session_risk", "SELECT session_id, risk_level, n_intents AS intents FROM summ_r")
+oracle("recommended_actions", "SELECT session_id, recommended_actions FROM summ")
+oracle("transcript", f"""
+SELECT session_id, string_agg('[' || upper(role) || ']: ' || substr(text, 1, {S.TRANSCRIPT_CHARS}), chr(10) ORDER BY turn) AS transcript,
+  count(*) AS turns FROM (SELECT * FROM conv QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) <= {S.HISTORY_TURNS})
+GROUP BY session_id""")
+CTE["exch"] = """
+SELECT u.*, a.masked_text AS reply, coalesce(a.is_blocked, false) AS reply_blocked FROM turns u
+LEFT JOIN turns a ON a.session_id = u.session_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'"""
+CTE["exch_risk"] = """
+SELECT *, CASE WHEN is_blocked OR intent = 'harmful' OR reply_blocked THEN 'critical'
+  WHEN pii_count > 0 OR list_contains(string_split(tags, '|'), 'requires_human') OR intent = 'sensitive' THEN 'high'
+  ELSE 'low' END AS risk_level FROM exch"""
+oracle("turn_risk", "SELECT session_id, turn, risk_level FROM exch_risk")
+oracle("turn_decisions", f"""
+SELECT session_id, turn, user_id, CASE WHEN is_blocked THEN {lit(S.REFUSAL_PREFIX)} || block_reason ELSE reply END AS response,
+  CASE WHEN is_blocked THEN 'blocked' ELSE intent END AS intent, CASE WHEN is_blocked THEN 'blocked' ELSE tags END AS tags, lang,
+  CASE WHEN is_blocked THEN CAST(1 AS DOUBLE) ELSE confidence END AS confidence, pii_count > 0 AS pii_detected, pii_types,
+  is_blocked AS was_blocked, risk_level FROM exch_risk""")
+
+# ---- corpus generation ------------------------------------------------------
+CTE["plan_in"] = f"""
+SELECT doc_id AS plan_id, {choose(C.TOPICS, uni('doc_id', lit('topic')))} AS topic,
+  {choose(C.STYLES, uni('doc_id', lit('style')))} AS style FROM documents"""
+_b, _r = C.PROMPT_FORMAT.split("{topic}")
+CTE["plan"] = f"SELECT *, {lit(_b)} || topic || {lit(_r.split('{style}')[0])} || style AS prompt FROM plan_in"
+oracle("generation_plan", "SELECT plan_id, topic, style, prompt FROM plan")
+CTE["gen_in"] = """
+SELECT doc_id AS plan_id, 'requested ' || lang AS requested_topic, doc_id % 7 AS kind,
+  to_json({'topic': source, 'conversation': [{'role': 'user', 'content': 'about ' || source}, {'role': 'assistant', 'content': text}]}) AS f,
+  to_json({'conversation': [{'role': 'user', 'content': 'about ' || source}, {'role': 'assistant', 'content': text}]}) AS b,
+  to_json({'topic': source, 'conversation': [{'role': 'user', 'content': text}]}) AS s, source FROM documents"""
+CTE["gen_raw"] = """
+SELECT plan_id, requested_topic, CASE kind WHEN 0 THEN CAST(f AS VARCHAR) WHEN 1 THEN '```json' || chr(10) || f || chr(10) || '```'
+  WHEN 2 THEN 'Sure! ' || b || ' Done.' WHEN 3 THEN CAST(s AS VARCHAR) WHEN 4 THEN '{"topic": ' || f
+  WHEN 5 THEN 'no json: ' || source ELSE '```' || chr(10) || b || '```' END AS raw FROM gen_in"""
+CTE["gen_body"] = """
+SELECT *, regexp_extract(CASE WHEN contains(raw, '```') THEN CASE WHEN starts_with(string_split(raw, '```')[2], 'json')
+  THEN substr(string_split(raw, '```')[2], 5) ELSE string_split(raw, '```')[2] END ELSE raw END, '(?s)\\{.*\\}', 0) AS body FROM gen_raw"""
+CTE["gen"] = f"""
+SELECT *, CASE WHEN body = '' THEN 'no_braces' WHEN NOT json_valid(body) THEN 'broken_json'
+  WHEN json_extract(body, '$.conversation') IS NULL THEN 'no_conversation'
+  WHEN json_array_length(body, '$.conversation') < {C.MIN_GENERATED_TURNS} THEN 'too_few_turns' END AS reason FROM gen_body"""
+CTE["gen_turns"] = """
+SELECT plan_id, i, json_extract_string(body, '$.conversation[' || i || '].role') AS role,
+  json_extract_string(body, '$.conversation[' || i || '].content') AS content
+FROM gen, range(20) r(i) WHERE reason IS NULL AND i < json_array_length(body, '$.conversation')"""
+oracle("generations_parsed", """
+SELECT g.plan_id, g.reason, CASE WHEN g.reason IS NULL THEN json_extract_string(body, '$.topic') END AS topic, c.conversation
+FROM gen g LEFT JOIN (SELECT plan_id, string_agg(role || ': ' || content, chr(10) ORDER BY i) AS conversation FROM gen_turns GROUP BY plan_id) c
+  ON g.plan_id = c.plan_id""")
+CTE["chatml"] = f"""
+SELECT g.plan_id, '{C.CHATML_START}system' || chr(10) || {lit(C.TRAINING_SYSTEM)} || '{C.CHATML_END}' || c.body_text AS text,
+  coalesce(json_extract_string(body, '$.topic'), requested_topic) AS topic
+FROM gen g JOIN (SELECT plan_id, string_agg(chr(10) || '{C.CHATML_START}' || role || chr(10) || content || '{C.CHATML_END}', '' ORDER BY i) AS body_text
+  FROM gen_turns GROUP BY plan_id) c ON g.plan_id = c.plan_id WHERE g.reason IS NULL"""
+oracle("chatml_corpus", "SELECT plan_id, text, topic FROM chatml")
+oracle("corpus_resume", "SELECT plan_id, topic, style, prompt FROM plan WHERE plan_id NOT IN (SELECT plan_id FROM chatml)")
+CTE["cut"] = f"""
+SELECT *, CASE WHEN row_number() OVER (ORDER BY md5(CAST(plan_id AS VARCHAR))) <= count(*) OVER () * {C.TRAIN_RATIO_PERCENT} // 100
+  THEN 'train' ELSE 'eval' END AS split FROM chatml"""
+oracle("corpus_split", "SELECT plan_id, topic, split FROM cut")
+oracle("corpus_sink", "SELECT text, topic, split FROM cut")
+oracle("stream_history", f"""
+SELECT session_id, message_id, role, masked_text FROM sc
+WHERE session_id IN (SELECT session_id FROM sc GROUP BY session_id HAVING max(ts) + INTERVAL 24 HOUR > {AS_OF})
+QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, message_id DESC) <= 3""")

@@ -200,42 +200,42 @@ def response_leaks(spark, sf):
 @query
 def keyword_tags(spark, sf):
     t = V.all_texts(spark, sf)
-    return t.select(*KEY, F.explode(TG.keyword_tags(F.col("text"))).alias("tag"))
+    return t.select(*KEY, F.explode(TG.keyword_tags("text")).alias("tag"))
 
 
 @query
 def script_tags(spark, sf):
-    return V.all_texts(spark, sf).select(*KEY, bar(TG.script_tags(F.col("text"))).alias("script_tag"))
+    return V.all_texts(spark, sf).select(*KEY, bar(TG.script_tags("text")).alias("script_tag"))
 
 
 @query
 def tag_precedence(spark, sf):
     t = V.existing_tags(spark, sf)
-    return t.select("message_id", "existing", TG.enrich(F.col("text"), F.col("existing")).alias("tags"))
+    return t.select("message_id", "existing", TG.enrich("text", "existing").alias("tags"))
 
 
 @query
 def tag_conflicts(spark, sf):
     t = V.all_texts(spark, sf)
-    raw = TG.keyword_tags(F.col("text"))
-    return t.select(*KEY, bar(TG.resolve_conflicts(raw)).alias("tags"), F.size(raw).cast("bigint").alias("before"))
+    t = t.withColumn("raw", TG.keyword_tags("text"))
+    return t.select(*KEY, bar(TG.resolve_conflicts("raw")).alias("tags"), F.size("raw").cast("bigint").alias("before"))
 
 
 @query
 def tag_merge(spark, sf):
     t = V.chat_events(spark, sf)
-    return t.select("message_id", bar(TG.merge_tags(TG.split_list(F.col("model_tags")), F.col("text"))).alias("tags"))
+    return t.select("message_id", bar(TG.merge_tags(TG.split_list_sql("model_tags"), "text")).alias("tags"))
 
 
 @query
 def language_id(spark, sf):
-    return V.all_texts(spark, sf).select(*KEY, LG.detect_language(F.col("text")).alias("lang"))
+    return V.all_texts(spark, sf).select(*KEY, LG.detect_language("text").alias("lang"))
 
 
 @query
 def language_profile(spark, sf):
     d = V.table(spark, sf, "documents").select(F.col("lang").alias("declared"),
-                                               LG.detect_language(F.col("text")).alias("detected"))
+                                               LG.detect_language("text").alias("detected"))
     return TA.language_profile(d, "declared", "detected")
 
 
@@ -247,13 +247,13 @@ def language_resolved(spark, sf):
 
 @query
 def tag_frequency(spark, sf):
-    t = V.all_texts(spark, sf).select(TG.rule_tags(F.col("text")).alias("tags"))
+    t = V.all_texts(spark, sf).select(TG.rule_tags("text").alias("tags"))
     return TA.tag_frequency(t)
 
 
 @query
 def tag_multi_hot(spark, sf):
-    t = V.all_texts(spark, sf).select(*KEY, TG.rule_tags(F.col("text")).alias("tags"))
+    t = V.all_texts(spark, sf).select(*KEY, TG.rule_tags("text").alias("tags"))
     hot = TA.tag_multi_hot(t, TA.tag_frequency(t), KEY)
     return hot.select(*KEY, F.array_join(F.transform("vector", lambda v: v.cast("int").cast("string")), "").alias("vector"))
 
@@ -332,7 +332,7 @@ def _scored(spark, sf):
 @query
 def intent_scores(spark, sf):
     data, scores = _scored(spark, sf)
-    out = data.select("doc_id", "split", LG.detect_language(F.col("text")).alias("lang")).join(scores, "doc_id", "left")
+    out = data.select("doc_id", "split", LG.detect_language("text").alias("lang")).join(scores, "doc_id", "left")
     return out.select("doc_id", "split", "lang", "intent", F.round("confidence", 4).alias("confidence"),
                       bar("tags").alias("tags"))
 

@@ -16,14 +16,14 @@ from parlance.rules import sessions as R
 def audit_rows(screened: DataFrame) -> DataFrame:
     """One row per screened turn.  Never holds raw text: block reasons quote the
     message, so quoted snippets are masked like the message itself."""
-    safe_reason = F.when(F.col("block_layer") == "", "").otherwise(S.mask_pii(F.col("block_reason")))
-    labels = F.transform("injection_hits", lambda h: F.concat(h["label"], F.lit(":'"), S.mask_pii(h["snippet"]), F.lit("'")))
+    safe_reason = F.when(F.col("block_layer") == "", "").otherwise(S.mask_pii("block_reason"))
+    labels = F.expr("transform(injection_hits, _h -> concat(_h.label, ':\\'', " + S.mask_pii_sql("_h.snippet") + ", '\\''))")
     return screened.select(
         F.col("ts"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts_human"), "user_id", "session_id", "role",
         "lang", "intent", "tags", F.col("masked_text").alias("content_masked"),
         (F.col("block_layer") == "injection").alias("injection_blocked"), labels.alias("injection_labels"),
         (F.col("block_layer") == "nsfw").alias("nsfw_blocked"), "nsfw_categories",
-        S.pii_types(F.col("pii")).alias("pii_detected"), F.size("pii").cast("bigint").alias("pii_count"),
+        S.pii_types("pii").alias("pii_detected"), F.size("pii").cast("bigint").alias("pii_count"),
         "is_blocked", safe_reason.alias("block_reason"), "block_layer",
         F.to_date("ts").alias("event_date"))
 
