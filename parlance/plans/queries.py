@@ -14,6 +14,7 @@ from parlance.operators import safety as SF
 from parlance.operators import sessions as SE
 from parlance.operators import summaries as SM
 from parlance.operators import tagging as TA
+from parlance.operators.blocks import number_turns
 from parlance.plans import views as V
 from parlance.session import materialise, work_dir
 from parlance.sources import sinks
@@ -234,8 +235,8 @@ def language_id(spark, sf):
 
 @query
 def language_profile(spark, sf):
-    d = V.table(spark, sf, "documents").select(F.col("lang").alias("declared"),
-                                               LG.detect_language("text").alias("detected"))
+    d = V.texts_of(spark, sf, "documents", "lang", "text").select(F.col("lang").alias("declared"),
+                                                                  LG.detect_language("text").alias("detected"))
     return TA.language_profile(d, "declared", "detected")
 
 
@@ -267,11 +268,11 @@ def intent_auto_tags(spark, sf):
 # ---- text features and corpus ----------------------------------------------
 @query
 def tokens(spark, sf):
-    return CO.tokens(V.table(spark, sf, "documents"), ["doc_id"])
+    return CO.tokens(V.texts_of(spark, sf, "documents", "doc_id", "text"), ["doc_id"])
 
 
 def _counts(spark, sf):
-    return CO.token_counts(V.table(spark, sf, "documents"))
+    return CO.token_counts(V.texts_of(spark, sf, "documents", "text"))
 
 
 @query
@@ -288,13 +289,14 @@ def vocab_coverage(spark, sf):
 @query
 def encoded_sequences(spark, sf):
     v = materialise(CO.vocab(_counts(spark, sf)), "vocab")
-    out = CO.encoded_sequences(V.table(spark, sf, "documents"), v, ["doc_id"])
+    out = CO.encoded_sequences(V.texts_of(spark, sf, "documents", "doc_id", "text"), v, ["doc_id"])
     return out.select("doc_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
 @query
 def augmented_corpus(spark, sf):
-    d = V.table(spark, sf, "documents").select("doc_id", F.col("text").alias("user_msg"), F.col("lang").alias("intent"))
+    d = V.texts_of(spark, sf, "documents", "doc_id", "text", "lang").select(
+        "doc_id", F.col("text").alias("user_msg"), F.col("lang").alias("intent"))
     return CO.augmented_corpus(d, "doc_id", "user_msg")
 
 
@@ -377,7 +379,8 @@ def user_profile(spark, sf):
 
 
 def _masked_turns(spark, sf):
-    return SF.guardrail(V.chat_turns(spark, sf)).select("session_id", "user_id", "turn", "role", "masked_text")
+    t = SF.guardrail(V.chat_events(spark, sf)).select("message_id", "session_id", "user_id", "ts", "role", "masked_text")
+    return number_turns(t, "session_id", "ts", "message_id").drop("ts", "message_id")
 
 
 @query

@@ -101,8 +101,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for expression-heavy scans of small inputs.
+
+    A table read as fewer partitions than there are cores is redistributed; a
+    large table has more and is left alone, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts_of(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Needed columns of a text table, spread over the cores."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = texts_of(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
     return spark.sql(CHAT_EVENTS, events=events).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -112,12 +126,15 @@ def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def screened_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screen_turns(chat_turns(spark, sf_dir))
+    """Screened before numbering: screening runs on the scan's partitions, and the
+    raw text need not be shuffled."""
+    return number_turns(screen_turns(chat_events(spark, sf_dir)), "session_id", "ts", "message_id")
 
 
 def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = {n: table(spark, sf_dir, n) for n in ("documents", "benchmark", "conversations")}
-    return spark.sql(TEXTS, chat=chat_events(spark, sf_dir), **t)
+    chat = spark.sql(CHAT_EVENTS, events=table(spark, sf_dir, "events"))
+    return spread(spark.sql(TEXTS, chat=chat, **t))
 
 
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +160,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model outputs in the shapes a generator produces, one per document."""
-    d = table(spark, sf_dir, "documents")
+    d = texts_of(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
     turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     two = F.array(turn("user", F.concat(F.lit("about "), "source")), turn("assistant", F.col("text")))
     one = F.array(turn("user", F.col("text")))
