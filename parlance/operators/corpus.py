@@ -127,28 +127,34 @@ def parse_generations(raw: DataFrame, text: str = "raw") -> DataFrame:
 
     Row-local: the conversation is an array inside one row, so no shuffle."""
     options = {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
-    df = raw.withColumn("_body", _json_body(F.col(text)))
-    df = df.withColumn("_g", F.from_json("_body", GENERATION, options))
-    turns = F.size(F.coalesce("_g.conversation", F.array().cast("array<struct<role:string,content:string>>")))
-    reason = (
-        F.when(F.col("_body") == "", "no_braces")
-        .when(F.col("_g._corrupt").isNotNull(), "broken_json")
-        .when(F.col("_g.conversation").isNull(), "no_conversation")
-        .when(turns < C.MIN_GENERATED_TURNS, "too_few_turns"))
-    return df.withColumn("reason", reason).withColumn(
-        "conversation", F.when(F.col("reason").isNull(), F.col("_g.conversation"))).withColumn(
-        "generated_topic", F.when(F.col("reason").isNull(), F.col("_g.topic"))).drop("_body", "_g")
+
+    def outcome(body: Column) -> Column:
+        return let(F.from_json(body, GENERATION, options), lambda g: F.struct(
+            F.when(body == "", "no_braces")
+            .when(g["_corrupt"].isNotNull(), "broken_json")
+            .when(g["conversation"].isNull(), "no_conversation")
+            .when(F.size(g["conversation"]) < C.MIN_GENERATED_TURNS, "too_few_turns").alias("reason"),
+            g["conversation"].alias("conversation"), g["topic"].alias("generated_topic")))
+
+    df = raw.withColumn("_p", let(_json_body(F.col(text)), outcome))
+    good = F.col("_p.reason").isNull()
+    return df.withColumns({
+        "reason": F.col("_p.reason"), "conversation": F.when(good, F.col("_p.conversation")),
+        "generated_topic": F.when(good, F.col("_p.generated_topic"))}).drop("_p")
 
 
 def chatml_corpus(parsed: DataFrame, keys: list[str], requested_topic: str) -> DataFrame:
-    """ChatML text per usable conversation; the topic falls back to the requested one."""
+    """ChatML text per usable conversation; the topic falls back to the requested one.
+
+    Rejects are dropped by an empty generator, not a filter, which the optimizer
+    would push below the parse and so parse every text twice."""
     turn = lambda role, content: F.concat(
         F.lit(C.CHATML_START), role, F.lit("\n"), content, F.lit(C.CHATML_END))
     system = turn(F.lit("system"), F.lit(C.TRAINING_SYSTEM))
     lines = F.concat(F.array(system), F.transform("conversation", lambda t: turn(t["role"], t["content"])))
-    return parsed.where(F.col("reason").isNull()).select(
-        *keys, F.array_join(lines, "\n").alias("text"),
-        F.coalesce("generated_topic", requested_topic).alias("topic"))
+    row = F.struct(F.array_join(lines, "\n").alias("text"), F.coalesce("generated_topic", requested_topic).alias("topic"))
+    kept = parsed.select(*keys, F.explode(F.when(F.col("reason").isNull(), F.array(row))).alias("r"))
+    return kept.select(*keys, "r.text", "r.topic")
 
 
 def corpus_resume(plan: DataFrame, finished: DataFrame) -> DataFrame:

@@ -14,12 +14,6 @@ from parlance.functions.safety import let
 from parlance.rules import corpus as C
 
 
-def bag_of_tokens(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Every token of each whole text, one row per occurrence; narrow."""
-    toks = let(X.words(F.col(text)), X.tokens)
-    return df.select(*keys, F.explode(toks).alias("token"))
-
-
 def linear_model(labelled: DataFrame, vocabulary: DataFrame, text: str = "text", intent: str = "intent",
                  tags: str = "tags") -> DataFrame:
     """Closed-form linear heads: rows (head, class, token, w), NULL token = bias.
@@ -72,31 +66,32 @@ def linear_model(labelled: DataFrame, vocabulary: DataFrame, text: str = "text",
     return weights.unionByName(bias)
 
 
-def linear_scores(df: DataFrame, model: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Probability of every class of every head, over whole texts.
+def linear_scores(df: DataFrame, model: DataFrame, keys: list[str], text: str = "text",
+                  threshold: float = C.TAG_THRESHOLD) -> DataFrame:
+    """Best intent with its confidence, and the tags above the threshold, from whole texts.
 
-    Pass the model as a written table: Spark then knows its size, broadcasts
-    it when that is small and sort-merge joins otherwise.  Weights are summed
-    before the shuffle on (text, head, class).
+    Pass the model as a written table: its class list (label-set sized) is read
+    when the plan is built, and Spark broadcasts the weights when their size
+    allows.  Weights are pivoted to one row per token and summed per text
+    before the shuffle, which then carries one row per text.
     """
-    weights = model.where(F.col("token").isNotNull())
-    rows = bag_of_tokens(df, keys, text).join(weights, "token")
-    sums = rows.groupBy(*keys, "head", "class").agg(F.sum("w").alias("s"))
-    bias = model.where(F.col("token").isNull()).select("head", "class", F.col("w").alias("b"))
-    logits = sums.join(bias, ["head", "class"]).withColumn("z", F.col("s") + F.col("b"))
-    w = W.partitionBy(*keys, "head")
-    e = F.exp(F.col("z") - F.max("z").over(w))
-    return logits.withColumn("e", e).select(*keys, "head", "class", (F.col("e") / F.sum("e").over(w)).alias("p"))
-
-
-def intent_scores(scores: DataFrame, keys: list[str], threshold: float = C.TAG_THRESHOLD) -> DataFrame:
-    """Best intent with its confidence, and the tags above the threshold."""
-    is_intent = F.col("head") == "intent"
-    chosen = F.when((F.col("class") == "yes") & (F.col("p") > threshold), F.substring("head", 5, 2147483647))
-    return scores.groupBy(*keys).agg(
-        F.max_by(F.when(is_intent, F.col("class")), F.when(is_intent, F.col("p"))).alias("intent"),
-        F.max(F.when(is_intent, F.col("p"))).alias("confidence"),
-        F.array_sort(F.collect_list(chosen)).alias("tags"))
+    bias = model.where(F.col("token").isNull()).select("head", "class", "w").orderBy("head", "class").collect()
+    cell = [F.max(F.when((F.col("head") == b["head"]) & (F.col("class") == b["class"]), F.col("w"))).alias(f"w{i}")
+            for i, b in enumerate(bias)]
+    weights = model.where(F.col("token").isNotNull()).groupBy("token").agg(*cell)
+    rows = df.select(*keys, F.explode_outer(let(X.words(F.col(text)), X.tokens)).alias("token"))
+    sums = rows.join(weights, "token", "left").groupBy(*keys).agg(
+        *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(len(bias))])
+    z = {(b["head"], b["class"]): F.col(f"s{i}") + F.lit(b["w"]) for i, b in enumerate(bias)}
+    intents = [(c, z[h, c]) for h, c in z if h == "intent"]
+    logits = F.array(*[F.struct(v.alias("z"), F.lit(c).alias("class")) for c, v in intents])
+    best = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x["z"] - best["z"]))
+    fired = [F.when(1 / (1 + F.exp(z[h, "no"] - z[h, "yes"])) > threshold, F.lit(h.removeprefix("tag:")))
+             for h in sorted({h for h, _ in z if h != "intent"})]
+    tags = F.filter(F.array(*fired), lambda t: t.isNotNull()) if fired else F.array()
+    return sums.select(*keys, best["class"].alias("intent"), (1 / total).alias("confidence"),
+                       tags.cast("array<string>").alias("tags"))
 
 
 def train_intent_model(labelled: DataFrame, text: str = "text", intent: str = "intent",

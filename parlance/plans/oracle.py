@@ -416,9 +416,11 @@ CTE["head_w"] = """
 SELECT g.head, g.class, g.token, ln((coalesce(h.n, 0) + 1) / (sum(coalesce(h.n, 0)) OVER w + count(*) OVER w)) AS wt
 FROM (SELECT head, class, token FROM head_docs CROSS JOIN tvoc) g
 LEFT JOIN head_tok h ON g.head = h.head AND g.class = h.class AND g.token = h.token WINDOW w AS (PARTITION BY g.head, g.class)"""
+CTE["head_s"] = """
+SELECT t.doc_id, w.head, w.class, sum(t.n * w.wt) AS s FROM tok_voc t JOIN head_w w ON t.token = w.token GROUP BY ALL"""
 CTE["head_z"] = """
-SELECT t.doc_id, w.head, w.class, sum(t.n * w.wt) + any_value(ln((d.docs + 1) / ((SELECT count(*) FROM lab WHERE split = 'train') + 1))) AS z
-FROM tok_voc t JOIN head_w w ON t.token = w.token JOIN head_docs d ON d.head = w.head AND d.class = w.class GROUP BY ALL"""
+SELECT l.doc_id, d.head, d.class, coalesce(s.s, 0) + ln((d.docs + 1) / ((SELECT count(*) FROM lab WHERE split = 'train') + 1)) AS z
+FROM lab l CROSS JOIN head_docs d LEFT JOIN head_s s ON s.doc_id = l.doc_id AND s.head = d.head AND s.class = d.class"""
 CTE["head_p"] = """
 SELECT doc_id, head, class, e / sum(e) OVER (PARTITION BY doc_id, head) AS p
 FROM (SELECT *, exp(z - max(z) OVER (PARTITION BY doc_id, head)) AS e FROM head_z)"""

@@ -313,11 +313,12 @@ def intent_index(spark, sf):
 
 def _labelled(spark, sf):
     """All documents: intent is the language, tags come from the labels."""
-    d, lab = V.table(spark, sf, "documents"), V.table(spark, sf, "labels")
+    d, lab = V.texts_of(spark, sf, "documents", "doc_id", "text", "lang"), V.table(spark, sf, "labels")
     t = d.select("doc_id", "text", F.col("lang").alias("intent")).join(lab, "doc_id", "left")
     tags = F.filter(F.array(F.when(F.col("quality") == 1, "quality:high"), F.when(F.col("toxic") == 1, "toxic")),
                     lambda t: t.isNotNull())
-    split = CO.stratified_split(d.select("doc_id", F.col("lang").alias("intent")), "doc_id", "intent")
+    ids = V.table(spark, sf, "documents").select("doc_id", F.col("lang").alias("intent"))
+    split = CO.stratified_split(ids, "doc_id", "intent")
     return t.select("doc_id", "text", "intent", tags.alias("true_tags")).join(
         split.select("doc_id", "split"), "doc_id")
 
@@ -327,7 +328,7 @@ def _scored(spark, sf):
     train = data.where(F.col("split") == "train")
     v = materialise(CO.vocab(CO.token_counts(train)), "vocab")
     model = materialise(I.linear_model(train, v, tags="true_tags"), "model")
-    scores = I.intent_scores(I.linear_scores(data, model, ["doc_id"]), ["doc_id"])
+    scores = I.linear_scores(data, model, ["doc_id"])
     return data, scores
 
 
@@ -523,13 +524,14 @@ def corpus_resume(spark, sf):
 
 @query
 def corpus_split(spark, sf):
-    return CO.corpus_split(_corpus(spark, sf).select("plan_id", "topic"), "plan_id")
+    """The corpus is written once; the cut then reads two of its columns."""
+    return CO.corpus_split(materialise(_corpus(spark, sf), "corpus").select("plan_id", "topic"), "plan_id")
 
 
 @query
 def corpus_sink(spark, sf):
     path = work_dir(spark, "corpus")
-    sinks.write_corpus(CO.corpus_split(_corpus(spark, sf), "plan_id"), path)
+    sinks.write_corpus(CO.corpus_split(materialise(_corpus(spark, sf), "corpus"), "plan_id"), path)
     return sinks.read_json(spark, path, "text string, topic string, split string")
 
 
