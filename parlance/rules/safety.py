@@ -82,7 +82,7 @@ RULE_NEEDS = {
     "leetspeak_jailbreak": ["1gn0r3", "byp4ss", "j41lbr34k", "syst3m"],
     "fr_override": ["ignore", "oublie", "assistant"],
     "ar_override": ["تجاهل", "أنت"],
-    "explicit_sexual": ["porn", "nude", "naked", "sex", "onlyfans", "xxx", "hentai", "erotic", "make&love",
+    "explicit_sexual": ["porn", "explicit", "nude", "naked", "sex", "onlyfans", "xxx", "hentai", "erotic", "make&love",
                         "sleep", "send&pic"],
     "graphic_violence": ["kill", "murder", "torture", "behead", "decapitat", "disembowel", "gore", "bomb",
                          "explosive", "weapon", "instruction&attack", "mass&shooting"],
