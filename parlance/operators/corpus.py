@@ -62,9 +62,9 @@ def encoded_sequences(df: DataFrame, vocabulary: DataFrame, keys: list[str], tex
     per text before the shuffle on the key.
     """
     heads = df.select(*keys, F.posexplode_outer(X.head_tokens(F.col(text), seq_len - 2)).alias("pos", "token"))
-    known = F.broadcast(vocabulary.select("token", F.col("id").cast("int").alias("id")))
+    known = F.broadcast(vocabulary.select("token", F.col("id").cast("int").alias("_token_id")))
     rows = heads.join(known, "token", "left")
-    item = F.when(F.col("token").isNotNull(), F.struct(F.col("pos"), F.coalesce("id", F.lit(C.UNK)).alias("id")))
+    item = F.when(F.col("token").isNotNull(), F.struct(F.col("pos"), F.coalesce("_token_id", F.lit(C.UNK)).alias("id")))
     out = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
     ids = F.concat(F.array(F.lit(C.BOS)), F.transform("items", lambda s: s["id"]), F.array(F.lit(C.EOS)))
     padded = let(ids, lambda a: F.concat(a, F.array_repeat(F.lit(C.PAD), F.lit(seq_len) - F.size(a))))
