@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 from parlance.functions import text as X
 from parlance.functions.safety import let
 from parlance.rules import corpus as C
+from parlance.session import materialise
 
 
 def linear_model(labelled: DataFrame, vocabulary: DataFrame, text: str = "text", intent: str = "intent",
@@ -21,7 +22,8 @@ def linear_model(labelled: DataFrame, vocabulary: DataFrame, text: str = "text",
     One softmax head over intents and one yes/no head per tag, with add-one
     smoothed log likelihoods.  Counts are per (head, class, token), combined
     before the shuffle; a tag's "no" side is the total minus its "yes" side, so
-    a text is expanded by its own tags only.
+    a text is expanded by its own tags only.  Fitting runs jobs (it writes the
+    counts to the shared folder); the weights themselves stay lazy.
     """
     head = F.concat(
         F.array(F.struct(F.lit("intent").alias("head"), F.col(intent).alias("class")),
@@ -37,6 +39,8 @@ def linear_model(labelled: DataFrame, vocabulary: DataFrame, text: str = "text",
                             F.explode(F.concat(F.array("word"), X.shingles(F.col("word")))).alias("token"))
     known = F.broadcast(vocabulary.select("token"))
     counts = parts.join(known, "token").groupBy("head", "class", "token").agg(F.sum("n").alias("n"))
+    # Both are read several times below; written once, the texts are scanned twice in all.
+    counts, docs = materialise(counts, "head-counts"), materialise(docs, "head-docs")
 
     # Classes and heads are label-set sized; they are joined, never collected.
     classes = docs.where(F.col("head") != "all")
