@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,17 +29,20 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
+    """A new folder below the cluster's shared checkpoint folder, deleted when the session's JVM ends.
 
-    ``spark.checkpoint.dir`` names it.  Only a local-mode session may do
-    without one: it then gets a fresh temporary folder.
+    ``spark.checkpoint.dir`` names that folder; where it is unset, the warehouse folder is used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="parlance-")
-    return f"{base.rstrip('/')}/parlance/{purpose}-{uuid.uuid4().hex[:12]}"
+    base = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        or spark.conf.get("spark.sql.warehouse.dir")
+    )
+    path = f"{base.rstrip('/')}/parlance/{purpose}-{uuid.uuid4().hex[:12]}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
