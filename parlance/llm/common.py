@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from parlance.session import materialise
 
 #: White space that separates words, as a character class of a Java pattern.
 SPACE = r"\x20\x09-\x0D"
@@ -53,6 +56,18 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return rows[full.to_numpy(zero_copy_only=False)], flat.filter(full)
 
 
+#: What separates words of letters and digits.
+NO_WORD = r"[^\p{L}\p{N}]+"
+
+
+def letter_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row of each word, lower-cased words of letters and digits) of whole texts; nulls have none."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), NO_WORD)
+    rows, flat = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), pc.list_flatten(lists)
+    full = pc.not_equal(pc.binary_length(flat), 0)
+    return rows[full.to_numpy(zero_copy_only=False)], flat.filter(full)
+
+
 def hash_words(flat: pa.Array, seed: int = 0) -> np.ndarray:
     """64-bit hashes of words; each distinct word is hashed once."""
     coded = flat.dictionary_encode()
@@ -107,14 +122,14 @@ def shingle_sets(texts: pa.Array, n: int = 5) -> Iterator[np.ndarray]:
         begin = end
 
 
-def fold_min(edges: DataFrame, save, purpose: str = "components") -> DataFrame:
+def fold_min(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """Connected components of undirected ``edges`` (a, b long): (node, component), component the smallest node.
 
     Alternating large-star and small-star steps; every step is a shuffle of the
-    edges, written by ``save(df, purpose)``, so no group is gathered anywhere.
+    edges, written to the shared folder, so no group is gathered anywhere.
     """
     cur = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    cur = save(cur, purpose)
+    cur = materialise(cur, purpose)
     state = None
     while True:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -123,9 +138,52 @@ def fold_min(edges: DataFrame, save, purpose: str = "components") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v")))
-        cur = save(small.where("u <> v").distinct(), purpose)
+        cur = materialise(small.where("u <> v").distinct(), purpose)
         new = cur.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if new == state:
             break
         state = new
     return cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+
+
+def with_component(df: DataFrame, components: DataFrame | None, column: str, name: str) -> DataFrame:
+    """Add the component of ``column``, itself where it has none."""
+    if components is None:
+        return df.withColumn(name, F.col(column))
+    own = components.select(F.col("node").alias(column), F.col("component").alias(name))
+    return df.join(own, column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def bucket_components(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """Components (node, component) of all confirmed pairs of ``buckets`` (bucket long, rep long); None without any.
+
+    ``alike`` drops pairs (a, b) that cannot be links, ``confirm`` those that are none.  No bucket emits all
+    its pairs: in each round its first members (1, 4, 16, ... in the order of a hash) meet
+    the others, then leave it, and a bucket whose members lie in one component is finished.
+    So every pair of a bucket is confirmed or refuted, or lies in one component already.
+    """
+    links = components = None
+    pivots = 1
+    while True:
+        state = with_component(buckets, components, "rep", "component")
+        mixed = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+        turn = W.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep")
+        ranked = materialise(state.join(mixed, "bucket").withColumn("rank", F.row_number().over(turn)), "pairs-open")
+        if ranked.isEmpty():
+            return components
+        heads = ranked.where(F.col("rank") <= pivots).select(
+            "bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("rank").alias("ra"))
+        pairs = ranked.join(heads, "bucket").where("ra < rank AND ca <> component").select("a", F.col("rep").alias("b")).distinct()
+        near = materialise(alike(pairs), "pairs-near")
+        # first one pair for each member, then those that are still apart
+        first = near.groupBy("b").agg(F.min_by("a", F.xxhash64("a")).alias("a")).select("a", "b")
+        for step in (first, None):
+            if step is None:
+                apart = with_component(with_component(near, components, "a", "ca"), components, "b", "cb").where("ca <> cb")
+                step = apart.select("a", "b").join(first, ["a", "b"], "left_anti")
+            found = materialise(confirm(step), "pairs-links")
+            if not found.isEmpty():
+                links = found if links is None else links.union(found)
+                components = materialise(fold_min(links, "pairs-steps"), "pairs-components")
+        buckets = materialise(ranked.where(F.col("rank") > pivots).select("bucket", "rep"), "pairs-rest")
+        pivots *= 4

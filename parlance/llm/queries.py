@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import mixing, quality, sharding, url_cascade
+from parlance.llm import arrow_ids, decontam, lines, minhash, mixing, pii, quality, sharding, toxicity, url_cascade
 from parlance.llm.common import table
 
 
@@ -16,6 +16,35 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
+#: Labels of rows with this remainder are for testing only.
+FOLDS, HELD_OUT = 5, 0
+
+
+def fold(doc_id):
+    return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(FOLDS))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; labels of the held-out fold are not read by the fit."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold(F.col("doc_id")) != HELD_OUT))
+    out = toxicity.scores(docs, model)
+    return out.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", "predicted")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents alone, with the items they hold."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -30,9 +59,33 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(slim)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.Detector(spark).detect(table(spark, sf_dir, "documents")).drop("found")
+
+
+#: The tokenizer's file; None takes the installed public one.
+TOKENIZER: str | None = None
+
+
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written to Arrow files and read back."""
+    path = TOKENIZER
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    return arrow_ids.round_trip(table(spark, sf_dir, "documents"), path)
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
+    "op9_pii": op9_pii,
+    "op10_token_ids": op10_token_ids,
 }
