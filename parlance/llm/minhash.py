@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from parlance.llm.common import bucket_components, mix64, shingle_sets, slices
 from parlance.session import materialise
@@ -148,3 +149,15 @@ def _labelled(signs: DataFrame, own: DataFrame, components: DataFrame | None) ->
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
         .select("doc_id", "n_shingles", "component_id", "kept")
     )
+
+
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of each group of ``near_duplicates``: that of the smallest doc_id, one of the rows that repeat it.
+
+    Rows with a null doc_id stay.  Of different rows under one doc_id the first in the order of all columns but maps stays.
+    """
+    kept = near_duplicates(docs.select("doc_id", "text")).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
+    first = W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    one = named.withColumn("_turn", F.row_number().over(first)).where("_turn = 1").drop("_turn")
+    return one.unionByName(docs.where("doc_id IS NULL"))

@@ -225,3 +225,14 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = slim.mapInArrow(lambda it: _score(it, held), "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def _calm(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        yield batch.filter(pa.array(model.value.score(batch.column("text")) < 0.5))
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that the model scores below 0.5; all columns stay and no row moves."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(lambda it: _calm(it, held), docs.schema)
