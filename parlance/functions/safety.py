@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parlance.functions import sqltext as Q
 from parlance.rules import safety as R
 
-HIT_TYPE = "array<struct<label:string,snippet:string>>"
+HIT_TYPE = "array<struct<label:string,snippet:string,matched:string>>"
 PII_TYPE = "array<struct<pii_type:string,ordinal:bigint,value:string,start:bigint,end:bigint>>"
 NO_PII = f"cast(array() as {PII_TYPE})"
 
@@ -46,15 +46,15 @@ def injection_hits_sql(text: str) -> str:
     items = []
     for label, pattern in R.INJECTION_RULES:
         p = Q.regex(injection_pattern(label, pattern))
-        snippet = f"substring(regexp_extract({text}, {p}, 0), 1, {R.INJECTION_SNIPPET_CHARS})"
-        items.append(f"CASE WHEN {_possible(label)} AND regexp_like({text}, {p}) "
-                     f"THEN named_struct('label', '{label}', 'snippet', {snippet}) END")
+        hit = Q.let(f"regexp_extract({text}, {p}, 0)", "_v", f"named_struct('label', '{label}', 'snippet', "
+                    f"substring(_v, 1, {R.INJECTION_SNIPPET_CHARS}), 'matched', _v)")
+        items.append(f"CASE WHEN {_possible(label)} AND regexp_like({text}, {p}) THEN {hit} END")
     hits = Q.let(_folded(text), "_low", "array(" + ", ".join(items) + ")")
     return f"cast(filter({hits}, _h -> _h IS NOT NULL) as {HIT_TYPE})"
 
 
 def injection_hits(text: str) -> Column:
-    """Labels that fire, in rule order, with the first match cut to 40 characters."""
+    """Labels that fire, in rule order, with the first match, whole and cut to 40 characters."""
     return F.expr(injection_hits_sql(text))
 
 

@@ -77,10 +77,14 @@ def rule_tags(text: str, rules=RULES, official=OFFICIAL) -> Column:
     return F.expr(rule_tags_sql(text, rules, official))
 
 
+#: White space of any kind at either end.
+OUTER_SPACE = r"(?U)^\s+|\s+$"
+
+
 def enrich(text: str, existing: str, rules=RULES, official=OFFICIAL) -> Column:
     """Valid existing tags (lower-cased, in order) win, else rule tags, else
     ``untagged``; ', '-joined."""
-    parts = f"transform(split(lower(coalesce({existing}, '')), ','), _t -> trim(_t))"
+    parts = f"transform(split(lower(coalesce({existing}, '')), ','), _t -> regexp_replace(_t, {Q.regex(OUTER_SPACE)}, ''))"
     names = Q.texts(sorted(set(canonical_tags(official)) - set(T.EMPTY_TAGS)))
     valid = f"filter({parts}, _t -> array_contains({names}, _t))"
     found = Q.let(f"array_join({rule_tags_sql(text, rules, official)}, ', ')", "_f",

@@ -6,10 +6,13 @@ whole session in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from parlance.session import materialise
 
 BLOCK = 4096
 
@@ -31,12 +34,9 @@ def number_turns(df: DataFrame, session: str, ts: str, tie: str) -> DataFrame:
 
 
 def with_blocks(df: DataFrame, turn: str, before: int) -> DataFrame:
-    """Cut sessions into blocks of turns; the last ``before`` turns of a block
-    also appear in the next one, so a frame of that many rows is complete."""
-    own = F.expr(f"{turn} div {BLOCK}")
-    both = F.array(own, own + 1)
-    tail = F.col(turn) % BLOCK >= BLOCK - before
-    return df.withColumn("_block", F.explode(F.when(tail, both).otherwise(F.array(own))))
+    """Cut sessions into blocks of turns; a turn also appears in every later block
+    that begins within ``before`` turns after it, so a frame of that many rows is complete."""
+    return df.withColumn("_block", F.explode(F.expr(f"sequence({turn} div {BLOCK}, ({turn} + {before}) div {BLOCK})")))
 
 
 def block_window(session: str, turn: str, before: int):
@@ -52,23 +52,33 @@ def hash_cut(df: DataFrame, key: Column, quota: Column, group: list[str]) -> Dat
     """Add ``selected``: the ``quota`` rows of each group with the smallest md5.
 
     ``quota`` is an expression over ``n`` (group size).  Exact without sorting
-    a group: counts per 16-bit hash slot find the slot the cut falls in, and
-    only rows of that slot are ranked.
+    a group: counts per 16-bit hash slot find the slot the cut falls in, the hashes of
+    that slot alone are ranked to find the last one taken, and every row is then
+    compared with the last hash of its group: one small table, known in size when the
+    rows are planned.  Rows of equal keys are taken or left together.
     """
-    full = F.md5(key.cast("string"))
-    df = df.withColumn("_md5", full).withColumn("_slot", F.expr("conv(substring(_md5, 1, 4), 16, 10)").cast("int"))
-    sizes = df.groupBy(*group, "_slot").agg(F.count("*").alias("_c"))
+    df = df.withColumn("_md5", F.md5(key.cast("string")))
+    slim = df.select(*group, "_md5").withColumn("_slot", F.substring("_md5", 1, 4))
+    sizes = slim.groupBy(*group, "_slot").agg(F.count("*").alias("_c"))
     by_group = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
     upto = by_group.orderBy("_slot").rowsBetween(W.unboundedPreceding, W.currentRow)
     slots = (sizes.withColumn("n", F.sum("_c").over(by_group))
              .withColumn("_upto", F.sum("_c").over(upto))
-             .withColumn("_quota", quota))
-    room = F.col("_quota") - (F.col("_upto") - F.col("_c"))
-    slots = slots.select(*group, "_slot", F.when(room >= F.col("_c"), -1).when(room <= 0, 0).otherwise(room).alias("_room"))
-    ranked = df.join(slots, [*group, "_slot"])
-    inside = W.partitionBy(*group, "_slot").orderBy("_md5")
-    return (ranked.withColumn("_rank", F.row_number().over(inside))
-            .withColumn("selected", (F.col("_room") == -1) | (F.col("_rank") <= F.col("_room")))
-            .drop("_md5", "_slot", "_room", "_rank"))
+             .withColumn("_room", quota - (F.col("_upto") - F.col("_c"))))
+    # the last slot that is taken at least in part; "g" sorts behind every hash of the slot
+    last = slots.where("_room > 0").groupBy(*group).agg(F.max(F.struct("_slot", "_room", "_c")).alias("_s")).select(*group, "_s.*")
+    last = materialise(last, "hash-slots")
 
+    def same(left: str, right: str, names: list[str]) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(f"{left}.{g}").eqNullSafe(F.col(f"{right}.{g}")) for g in names], F.lit(True))
 
+    cut = slim.alias("x").join(last.where("_room < _c").alias("y"), same("x", "y", [*group, "_slot"])).select(
+        *[F.col(f"x.{g}").alias(g) for g in group], "x._slot", "_md5", "_room")
+    inside = W.partitionBy(*group, "_slot").orderBy("_md5")
+    cut = cut.withColumn("_rank", F.row_number().over(inside)).where("_rank = _room").select(*group, F.col("_md5").alias("_end"))
+    ends = materialise(last.where("_room >= _c").select(*group, F.concat("_slot", F.lit("g")).alias("_end")).union(cut), "hash-ends")
+    if not group:
+        end = ends.first()
+        return df.withColumn("selected", F.col("_md5") <= end[0] if end else F.lit(False)).drop("_md5")
+    out = df.alias("x").join(ends.alias("y"), same("x", "y", group), "left")
+    return out.select("x.*", F.coalesce(F.col("_md5") <= F.col("_end"), F.lit(False)).alias("selected")).drop("_md5")

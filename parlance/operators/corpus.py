@@ -12,7 +12,8 @@ from parlance.functions.safety import let
 from parlance.operators.blocks import hash_cut
 from parlance.rules import corpus as C
 
-GENERATION = "topic string, conversation array<struct<role:string,content:string>>, _corrupt string"
+GENERATION = "topic:string, conversation:array<struct<role:string,content:string>>"
+WRAPPED = f"value struct<{GENERATION}>, _end int, _corrupt string"
 
 
 def tokens(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -125,16 +126,21 @@ def _json_body(raw: Column) -> Column:
 def parse_generations(raw: DataFrame, text: str = "raw") -> DataFrame:
     """Parse raw model output; ``reason`` is NULL for usable conversations.
 
+    The text from the first brace to the last must be one JSON value (the parser alone would
+    overlook what follows it, so it is parsed inside another object), and every turn needs a role and a content.
     Row-local: the conversation is an array inside one row, so no shuffle."""
     options = {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
 
     def outcome(body: Column) -> Column:
-        return let(F.from_json(body, GENERATION, options), lambda g: F.struct(
+        whole = F.from_json(F.concat(F.lit('{"value":'), body, F.lit(',"_end":1}')), WRAPPED, options)
+        broken = lambda t: t.isNull() | t["role"].isNull() | t["content"].isNull()
+        return let(whole, lambda w: F.struct(
             F.when(body == "", "no_braces")
-            .when(g["_corrupt"].isNotNull(), "broken_json")
-            .when(g["conversation"].isNull(), "no_conversation")
-            .when(F.size(g["conversation"]) < C.MIN_GENERATED_TURNS, "too_few_turns").alias("reason"),
-            g["conversation"].alias("conversation"), g["topic"].alias("generated_topic")))
+            .when(w["_corrupt"].isNotNull() | w["_end"].isNull(), "broken_json")
+            .when(w["value"]["conversation"].isNull(), "no_conversation")
+            .when(F.size(w["value"]["conversation"]) < C.MIN_GENERATED_TURNS, "too_few_turns")
+            .when(F.exists(w["value"]["conversation"], broken), "broken_turn").alias("reason"),
+            w["value"]["conversation"].alias("conversation"), w["value"]["topic"].alias("generated_topic")))
 
     df = raw.withColumn("_p", let(_json_body(F.col(text)), outcome))
     good = F.col("_p.reason").isNull()

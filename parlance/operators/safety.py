@@ -11,7 +11,7 @@ from parlance.rules import safety as R
 
 def injection_matches(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per (text, rule that fires): label and snippet.  Narrow, no shuffle."""
-    hits = df.select(*keys, F.explode(S.injection_hits(text)).alias("h"))
+    hits = df.select(*keys, F.explode_outer(S.injection_hits(text)).alias("h")).where("h IS NOT NULL")
     return hits.select(*keys, F.col("h.label").alias("label"), F.col("h.snippet").alias("snippet"))
 
 
@@ -30,9 +30,13 @@ def injection_blocked(df: DataFrame, keys: list[str], text: str = "text",
 
 
 def nsfw_matches(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """One row per (text, category that fires) with the text's whole reason line."""
-    out = df.select(*keys, S.nsfw_categories(text).alias("cats"))
-    return out.select(*keys, S.nsfw_reason("cats").alias("block_reason"), F.explode("cats").alias("category"))
+    """One row per (text, category that fires) with the text's whole reason line.
+
+    One generator gives both, and is an outer one, so that no pattern is tested again in a filter below it."""
+    both = S.let(S.nsfw_categories(text), lambda cats: F.transform(
+        cats, lambda c: F.struct(c.alias("category"), F.concat(F.lit(R.NSFW_REASON), F.array_join(cats, ", ")).alias("block_reason"))))
+    out = df.select(*keys, F.explode_outer(both).alias("h")).where("h IS NOT NULL")
+    return out.select(*keys, "h.block_reason", "h.category")
 
 
 def guardrail(df: DataFrame, text: str = "text") -> DataFrame:

@@ -104,13 +104,14 @@ def session_segments(df: DataFrame, key: str, ts: str, gap_seconds: int = R.SESS
     """Runs of activity ended by ``gap_seconds`` of silence.
 
     State lives for a fixed time after each write, so a segment is a run of
-    events closer than that.  Events are first reduced per (key, hour): events
-    of one hour are always in the same segment for gaps of an hour or more.
-    The window then sees hours, not events.
+    events closer than that.  Events are first reduced per (key, span), a span
+    being an hour or a shorter gap: events of one span are always in the same segment.
+    The window then sees spans, not events.
     """
-    if gap_seconds < 3600:
-        raise ValueError("gap_seconds must be at least one hour")
-    hours = df.groupBy(key, F.date_trunc("hour", ts).alias("_hour")).agg(
+    if gap_seconds < 1:
+        raise ValueError("gap_seconds must be positive")
+    span = min(3600, gap_seconds) * 1_000_000
+    hours = df.groupBy(key, F.floor(F.unix_micros(ts) / span).alias("_hour")).agg(
         F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.count("*").alias("_n"))
     w = W.partitionBy(key).orderBy("_hour")
     gap = F.unix_micros("_lo") - F.unix_micros(F.lag("_hi").over(w))

@@ -299,7 +299,7 @@ oracle("script_tags", f"SELECT text_id, origin, {script_tag('text')} AS script_t
 oracle("tag_precedence", f"""
 SELECT e.message_id, e.existing, coalesce(v.tags, replace(j.tags, '|', ', '), '{T.UNTAGGED}') AS tags FROM existing_in e
 LEFT JOIN (SELECT message_id, string_agg(part, ', ' ORDER BY pos) AS tags FROM (
-    SELECT message_id, trim(p) AS part, pos FROM (
+    SELECT message_id, regexp_replace(p, '^\\s+|\\s+$', '', 'g') AS part, pos FROM (
       SELECT message_id, unnest(string_split(lower(existing), ',')) AS p,
              unnest(range(len(string_split(existing, ',')))) AS pos FROM existing_in))
   WHERE part IN (SELECT lower(tag) FROM official_in) GROUP BY message_id) v ON e.message_id = v.message_id
@@ -625,21 +625,24 @@ _b, _r = C.PROMPT_FORMAT.split("{topic}")
 CTE["plan"] = f"SELECT *, {lit(_b)} || topic || {lit(_r.split('{style}')[0])} || style AS prompt FROM plan_in"
 oracle("generation_plan", "SELECT plan_id, topic, style, prompt FROM plan")
 CTE["gen_in"] = """
-SELECT doc_id AS plan_id, 'requested ' || lang AS requested_topic, doc_id % 7 AS kind,
+SELECT doc_id AS plan_id, 'requested ' || lang AS requested_topic, doc_id % 10 AS kind,
   to_json({'topic': source, 'conversation': [{'role': 'user', 'content': 'about ' || source}, {'role': 'assistant', 'content': text}]}) AS f,
   to_json({'conversation': [{'role': 'user', 'content': 'about ' || source}, {'role': 'assistant', 'content': text}]}) AS b,
   to_json({'topic': source, 'conversation': [{'role': 'user', 'content': text}]}) AS s, source FROM documents"""
 CTE["gen_raw"] = """
 SELECT plan_id, requested_topic, CASE kind WHEN 0 THEN CAST(f AS VARCHAR) WHEN 1 THEN '```json' || chr(10) || f || chr(10) || '```'
   WHEN 2 THEN 'Sure! ' || b || ' Done.' WHEN 3 THEN CAST(s AS VARCHAR) WHEN 4 THEN '{"topic": ' || f
-  WHEN 5 THEN 'no json: ' || source ELSE '```' || chr(10) || b || '```' END AS raw FROM gen_in"""
+  WHEN 5 THEN 'no json: ' || source WHEN 6 THEN f || ' and {"x": 1}' WHEN 7 THEN replace(CAST(f AS VARCHAR), '"role":"assistant",', '')
+  WHEN 8 THEN '{"topic":"t","conversation":[{"role":"user","content":null},{"role":"assistant","content":"ok"}]}' ELSE '```' || chr(10) || b || '```' END AS raw FROM gen_in"""
 CTE["gen_body"] = """
 SELECT *, regexp_extract(CASE WHEN contains(raw, '```') THEN CASE WHEN starts_with(string_split(raw, '```')[2], 'json')
   THEN substr(string_split(raw, '```')[2], 5) ELSE string_split(raw, '```')[2] END ELSE raw END, '(?s)\\{.*\\}', 0) AS body FROM gen_raw"""
 CTE["gen"] = f"""
 SELECT *, CASE WHEN body = '' THEN 'no_braces' WHEN NOT json_valid(body) THEN 'broken_json'
   WHEN json_extract(body, '$.conversation') IS NULL THEN 'no_conversation'
-  WHEN json_array_length(body, '$.conversation') < {C.MIN_GENERATED_TURNS} THEN 'too_few_turns' END AS reason FROM gen_body"""
+  WHEN json_array_length(body, '$.conversation') < {C.MIN_GENERATED_TURNS} THEN 'too_few_turns'
+  WHEN len(list_filter(range(json_array_length(body, '$.conversation')::BIGINT), lambda i: json_extract_string(body, '$.conversation[' || i || '].role') IS NULL
+    OR json_extract_string(body, '$.conversation[' || i || '].content') IS NULL)) > 0 THEN 'broken_turn' END AS reason FROM gen_body"""
 CTE["gen_turns"] = """
 SELECT plan_id, i, json_extract_string(body, '$.conversation[' || i || '].role') AS role,
   json_extract_string(body, '$.conversation[' || i || '].content') AS content
@@ -661,6 +664,9 @@ SELECT *, CASE WHEN row_number() OVER (ORDER BY md5(CAST(plan_id AS VARCHAR))) <
 oracle("corpus_split", "SELECT plan_id, topic, split FROM cut")
 oracle("corpus_sink", "SELECT text, topic, split FROM cut")
 oracle("stream_history", f"""
-SELECT session_id, message_id, role, masked_text FROM sc
-WHERE session_id IN (SELECT session_id FROM sc GROUP BY session_id HAVING max(ts) + INTERVAL 24 HOUR > {AS_OF})
-QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, message_id DESC) <= 3""")
+SELECT session_id, message_id, role, masked_text FROM (
+  SELECT *, max(CASE WHEN epoch_us(next_ts) - epoch_us(ts) >= {S.SESSION_TTL_SECONDS * 1_000_000} THEN 1 ELSE 0 END)
+    OVER (PARTITION BY session_id ORDER BY rn) AS gone FROM (
+    SELECT *, row_number() OVER w AS rn, coalesce(lag(ts) OVER w, {AS_OF}) AS next_ts FROM sc WHERE ts <= {AS_OF}
+    WINDOW w AS (PARTITION BY session_id ORDER BY ts DESC, message_id DESC)) WHERE rn <= 3)
+WHERE gone = 0""")

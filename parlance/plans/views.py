@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parlance.operators.blocks import number_turns
 from parlance.operators.decisions import screen_turns
+from parlance.session import SPREAD
 
 CHAT_EVENTS = """
 SELECT event_id AS message_id,
@@ -31,12 +32,12 @@ SELECT event_id AS message_id,
        CAST(event_id % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS confidence,
        CASE event_id % 18
          WHEN 0 THEN concat('write to u', CAST(event_id AS STRING), '.x@mail.example.com please')
-         WHEN 1 THEN concat('mon CIN est AB', lpad(CAST(event_id AS STRING), 6, '0'))
+         WHEN 1 THEN concat('identity card KX', lpad(CAST(event_id AS STRING), 6, '0'), ' expired')
          WHEN 2 THEN concat('carte 4', lpad(CAST(event_id AS STRING), 15, '0'), ' refused')
-         WHEN 3 THEN concat('IBAN MA64 0111 2000 ', lpad(CAST(event_id % 10000 AS STRING), 4, '0'), ' 2300 0012 345.')
+         WHEN 3 THEN concat('account FR14 2004 ', lpad(CAST(event_id % 10000 AS STRING), 4, '0'), ' 0505 0001 3M02 606.')
          WHEN 4 THEN concat('tel 06', lpad(CAST(event_id AS STRING), 8, '0'), ' merci')
          WHEN 5 THEN concat('call +44207', lpad(CAST(event_id AS STRING), 7, '0'), ' today')
-         WHEN 6 THEN concat('born 15/03/', CAST(1950 + event_id % 50 AS STRING), ' in town')
+         WHEN 6 THEN concat('her birthday is 27/11/', CAST(1950 + event_id % 50 AS STRING), ' she said')
          WHEN 7 THEN concat('host 10.0.', CAST(user_id % 256 AS STRING), '.', CAST(event_id % 256 AS STRING), ' is slow')
          WHEN 8 THEN concat('signed by Dr. Amina Tazi, ref ', CAST(event_id % 1000 AS STRING))
          WHEN 9 THEN concat('number 123-45-', lpad(CAST(event_id % 10000 AS STRING), 4, '0'), ' again')
@@ -85,7 +86,8 @@ FROM {documents}
 
 EXISTING_TAGS = """
 SELECT message_id, session_id, user_id, text,
-       CASE message_id % 4 WHEN 0 THEN ' Product:Card , nonsense' WHEN 1 THEN 'nan' WHEN 2 THEN ''
+       CASE message_id % 5 WHEN 0 THEN ' Product:Card , nonsense' WHEN 1 THEN 'nan' WHEN 2 THEN ''
+            WHEN 3 THEN concat('foo,', chr(9), 'product:card', chr(10))
             ELSE 'not a tag,untagged' END AS existing
 FROM {chat}
 """
@@ -102,12 +104,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for expression-heavy scans of small inputs.
+    """Redistribute an expression-heavy scan where ``spark.parlance.spreadPartitions`` asks for it.
 
-    A table read as fewer partitions than there are cores is redistributed; a
-    large table has more and is left alone, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    A file of one row group is one task whatever the session's split sizes are; whoever runs on
+    such files sets the number of partitions.  Unset, the scan is left alone and nothing is shuffled."""
+    wanted = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def texts_of(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -167,11 +169,14 @@ def raw_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = F.to_json(F.struct(F.col("source").alias("topic"), two.alias("conversation")))
     bare = F.to_json(F.struct(two.alias("conversation")))
     short = F.to_json(F.struct(F.col("source").alias("topic"), one.alias("conversation")))
-    kind = F.col("doc_id") % 7
+    kind = F.col("doc_id") % 10
+    no_role = F.replace(full, F.lit('"role":"assistant",'), F.lit(""))
+    no_content = F.lit('{"topic":"t","conversation":[{"role":"user","content":null},{"role":"assistant","content":"ok"}]}')
     raw = (
         F.when(kind == 0, full).when(kind == 1, F.concat(F.lit("```json\n"), full, F.lit("\n```")))
         .when(kind == 2, F.concat(F.lit("Sure! "), bare, F.lit(" Done.")))
         .when(kind == 3, short).when(kind == 4, F.concat(F.lit('{"topic": '), full))
-        .when(kind == 5, F.concat(F.lit("no json: "), "source")).otherwise(F.concat(F.lit("```\n"), bare, F.lit("```"))))
+        .when(kind == 5, F.concat(F.lit("no json: "), "source"))
+        .when(kind == 6, F.concat(full, F.lit(' and {"x": 1}'))).when(kind == 7, no_role).when(kind == 8, no_content).otherwise(F.concat(F.lit("```\n"), bare, F.lit("```"))))
     return d.select(F.col("doc_id").alias("plan_id"), F.concat(F.lit("requested "), "lang").alias("requested_topic"),
                     raw.alias("raw"))

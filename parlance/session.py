@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
+#: Setting: partitions for expression-heavy scans of files that cannot be split.
+SPREAD = "spark.parlance.spreadPartitions"
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -22,6 +24,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return (
         b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
+        .config(SPREAD, str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

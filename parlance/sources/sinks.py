@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import safety as S
+from parlance.rules import safety as R_SAFE
 from parlance.rules import sessions as R
 
 
 def audit_rows(screened: DataFrame) -> DataFrame:
     """One row per screened turn.  Never holds raw text: block reasons quote the
-    message, so quoted snippets are masked like the message itself."""
-    safe_reason = F.when(F.col("block_layer") == "", "").otherwise(S.mask_pii("block_reason"))
-    labels = F.expr("transform(injection_hits, _h -> concat(_h.label, ':\\'', " + S.mask_pii_sql("_h.snippet") + ", '\\''))")
+    message, so the whole match is masked first and then cut; a cut value would not be known any more."""
+    snippet = f"substring({S.mask_pii_sql('_h.matched')}, 1, {R_SAFE.INJECTION_SNIPPET_CHARS})"
+    labels = F.expr(f"transform(injection_hits, _h -> concat(_h.label, ':\\'', {snippet}, '\\''))")
+    safe_reason = (F.when(F.col("block_layer") == "injection", F.concat(F.lit(R_SAFE.INJECTION_REASON), F.array_join(labels, ", ")))
+                   .when(F.col("block_layer") == "nsfw", F.col("block_reason")).otherwise(""))
     return screened.select(
         F.col("ts"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts_human"), "user_id", "session_id", "role",
         "lang", "intent", "tags", F.col("masked_text").alias("content_masked"),
@@ -29,11 +32,16 @@ def audit_rows(screened: DataFrame) -> DataFrame:
 
 
 def vault_rows(screened: DataFrame) -> DataFrame:
-    """One row per turn with personal data: its raw values.  Keep the folder restricted."""
+    """One row per turn with personal data: its raw values.  Keep the folder restricted.
+
+    Turns without any go behind an outer generator: a filter, or one inferred from a plain
+    generator, would be pushed below the screening and run it twice."""
     raw = F.transform("pii", lambda p: F.struct(p["pii_type"].alias("type"), p["value"].alias("value")))
-    return screened.where(F.size("pii") > 0).select(
+    some = F.when(F.size("pii") > 0, F.array(F.struct(F.size("pii").cast("bigint").alias("pii_count"), raw.alias("pii_raw"))))
+    rows = screened.select("ts", "user_id", "session_id", F.explode_outer(some).alias("v")).where("v IS NOT NULL")
+    return rows.select(
         F.col("ts"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts_human"), "user_id", "session_id",
-        F.size("pii").cast("bigint").alias("pii_count"), raw.alias("pii_raw"), F.to_date("ts").alias("event_date"))
+        "v.pii_count", "v.pii_raw", F.to_date("ts").alias("event_date"))
 
 
 def feedback_rows(df: DataFrame) -> DataFrame:
@@ -48,8 +56,8 @@ TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 def append_json(df: DataFrame, path: str, partition: list[str] | None = None, mode: str = "append") -> None:
     """Append JSON lines, one folder per partition value.
 
-    No shuffle: every task writes the days it holds."""
-    writer = df.write.mode(mode).option("ignoreNullFields", "false").option("timestampFormat", TS_FORMAT)
+    Rows of a day are brought together into files of the advised size first; large days are split."""
+    writer = (df.hint("rebalance", *partition) if partition else df).write.mode(mode).option("ignoreNullFields", "false").option("timestampFormat", TS_FORMAT)
     (writer.partitionBy(*partition) if partition else writer).json(path)
 
 

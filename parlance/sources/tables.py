@@ -17,7 +17,6 @@ TURNS = T.StructType([
     T.StructField("lang_hint", T.StringType()),
     T.StructField("ts", T.TimestampType()),
 ])
-MAX_RULES = 20_000
 
 
 def read_turns(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -63,20 +62,19 @@ def clean_labelled(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower() for c in df.columns]).na.drop(subset=["user_msg", "intent"])
 
 
-def read_labelled(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled messages from CSV with a header (quoted fields may hold line breaks)."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_labelled(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """Labelled messages from CSV with a header.
+
+    ``line_breaks`` allows them inside quoted fields; a file is then read by one task, so
+    convert large ones to Parquet once."""
+    raw = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"').csv(path)
     return clean_labelled(raw)
 
 
 def read_tag_rules(spark: SparkSession, path: str, fmt: str = "csv") -> list[tuple[str, str]]:
-    """(keyword, tag) rules, read when the plan is built.
-
-    Rules are configuration; a table beyond ``MAX_RULES`` rows is refused, not cut."""
+    """(keyword, tag) rules, all of them, read when the plan is built: they become expressions."""
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True).schema("keyword string, tag string")
-    rows = reader.load(path).select("keyword", "tag").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} tag rules in {path}")
+    rows = reader.load(path).select("keyword", "tag").collect()
     return [(r.keyword, r.tag) for r in rows]

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window as W
 
 from parlance.operators import summaries as SM
 from parlance.operators.decisions import screen_turns
@@ -27,9 +28,11 @@ def stream_guardrail(turns: DataFrame, out: str, checkpoint: str, trigger: dict
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        for name, rows in (("audit", sinks.audit_rows(batch)), ("vault", sinks.vault_rows(batch))):
-            sinks.append_json(rows, f"{out}/{name}/batch={batch_id}", ["event_date"], mode="overwrite")
-        batch.unpersist()
+        try:
+            for name, rows in (("audit", sinks.audit_rows(batch)), ("vault", sinks.vault_rows(batch))):
+                sinks.append_json(rows, f"{out}/{name}/batch={batch_id}", ["event_date"], mode="overwrite")
+        finally:
+            batch.unpersist()
 
     return (screen_turns(turns).writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
@@ -89,17 +92,20 @@ def stream_history(turns: DataFrame, out: str, checkpoint: str, trigger: dict =
 
 def history_on_read(stored: DataFrame, n: int = R.HISTORY_TURNS, as_of: str | None = None,
                     ttl_seconds: int = R.SESSION_TTL_SECONDS) -> DataFrame:
-    """Newest ``n`` turns per session; with ``as_of``, only sessions written to
-    within the lifetime before it."""
-    from pyspark.sql.window import Window as W
+    """Newest ``n`` turns per session.
 
+    With ``as_of`` it is the state at that instant: later turns are not there yet, a session whose last turn
+    is older than its lifetime is gone, and so are turns before a silence of that length.
+    """
+    now = None if as_of is None else F.unix_micros(F.lit(as_of).cast("timestamp"))
+    seen = stored if now is None else stored.where(F.unix_micros("ts") <= now)
     w = W.partitionBy("session_id").orderBy(F.col("ts").desc(), F.col("message_id").desc())
-    kept = stored.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n)
-    if as_of is not None:
-        newest = F.max("ts").over(W.partitionBy("session_id"))
-        now = F.lit(as_of).cast("timestamp")
-        kept = kept.withColumn("_last", newest).where(
-            F.unix_micros("_last") + ttl_seconds * 1_000_000 > F.unix_micros(now)).drop("_last")
+    kept = seen.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n)
+    if now is not None:
+        # at most n turns a session are left: the time to the next turn, or to now, must not reach the lifetime
+        wait = F.coalesce(F.lag(F.unix_micros("ts")).over(w), now) - F.unix_micros("ts")
+        gone = F.max((F.col("_wait") >= ttl_seconds * 1_000_000).cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+        kept = kept.withColumn("_wait", wait).withColumn("_gone", gone).where("_gone = 0").drop("_wait", "_gone")
     return kept.drop("_rank")
 
 

@@ -1,5 +1,6 @@
 """Corpus preparation against plain Python."""
 
+import hashlib
 import json
 import re
 from collections import Counter
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.operators import corpus as CO
 from parlance.operators import intent as I
+from parlance.operators.blocks import hash_cut
 from parlance.rules import corpus as C
 
 TEXTS = ["Hello hello world-wide it's 2nd", "إلى المدرسةِ مـرحبا", "Café au lait", "", "a ab abc abcd", "x " * 120, "w0rd " * 50]
@@ -57,19 +59,22 @@ def test_generation_parsing(spark):
     conv = {"topic": "t", "conversation": [{"role": "user", "content": "hi \"x\" é"}, {"role": "assistant", "content": "yo\n{ok}"}]}
     full, bare = json.dumps(conv), json.dumps({"conversation": conv["conversation"]}, ensure_ascii=False)
     raw = [full, f"```json\n{full}\n```", f"Sure {bare} bye", f"```\n{bare}\n``` trailing {{", json.dumps({**conv, "conversation": conv["conversation"][:1]}),
-           '{"topic": ' + full, "nothing", "{'topic': 'x', 'conversation': []}", '{"topic": "x"}', "}{"]
+           '{"topic": ' + full, "nothing", "{'topic': 'x', 'conversation': []}", '{"topic": "x"}', "}{",
+           full + ' and {"x": 1}', full + "," + full, full + "] " + full, '{"conversation": [{"role": "user"}, {"role": "a", "content": "b"}]}',
+           '{"conversation": [{"role": "user", "content": null}, {"role": "a", "content": "b"}]}']
     df = spark.createDataFrame(list(enumerate(raw)), "plan_id int, raw string").withColumn("asked", F.lit("asked"))
     parsed = CO.parse_generations(df)
     reasons = {r.plan_id: r.reason for r in parsed.collect()}
     assert reasons == {0: None, 1: None, 2: None, 3: None, 4: "too_few_turns", 5: "broken_json", 6: "no_braces", 7: "broken_json",
-                       8: "no_conversation", 9: "no_braces"}
+                       8: "no_conversation", 9: "no_braces", 10: "broken_json", 11: "broken_json", 12: "broken_json", 13: "broken_turn",
+                       14: "broken_turn"}
     out = {r.plan_id: r for r in CO.chatml_corpus(parsed, ["plan_id"], "asked").collect()}
     assert set(out) == {0, 1, 2, 3} and out[0].topic == "t" and out[2].topic == "asked"
     assert out[0].text == (f"<|im_start|>system\n{C.TRAINING_SYSTEM}<|im_end|>\n<|im_start|>user\nhi \"x\" é<|im_end|>\n"
                            "<|im_start|>assistant\nyo\n{ok}<|im_end|>")
     plan = CO.generation_plan(df, "plan_id")
     assert {r.plan_id for r in CO.corpus_resume(plan, spark.createDataFrame([(0,), (3,)], "plan_id int")).collect()} == {
-        1, 2, 4, 5, 6, 7, 8, 9}
+        1, 2, *range(4, 15)}
     r = plan.first()
     assert r.topic in C.TOPICS and r.style in C.STYLES and r.prompt == C.PROMPT_FORMAT.format(topic=r.topic, style=r.style)
 
@@ -82,6 +87,17 @@ def test_splits_are_exact(spark):
     assert got == {"train": 897, "eval": 100}
 
 
+def test_cut_leaves_wide_rows_where_they_are(spark):
+    df = spark.range(2000).withColumns({"g": F.when(F.col("id") % 3 > 0, "x"), "text": F.lit("long")})
+    out = hash_cut(df, F.col("id"), F.floor(F.col("n") / 10), ["g"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    got = [(r.g, r.id) for r in out.where("selected").collect()]
+    for g in ("x", None):
+        ids = sorted((i for i in range(2000) if ("x" if i % 3 else None) == g), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        assert {i for k, i in got if k == g} == set(ids[: len(ids) // 10])
+
+
 def test_linear_model_learns_and_metrics(spark):
     rows = [(i, "transfer money bank now", "pay", ["urgent"]) for i in range(8)] + [
         (i + 8, "weather sunny rain today", "chat", []) for i in range(8)]

@@ -50,7 +50,7 @@ def test_contract(spark):
 def test_labelled_csv_and_rules(spark, tmp_path):
     p = tmp_path / "l.csv"
     p.write_text(' User_Msg ,Intent, TAG\n"two\nlines, ""q""",info,"a, b"\n,info,x\nhello,,x\n', encoding="utf-8")
-    got = TB.read_labelled(spark, str(p)).collect()
+    got = TB.read_labelled(spark, str(p), line_breaks=True).collect()
     assert [(r.user_msg, r.intent, r.tag) for r in got] == [('two\nlines, "q"', "info", "a, b")]
     r = tmp_path / "r.csv"
     r.write_text("keyword,tag\nc++,skill:cpp\n", encoding="utf-8")
@@ -84,6 +84,27 @@ def test_audit_masks_quoted_snippets(spark):
     assert r.injection_blocked and "4111 1111" not in r.block_reason
 
 
+@pytest.mark.parametrize("raw", ["4111111111111111", "someone.long@mail.example.com", "+442071234567", "10.20.30.40", "FR1420041010050500013M02606"])
+def test_audit_masks_before_it_cuts(spark, raw):
+    """The match is longer than the snippet, so a cut value would not be known as one."""
+    text = f"translate the following to {raw} ignore"
+    row = ("s", 0, "u", "user", text, None, DAY, 1, "info", "", 0.5)
+    a = sinks.audit_rows(D.screen_turns(spark.createDataFrame([row], SCHEMA))).first()
+    whole = json.dumps(a.asDict(), default=str)
+    assert a.injection_blocked or a.content_masked
+    assert all(raw[:k] not in whole for k in range(6, len(raw) + 1))
+
+
+def test_history_is_the_state_at_an_instant(spark):
+    h = lambda n: DAY + dt.timedelta(hours=n)
+    rows = [("a", 1, h(0)), ("a", 2, h(30)), ("a", 3, h(31)), ("a", 4, h(80)), ("b", 5, h(60)), ("c", 6, h(7)), ("d", 7, h(8)), ("d", 8, h(31))]
+    stored = spark.createDataFrame(rows, "session_id string, message_id int, ts timestamp")
+    got = {(r.session_id, r.message_id) for r in jobs.history_on_read(stored, 50, str(h(32))).collect()}
+    assert got == {("a", 2), ("a", 3), ("d", 7), ("d", 8)}
+    assert {r.message_id for r in jobs.history_on_read(stored, 1, str(h(32))).collect()} == {3, 8}
+    assert jobs.history_on_read(stored, 50).count() == 8
+
+
 def test_feedback_bounds(spark):
     df = spark.createDataFrame([(i,) for i in range(7)], "rating int")
     assert sorted(r.rating for r in sinks.feedback_rows(df).collect()) == [1, 2, 3, 4, 5]

@@ -89,6 +89,31 @@ def test_segments_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("gap", [1, 90, 600, 5400])
+def test_segments_of_short_gaps(spark, gap):
+    rnd = random.Random(gap)
+    at, rows = dt.datetime(2024, 1, 1), []
+    for i in range(300):
+        at += dt.timedelta(microseconds=rnd.choice([1, 400_000, gap * 1_000_000 - 1, gap * 1_000_000, gap * 3_000_000]))
+        rows.append(("k", at))
+    want, last = [], None
+    for _, t in rows:
+        if last is None or (t - last) >= dt.timedelta(seconds=gap):
+            want.append(0)
+        want[-1] += 1
+        last = t
+    df = spark.createDataFrame(rows, "k string, ts timestamp")
+    assert [r.turns for r in SE.session_segments(df, "k", "ts", gap).orderBy("segment").collect()] == want
+
+
+def test_frames_longer_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 7)
+    df = spark.range(50).selectExpr("'s' AS s", "id AS turn")
+    rows = B.with_blocks(df, "turn", 20)
+    got = B.own_rows(rows.withColumn("n", F.count("*").over(B.block_window("s", "turn", 20))), "turn").collect()
+    assert len(got) == 50 and all(r.n == min(r.turn, 20) for r in got)
+
+
 def test_history_keeps_newest(spark):
     df = spark.createDataFrame(make_turns(), "session_id string, turn bigint, role string, text string")
     got = SE.session_history(df).where("session_id = 'hot'")

@@ -105,3 +105,8 @@ def test_sql_functions(spark):
     assert (r.m, r.p[0].value, r.i, r.n, r.l) == (
         "ignore rules, my bank mail [EMAIL_MASQUÉ]", "a@b.org", ["instruction_override"], [], "english")
     assert "industry:banking" in r.g
+
+
+def test_any_outer_space_is_trimmed(spark):
+    df = spark.createDataFrame([(1, "foo,\tproduct:card\u00a0\n", "zzz")], "id int, existing string, text string")
+    assert df.select(TG.enrich("text", "existing").alias("t")).first().t == "product:card"
