@@ -1,3 +1,86 @@
-"""SQL twins of the queries that SQL can express."""
+"""SQL twins of the queries that SQL can express (DuckDB).
+
+The others have none: edit distances over all lines, a trained classifier, alignments,
+seeded draws and shuffles, boosted trees, and a tokenizer.  They are tested against brute force.
+"""
+
+from __future__ import annotations
+
+from parlance.llm import minhash, quality, url_cascade
+from parlance.llm.common import LOWER, SPACE, UPPER
 
 ORACLE: dict[str, str] = {}
+
+
+def lit(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+WORDS = f"regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+')"
+
+_rules = sorted(url_cascade.RULES, key=lambda r: -len(r[1] + r[2]))
+_fits = [(f"(host = {lit(h)} OR ends_with(host, {lit('.' + h)})) AND starts_with(path, {lit(p)})", h + p, v) for v, h, p in _rules]
+ORACLE["op1_url_filters"] = f"""
+WITH cut AS (SELECT page_id, coalesce(html, '') AS html,
+    CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+listed AS (SELECT DISTINCT host, path FROM parts
+    WHERE host <> '' AND (length(html) - length(replace(html, '<p>', ''))) / 3 <= {url_cascade.THIN_PARAGRAPHS})
+SELECT page_id, host, path, CASE {' '.join(f"WHEN {c} THEN {lit(r)}" for c, r, _ in _fits)} END AS rule,
+  CASE {' '.join(f"WHEN {c} THEN {lit(v)}" for c, _, v in _fits)}
+    WHEN EXISTS (SELECT 1 FROM listed l WHERE l.host = parts.host AND l.path = parts.path) THEN 'block' ELSE 'allow' END AS verdict
+FROM parts"""
+
+_n = minhash.WORDS
+ORACLE["op2_minhash_near_dedup"] = f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^{SPACE}]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {_n} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {_n} + 2), lambda i: array_to_string(w[i:i + {_n} - 1], ' '))) END AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {minhash.NUMER} * (any_value(a.n) + any_value(b.n) - count(*))),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM ways UNION SELECT r.a, e.b FROM reach r JOIN ways e ON r.b = e.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.c, s.doc_id)) AS component_id,
+  s.doc_id <= coalesce(m.c, s.doc_id) AS kept
+FROM sets s LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON s.doc_id = m.a"""
+
+_sql = {
+    "symbol_ratio": "n_symbols / greatest(n_words, 1)",
+    "bang_ratio": "(length(t) - length(regexp_replace(t, '[!?]', '', 'g'))) / greatest(n_words, 1)",
+    "upper_ratio": r"(length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g'))) / greatest(length(t), 1)",
+    "repeat_ratio": "n_repeat_words / greatest(n_words, 1)",
+    "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
+    "same_word_ratio": "1 - n_distinct / greatest(n_words, 1)",
+    "long_word": "word_chars / greatest(n_words, 1)",
+    "few_words": "CAST(-n_words AS DOUBLE)",
+}
+_p = quality.ALPHA / len(quality.GRID)
+_tests = sum(len(c) for c in quality.GRID.values())
+_rejected = " UNION ALL ".join(
+    f"SELECT stratum, {lit(m)} AS measure, CAST({c!r} AS DOUBLE) AS cutoff, count(*) AS n, count(*) FILTER ({m} > {c!r}) AS k FROM holdout GROUP BY stratum"
+    for m, cs in quality.GRID.items() for c in cs)
+ORACLE["op6_quality_rules"] = f"""
+WITH w AS (SELECT doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+runs AS (SELECT doc_id, unnest(range(1, len(w) - {quality.WINDOW} + 2)) AS i, w FROM w WHERE len(w) >= {quality.WINDOW}),
+keyed AS (SELECT doc_id, i, array_to_string(w[i:i + {quality.WINDOW} - 1], ' ') AS x FROM runs),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS c FROM keyed) WHERE c > 1),
+repeated AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + j AS at FROM again, range({quality.WINDOW}) r(j)) GROUP BY doc_id),
+line AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS dup FROM
+    (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^{SPACE}]') GROUP BY doc_id),
+c AS (SELECT w.doc_id, stratum, t, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+    coalesce(repeated.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, len(list_distinct(w)) AS n_distinct
+  FROM w LEFT JOIN repeated ON w.doc_id = repeated.doc_id LEFT JOIN line ON w.doc_id = line.doc_id),
+m AS (SELECT doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {', '.join(f'{e} AS {k}' for k, e in _sql.items())} FROM c),
+holdout AS (SELECT * FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+tested AS ({_rejected}),
+passed AS (SELECT stratum, measure, min(cutoff) AS cutoff FROM tested
+  WHERE k < n * {_p!r} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+      + i * ln({_p!r}) + (n - i) * ln(1 - {_p!r})))) <= {quality.DELTA!r} / ({_tests} * (SELECT count(DISTINCT stratum) FROM holdout))
+  GROUP BY stratum, measure)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT ({' OR '.join(f"coalesce({k} > (SELECT cutoff FROM passed p WHERE p.stratum = m.stratum AND p.measure = {lit(k)}), false)" for k in quality.GRID)}) AS kept
+FROM m"""
