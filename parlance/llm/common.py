@@ -125,25 +125,24 @@ def shingle_sets(texts: pa.Array, n: int = 5) -> Iterator[np.ndarray]:
 def fold_min(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """Connected components of undirected ``edges`` (a, b long): (node, component), component the smallest node.
 
-    Alternating large-star and small-star steps; every step is a shuffle of the
-    edges, written to the shared folder, so no group is gathered anywhere.
+    Large-star and small-star steps by turns until every node hangs on its component's
+    smallest one (which itself has no row).  Every step is a shuffle of the edges, written
+    to the shared folder, so no group is gathered anywhere.
     """
     cur = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    cur = materialise(cur, purpose)
-    state = None
     while True:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v")))
         cur = materialise(small.where("u <> v").distinct(), purpose)
-        new = cur.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if new == state:
-            break
-        state = new
-    return cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+        # done if no node has two parents and no parent has one
+        tops = cur.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        inner = cur.select(F.col("v").alias("u")).distinct().join(tops, "u", "left_semi")
+        if tops.where("n > 1").select("u").union(inner).isEmpty():
+            return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def with_component(df: DataFrame, components: DataFrame | None, column: str, name: str) -> DataFrame:
@@ -158,12 +157,12 @@ def bucket_components(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame
     """Components (node, component) of all confirmed pairs of ``buckets`` (bucket long, rep long); None without any.
 
     ``alike`` drops pairs (a, b) that cannot be links, ``confirm`` those that are none.  No bucket emits all
-    its pairs: in each round its first members (1, 4, 16, ... in the order of a hash) meet
+    its pairs: in each round its first members (4, 32, 256, ... in the order of a hash) meet
     the others, then leave it, and a bucket whose members lie in one component is finished.
     So every pair of a bucket is confirmed or refuted, or lies in one component already.
     """
     links = components = None
-    pivots = 1
+    pivots = 4
     while True:
         state = with_component(buckets, components, "rep", "component")
         mixed = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
@@ -175,15 +174,15 @@ def bucket_components(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame
             "bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("rank").alias("ra"))
         pairs = ranked.join(heads, "bucket").where("ra < rank AND ca <> component").select("a", F.col("rep").alias("b")).distinct()
         near = materialise(alike(pairs), "pairs-near")
-        # first one pair for each member, then those that are still apart
+        # first one pair for each member, with the head that comes first of all; then those that it did not bring together
         first = near.groupBy("b").agg(F.min_by("a", F.xxhash64("a")).alias("a")).select("a", "b")
-        for step in (first, None):
-            if step is None:
-                apart = with_component(with_component(near, components, "a", "ca"), components, "b", "cb").where("ca <> cb")
-                step = apart.select("a", "b").join(first, ["a", "b"], "left_anti")
-            found = materialise(confirm(step), "pairs-links")
-            if not found.isEmpty():
-                links = found if links is None else links.union(found)
-                components = materialise(fold_min(links, "pairs-steps"), "pairs-components")
-        buckets = materialise(ranked.where(F.col("rank") > pivots).select("bucket", "rep"), "pairs-rest")
-        pivots *= 4
+        found = materialise(confirm(first), "pairs-links")
+        stars = found.select(F.col("b").alias("node"), F.col("a").alias("component"))
+        apart = with_component(with_component(near, stars, "a", "ca"), stars, "b", "cb").where("ca <> cb").select("a", "b")
+        more = materialise(confirm(apart.join(first, ["a", "b"], "left_anti")), "pairs-links")
+        both = found.union(more)
+        if not both.isEmpty():
+            links = both if links is None else links.union(both)
+            components = fold_min(links, "pairs-components")
+        buckets = ranked.where(F.col("rank") > pivots).select("bucket", "rep")
+        pivots *= 8

@@ -171,7 +171,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_classes(slim: DataFrame) -> DataFrame | None:
-    """(node, component) of the line ids that are linked with another; ``slim`` has doc_id and text."""
+    """(node, component) of the line ids that are linked with another, but for the smallest of each class; ``slim`` has doc_id and text."""
     dealt = slim.mapInArrow(_keys, "bucket long, rep long").repartition("bucket")
     many = dealt.groupBy("bucket").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("bucket")
     buckets = materialise(dealt.join(many, "bucket").distinct(), "lines-buckets")
@@ -205,7 +205,8 @@ def line_report(docs: DataFrame) -> DataFrame:
     if linked is None:
         own = seen.withColumns({"class": F.col("id"), "near": F.lit(False)})
     else:
-        own = seen.join(linked.withColumnRenamed("node", "id"), "id", "left").select(
+        tops = linked.select(F.col("component").alias("id"), "component").distinct()
+        own = seen.join(linked.withColumnRenamed("node", "id").union(tops), "id", "left").select(
             "doc_id", "line", F.coalesce("component", "id").alias("class"), F.col("component").isNotNull().alias("near"))
     # one row for each class and document first, so that a common line meets as many rows as it has documents
     held = materialise(own.groupBy("class", "doc_id").agg(
