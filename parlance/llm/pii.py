@@ -33,7 +33,7 @@ LOOSE, DIGIT_RUN = r"(?<![0-9])[\x20-]|[\x20-](?![0-9])", r"[0-9][0-9\x20-]*+"
 
 #: Generators: kind of the span, pattern.
 GENERATORS = (
-    ("secret", r"[A-Za-z0-9_/+-]{14,}"),
+    ("secret", r"(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{14,}"),
     ("number", r"[0-9(][0-9\x20().-]{6,40}[0-9]"),
     ("email", r"[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{1,64}){1,4}"),
     ("ip", r"(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}"),
@@ -47,7 +47,7 @@ CUES = {
     "cue_account": r"(?i)(?:card|visa|credit|account|iban|bank|ssn|social)",
     "cue_other": r"(?i)(?:order|version|date|page|isbn|year|item|part|since|model|chapter|figure)",
 }
-SAMPLE_ROWS, TREES, DEPTH, PRECISION = 6_000, 12, 4, 0.98
+SAMPLE_ROWS, TREES, DEPTH, PRECISION = 8_000, 15, 4, 0.98
 CONTEXT = 32
 
 
@@ -103,7 +103,11 @@ def with_base(docs: DataFrame) -> DataFrame:
         "_3": lambda x: F.length(digits(x["v"])).between(9, 15),
     }
     kept = raw.withColumns({k: F.filter(k, f) for k, f in keep.items()})
-    tagged = [F.transform(f"_{k}", lambda x, k=k: F.struct(x["s"], x["e"], F.lit(k).alias("k"))) for k in range(len(BASE))]
+
+    def tagged_as(k: int) -> Column:
+        return F.transform(f"_{k}", lambda x: F.struct(x["s"], x["e"], F.lit(k).alias("k")))
+
+    tagged = [tagged_as(k) for k in range(len(BASE))]
     # start, then kind, then end
     order = F.transform(F.array_sort(F.transform(F.concat(*tagged), lambda x: F.struct(x["s"], x["k"], x["e"]))), lambda x: F.struct(x["s"], x["e"], x["k"]))
     return kept.withColumns({"_n": F.array(*[F.size(f"_{k}") for k in range(len(BASE))]), "_base": order}).drop("_0", "_1", "_2", "_3")
@@ -144,23 +148,28 @@ def labelled_candidates(spark: SparkSession, rows: int = SAMPLE_ROWS) -> DataFra
     dig = F.substring(F.regexp_replace(F.sha2(F.concat(F.lit("d"), F.col("id").cast("string")), 512), "[a-f]", ""), 1, 40)
     hexa, word = F.sha2(F.concat(F.lit("h"), F.col("id").cast("string")), 256), F.translate(F.substring(F.md5(F.col("id").cast("string")), 1, 18), "0123456789", "ghijklmnop")
     cut = lambda a, n: F.substring("_d", a, n)
-    year = F.concat(one_of(["19", "20"], 9), cut(1, 2))
+    part = lambda c, a, least, most, salt: F.substring(c, F.lit(a), least + pick(most - least + 1, salt))
+    year, letters = F.concat(one_of(["19", "20"], 9), cut(1, 2)), F.concat("_w", F.reverse("_w"), F.upper("_w"))
+    name, place = part(F.col("_w"), 1, 2, 8, 11), part(F.col("_w"), 9, 3, 9, 12)
     secret, number, email, ip, iban = range(5)
     formats: list[tuple[int, int, Column]] = [
         # generator, label, text
         (number, 1, cut(1, 16)), (number, 1, F.concat_ws(" ", cut(1, 4), cut(5, 4), cut(9, 4), cut(13, 4))), (number, 1, F.concat_ws("-", cut(1, 4), cut(5, 4), cut(9, 4), cut(13, 4))),
         (number, 1, F.concat(F.lit("("), cut(1, 3), F.lit(") "), cut(4, 3), F.lit("-"), cut(7, 4))), (number, 1, F.concat_ws("-", cut(1, 3), cut(4, 3), cut(7, 4))),
         (number, 1, F.concat_ws("-", cut(1, 3), cut(4, 2), cut(6, 4))),
-        (secret, 1, F.substring("_h", 1, 40)), (secret, 1, F.substring("_h", 5, 18)), (secret, 1, F.concat(F.lit("sk_"), F.substring("_h", 3, 32))), (secret, 1, F.substring("_h", 1, 32)),
-        (email, 1, F.concat(F.substring("_w", 1, 6), F.lit(" (at) "), F.substring("_w", 7, 5), F.lit(".com"))), (email, 1, F.concat(F.substring("_w", 1, 5), F.lit("[at]"), F.substring("_w", 7, 5), F.lit("[dot]org"))),
+        (secret, 1, part(F.col("_h"), 1, 32, 64, 13)), (secret, 1, part(F.col("_h"), 5, 16, 40, 14)), (secret, 1, F.concat(F.lit("sk_"), part(F.col("_h"), 3, 20, 40, 15))),
+        (secret, 1, F.base64(F.unhex(part(F.col("_h"), 1, 24, 40, 16)))),
+        (email, 1, F.concat(name, F.lit(" (at) "), place, F.lit(".com"))), (email, 1, F.concat(name, F.lit("[at]"), place, F.lit("[dot]org"))),
+        (email, 1, F.concat(name, F.lit(" @ "), place, one_of([".com", ".net", ".org"], 5))), (email, 1, F.concat(name, F.lit("."), place, F.lit("(at)"), place, F.lit(" (dot) fr"))),
         (ip, 1, F.concat_ws(":", *[F.substring("_h", 1 + 4 * i, 4) for i in range(8)])),
         (iban, 1, F.concat(one_of(["DE", "FR", "ES", "GB"], 5), cut(1, 18))), (iban, 1, F.concat_ws(" ", F.concat(one_of(["DE", "FR", "IT"], 5), cut(1, 2)), cut(3, 4), cut(7, 4), cut(11, 4), cut(15, 4))),
         (number, 0, F.concat_ws("-", year, cut(3, 2), cut(5, 2))), (number, 0, F.concat_ws(".", cut(3, 2), cut(5, 2), year)), (number, 0, F.concat_ws("-", year, year)),
         (number, 0, F.concat(cut(1, 1), F.lit("."), cut(2, 9))), (number, 0, F.concat_ws(".", cut(1, 1), cut(2, 3), cut(5, 3), cut(8, 3))), (number, 0, cut(1, 8)), (number, 0, F.concat(year, cut(3, 10))),
         (number, 0, F.concat_ws(" ", *[cut(1 + 2 * i, 2) for i in range(8)])), (number, 0, F.concat_ws(" ", *[cut(1 + i, 1) for i in range(12)])), (number, 0, F.concat(F.lit("978-"), cut(1, 1), F.lit("-"), cut(2, 4), F.lit("-"), cut(6, 4), F.lit("-"), cut(10, 1))),
-        (secret, 0, F.substring(F.translate("_w", "0123456789", "abcdefghij"), 1, 16)), (secret, 0, F.concat(F.substring("_w", 1, 9), F.lit("-"), F.substring("_w", 4, 8))), (secret, 0, F.upper(F.substring("_w", 1, 15))),
-        (secret, 0, F.concat(F.substring("_w", 1, 12), year)), (secret, 0, F.concat(F.lit("--------"), F.lit("----------"))), (secret, 0, F.concat(F.substring("_w", 1, 7), F.lit("/"), F.substring("_w", 2, 9))),
-        (email, 0, F.concat(F.substring("_w", 1, 4), F.lit(" @ "), cut(1, 2), F.lit("."), cut(3, 2))),
+        (secret, 0, part(F.lower(letters), 1, 14, 54, 13)), (secret, 0, part(F.lower(letters), 7, 14, 40, 14)), (secret, 0, part(letters, 20, 14, 34, 15)), (secret, 0, part(F.upper(letters), 3, 14, 50, 16)),
+        (secret, 0, F.concat_ws("-", name, place, part(F.col("_w"), 4, 5, 12, 17))), (secret, 0, F.concat_ws("/", place, name, part(F.col("_w"), 4, 5, 12, 17))), (secret, 0, F.concat_ws("_", place, part(F.col("_w"), 4, 9, 14, 17), name)),
+        (secret, 0, F.concat(part(F.lower(letters), 1, 12, 20, 18), year)), (secret, 0, F.concat_ws("-", part(F.col("_w"), 1, 8, 14, 17), year, cut(1, 2))), (secret, 0, F.repeat(F.lit("-"), 14 + pick(20, 13))), (secret, 0, F.repeat(F.lit("ab"), 8 + pick(20, 13))),
+        (email, 0, F.concat(name, F.lit(" @ "), cut(1, 2), F.lit("."), cut(3, 2))), (email, 0, F.concat(F.lit("@"), name, F.lit("."), cut(3, 1))), (email, 0, F.concat(cut(1, 2), F.lit("@"), cut(1, 3), F.lit("."), cut(3, 2))),
         (ip, 0, F.concat_ws(":", cut(1, 2), cut(3, 2), cut(5, 2), cut(7, 2))),
         (iban, 0, F.concat(F.upper(F.substring("_w", 1, 2)), cut(1, 2), F.upper(F.substring("_w", 3, 12)))),
     ]
@@ -213,8 +222,12 @@ class Detector:
         t = F.col("_t")
         based = with_base(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t")))
         none = F.array().cast("array<struct<s:int,e:int,v:string,g:int>>")
-        raw = [F.when(t.rlike(gate), F.transform(spans(t, pattern), lambda x, i=i: F.struct(x["s"], x["e"], x["v"], F.lit(i).alias("g")))).otherwise(none)
-               for i, ((_, pattern), gate) in enumerate(zip(GENERATORS, GATES))]
+
+        def proposals(i: int) -> Column:
+            found = F.transform(spans(t, GENERATORS[i][1]), lambda x: F.struct(x["s"], x["e"], x["v"], F.lit(i).alias("g")))
+            return F.when(t.rlike(GATES[i]), found).otherwise(none)
+
+        raw = [proposals(i) for i in range(len(GENERATORS))]
         proposed = based.withColumns({f"_g{i}": c for i, c in enumerate(raw)}).withColumn("_c", F.concat(*[f"_g{i}" for i in range(len(raw))]))
         free = F.filter("_c", lambda c: ~F.exists("_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
 
