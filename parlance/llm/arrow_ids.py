@@ -37,10 +37,17 @@ from parlance.session import materialise, work_dir
 
 SEQUENCE, BATCH = 1024, 64
 END = 0
-#: Words of which an encoder remembers the ids.
-REMEMBERED = 400_000
-#: Texts with anything of this are encoded whole: white space but blank and line end, or twice in a row, or at an end; special tokens.
-WHOLE = r"[\s\x0B\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F]"
+#: Words of which an encoder remembers the ids, in each of two generations.
+REMEMBERED = 500_000
+#: Bytes of text that are encoded at a time.
+ENCODE_BYTES = 8 << 20
+#: Classes of bytes: 1 blank and line end, 2 other white space, 3 first bytes of other white space, 4 first bytes of special tokens.
+BYTES = np.zeros(256, np.uint8)
+BYTES[[32, 10]] = 1
+BYTES[[9, 11, 12, 13, 28, 29, 30, 31]] = 2
+BYTES[[0xC2, 0xE1, 0xE2, 0xE3]] = 3
+#: White space beyond ASCII, as UTF-8.
+WIDE_SPACE = frozenset(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
 class Encoder:
@@ -52,77 +59,104 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, np.ndarray] = {}
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.bytes = BYTES.copy()
+        self.bytes[[x[0] for x in self.special if not self.bytes[x[0]]]] = 4
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.line = self.whole(["\n"])[0][-1]
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _lookup(self, units: list[str]) -> list[np.ndarray]:
-        missing = [u for u in units if u not in self.known]
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = units
+    def _lookup(self, units: list[str]) -> list[bytes]:
+        """The ids of each word, as bytes."""
+        known = self.known
+        if len(known) > REMEMBERED:
+            self.older, self.known = known, {}
+            known = self.known
+        missing = [u for u in units if u not in known]
+        if self.older:
+            known.update((u, self.older[u]) for u in missing if u in self.older)
+            missing = [u for u in missing if u not in known]
         # a line end is an id of its own between words, so many words go in one text
         groups = [missing[a : a + 1_000] for a in range(0, len(missing), 1_000)]
         for group, ids in zip(groups, self.whole(["\n".join(g) + "\n" for g in groups])):
             ends = np.flatnonzero(ids == self.line)
             if len(ends) == len(group):
-                self.known.update(zip(group, (ids[a:b] for a, b in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist()))))
+                raw, width = ids.tobytes(), ids.itemsize
+                known.update(zip(group, [raw[a:b] for a, b in zip([0, *((ends[:-1] + 1) * width).tolist()], (ends * width).tolist())]))
             else:
-                self.known.update(zip(group, self.whole(group)))
-        return [self.known[u] for u in units]
-
-    def _plain(self, texts: pa.Array) -> np.ndarray:
-        """Texts whose white space is single blanks and line ends between words."""
-        rest = pc.replace_substring_regex(texts, r"[ \n]", "")
-        odd = pc.match_substring_regex(rest, WHOLE)
-        pairs = pc.match_substring_regex(texts, r"[ \n][ \n]|^[ \n]|[ \n]\z")
-        for s in self.special:
-            odd = pc.or_(odd, pc.match_substring(texts, s))
-        return ~pc.or_(odd, pairs).to_numpy(zero_copy_only=False) & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
+                known.update(zip(group, [x.tobytes() for x in self.whole(group)]))
+        return [known[u] for u in units]
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a text's white space is single blanks and line ends between words, places of all blanks and line ends)."""
+        kind = self.bytes[data]
+        places = np.flatnonzero(kind)
+        kind = kind[places]
+        blanks = places[kind == 1]
+        odd = [places[kind == 2], blanks[1:][np.diff(blanks) == 1], blanks[np.isin(blanks, offsets) | np.isin(blanks + 1, offsets)]]
+        for i in places[kind >= 3].tolist():
+            piece = data[i : i + 3].tobytes()
+            if piece[:2] in WIDE_SPACE or piece in WIDE_SPACE or any(data[i : i + len(x)].tobytes() == x for x in self.special):
+                odd.append(np.array([i]))
+        plain = np.diff(offsets) > 0
+        plain[np.searchsorted(offsets, np.concatenate(odd), "right") - 1] = False
+        return plain, blanks
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text), nulls as empty texts, without end ids."""
         texts = pc.fill_null(texts, "")
-        plain = self._plain(texts)
-        lengths = np.zeros(len(texts), np.int64)
-        pieces: list[np.ndarray] = [np.empty(0, self.dtype)] * len(texts)
+        if not len(texts):
+            return np.empty(0, self.dtype), np.empty(0, np.int64)
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] is not None else np.empty(0, np.uint8)
+        plain, blanks = self._plain(data, offsets - offsets[0])
         at = np.flatnonzero(~plain)
-        for i, ids in zip(at, self.whole([texts[int(i)].as_py() for i in at])):
-            pieces[i] = ids
-        at = np.flatnonzero(plain)
         if len(at):
-            own = texts.take(pa.array(at))
-            lists = pc.ascii_split_whitespace(own)
-            flat, counts = pc.list_flatten(lists), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            starts = np.cumsum(counts) - counts
-            data = np.frombuffer(own.buffers()[2], np.uint8) if own.buffers()[2] is not None else np.empty(0, np.uint8)
-            offsets = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1]
-            data = data[offsets[0] : offsets[-1]]
-            kinds = data[(data == 32) | (data == 10)]
-            before = np.zeros(len(flat), np.uint8)  # 0: first of its text
-            inner = np.ones(len(flat), bool)
-            inner[starts] = False
-            before[inner] = np.where(kinds == 32, 1, 2)
-            coded = flat.dictionary_encode()
-            keys, which = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 3 + before, return_inverse=True)
-            names = coded.dictionary.to_pylist()
-            line = np.array([self.line], self.dtype)
-            ids = self._lookup([(" " if k % 3 == 1 else "") + names[k // 3] for k in keys.tolist()])
-            ids = [np.concatenate([line, x]) if k % 3 == 2 else x for k, x in zip(keys.tolist(), ids)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            first, pool = np.cumsum(size) - size, np.concatenate(ids)
-            n = size[which]
-            ends = np.cumsum(n)
-            out = pool[np.repeat(first[which] - (ends - n), n) + np.arange(int(ends[-1]))]
-            per = np.add.reduceat(n, starts)
-            stops = np.cumsum(per)
-            for i, a, b in zip(at, stops - per, stops):
-                pieces[i] = out[a:b]
-        lengths[:] = [len(p) for p in pieces]
-        return np.concatenate(pieces) if len(pieces) else np.empty(0, self.dtype), lengths
+            others = self.whole([texts[int(i)].as_py() for i in at])
+            ids, lengths = self.encode(texts.filter(pa.array(plain))) if plain.any() else (np.empty(0, self.dtype), np.empty(0, np.int64))
+            ends, sizes = np.cumsum(lengths), np.zeros(len(texts), np.int64)
+            sizes[plain], sizes[at] = lengths, [len(x) for x in others]
+            pieces: list[np.ndarray] = [np.empty(0, self.dtype)] * len(texts)
+            for i, a, b in zip(np.flatnonzero(plain), ends - lengths, ends):
+                pieces[i] = ids[a:b]
+            for i, x in zip(at, others):
+                pieces[i] = x
+            return np.concatenate(pieces), sizes
+        offsets = offsets - offsets[0]
+        # words lie between blanks; they are copied together without them
+        firsts = np.sort(np.concatenate([offsets[:-1], blanks + 1]))
+        joined = data[self.bytes[data] != 1]
+        gone = np.searchsorted(blanks, firsts, "left")
+        bounds = np.append(firsts - gone, len(joined)).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(firsts), pa.py_buffer(bounds), pa.py_buffer(joined))
+        starts = np.searchsorted(firsts, offsets[:-1])
+        before = np.zeros(len(firsts), np.int64)  # 0: first of its text, 1 after a blank, 2 after a line end
+        inner = np.ones(len(firsts), bool)
+        inner[starts] = False
+        before[inner] = np.where(data[firsts[inner] - 1] == 32, 1, 2)
+        coded = words.dictionary_encode()
+        key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 3 + before
+        seen = np.zeros(3 * len(coded.dictionary), bool)
+        seen[key] = True
+        keys = np.concatenate([np.flatnonzero(seen[k::3]) * 3 + k for k in range(3)])
+        number = np.empty(len(seen), np.int64)
+        number[keys] = np.arange(len(keys))
+        which = number[key]
+        names = coded.dictionary.to_pylist()
+        # the first words of texts, then those after a blank, then those after a line end, whose id goes before theirs
+        cut, line = np.searchsorted(keys % 3, [1, 2]), self.line.tobytes()
+        own = (keys // 3).tolist()
+        known = self._lookup([*(names[k] for k in own[: cut[0]]), *(f" {names[k]}" for k in own[cut[0] : cut[1]]), *(names[k] for k in own[cut[1] :])])
+        known[cut[1] :] = [line + x for x in known[cut[1] :]]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // np.dtype(self.dtype).itemsize
+        first, pool = np.cumsum(size) - size, np.frombuffer(b"".join(known), self.dtype)
+        n = size[which]
+        ends = np.cumsum(n)
+        out = pool[np.repeat(first[which] - (ends - n), n) + np.arange(int(ends[-1]))]
+        return out, np.add.reduceat(n, starts)
 
 
 @lru_cache(2)
@@ -214,7 +248,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, seque
     path = f"{folder}/part-{part:05d}-{uuid.uuid4().hex[:12]}"
     enc, out, index, total, docs = encoder(tokenizer), None, None, 0, 0
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-    for batch in slices(batches):
+    for batch in slices(batches, limit=ENCODE_BYTES):
         if out is None:
             out = SequenceFile(f"{path}.arrow", enc.dtype, sequence)
             fs, at = _store(f"{path}.index.arrow")
@@ -267,7 +301,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_ids(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document of the files that ``write_ids`` named."""
-    return manifest.repartition("part").select("path", "first", "tokens").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = max(1, manifest.count())
+    return manifest.repartition(files, "part").select("path", "first", "tokens").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
