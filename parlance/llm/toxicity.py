@@ -36,6 +36,8 @@ IDENTITY_TERMS = (
     "disabled", "blind", "deaf", "elderly", "young", "poor", "rich",
 )
 L2, PAIR_PENALTY, STEPS = 1e-4, 1.0, 400
+#: The bias of a model without examples of both labels: a score near 0.
+UNTAUGHT = -7.0
 
 
 def _features(word: str) -> list[str]:
@@ -188,7 +190,10 @@ def fit_weights(n: int, rows, cols, vals, y, pairs, l2: float = L2, pair_penalty
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> Model:
-    """A model from the labelled rows of ``docs``; ``labels`` has doc_id and toxic (0 or 1; other values and nulls do not count)."""
+    """A model from the labelled rows of ``docs``; ``labels`` has doc_id and toxic (0 or 1; other values and nulls do not count).
+
+    Without examples of both labels nothing is learned, and the model rejects nothing.
+    """
     own = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = own.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(sample_rows)
     sample = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -203,8 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
         vals.append(np.array(r.vals, np.float32))
         swapped.update(r.swaps)
     if not y or len(set(y)) < 2:
-        share = float(np.mean(y)) if y else 0.0
-        return Model(names, np.zeros(len(names)), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+        return Model(names, np.zeros(len(names)), UNTAUGHT)
     w, b = fit_weights(len(names), np.repeat(np.arange(len(y)), lengths), np.concatenate(cols), np.concatenate(vals).astype(float),
                        np.array(y, float), swap_rows(swapped, names))
     return Model(names, w, b)
