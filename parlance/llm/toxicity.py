@@ -36,6 +36,8 @@ IDENTITY_TERMS = (
     "disabled", "blind", "deaf", "elderly", "young", "poor", "rich",
 )
 L2, PAIR_PENALTY, STEPS = 1e-4, 1.0, 400
+#: Empty clean texts that the fit sees beside the labelled ones: without evidence a text is not toxic.
+CLEAN = 8
 #: The bias of a model without examples of both labels: a score near 0.
 UNTAUGHT = -7.0
 
@@ -171,7 +173,7 @@ def _rows(batches: Iterator[pa.RecordBatch], features: tuple[str, ...]) -> Itera
 
 def fit_weights(n: int, rows, cols, vals, y, pairs, l2: float = L2, pair_penalty: float = PAIR_PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam; ``pairs`` is (row, col, val) of the feature differences of swaps."""
-    w, b = np.zeros(n), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    w, b = np.zeros(n), float(np.log((y.sum() + 1) / (len(y) - y.sum() + CLEAN)))
     pr, pcol, pv = pairs
     m = int(pr.max()) + 1 if len(pr) else 0
     moment, square = np.zeros(n + 1), np.zeros(n + 1)
@@ -182,7 +184,7 @@ def fit_weights(n: int, rows, cols, vals, y, pairs, l2: float = L2, pair_penalty
         if m:
             change = np.bincount(pr, w[pcol] * pv, m)
             grad += pair_penalty * 2 * np.bincount(pcol, change[pr] * pv, n)
-        g = np.append(grad, r.sum())
+        g = np.append(grad, r.sum() + CLEAN / (1 + np.exp(-b)) / len(y))
         moment, square = 0.9 * moment + 0.1 * g, 0.999 * square + 0.001 * g * g
         move = 0.05 * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
