@@ -4,7 +4,7 @@ Circulant MinHash takes two permutations of D places: the first moves a shingle
 to its place, the second, read at that place plus k, gives coordinate k of the signature,
 so one table serves all coordinates.  ``BANDS`` bands of ``ROWS`` coordinates
 name a document's buckets.  At a similarity of 0.75 a pair shares no bucket with a
-probability below 1e-7.
+probability of some 1e-7.
 
 Documents with equal shingle sets form a class first, and only one of each
 class goes on.  A bucket never emits all its pairs.  In each round its first
@@ -31,7 +31,7 @@ from parlance.session import materialise
 WORDS = 5
 #: A link: NUMER / 100 of the union at least is shared.
 NUMER = 75
-ROWS, BANDS = 5, 64
+ROWS, BANDS = 7, 112
 #: Places of the permutations.
 PLACES = 1 << 20
 SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
