@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from parlance.functions import language as LG
 from parlance.functions import safety as S
 from parlance.functions import tags as TG
+from parlance.operators import blocks as B
 from parlance.operators.safety import guardrail
 from parlance.rules import sessions as R
 
@@ -27,6 +29,24 @@ def screen_turns(turns: DataFrame) -> DataFrame:
                     .otherwise(TG.merge_tags(TG.split_list_sql("model_tags"), "masked_text"))))
 
 
+def with_call(screened: DataFrame) -> DataFrame:
+    """Add what the screening of each turn was given: ``call_intent``, ``call_tags``, ``call_lang``.
+
+    A message is screened before it is classified, so it is given its language hint alone.  The reply
+    right after a message that was let pass is given that message's intent, tags and language,
+    whatever its own text says.  Needs ``turn``; sessions are cut into blocks, never gathered.
+    """
+    before = F.struct("role", "is_blocked", "intent", "tags", "lang")
+    window = W.partitionBy("session_id", "_block").orderBy("turn")
+    rows = B.own_rows(B.with_blocks(screened, "turn", 1).withColumn("_before", F.lag(before).over(window)), "turn")
+    reply = (F.col("role") == "assistant") & (F.col("_before.role") == "user") & ~F.col("_before.is_blocked")
+    return rows.withColumns({
+        "call_intent": F.when(reply, F.col("_before.intent")).otherwise(""),
+        "call_tags": F.when(reply, F.col("_before.tags")).otherwise(F.array().cast("array<string>")),
+        "call_lang": F.when(reply, F.col("_before.lang")).when(F.col("role") == "user", F.coalesce("lang_hint", F.lit("unknown"))).otherwise("unknown"),
+    }).drop("_before")
+
+
 def exchanges(screened: DataFrame) -> DataFrame:
     """Pair each user turn with an assistant turn right after it.
 

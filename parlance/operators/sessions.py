@@ -34,28 +34,28 @@ def count_kind(kind: str) -> Column:
 
 
 def user_profile(turns: DataFrame, order: list[str] = ["ts", "message_id"]) -> DataFrame:
-    """One row per user from screened turns.
+    """One row per user from screened turns with what each screening was given (``decisions.with_call``).
 
     Each turn becomes a few (kind, value) facts; these are counted per
     (user, kind, value) with map-side combine and only then folded per user, so
     a user with most of the traffic is spread and no raw turn is gathered.
     Distinct personal-data hashes are counted here; ``user_fingerprints``
-    lists them, one row each.  Intents and tags count from assistant turns.
+    lists them, one row each.  Intents and tags are those that a reply's screening was given, the
+    language is the one given to the user's first call.
     """
-    reply = F.col("role") == "assistant"
     blocked, injected = F.col("is_blocked"), F.col("block_layer") == "injection"
     facts = F.concat(
         _one("message", F.lit(True)),
         _one("flagged", blocked | (F.size("pii") > 0)),
         _one("injection", injected),
         _one("nsfw", F.col("block_layer") == "nsfw"),
-        F.when(reply & (F.col("intent") != ""), _facts("intent", F.array("intent"))).otherwise(F.array().cast(FACT)),
-        F.when(reply, _facts("tag", F.col("tags"))).otherwise(F.array().cast(FACT)),
+        F.when(F.col("call_intent") != "", _facts("intent", F.array("call_intent"))).otherwise(F.array().cast(FACT)),
+        _facts("tag", F.col("call_tags")),
         _facts("pii", F.array_distinct(F.transform("pii", lambda p: p["pii_type"]))),
         _facts("hash", F.array_distinct(F.transform("pii", lambda p: F.concat(
             p["pii_type"], F.lit(":"), S.fingerprint(p["value"]))))),
     )
-    first = F.struct(F.struct(*order).alias("at"), F.col("session_id"), F.col("lang"))
+    first = F.struct(F.struct(*order).alias("at"), F.col("session_id"), F.col("call_lang").alias("lang"))
     rows = turns.select("user_id", F.col("ts"), first.alias("row"), F.explode(facts).alias("f"))
     per_value = rows.groupBy("user_id", F.col("f.kind").alias("kind"), F.col("f.value").alias("value")).agg(
         F.count("*").alias("n"), F.min("row").alias("first"), F.max("ts").alias("last"))
@@ -89,14 +89,14 @@ def session_history(turns: DataFrame, n: int = R.HISTORY_TURNS) -> DataFrame:
 
 
 def context_window(turns: DataFrame, content: str = "masked_text", n: int = R.CONTEXT_TURNS) -> DataFrame:
-    """For every assistant turn, the up to ``n`` turns before it and the intent hint."""
+    """For every assistant turn, the up to ``n`` turns before it and the hint of the message's intent and tags."""
     w = B.block_window("session_id", "turn", n)
     item = F.struct(F.col("turn"), F.col("role"), F.col(content).alias("content"))
-    rows = B.with_blocks(turns.select("session_id", "turn", "role", content, "intent", "tags"), "turn", n)
+    rows = B.with_blocks(turns.select("session_id", "turn", "role", content, "call_intent", "call_tags"), "turn", n)
     out = B.own_rows(rows.withColumn("context", F.collect_list(item).over(w)), "turn").where(F.col("role") == "assistant")
     pre, mid, post = R.INTENT_HINT
-    hint = F.concat(F.lit(pre), F.col("intent"), F.lit(mid), F.array_join("tags", ", "), F.lit(post))
-    return out.select("session_id", "turn", "context", F.when(F.col("intent") != "", hint).otherwise("").alias("hint"))
+    hint = F.concat(F.lit(pre), F.col("call_intent"), F.lit(mid), F.array_join("call_tags", ", "), F.lit(post))
+    return out.select("session_id", "turn", "context", F.when(F.col("call_intent") != "", hint).otherwise("").alias("hint"))
 
 
 def session_segments(df: DataFrame, key: str, ts: str, gap_seconds: int = R.SESSION_TTL_SECONDS,

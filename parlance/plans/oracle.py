@@ -222,6 +222,13 @@ SELECT s.*, CASE WHEN is_blocked THEN coalesce(lang_hint, 'unknown') ELSE {langu
   coalesce(j.tags, '') AS tags
 FROM sc s LEFT JOIN ts_j j ON s.message_id = j.message_id"""
 
+# What each screening was given: the reply after a message that was let pass has the message's intent, tags, language.
+CTE["calls"] = """
+SELECT t.*, CASE WHEN p.role IS NOT NULL THEN p.intent ELSE '' END AS call_intent, coalesce(p.tags, '') AS call_tags,
+  CASE WHEN p.role IS NOT NULL THEN p.lang WHEN t.role = 'user' THEN coalesce(t.lang_hint, 'unknown') ELSE 'unknown' END AS call_lang
+FROM turns t LEFT JOIN turns p ON p.session_id = t.session_id AND p.turn = t.turn - 1 AND t.role = 'assistant' AND p.role = 'user'
+  AND NOT p.is_blocked"""
+
 ORACLE: dict[str, str] = {}
 
 
@@ -246,11 +253,13 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.text IS NOT NULL A
 oracle("official_tags", """
 SELECT lower(tag) AS tag_lower, arg_max(tag, first_row) AS tag FROM (
   SELECT trim(tag) AS tag, min(row_no) AS first_row FROM sheet WHERE trim(tag) <> '' GROUP BY trim(tag)) GROUP BY lower(tag)""")
-AUDIT = """
-SELECT epoch_us(ts) AS ts_us, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts_human, user_id, session_id, role, lang, intent, tags,
-  masked_text AS content_masked, block_layer = 'injection' AS injection_blocked, injection_hits AS injection_labels,
+_AUDIT = """
+SELECT epoch_us(ts) AS ts_us, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts_human, user_id, session_id, {role} AS role, {lang} AS lang, {intent} AS intent,
+  {tags} AS tags, {text} AS content_masked, block_layer = 'injection' AS injection_blocked, injection_hits AS injection_labels,
   block_layer = 'nsfw' AS nsfw_blocked, nsfw_categories, pii_types AS pii_detected, pii_count, is_blocked,
-  block_reason, block_layer, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date FROM turns"""
+  block_reason, block_layer, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date FROM calls"""
+AUDIT = (_AUDIT.format(role="role", lang="call_lang", intent="call_intent", tags="call_tags", text="masked_text") + " UNION ALL "
+         + _AUDIT.format(role="'intent'", lang="lang", intent="intent", tags="tags", text="''") + " WHERE role = 'user' AND NOT is_blocked")
 oracle("audit_log", AUDIT)
 oracle("stream_guardrail", AUDIT)
 oracle("pii_vault", """
@@ -457,21 +466,21 @@ UNION ALL SELECT 'overall', split, NULL, CAST(sum(n) AS BIGINT), CAST(sum(correc
 # ---- sessions and users -----------------------------------------------------
 CTE["user_tags"] = """
 SELECT user_id, tag, min((ts, message_id)) AS first FROM (
-  SELECT user_id, ts, message_id, unnest(string_split(tags, '|')) AS tag FROM turns WHERE role = 'assistant' AND tags <> '')
+  SELECT user_id, ts, message_id, unnest(string_split(call_tags, '|')) AS tag FROM calls WHERE call_tags <> '')
 GROUP BY ALL"""
 CTE["user_intents"] = """
-SELECT user_id, intent, min((ts, message_id)) AS first FROM turns WHERE role = 'assistant' AND intent <> '' GROUP BY ALL"""
+SELECT user_id, call_intent AS intent, min((ts, message_id)) AS first FROM calls WHERE call_intent <> '' GROUP BY ALL"""
 CTE["user_pii"] = """
 SELECT s.user_id, m.pii_type, min((s.ts, s.message_id)) AS first, count(DISTINCT m.value_hash) AS vals
 FROM scp_m m JOIN sc s ON m.message_id = s.message_id GROUP BY ALL"""
 CTE["profile"] = """
-SELECT t.user_id, arg_min(session_id, (ts, message_id)) AS session_id, arg_min(lang, (ts, message_id)) AS lang,
+SELECT t.user_id, arg_min(session_id, (ts, message_id)) AS session_id, arg_min(call_lang, (ts, message_id)) AS lang,
   epoch_us(min(ts)) AS created_us, epoch_us(max(ts)) AS updated_us, count(*) AS message_count,
   count(*) FILTER (is_blocked OR pii_count > 0) AS flagged_count, count(*) FILTER (block_layer = 'injection') AS injection_attempts,
   count(*) FILTER (block_layer = 'nsfw') AS nsfw_attempts,
   coalesce(any_value(i.v), '') AS intents_seen, coalesce(any_value(g.v), '') AS tags_seen, coalesce(any_value(p.v), '') AS pii_types_seen,
   CAST(coalesce(any_value(p.vals), 0) AS BIGINT) AS pii_values
-FROM turns t
+FROM calls t
 LEFT JOIN (SELECT user_id, string_agg(intent, '|' ORDER BY first, intent) AS v FROM user_intents GROUP BY user_id) i ON t.user_id = i.user_id
 LEFT JOIN (SELECT user_id, string_agg(tag, '|' ORDER BY first, tag) AS v FROM user_tags GROUP BY user_id) g ON t.user_id = g.user_id
 LEFT JOIN (SELECT user_id, string_agg(pii_type, '|' ORDER BY first, pii_type) AS v, sum(vals) AS vals FROM user_pii GROUP BY user_id) p
@@ -485,10 +494,11 @@ for name, n in (("session_history", S.HISTORY_TURNS), ("session_history_3", 3)):
 SELECT session_id, user_id, turn, role, masked_text FROM sc
 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) <= {n}""")
 oracle("context_window", f"""
-SELECT a.session_id, a.turn, {lit(S.INTENT_HINT[0])} || a.intent || {lit(S.INTENT_HINT[1])} || replace(a.tags, '|', ', ') || {lit(S.INTENT_HINT[2])} AS hint,
+SELECT a.session_id, a.turn, CASE WHEN a.call_intent = '' THEN '' ELSE {lit(S.INTENT_HINT[0])} || a.call_intent || {lit(S.INTENT_HINT[1])}
+  || replace(a.call_tags, '|', ', ') || {lit(S.INTENT_HINT[2])} END AS hint,
   coalesce((SELECT string_agg(b.role || ': ' || b.masked_text, chr(10) ORDER BY b.turn) FROM turns b
     WHERE b.session_id = a.session_id AND b.turn BETWEEN a.turn - {S.CONTEXT_TURNS} AND a.turn - 1), '') AS context
-FROM turns a WHERE a.role = 'assistant'""")
+FROM calls a WHERE a.role = 'assistant'""")
 AS_OF = "TIMESTAMP '2024-01-20 12:00:00'"
 
 

@@ -76,7 +76,7 @@ def _flat_audit(df):
 @query
 def audit_log(spark, sf):
     """Append to the day-partitioned sink, then read it back."""
-    rows = sinks.audit_rows(D.screen_turns(V.chat_events(spark, sf)))
+    rows = sinks.audit_rows(D.with_call(V.screened_chat(spark, sf)))
     path = work_dir(spark, "audit")
     sinks.append_json(rows, path, ["event_date"])
     return _flat_audit(sinks.read_json(spark, path, rows.schema))
@@ -374,7 +374,7 @@ def eval_per_intent(spark, sf):
 # ---- sessions and users -----------------------------------------------------
 @query
 def user_profile(spark, sf):
-    p = SE.user_profile(D.screen_turns(V.chat_events(spark, sf)))
+    p = SE.user_profile(D.with_call(V.screened_chat(spark, sf).drop("text", "masked_text")))
     return p.withColumn("created_us", us("created_at")).withColumn("updated_us", us("updated_at")).drop(
         "created_at", "updated_at")
 
@@ -396,7 +396,7 @@ def session_history_3(spark, sf):
 
 @query
 def context_window(spark, sf):
-    out = SE.context_window(V.screened_chat(spark, sf))
+    out = SE.context_window(D.with_call(V.screened_chat(spark, sf).drop("text")))
     lines = F.transform("context", lambda c: F.concat(c["role"], F.lit(": "), c["content"]))
     return out.select("session_id", "turn", "hint", F.array_join(lines, "\n").alias("context"))
 
@@ -553,7 +553,7 @@ def _drained(q) -> None:
 def stream_guardrail(spark, sf):
     out = work_dir(spark, "stream-guardrail")
     _drained(jobs.stream_guardrail(_event_stream(spark, sf), f"{out}/rows", f"{out}/checkpoint"))
-    schema = sinks.audit_rows(D.screen_turns(V.chat_events(spark, sf))).schema
+    schema = sinks.audit_rows(D.with_call(V.screened_chat(spark, sf))).schema
     return _flat_audit(sinks.read_json(spark, f"{out}/rows/audit", schema))
 
 

@@ -15,15 +15,22 @@ from parlance.rules import sessions as R
 
 
 def audit_rows(screened: DataFrame) -> DataFrame:
-    """One row per screened turn.  Never holds raw text: block reasons quote the
+    """One row per screened turn, and one of role ``intent`` for every message that was let pass.
+
+    A turn's row has the intent, tags and language that its screening was given
+    (``decisions.with_call``); the ``intent`` row has those that the classifier found, and no text.  Never holds raw text: block reasons quote the
     message, so the whole match is masked first and then cut; a cut value would not be known any more."""
     snippet = f"substring({S.mask_pii_sql('_h.matched')}, 1, {R_SAFE.INJECTION_SNIPPET_CHARS})"
     labels = F.expr(f"transform(injection_hits, _h -> concat(_h.label, ':\\'', {snippet}, '\\''))")
     safe_reason = (F.when(F.col("block_layer") == "injection", F.concat(F.lit(R_SAFE.INJECTION_REASON), F.array_join(labels, ", ")))
                    .when(F.col("block_layer") == "nsfw", F.col("block_reason")).otherwise(""))
-    return screened.select(
-        F.col("ts"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts_human"), "user_id", "session_id", "role",
-        "lang", "intent", "tags", F.col("masked_text").alias("content_masked"),
+    call = F.struct("role", F.col("call_lang").alias("lang"), F.col("call_intent").alias("intent"), F.col("call_tags").alias("tags"),
+                    F.col("masked_text").alias("content_masked"))
+    found = F.struct(F.lit("intent").alias("role"), "lang", "intent", "tags", F.lit("").alias("content_masked"))
+    classified = (F.col("role") == "user") & ~F.col("is_blocked")
+    rows = screened.withColumn("_row", F.explode(F.when(classified, F.array(call, found)).otherwise(F.array(call))))
+    return rows.select(
+        F.col("ts"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts_human"), "user_id", "session_id", "_row.*",
         (F.col("block_layer") == "injection").alias("injection_blocked"), labels.alias("injection_labels"),
         (F.col("block_layer") == "nsfw").alias("nsfw_blocked"), "nsfw_categories",
         S.pii_types("pii").alias("pii_detected"), F.size("pii").cast("bigint").alias("pii_count"),

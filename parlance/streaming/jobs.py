@@ -13,7 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window as W
 
 from parlance.operators import summaries as SM
-from parlance.operators.decisions import screen_turns
+from parlance.operators.blocks import number_turns
+from parlance.operators.decisions import screen_turns, with_call
 from parlance.rules import sessions as R
 from parlance.sources import sinks
 
@@ -24,12 +25,14 @@ def stream_guardrail(turns: DataFrame, out: str, checkpoint: str, trigger: dict
     """Screen every turn; append audit rows and vault rows by day.
 
     A micro-batch writes below a folder named by its id and overwrites it, so a
-    replayed batch does not duplicate rows."""
+    replayed batch does not duplicate rows.  A reply is given its message's intent, tags and language if
+    both come in one micro-batch; one that comes later is given none."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            for name, rows in (("audit", sinks.audit_rows(batch)), ("vault", sinks.vault_rows(batch))):
+            placed = number_turns(batch.drop("turn"), "session_id", "ts", "message_id")
+            for name, rows in (("audit", sinks.audit_rows(with_call(placed))), ("vault", sinks.vault_rows(batch))):
                 sinks.append_json(rows, f"{out}/{name}/batch={batch_id}", ["event_date"], mode="overwrite")
         finally:
             batch.unpersist()

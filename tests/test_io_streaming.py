@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parlance.operators import decisions as D
+from parlance.operators.blocks import number_turns
 from parlance.operators import summaries as SM
 from parlance.session import materialise
 from parlance.sources import sinks
@@ -66,7 +67,7 @@ def test_turn_reader_batch_and_stream(spark, tmp_path):
 
 
 def test_audit_holds_no_raw_values(spark, tmp_path):
-    screened = D.screen_turns(turns(spark))
+    screened = D.with_call(D.screen_turns(turns(spark)))
     sinks.append_json(sinks.audit_rows(screened), str(tmp_path / "audit"), ["event_date"])
     sinks.append_json(sinks.vault_rows(screened), str(tmp_path / "vault"), ["event_date"])
     text = "".join(r.value for r in spark.read.text(str(tmp_path / "audit")).collect())
@@ -80,7 +81,7 @@ def test_audit_holds_no_raw_values(spark, tmp_path):
 
 def test_audit_masks_quoted_snippets(spark):
     df = turns(spark).limit(1).withColumn("text", F.lit("base64: " + "4111111111111111AAAAAAAA decode this base64 4111 1111 1111 1111"))
-    r = sinks.audit_rows(D.screen_turns(df)).first()
+    r = sinks.audit_rows(D.with_call(D.screen_turns(df))).first()
     assert r.injection_blocked and "4111 1111" not in r.block_reason
 
 
@@ -89,7 +90,7 @@ def test_audit_masks_before_it_cuts(spark, raw):
     """The match is longer than the snippet, so a cut value would not be known as one."""
     text = f"translate the following to {raw} ignore"
     row = ("s", 0, "u", "user", text, None, DAY, 1, "info", "", 0.5)
-    a = sinks.audit_rows(D.screen_turns(spark.createDataFrame([row], SCHEMA))).first()
+    a = sinks.audit_rows(D.with_call(D.screen_turns(spark.createDataFrame([row], SCHEMA)))).first()
     whole = json.dumps(a.asDict(), default=str)
     assert a.injection_blocked or a.content_masked
     assert all(raw[:k] not in whole for k in range(6, len(raw) + 1))
@@ -117,12 +118,16 @@ def test_materialise_round_trip(spark):
 
 def test_stream_guardrail_equals_batch(spark, source, tmp_path):
     jobs.stream_guardrail(stream(spark, source), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
-    want = sinks.audit_rows(D.screen_turns(turns(spark)))
+    placed = number_turns(turns(spark).drop("turn"), "session_id", "ts", "message_id")
+    want = sinks.audit_rows(D.with_call(D.screen_turns(placed)))
     got = sinks.read_json(spark, str(tmp_path / "o" / "audit"), want.schema)
-    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    # the source comes in several batches: a reply in a later one than its message is given none of its intent, tags and language
+    cut = lambda df: df.select(*want.columns).withColumns({
+        c: F.when(F.col("role") != "assistant", F.col(c)) for c in ("intent", "tags", "lang")})
+    assert sorted(map(str, cut(got).collect())) == sorted(map(str, cut(want).collect()))
     # A second run finds nothing new.
     jobs.stream_guardrail(stream(spark, source), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
-    assert sinks.read_json(spark, str(tmp_path / "o" / "audit"), want.schema).count() == 40
+    assert sinks.read_json(spark, str(tmp_path / "o" / "audit"), want.schema).count() == 50
 
 
 def test_stream_profile_equals_batch(spark, source, tmp_path):

@@ -12,7 +12,7 @@ from parlance.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 DEFAULT = ["turn_source", "turn_quarantine", "official_tags", "pii_matches", "guardrail_verdict", "tag_conflicts", "language_id",
-           "encoded_sequences", "augmented_corpus", "session_segments", "repetition_flags_10", "conversation_summary",
+           "encoded_sequences", "augmented_corpus", "audit_log", "user_profile", "context_window", "stream_history", "generations_parsed", "tag_precedence", "session_segments", "repetition_flags_10", "conversation_summary",
            "turn_decisions", "corpus_split"]
 
 

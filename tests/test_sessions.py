@@ -47,7 +47,7 @@ def test_repetition_across_blocks(spark, small_blocks):
 def test_context_across_blocks(spark, small_blocks):
     rows = make_turns(3)
     df = spark.createDataFrame(rows, "session_id string, turn bigint, role string, masked_text string")
-    df = df.withColumns({"intent": F.lit("info"), "tags": F.array(F.lit("t"))})
+    df = df.withColumns({"call_intent": F.lit("info"), "call_tags": F.array(F.lit("t"))})
     got = {(r.session_id, r.turn): [c.turn for c in r.context] for r in SE.context_window(df, n=20).collect()}
     want = {(s, t): list(range(max(0, t - 20), t)) for s, t, role, _ in rows if role == "assistant"}
     assert got == want
@@ -143,12 +143,29 @@ def chat(spark):
 
 
 def test_profile_counts(spark):
-    p = {r.user_id: r for r in SE.user_profile(chat(spark)).collect()}
+    calls = D.with_call(chat(spark))
+    given = {(r.session_id, r.turn): (r.call_intent, r.call_lang) for r in calls.collect()}
+    assert given == {("s1", 0): ("", "unknown"), ("s1", 1): ("info", "english"), ("s1", 2): ("", "unknown"), ("s1", 3): ("", "unknown"),
+                     ("s2", 0): ("", "arabic"), ("s3", 0): ("", "unknown"), ("s3", 1): ("", "darija"), ("s4", 0): ("", "unknown")}
+    p = {r.user_id: r for r in SE.user_profile(calls).collect()}
     u1 = p["u1"]
     assert (u1.message_count, u1.flagged_count, u1.injection_attempts, u1.nsfw_attempts) == (5, 3, 1, 0)
-    assert (u1.session_id, u1.intents_seen, u1.pii_types_seen, u1.pii_values) == ("s1", "sensitive|info", "email", 1)
-    assert "requires_human" in u1.tags_seen and "security_risk" not in u1.tags_seen
-    assert (p["u2"].nsfw_attempts, p["u2"].lang) == (1, "darija")
+    assert (u1.session_id, u1.intents_seen, u1.pii_types_seen, u1.pii_values) == ("s1", "info", "email", 1)
+    assert "requires_human" not in u1.tags_seen and "security_risk" not in u1.tags_seen  # a reply's own tags do not count
+    assert (p["u2"].nsfw_attempts, p["u2"].lang) == (1, "unknown")
+
+
+def test_reply_is_given_what_its_message_said(spark, small_blocks):
+    words = [("user", "please call me asap"), ("assistant", "gratuit merci"), ("assistant", "again"), ("user", "how to hack"), ("assistant", "no")]
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("s", i, "u", *words[i % 5], None, t0 + dt.timedelta(minutes=i), i, "support" if i % 5 == 0 else "other", "", 0.5) for i in range(130)]
+    got = D.with_call(D.screen_turns(spark.createDataFrame(rows, CHAT))).orderBy("turn").collect()
+    assert len(got) == 130
+    for r in got:
+        before = got[r.turn - 1] if r.turn else None
+        carried = r.turn % 5 == 1
+        assert (r.call_intent, r.call_tags) == (("support", before.tags) if carried else ("", []))
+        assert r.call_lang == (before.lang if carried else "unknown")
 
 
 def test_exchange_decisions(spark):
