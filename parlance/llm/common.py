@@ -166,16 +166,21 @@ def bucket_components(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame
     """Components (node, component) of all confirmed pairs of ``buckets`` (bucket long, rep long); None without any.
 
     ``alike`` drops pairs (a, b) that cannot be links, ``confirm`` those that are none.  No bucket emits all
-    its pairs: in each round its first members (4, 32, 256, ... in the order of a hash) meet
+    its pairs: in each round its first members (4, 32, 256, ...) meet
     the others, then leave it, and a bucket whose members lie in one component is finished.
     So every pair of a bucket is confirmed or refuted, or lies in one component already.
+    First come those that meet most others over all buckets: the text that copies were made from is
+    closer to each of them than they are to one another.
     """
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    order = materialise(buckets.join(sizes, "bucket").groupBy("rep").agg((-F.sum("n")).alias("turn")), "pairs-order")
+    buckets = buckets.join(order, "rep").select("bucket", "rep", "turn")
     links = components = None
     pivots = 4
     while True:
         state = with_component(buckets, components, "rep", "component")
         mixed = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-        turn = W.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep")
+        turn = W.partitionBy("bucket").orderBy("turn", F.xxhash64("rep"), "rep")
         ranked = materialise(state.join(mixed, "bucket").withColumn("rank", F.row_number().over(turn)), "pairs-open")
         if ranked.isEmpty():
             return components
@@ -184,7 +189,8 @@ def bucket_components(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame
         pairs = ranked.join(heads, "bucket").where("ra < rank AND ca <> component").select("a", F.col("rep").alias("b")).distinct()
         near = materialise(alike(pairs), "pairs-near")
         # first one pair for each member, with the head that comes first of all; then those that it did not bring together
-        first = near.groupBy("b").agg(F.min_by("a", F.xxhash64("a")).alias("a")).select("a", "b")
+        turns = near.join(order.select(F.col("rep").alias("a"), "turn"), "a")
+        first = turns.groupBy("b").agg(F.min_by("a", F.struct("turn", F.xxhash64("a"))).alias("a")).select("a", "b")
         found = materialise(confirm(first), "pairs-links")
         stars = found.select(F.col("b").alias("node"), F.col("a").alias("component"))
         apart = with_component(with_component(near, stars, "a", "ca"), stars, "b", "cb").where("ca <> cb").select("a", "b")
@@ -193,5 +199,5 @@ def bucket_components(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame
         if not both.isEmpty():
             links = both if links is None else links.union(both)
             components = fold_min(links, "pairs-components")
-        buckets = ranked.where(F.col("rank") > pivots).select("bucket", "rep")
+        buckets = ranked.where(F.col("rank") > pivots).select("bucket", "rep", "turn")
         pivots *= 8
