@@ -8,7 +8,7 @@ probability of some 1e-7.
 
 Documents with equal shingle sets form a class first, and only one of each
 class goes on.  A bucket never emits all its pairs.  In each round its first
-members (1, 4, 16, ...) are compared with the others, then leave it; a bucket whose
+members (4, 32, 256, ...; those that meet most others first) are compared with the others, then leave it; a bucket whose
 remaining members lie in one component is finished.  Rounds go on until no
 bucket is left, so no pair of a bucket with different components stays unchecked.
 Pairs are confirmed on the full shingle sets of their whole texts.
