@@ -1,13 +1,14 @@
 """Line deduplication by a segment-partition edit join.
 
-A line of length l is cut into ``EDITS`` + 1 segments.  If two lines differ by at most ``EDITS`` edits,
-one segment of the shorter is a substring of the longer, at a place and for a
+Two lines are alike if they differ by at most one edit for every ``EDIT_CHARS`` characters of the shorter, and
+``EDITS`` at most; below ``EDIT_CHARS`` characters only equal lines are.  A line with a bound of e edits is cut
+into e + 1 segments.  If two lines differ by at most e edits, one segment of the shorter is a substring of the longer, at a place and for a
 length that can be told beforehand.  So each line probes a few substrings for each length it may
 be matched with (its own segments among them), and the lines that meet under
 one (length, segment, substring) are candidates.  They are verified on their whole texts by
-a bit-parallel edit distance that works on a band of 2 * ``EDITS`` + 1 diagonals.
+a bit-parallel edit distance that works on a band of 2 * e + 1 diagonals.
 
-Equal lines are one line from the start.  Groups under one substring never emit all their pairs (see
+Equal lines of any length are one line from the start.  Groups under one substring never emit all their pairs (see
 ``bucket_components``); lines that are linked, directly or over others, form a class, and the first
 line of a class stays.  Line ids are 64-bit hashes: among ten thousand million lines
 some three pairs can be expected to share one.
@@ -28,8 +29,10 @@ from parlance.llm.common import bucket_components, slices
 from parlance.session import materialise
 
 EDITS = 2
-#: Shorter lines (code points, without outer white space) are left alone.
-LEAST_CHARS = 20
+#: Characters of the shorter line for each edit.
+EDIT_CHARS = 10
+#: Code points without outer white space: only empty lines are left alone.
+LEAST_CHARS = 1
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -60,6 +63,16 @@ def probes(length: int, edits: int = EDITS) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def bound(length: int) -> int:
+    """The edits by which a line of ``length`` may differ from one as long or longer."""
+    return min(EDITS, length // EDIT_CHARS)
+
+
+def bounded_probes(length: int) -> list[tuple[int, int, int, int]]:
+    """The probes of ``length`` with the bound of each matched length; none where only equal lines are alike."""
+    return [p for e in range(1, EDITS + 1) for p in probes(length, e) if bound(p[0]) == e]
+
+
 def within_edits(a: str, b: str, edits: int = EDITS) -> bool:
     """Whether the edit distance is at most ``edits``: common ends are cut, the rest goes through the band."""
     if abs(len(a) - len(b)) > edits:
@@ -120,7 +133,7 @@ def band_distance(a: str, b: str, edits: int) -> int:
 
 
 def _lines(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(row, line number, trimmed line) of the lines that are long enough."""
+    """(row, line number, trimmed line) of the lines that are not empty."""
     lists = pc.split_pattern(pc.fill_null(batch.column("text"), ""), "\n")
     rows, flat = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), pc.ascii_trim(pc.list_flatten(lists), BLANKS)
     starts = np.searchsorted(rows, np.arange(batch.num_rows), "left")
@@ -152,7 +165,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(x)
             plan = plans.get(n)
             if plan is None:
-                plan = plans[n] = [(a, a + size, length * 8 + i) for length, i, a, size in probes(n)]
+                plan = plans[n] = [(a, a + size, length * 8 + i) for length, i, a, size in bounded_probes(n)]
             keys += [h(x[a:b], seed) for a, b, seed in plan]
             counts.append(len(plan))
         yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(_ids(names), counts))], names=["bucket", "rep"])
@@ -166,7 +179,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = [within_edits(x, y) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
+        good = [within_edits(x, y, bound(min(len(x), len(y)))) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
@@ -178,10 +191,11 @@ def line_classes(slim: DataFrame) -> DataFrame | None:
     wanted = buckets.select(F.col("rep").alias("id")).distinct()
     texts = materialise(slim.mapInArrow(_texts, "id long, line string").join(wanted, "id").dropDuplicates(["id"]), "lines-texts")
     sizes = texts.select("id", F.length("line").alias("n"))
+    fits = f"abs(na - nb) <= least({EDITS}, least(na, nb) div {EDIT_CHARS})"
 
     def alike(pairs: DataFrame) -> DataFrame:
         return pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(
-            sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").where(f"abs(na - nb) <= {EDITS}").select("a", "b")
+            sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").where(fits).select("a", "b")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         return pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("tb")), "b").join(
@@ -193,7 +207,7 @@ def line_classes(slim: DataFrame) -> DataFrame | None:
 def line_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_near, first_docs, drop_lines) of every document with a doc_id.
 
-    n_lines counts lines of LEAST_CHARS characters or more; n_near those of them whose class has a different line.
+    n_lines counts all lines that are not empty; n_near those of them whose class has a different line.
     drop_lines are the numbers (from 0, in the text's split at line ends) of the lines that are not the first of their
     class, first_docs the smallest doc_ids of the classes of its lines.  "First" is the smallest doc_id, then line number.
     Null and empty texts have no lines; rows with a null doc_id are left out; rows that repeat a doc_id

@@ -181,6 +181,32 @@ def test_lines(spark):
     assert lines.line_report(docs.limit(0)).count() == 0
 
 
+def test_short_lines(spark):
+    rnd = random.Random(5)
+    base = ["".join(rnd.choice("abcdefgh") for _ in range(n)) for n in (1, 2, 3, 5, 8, 9, 10, 11, 12, 15, 18, 19, 20, 21, 22)]
+    rows = [(i, "\n".join(edited(rnd, rnd.choice(base), rnd.choice([0, 0, 1, 2]), "abxyz") for _ in range(rnd.randint(1, 6)))) for i in range(150)]
+    rows += [(200, "Les.\n \nLes.\n\tLes. \nLas."), (201, "Les."), (202, "Read more!\nRead more"), (203, "Read mores"), (204, "é" * 10), (205, "é" * 9 + "ê"), (206, "é" * 9)]
+    seen = [(i, k, x.strip()) for i, t in rows for k, x in enumerate(t.split("\n")) if x.strip()]
+    names = sorted({x for _, _, x in seen}, key=lambda x: (len(x), x))
+    parent, linked = {x: x for x in names}, set()
+    for k, a in enumerate(names):
+        for b in names[k + 1 :]:
+            e = min(2, len(a) // 10)
+            if len(b) - len(a) <= e and distance(a, b) <= e:
+                linked |= {a, b}
+                parent[find(parent, a)] = find(parent, b)
+    first = {}
+    for i, k, x in sorted(seen):
+        first.setdefault(find(parent, x), (i, k))
+    want = {i: (0, 0, []) for i, _ in rows}
+    for i, k, x in seen:
+        n, near, drop = want[i]
+        want[i] = (n + 1, near + (x in linked), drop + [k] * (first[find(parent, x)] != (i, k)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_near, sorted(r.drop_lines)) for r in lines.line_report(docs).collect()}
+    assert got == want and got[200] == (4, 0, [2, 3]) and got[201] == (1, 0, [0]) and 0 < len({x for x in linked if len(x) < 20})
+
+
 def brute_align(item, words):
     h, best = [[0] * (len(words) + 1) for _ in range(len(item) + 1)], 0
     for i in range(1, len(item) + 1):
