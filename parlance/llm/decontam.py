@@ -8,6 +8,10 @@ Where a document holds a seed, the words around it are aligned with the item's:
 alignment with ``MATCH``, ``MISMATCH`` and ``GAP``, over the best score the item can have.
 Edited and paraphrased copies keep a high share of it.
 
+An item of fewer than ``LEAST_WORDS`` words cannot be told from chance by a share of its score: its
+whole sequence is its seed, and a document holds it if the sequence is there word for word.
+Each character of a script without spaces (``UNSPACED``) is a word here; two of them count as one towards ``LEAST_WORDS``.
+
 The benchmark is worked on in parts of at most ``PART_WORDS`` words, each broadcast in turn, so its
 size is bounded; the corpus is read, never moved.
 """
@@ -21,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +34,31 @@ from parlance.llm.common import grams, hash_words, letter_words, slices
 SEED_WORDS, LEAST_SEEDS = 3, 5
 #: A run is rare if the product of its words' shares of the corpus is at most this.
 RARE = 1e-8
-#: Items of fewer words cannot be told from chance and match nothing.
+#: Items of fewer words are found as a whole only.
 LEAST_WORDS = 8
+#: A character of a script that is written without spaces between words.
+UNSPACED = "[" + "".join(rf"\p{{{x}}}" for x in (
+    "Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar",
+    "Tai_Le", "New_Tai_Lue", "Tai_Tham", "Javanese", "Balinese")) + "]"
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the best possible score from which a document is contaminated.
 THRESHOLD = 0.5
 PART_WORDS = 1_000_000
 
 
+def item_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """``letter_words`` with each character of unspaced scripts as a word."""
+    if pc.any(pc.match_substring_regex(texts, UNSPACED)).as_py():
+        texts = pc.replace_substring_regex(texts, f"({UNSPACED})", r" \1 ")
+    return letter_words(texts)
+
+
+def is_short(flat: pa.Array) -> bool:
+    """Whether an item of these words is found as a whole only."""
+    single = pc.sum(pc.match_substring_regex(flat, UNSPACED)).as_py() or 0
+    return len(flat) - single / 2 < LEAST_WORDS
+
+
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     """(best local score, index after the last aligned word) of Smith and Waterman's alignment."""
     row, best, end = np.zeros(len(words) + 1, np.int32), 0, 0
@@ -63,28 +85,30 @@ def locate(item: np.ndarray, words: np.ndarray) -> tuple[float, int, int]:
 
 @dataclass(frozen=True)
 class Part:
-    """Items of a part and their seeds, sorted by hash: the item and the offset of each."""
+    """Items of a part and their seeds, sorted by hash: the item and the offset of each; short items by their number of words."""
 
     ids: tuple[int, ...]
     items: tuple[np.ndarray, ...]
     seeds: np.ndarray
     owner: np.ndarray
     offset: np.ndarray
+    #: number of words -> (hashes of whole items, sorted; their ids)
+    short: dict[int, tuple[np.ndarray, tuple[int, ...]]]
 
     def hits(self, texts: pa.Array, threshold: float) -> list[tuple[int, int, float, int, int]]:
         """(row, item id, score, first word, end word) of every text and item that reach ``threshold``."""
-        rows, flat = letter_words(texts)
+        rows, flat = item_words(texts)
         hashes = hash_words(flat)
+        begins = np.searchsorted(rows, np.arange(len(texts) + 1), "left")
+        out = self._whole(rows, hashes, begins) if threshold <= 1 else []
         row, at, h = grams(rows, hashes, SEED_WORDS)
         low = np.searchsorted(self.seeds, h, "left")
         count = np.searchsorted(self.seeds, h, "right") - low
         found = np.flatnonzero(count)
-        begins = np.searchsorted(rows, np.arange(len(texts) + 1), "left")
         spots: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for i in found:
             for k in range(low[i], low[i] + count[i]):
                 spots[int(row[i]), int(self.owner[k])].append((int(at[i]), int(self.offset[k])))
-        out = []
         for (r, owner), seeds in spots.items():
             item, best = self.items[owner], (0.0, 0, 0)
             size, slack = len(item), len(item) // 2
@@ -102,12 +126,27 @@ class Part:
                 out.append((r, self.ids[owner], *best))
         return out
 
+    def _whole(self, rows: np.ndarray, hashes: np.ndarray, begins: np.ndarray) -> list[tuple[int, int, float, int, int]]:
+        """The hits of short items: the first place of each in each text."""
+        out = []
+        for n, (seeds, ids) in self.short.items():
+            row, at, h = grams(rows, hashes, n)
+            low = np.searchsorted(seeds, h, "left")
+            count = np.searchsorted(seeds, h, "right") - low
+            found = np.repeat(np.arange(len(h)), count)
+            k = np.arange(len(found)) - np.repeat(np.cumsum(count) - count - low, count)
+            _, first = np.unique(row[found] * len(seeds) + k, return_index=True)
+            for r, p, i in zip(row[found[first]].tolist(), at[found[first]].tolist(), k[first].tolist()):
+                a = p - int(begins[r])
+                out.append((r, ids[i], 1.0, a, a + n))
+        return out
+
 
 def _word_counts(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
     known, total = held.value, 0
     counts = np.zeros(len(known), np.int64)
     for batch in slices(batches):
-        h = hash_words(letter_words(batch.column("text"))[1])
+        h = hash_words(item_words(batch.column("text"))[1])
         total += len(h)
         at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
         if len(known):
@@ -121,13 +160,24 @@ def parts(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS) -
     texts = docs.select(F.col("text").cast("string").alias("text"))
     rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, math.ceil(size / 4 / part_words))
+    # a word has three bytes at least, be it a character of an unspaced script, but for few short ones
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, math.ceil(size / 3 / part_words))
     for p in range(n):
         own = sorted({(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == p).toLocalIterator()})
-        items = [(i, hash_words(letter_words(pa.array([t]))[1])) for i, t in own]
-        items = [(i, h) for i, h in items if len(h) >= LEAST_WORDS]
+        items, whole = [], defaultdict(list)
+        for i, t in own:
+            flat = item_words(pa.array([t]))[1]
+            h = hash_words(flat)
+            if not is_short(flat):
+                items.append((i, h))
+            elif len(h):
+                whole[len(h)].append((grams(np.zeros(len(h), np.int64), h, len(h))[2][0], i))
+        short = {m: (np.array([g for g, _ in sorted(v)], np.uint64), tuple(i for _, i in sorted(v))) for m, v in whole.items()}
         if not items:
+            if short:
+                none = np.empty(0, np.int64)
+                yield Part((), (), np.empty(0, np.uint64), none, none, short)
             continue
         known = np.unique(np.concatenate([h for _, h in items]))
         held = sc.broadcast(known)
@@ -146,7 +196,7 @@ def parts(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS) -
             offset.append(at[take])
         seeds, owner, offset = map(np.concatenate, (seeds, owner, offset))
         order = np.argsort(seeds, kind="stable")
-        yield Part(tuple(i for i, _ in items), tuple(h for _, h in items), seeds[order], owner[order], offset[order])
+        yield Part(tuple(i for i, _ in items), tuple(h for _, h in items), seeds[order], owner[order], offset[order], short)
 
 
 def _find(batches: Iterator[pa.RecordBatch], held, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -162,7 +212,8 @@ def _find(batches: Iterator[pa.RecordBatch], held, threshold: float) -> Iterator
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, part_words: int = PART_WORDS) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word): one row for each document and item that align to ``threshold`` or more.
 
-    The span is that of the best alignment, in words of letters and digits.  Rows with null texts or items match
+    The span is that of the best alignment, in words of letters and digits (characters, of unspaced scripts); of an item
+    of few words, the first place that holds it whole.  Items without letters and digits match nothing.  Rows with null texts or items match
     nothing; a null doc_id passes through; rows that repeat give a row each; items that repeat under one id count as one item each.
     """
     sc = docs.sparkSession.sparkContext

@@ -249,6 +249,23 @@ def test_contaminated(spark):
     assert decontam.contaminated(own.limit(0), items).count() == 0 and decontam.contaminated(own, items.limit(0)).count() == 0
 
 
+def test_short_and_unspaced_items(spark):
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(40))
+    items = [(1, "Who wrote Hamlet?"), (2, "Ouagadougou"), (3, "seven words make up this short item"), (4, "two words"), (5, "two words"), (6, han[:10]),
+             (7, han), (8, "ใครเป็นผู้เขียน"), (9, "?!"), (10, "eight or more words make up a longer item here")]
+    texts = ["so, WHO wrote hamlet? And who wrote Hamlet", "who wrote the Hamlet", "in Ouagadougou.", "x seven words make up this short item y", "seven words make up this long item",
+             "two, words", "two other words", f"前{han[:10]}後", f"前{han[:9]}後", f"{han[:18]}中{han[20:]}", "เขาถามว่าใครเป็นผู้เขียนหนังสือ", "?!", None, "", "eight or more words make up a longer item"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(0, 1): (1, 4), (2, 2): (1, 2), (3, 3): (1, 8), (5, 4): (0, 2), (5, 5): (0, 2), (7, 6): (1, 11), (10, 8): None, (9, 6): (0, 10), (9, 7): None, (14, 10): (0, 9)}
+    for size in (decontam.PART_WORDS, 5):
+        got = {(r.doc_id, r.item_id): (r.first_word, r.end_word, r.score) for r in decontam.contaminated(docs, bench, part_words=size).collect()}
+        assert {k: v[:2] if want.get(k) else None for k, v in got.items()} == want
+        assert all(v[2] == 1 for k, v in got.items() if k[1] not in (7, 10)) and got[9, 7][2] < 1
+    left = decontam.decontaminate(docs, bench)
+    assert {r.doc_id for r in left.collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
 def test_toxicity(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = QUERIES["op4_toxicity"](spark, "/root/testdata/sf0.1")
