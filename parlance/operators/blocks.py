@@ -39,8 +39,8 @@ def with_blocks(df: DataFrame, turn: str, before: int) -> DataFrame:
     return df.withColumn("_block", F.explode(F.expr(f"sequence({turn} div {BLOCK}, ({turn} + {before}) div {BLOCK})")))
 
 
-def block_window(session: str, turn: str, before: int):
-    return W.partitionBy(session, "_block").orderBy(turn).rowsBetween(-before, -1)
+def block_window(keys: list[str], turn: str, before: int):
+    return W.partitionBy(*keys, "_block").orderBy(turn).rowsBetween(-before, -1)
 
 
 def own_rows(df: DataFrame, turn: str) -> DataFrame:

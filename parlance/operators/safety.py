@@ -114,9 +114,9 @@ def pii_linkage(matches: DataFrame, keys: list[str], min_texts: int = 2) -> Data
             .where(F.col("texts") >= min_texts))
 
 
-def user_fingerprints(matches: DataFrame, user: str, order: list[str]) -> DataFrame:
-    """Distinct hashes per user and type, with the moment each was first seen."""
-    return matches.groupBy(user, "pii_type", "value_hash").agg(
+def user_fingerprints(matches: DataFrame, user: str, order: list[str], segment: list[str] = []) -> DataFrame:
+    """Distinct hashes per user (and segment) and type, with the moment each was first seen."""
+    return matches.groupBy(user, *segment, "pii_type", "value_hash").agg(
         F.min(F.struct(*order)).alias("first_seen"), F.count("*").alias("n"))
 
 

@@ -12,6 +12,8 @@ from parlance.operators import blocks as B
 from parlance.rules import sessions as R
 
 FACT = "array<struct<kind:string,value:string>>"
+#: Joins the parts of one fact's value; control characters are not part of ids and language names.
+PARTS = "\x01"
 
 
 def _facts(kind: str, values: Column) -> Column:
@@ -23,9 +25,16 @@ def _one(kind: str, when: Column) -> Column:
         F.array().cast(FACT))
 
 
+def moment(turns: DataFrame, ts: str, tie: str) -> Column:
+    """One orderable value of (ts, tie): a number of fixed width where the tie is a whole number, so that its minimum is found by hashing."""
+    if turns.schema[tie].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        return F.struct(ts, tie)
+    return (F.unix_micros(ts).cast("decimal(18,0)") * F.lit(str(2 * 10**19)).cast("decimal(20,0)") + F.col(tie).cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
 def seen_in_order(kind: str) -> Column:
     """'|'-joined values of one kind by first appearance; bounded by the label set."""
-    items = F.collect_list(F.when(F.col("kind") == kind, F.struct(F.col("first.at"), F.col("value"))))
+    items = F.collect_list(F.when(F.col("kind") == kind, F.struct(F.col("first"), F.col("value"))))
     return F.array_join(F.transform(F.array_sort(items), lambda s: s["value"]), "|")
 
 
@@ -33,7 +42,7 @@ def count_kind(kind: str) -> Column:
     return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
 
 
-def user_profile(turns: DataFrame, order: list[str] = ["ts", "message_id"]) -> DataFrame:
+def user_profile(turns: DataFrame, order: list[str] = ["ts", "message_id"], keys: list[str] = ["user_id"]) -> DataFrame:
     """One row per user from screened turns with what each screening was given (``decisions.with_call``).
 
     Each turn becomes a few (kind, value) facts; these are counted per
@@ -41,10 +50,12 @@ def user_profile(turns: DataFrame, order: list[str] = ["ts", "message_id"]) -> D
     a user with most of the traffic is spread and no raw turn is gathered.
     Distinct personal-data hashes are counted here; ``user_fingerprints``
     lists them, one row each.  Intents and tags are those that a reply's screening was given, the
-    language is the one given to the user's first call.
+    language is the one given to the user's first call.  ``keys`` may add the
+    user's segment (``with_segments``): a profile lives for a fixed time after each write.
     """
     blocked, injected = F.col("is_blocked"), F.col("block_layer") == "injection"
     facts = F.concat(
+        _facts("origin", F.array(F.concat_ws(PARTS, F.col("session_id").cast("string"), F.coalesce("call_lang", F.lit(""))))),
         _one("message", F.lit(True)),
         _one("flagged", blocked | (F.size("pii") > 0)),
         _one("injection", injected),
@@ -55,13 +66,14 @@ def user_profile(turns: DataFrame, order: list[str] = ["ts", "message_id"]) -> D
         _facts("hash", F.array_distinct(F.transform("pii", lambda p: F.concat(
             p["pii_type"], F.lit(":"), S.fingerprint(p["value"]))))),
     )
-    first = F.struct(F.struct(*order).alias("at"), F.col("session_id"), F.col("call_lang").alias("lang"))
-    rows = turns.select("user_id", F.col("ts"), first.alias("row"), F.explode(facts).alias("f"))
-    per_value = rows.groupBy("user_id", F.col("f.kind").alias("kind"), F.col("f.value").alias("value")).agg(
-        F.count("*").alias("n"), F.min("row").alias("first"), F.max("ts").alias("last"))
-    origin = F.min(F.when(F.col("kind") == "message", F.col("first")))
-    out = per_value.groupBy("user_id").agg(
-        origin.alias("origin"),
+    ts = order[0]
+    rows = turns.select(*keys, F.col(ts).alias("at"), moment(turns, *order).alias("moment"), F.explode(facts).alias("f"))
+    per_value = rows.groupBy(*keys, F.col("f.kind").alias("kind"), F.col("f.value").alias("value")).agg(
+        F.count("*").alias("n"), F.min("moment").alias("first"), F.min("at").alias("since"), F.max("at").alias("last"))
+    origin = F.when(F.col("kind") == "origin", F.col("first"))
+    out = per_value.groupBy(*keys).agg(
+        F.split(F.min_by("value", origin), PARTS).alias("origin"),
+        F.min("since").alias("created_at"),
         F.max("last").alias("updated_at"),
         count_kind("message").alias("message_count"),
         count_kind("flagged").alias("flagged_count"),
@@ -73,51 +85,61 @@ def user_profile(turns: DataFrame, order: list[str] = ["ts", "message_id"]) -> D
         F.sum(F.when(F.col("kind") == "hash", 1).otherwise(0)).alias("pii_values"),
     )
     return out.select(
-        "user_id", F.col("origin.session_id").alias("session_id"), F.col("origin.lang").alias("lang"),
-        F.col(f"origin.at.{order[0]}").alias("created_at"), "updated_at", "message_count", "flagged_count",
-        "injection_attempts", "nsfw_attempts", "intents_seen", "tags_seen", "pii_types_seen", "pii_values")
+        *keys, F.col("origin")[0].alias("session_id"), F.col("origin")[1].alias("lang"), "created_at", "updated_at", "message_count",
+        "flagged_count", "injection_attempts", "nsfw_attempts", "intents_seen", "tags_seen", "pii_types_seen", "pii_values")
 
 
-def session_history(turns: DataFrame, n: int = R.HISTORY_TURNS) -> DataFrame:
-    """Newest ``n`` turns per session.
+def session_history(turns: DataFrame, n: int = R.HISTORY_TURNS, keys: list[str] = ["session_id"]) -> DataFrame:
+    """Newest ``n`` turns per session, or per segment of a session.
 
     ``row_number() <= n`` is applied before the shuffle as well as after it
     (window group limit), so a task sends at most ``n`` rows of a session.
     """
-    w = W.partitionBy("session_id").orderBy(F.col("turn").desc())
+    w = W.partitionBy(*keys).orderBy(F.col("turn").desc())
     return turns.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def context_window(turns: DataFrame, content: str = "masked_text", n: int = R.CONTEXT_TURNS) -> DataFrame:
-    """For every assistant turn, the up to ``n`` turns before it and the hint of the message's intent and tags."""
-    w = B.block_window("session_id", "turn", n)
+def context_window(turns: DataFrame, content: str = "masked_text", n: int = R.CONTEXT_TURNS,
+                   keys: list[str] = ["session_id"]) -> DataFrame:
+    """For every assistant turn, the up to ``n`` turns before it and the hint of the message's intent and tags.
+
+    ``keys`` may add the session's segment: turns before a silence that ended the session's state are not seen."""
+    w = B.block_window(keys, "turn", n)
     item = F.struct(F.col("turn"), F.col("role"), F.col(content).alias("content"))
-    rows = B.with_blocks(turns.select("session_id", "turn", "role", content, "call_intent", "call_tags"), "turn", n)
+    rows = B.with_blocks(turns.select(*keys, "turn", "role", content, "call_intent", "call_tags"), "turn", n)
     out = B.own_rows(rows.withColumn("context", F.collect_list(item).over(w)), "turn").where(F.col("role") == "assistant")
     pre, mid, post = R.INTENT_HINT
     hint = F.concat(F.lit(pre), F.col("call_intent"), F.lit(mid), F.array_join("call_tags", ", "), F.lit(post))
-    return out.select("session_id", "turn", "context", F.when(F.col("call_intent") != "", hint).otherwise("").alias("hint"))
+    return out.select(*keys, "turn", "context", F.when(F.col("call_intent") != "", hint).otherwise("").alias("hint"))
 
 
-def session_segments(df: DataFrame, key: str, ts: str, gap_seconds: int = R.SESSION_TTL_SECONDS,
-                     as_of: str | None = None) -> DataFrame:
-    """Runs of activity ended by ``gap_seconds`` of silence.
+def _span(ts: str, gap_seconds: int) -> Column:
+    return F.floor(F.unix_micros(ts) / (min(3600, gap_seconds) * 1_000_000))
 
-    State lives for a fixed time after each write, so a segment is a run of
-    events closer than that.  Events are first reduced per (key, span), a span
-    being an hour or a shorter gap: events of one span are always in the same segment.
-    The window then sees spans, not events.
+
+def _marked(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
+    """(key, _hour, _lo, _hi, _n, segment): a key's spans with activity and the segment each lies in.
+
+    A span is an hour or a shorter gap, so all events of one are in the same segment.  The window sees spans, not events.
     """
     if gap_seconds < 1:
         raise ValueError("gap_seconds must be positive")
-    span = min(3600, gap_seconds) * 1_000_000
-    hours = df.groupBy(key, F.floor(F.unix_micros(ts) / span).alias("_hour")).agg(
+    hours = df.groupBy(key, _span(ts, gap_seconds).alias("_hour")).agg(
         F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.count("*").alias("_n"))
     w = W.partitionBy(key).orderBy("_hour")
     gap = F.unix_micros("_lo") - F.unix_micros(F.lag("_hi").over(w))
     marked = hours.withColumn("_new", F.when(gap.isNull() | (gap >= gap_seconds * 1_000_000), 1).otherwise(0))
-    segs = marked.withColumn("segment", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    out = segs.groupBy(key, "segment").agg(
+    return marked.withColumn("segment", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+
+
+def session_segments(df: DataFrame, key: str, ts: str, gap_seconds: int = R.SESSION_TTL_SECONDS,
+                     as_of: str | None = None) -> DataFrame:
+    """Runs of activity ended by ``gap_seconds`` of silence.
+
+    State lives for a fixed time after each write, so a segment is a run of
+    events closer than that.
+    """
+    out = _marked(df, key, ts, gap_seconds).groupBy(key, "segment").agg(
         F.min("_lo").alias("started"), F.max("_hi").alias("ended"), F.sum("_n").alias("turns"))
     if as_of is not None:
         now = F.lit(as_of).cast("timestamp")
@@ -126,36 +148,75 @@ def session_segments(df: DataFrame, key: str, ts: str, gap_seconds: int = R.SESS
     return out
 
 
+def with_segments(turns: DataFrame, key: str, ts: str = "ts", gap_seconds: int = R.SESSION_TTL_SECONDS, name: str = "segment") -> DataFrame:
+    """Add the number of the segment of ``key`` that each turn lies in.
+
+    Turns meet their segment by (key, span), a join of rows with one small row for each span with activity: no
+    session is sorted, and a session with most of the turns is dealt by hours.
+    """
+    spans = _marked(turns, key, ts, gap_seconds).select(key, "_hour", F.col("segment").alias(name))
+    return turns.withColumn("_hour", _span(ts, gap_seconds)).join(spans, [key, "_hour"]).drop("_hour")
+
+
+def live_turns(turns: DataFrame, key: str, as_of: str, ts: str = "ts", gap_seconds: int = R.SESSION_TTL_SECONDS) -> DataFrame:
+    """The turns that the state of ``key`` still holds at the instant ``as_of``: those of its last segment, if that has not run out.
+
+    Later turns are not there yet."""
+    now = F.lit(as_of).cast("timestamp")
+    seen = turns.where(F.col(ts) <= now)
+    spans, all_ = _marked(seen, key, ts, gap_seconds), W.partitionBy(key)
+    live = spans.withColumns({"_last": F.max("segment").over(all_), "_end": F.max("_hi").over(all_)}).where(
+        (F.col("segment") == F.col("_last")) & (F.unix_micros(now) < F.unix_micros("_end") + gap_seconds * 1_000_000))
+    return seen.withColumn("_hour", _span(ts, gap_seconds)).join(live.select(key, "_hour"), [key, "_hour"], "left_semi").drop("_hour")
+
+
 def session_erase(history: DataFrame, erasures: DataFrame) -> DataFrame:
     """History without the listed sessions."""
     return history.join(erasures.select("session_id").distinct(), "session_id", "left_anti")
 
 
-def session_view(turns: DataFrame, profile: DataFrame, n: int = R.PREVIEW_TURNS) -> DataFrame:
-    """Profile facts with the newest ``n`` turns of each of the user's sessions."""
+VIEW_FACTS = ["user_id", "lang", "message_count", "intents_seen", "tags_seen", "pii_types_seen", "flagged_count"]
+
+
+def history_preview(turns: DataFrame, n: int = R.PREVIEW_TURNS) -> DataFrame:
+    """(user_id, session_id, history_preview, preview_turns) from the newest ``n`` turns of each session."""
     last = session_history(turns.select("session_id", "user_id", "turn", "role", "masked_text"), n)
     preview = F.transform(
         F.array_sort(F.collect_list(F.struct("turn", "role", "masked_text"))),
         lambda t: F.concat(t["role"], F.lit(": "), t["masked_text"]))
-    sessions = last.groupBy("user_id", "session_id").agg(
+    return last.groupBy("user_id", "session_id").agg(
         F.array_join(preview, "\n").alias("history_preview"), F.count("*").alias("preview_turns"))
-    facts = profile.select("user_id", "lang", "message_count", "intents_seen", "tags_seen", "pii_types_seen",
-                           "flagged_count")
-    return sessions.join(facts, "user_id")
+
+
+def session_view(turns: DataFrame, profile: DataFrame, n: int = R.PREVIEW_TURNS) -> DataFrame:
+    """Profile facts with the newest ``n`` turns of each of the user's sessions."""
+    return history_preview(turns, n).join(profile.select(*VIEW_FACTS), "user_id")
+
+
+def session_view_live(calls: DataFrame, as_of: str, n: int = R.PREVIEW_TURNS) -> DataFrame:
+    """The view at the instant ``as_of``, for every session of a user whose profile has not run out.
+
+    Profile and histories run out on their own, so a session of a live user may have no turns left to show.
+    ``calls`` are screened turns with what each screening was given (``decisions.with_call``)."""
+    profile = user_profile(live_turns(calls, "user_id", as_of)).select(*VIEW_FACTS)
+    sessions = calls.where(F.col("ts") <= F.lit(as_of).cast("timestamp")).select("user_id", "session_id").distinct()
+    shown = history_preview(live_turns(calls, "session_id", as_of), n)
+    return sessions.join(profile, "user_id").join(shown, ["user_id", "session_id"], "left").withColumns(
+        {"history_preview": F.coalesce("history_preview", F.lit("")), "preview_turns": F.coalesce("preview_turns", F.lit(0)).cast("long")})
 
 
 def repetition_score(turns: DataFrame, text: str = "text", history_text: str | None = None,
-                     n: int = R.HISTORY_TURNS) -> DataFrame:
+                     n: int = R.HISTORY_TURNS, keys: list[str] = ["session_id"]) -> DataFrame:
     """Share of each assistant turn's distinct words already used by assistant
-    turns among the ``n`` turns before it."""
+    turns among the ``n`` turns before it, in the session or in its segment."""
     past_text = F.col(history_text or text)
     reply = F.col("role") == "assistant"
     rows = turns.select(
-        "session_id", "turn", "role",
+        *keys, "turn", "role",
         F.when(reply, F.array_distinct(X.whitespace_words(F.lower(text)))).alias("_new"),
         F.when(reply, F.array_distinct(X.whitespace_words(F.lower(past_text)))).alias("_past"),
         F.when(reply, F.length(past_text)).alias("_len"))
-    w = B.block_window("session_id", "turn", n)
+    w = B.block_window(keys, "turn", n)
     rows = B.with_blocks(rows, "turn", n).select(
         "*", F.flatten(F.collect_list("_past").over(w)).alias("_seen"),
         F.count("_len").over(w).alias("_replies"), F.sum("_len").over(w).alias("_chars"))
@@ -164,7 +225,7 @@ def repetition_score(turns: DataFrame, text: str = "text", history_text: str | N
     has_past = (F.col("_replies") >= 2) | (F.col("_chars") > 0)
     overlap = F.size(F.array_intersect("_new", "_seen")) / F.size("_new")
     score = F.when(~F.coalesce(has_past, F.lit(False)), 0.0).when(F.size("_new") == 0, 1.0).otherwise(overlap)
-    return out.select("session_id", "turn", score.alias("repetition"))
+    return out.select(*keys, "turn", score.alias("repetition"))
 
 
 def repetition_flags(scores: DataFrame, threshold: float = R.REPETITION_THRESHOLD) -> DataFrame:

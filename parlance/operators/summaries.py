@@ -29,6 +29,8 @@ def session_facts(turns: DataFrame, content: str = "masked_text") -> DataFrame:
     user = F.col("role") == "user"
     facts = F.concat(
         _one("turn", F.lit(True)),
+        _facts("user", F.array("user_id")),
+        _facts("lang", F.array("lang")),
         F.when(F.col("intent") != "", _facts("intent", F.array("intent"))).otherwise(F.array().cast(FACT)),
         _facts("tag", F.array_distinct("tags")),
         _facts("pii", F.array_distinct(F.transform("pii", lambda p: p["pii_type"]))),
@@ -36,13 +38,11 @@ def session_facts(turns: DataFrame, content: str = "masked_text") -> DataFrame:
     rows = turns.select(
         "session_id", "turn", "ts", F.explode(facts).alias("f"), "is_blocked",
         F.when(user, F.length(content)).alias("user_len"),
-        (F.col("role") == "assistant").cast("bigint").alias("reply"),
-        F.struct("turn", "user_id").alias("first_user"), F.struct("turn", "lang").alias("last_lang"))
+        (F.col("role") == "assistant").cast("bigint").alias("reply"))
     per_value = rows.groupBy("session_id", F.col("f.kind").alias("kind"), F.col("f.value").alias("value")).agg(
-        F.count("*").alias("n"), F.min("turn").alias("first"), F.max("ts").alias("last_ts"),
+        F.count("*").alias("n"), F.min("turn").alias("first"), F.max("turn").alias("last"), F.max("ts").alias("last_ts"),
         F.count("user_len").alias("user_turns"), F.sum("user_len").alias("user_chars"),
-        F.sum("reply").alias("replies"), F.max("is_blocked").alias("was_blocked"),
-        F.min("first_user").alias("first_user"), F.max("last_lang").alias("last_lang"))
+        F.sum("reply").alias("replies"), F.max("is_blocked").alias("was_blocked"))
 
     turn = F.col("kind") == "turn"
 
@@ -50,8 +50,8 @@ def session_facts(turns: DataFrame, content: str = "masked_text") -> DataFrame:
         return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value"))))
 
     return per_value.groupBy("session_id").agg(
-        F.min(F.when(turn, F.col("first_user")))["user_id"].alias("user_id"),
-        F.max(F.when(turn, F.col("last_lang")))["lang"].alias("lang"),
+        F.min_by("value", F.when(F.col("kind") == "user", F.col("first"))).alias("user_id"),
+        F.max_by("value", F.when(F.col("kind") == "lang", F.col("last"))).alias("lang"),
         F.max(F.when(turn, F.col("last_ts"))).alias("created_at"),
         F.sum(F.when(turn, F.col("n"))).alias("total_turns"),
         F.sum(F.when(turn, F.col("user_turns"))).alias("user_turns"),

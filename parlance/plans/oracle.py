@@ -464,28 +464,37 @@ UNION ALL SELECT 'overall', split, NULL, CAST(sum(n) AS BIGINT), CAST(sum(correc
   CASE WHEN sum(n) > 0 THEN round(sum(correct) / sum(n), 6) END, false, false FROM per_class GROUP BY split""")
 
 # ---- sessions and users -----------------------------------------------------
-CTE["user_tags"] = """
-SELECT user_id, tag, min((ts, message_id)) AS first FROM (
-  SELECT user_id, ts, message_id, unnest(string_split(call_tags, '|')) AS tag FROM calls WHERE call_tags <> '')
+AS_OF = "TIMESTAMP '2024-01-20 12:00:00'"
+
+
+def profile_ctes(p: str, source: str, matches: str, keys: list[str]) -> None:
+    """``{p}``: profiles by ``keys`` over the calls in ``source``; ``matches`` are its personal-data matches by message."""
+    k, on = ", ".join(keys), lambda a, b: " AND ".join(f"{a}.{x} = {b}.{x}" for x in keys)
+    CTE[f"{p}_tags"] = f"""
+SELECT {k}, tag, min((ts, message_id)) AS first FROM (
+  SELECT {k}, ts, message_id, unnest(string_split(call_tags, '|')) AS tag FROM {source} WHERE call_tags <> '')
 GROUP BY ALL"""
-CTE["user_intents"] = """
-SELECT user_id, call_intent AS intent, min((ts, message_id)) AS first FROM calls WHERE call_intent <> '' GROUP BY ALL"""
-CTE["user_pii"] = """
-SELECT s.user_id, m.pii_type, min((s.ts, s.message_id)) AS first, count(DISTINCT m.value_hash) AS vals
-FROM scp_m m JOIN sc s ON m.message_id = s.message_id GROUP BY ALL"""
-CTE["profile"] = """
-SELECT t.user_id, arg_min(session_id, (ts, message_id)) AS session_id, arg_min(call_lang, (ts, message_id)) AS lang,
+    CTE[f"{p}_intents"] = f"""
+SELECT {k}, call_intent AS intent, min((ts, message_id)) AS first FROM {source} WHERE call_intent <> '' GROUP BY ALL"""
+    CTE[f"{p}_pii"] = f"""
+SELECT {', '.join('s.' + x for x in keys)}, m.pii_type, min((s.ts, s.message_id)) AS first, count(DISTINCT m.value_hash) AS vals
+FROM {matches} m JOIN {source} s ON m.message_id = s.message_id GROUP BY ALL"""
+    CTE[p] = f"""
+SELECT {', '.join('t.' + x for x in keys)}, arg_min(session_id, (ts, message_id)) AS session_id, arg_min(call_lang, (ts, message_id)) AS lang,
   epoch_us(min(ts)) AS created_us, epoch_us(max(ts)) AS updated_us, count(*) AS message_count,
   count(*) FILTER (is_blocked OR pii_count > 0) AS flagged_count, count(*) FILTER (block_layer = 'injection') AS injection_attempts,
   count(*) FILTER (block_layer = 'nsfw') AS nsfw_attempts,
   coalesce(any_value(i.v), '') AS intents_seen, coalesce(any_value(g.v), '') AS tags_seen, coalesce(any_value(p.v), '') AS pii_types_seen,
   CAST(coalesce(any_value(p.vals), 0) AS BIGINT) AS pii_values
-FROM calls t
-LEFT JOIN (SELECT user_id, string_agg(intent, '|' ORDER BY first, intent) AS v FROM user_intents GROUP BY user_id) i ON t.user_id = i.user_id
-LEFT JOIN (SELECT user_id, string_agg(tag, '|' ORDER BY first, tag) AS v FROM user_tags GROUP BY user_id) g ON t.user_id = g.user_id
-LEFT JOIN (SELECT user_id, string_agg(pii_type, '|' ORDER BY first, pii_type) AS v, sum(vals) AS vals FROM user_pii GROUP BY user_id) p
-  ON t.user_id = p.user_id
-GROUP BY t.user_id"""
+FROM {source} t
+LEFT JOIN (SELECT {k}, string_agg(intent, '|' ORDER BY first, intent) AS v FROM {p}_intents GROUP BY {k}) i ON {on('t', 'i')}
+LEFT JOIN (SELECT {k}, string_agg(tag, '|' ORDER BY first, tag) AS v FROM {p}_tags GROUP BY {k}) g ON {on('t', 'g')}
+LEFT JOIN (SELECT {k}, string_agg(pii_type, '|' ORDER BY first, pii_type) AS v, sum(vals) AS vals FROM {p}_pii GROUP BY {k}) p
+  ON {on('t', 'p')}
+GROUP BY {', '.join('t.' + x for x in keys)}"""
+
+
+profile_ctes("profile", "calls", "scp_m", ["user_id"])
 oracle("user_profile", "SELECT * FROM profile")
 oracle("stream_user_profile", """
 SELECT user_id, message_count, flagged_count, injection_attempts, nsfw_attempts, created_us, updated_us FROM profile""")
@@ -499,9 +508,6 @@ SELECT a.session_id, a.turn, CASE WHEN a.call_intent = '' THEN '' ELSE {lit(S.IN
   coalesce((SELECT string_agg(b.role || ': ' || b.masked_text, chr(10) ORDER BY b.turn) FROM turns b
     WHERE b.session_id = a.session_id AND b.turn BETWEEN a.turn - {S.CONTEXT_TURNS} AND a.turn - 1), '') AS context
 FROM calls a WHERE a.role = 'assistant'""")
-AS_OF = "TIMESTAMP '2024-01-20 12:00:00'"
-
-
 def segments(state: str, hours: int) -> str:
     return f"""
 SELECT '{state}' AS state, user_id, segment, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) AS ended_us, count(*) AS turns,
@@ -526,6 +532,48 @@ FROM (SELECT user_id, session_id, string_agg(role || ': ' || masked_text, chr(10
         count(*) AS preview_turns FROM (
         SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) <= {S.PREVIEW_TURNS})
       GROUP BY ALL) s JOIN profile p ON s.user_id = p.user_id""")
+# The same over sessions that run out: three long ones for each user, cut by silences of 24 hours.
+_NEW = "CASE WHEN ts < lag(ts) OVER ({w}) + INTERVAL 24 HOUR THEN 0 ELSE 1 END"
+_by = {k: f"PARTITION BY {k} ORDER BY ts, message_id" for k in ("user_id", "session_id")}
+CTE["long_turns"] = f"""
+SELECT * EXCLUDE (n_s, n_u), sum(n_s) OVER ({_by['session_id']} ROWS UNBOUNDED PRECEDING) AS s_segment,
+  sum(n_u) OVER ({_by['user_id']} ROWS UNBOUNDED PRECEDING) AS segment,
+  row_number() OVER ({_by['session_id']}) - 1 AS turn FROM (
+  SELECT *, {_NEW.format(w=_by['session_id'])} AS n_s, {_NEW.format(w=_by['user_id'])} AS n_u FROM (
+    SELECT * EXCLUDE (session_id, turn), user_id || '-' || message_id % 3 AS session_id FROM turns))"""
+CTE["long_calls"] = CTE["calls"].replace("turns", "long_turns")
+profile_ctes("long_profile", "long_calls", "scp_m", ["user_id", "segment"])
+oracle("user_profile_segments", "SELECT * REPLACE (CAST(segment AS BIGINT) AS segment) FROM long_profile")
+oracle("user_hashes_segments", """
+SELECT t.user_id, CAST(t.segment AS BIGINT) AS segment, pii_type, value_hash, count(*) AS n, arg_min(m.message_id, (m.ts, m.message_id)) AS first_message
+FROM pu_m m JOIN long_turns t ON m.message_id = t.message_id GROUP BY ALL""")
+
+
+def live(key: str, segment: str) -> str:
+    """Turns that the state of ``key`` holds at the instant; what comes later cannot change the segments before it."""
+    return f"""SELECT * FROM (SELECT *, max({segment}) OVER (PARTITION BY {key}) AS last_one, max(ts) OVER (PARTITION BY {key}) AS last_ts
+  FROM long_calls WHERE ts <= {AS_OF}) WHERE {segment} = last_one AND {AS_OF} < last_ts + INTERVAL 24 HOUR"""
+
+
+CTE["live_users"], CTE["live_sessions"] = live("user_id", "segment"), live("session_id", "s_segment")
+profile_ctes("live_profile", "live_users", "scp_m", ["user_id"])
+oracle("user_profile_live", "SELECT * FROM live_profile")
+oracle("session_history_live", f"""
+SELECT session_id, user_id, turn, role, masked_text FROM live_sessions
+QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) <= {S.HISTORY_TURNS}""")
+oracle("context_window_segments", f"""
+SELECT a.session_id, CAST(a.s_segment AS BIGINT) AS segment, a.turn, CASE WHEN a.call_intent = '' THEN '' ELSE {lit(S.INTENT_HINT[0])} || a.call_intent
+  || {lit(S.INTENT_HINT[1])} || replace(a.call_tags, '|', ', ') || {lit(S.INTENT_HINT[2])} END AS hint,
+  coalesce((SELECT string_agg(b.role || ': ' || b.masked_text, chr(10) ORDER BY b.turn) FROM long_turns b
+    WHERE b.session_id = a.session_id AND b.s_segment = a.s_segment AND b.turn BETWEEN a.turn - {S.CONTEXT_TURNS} AND a.turn - 1), '') AS context
+FROM long_calls a WHERE a.role = 'assistant'""")
+oracle("session_view_live", f"""
+SELECT s.user_id, s.session_id, coalesce(h.history_preview, '') AS history_preview, coalesce(h.preview_turns, 0) AS preview_turns, p.lang,
+  p.message_count, p.intents_seen, p.tags_seen, p.pii_types_seen, p.flagged_count
+FROM (SELECT DISTINCT user_id, session_id FROM long_calls WHERE ts <= {AS_OF}) s JOIN live_profile p ON s.user_id = p.user_id
+LEFT JOIN (SELECT session_id, string_agg(role || ': ' || masked_text, chr(10) ORDER BY turn) AS history_preview, count(*) AS preview_turns FROM (
+    SELECT * FROM live_sessions QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) <= {S.PREVIEW_TURNS}) GROUP BY session_id) h
+  ON s.session_id = h.session_id""")
 CTE["rep_words"] = r"""
 SELECT session_id, turn, text, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')) AS w
 FROM conv WHERE role = 'assistant'"""
@@ -536,6 +584,16 @@ FROM rep_words a LEFT JOIN (
   SELECT a.session_id, a.turn, flatten(list(b.w)) AS seen, count(*) AS n, sum(length(b.text)) AS chars
   FROM rep_words a JOIN rep_words b ON a.session_id = b.session_id AND b.turn BETWEEN a.turn - {S.HISTORY_TURNS} AND a.turn - 1
   GROUP BY ALL) p ON a.session_id = p.session_id AND a.turn = p.turn"""
+CTE["long_words"] = r"""
+SELECT session_id, s_segment, turn, masked_text AS text, list_distinct(list_filter(string_split_regex(lower(masked_text), '\s+'), lambda w: w <> '')) AS w
+FROM long_turns WHERE role = 'assistant'"""
+oracle("repetition_score_segments", f"""
+SELECT a.session_id, CAST(a.s_segment AS BIGINT) AS segment, a.turn, round(CASE WHEN p.n IS NULL OR (p.n = 1 AND p.chars = 0) THEN CAST(0 AS DOUBLE)
+   WHEN len(a.w) = 0 THEN CAST(1 AS DOUBLE) ELSE len(list_intersect(a.w, p.seen)) / len(a.w) END, 6) AS repetition
+FROM long_words a LEFT JOIN (
+  SELECT a.session_id, a.turn, flatten(list(b.w)) AS seen, count(*) AS n, sum(length(b.text)) AS chars FROM long_words a JOIN long_words b
+    ON a.session_id = b.session_id AND a.s_segment = b.s_segment AND b.turn BETWEEN a.turn - {S.HISTORY_TURNS} AND a.turn - 1
+  GROUP BY ALL) p ON a.session_id = p.session_id AND a.turn = p.turn""")
 oracle("repetition_score", "SELECT session_id, turn, round(repetition, 6) AS repetition FROM rep")
 for name, t in (("repetition_flags", S.REPETITION_THRESHOLD), ("repetition_flags_10", 0.1)):
     oracle(name, f"""

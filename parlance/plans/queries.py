@@ -374,9 +374,7 @@ def eval_per_intent(spark, sf):
 # ---- sessions and users -----------------------------------------------------
 @query
 def user_profile(spark, sf):
-    p = SE.user_profile(D.with_call(V.screened_chat(spark, sf).drop("text", "masked_text")))
-    return p.withColumn("created_us", us("created_at")).withColumn("updated_us", us("updated_at")).drop(
-        "created_at", "updated_at")
+    return _flat_profile(SE.user_profile(D.with_call(V.screened_chat(spark, sf).drop("text", "masked_text"))))
 
 
 def _masked_turns(spark, sf):
@@ -421,7 +419,64 @@ def session_erase(spark, sf):
 @query
 def session_view(spark, sf):
     t = materialise(V.screened_chat(spark, sf).drop("hits", "text"), "screened")
-    return SE.session_view(t, SE.user_profile(t))
+    return SE.session_view(t, SE.user_profile(D.with_call(t)))
+
+
+def _long_calls(spark, sf):
+    """Turns of long sessions with what each screening was given, written once."""
+    return materialise(D.with_call(V.long_chat(spark, sf)), "long-calls")
+
+
+def _flat_profile(p):
+    return p.withColumn("created_us", us("created_at")).withColumn("updated_us", us("updated_at")).drop("created_at", "updated_at")
+
+
+@query
+def user_profile_segments(spark, sf):
+    """Profiles that run out: one for each run of a user's activity without a silence of 24 hours."""
+    return _flat_profile(SE.user_profile(SE.with_segments(_long_calls(spark, sf), "user_id"), keys=["user_id", "segment"]))
+
+
+@query
+def user_hashes_segments(spark, sf):
+    """The hashes by type that each of those profiles holds, one row each."""
+    t = SE.with_segments(V.as_long_sessions(V.chat_events(spark, sf)), "user_id")
+    m = SF.pii_matches(t, ["user_id", "segment", "ts", "message_id"])
+    out = SF.user_fingerprints(m, "user_id", ["ts", "message_id"], ["segment"])
+    return out.select("user_id", "segment", "pii_type", "value_hash", "n", F.col("first_seen.message_id").alias("first_message"))
+
+
+@query
+def user_profile_live(spark, sf):
+    """Profiles as they stand at an instant."""
+    return _flat_profile(SE.user_profile(SE.live_turns(_long_calls(spark, sf), "user_id", AS_OF)))
+
+
+@query
+def session_history_live(spark, sf):
+    """Stored turns as they stand at an instant."""
+    t = SE.live_turns(V.long_chat(spark, sf), "session_id", AS_OF).select("session_id", "user_id", "turn", "role", "masked_text")
+    return SE.session_history(t)
+
+
+@query
+def context_window_segments(spark, sf):
+    t = SE.with_segments(_long_calls(spark, sf), "session_id")
+    out = SE.context_window(t, keys=["session_id", "segment"])
+    lines = F.transform("context", lambda c: F.concat(c["role"], F.lit(": "), c["content"]))
+    return out.select("session_id", "segment", "turn", "hint", F.array_join(lines, "\n").alias("context"))
+
+
+@query
+def repetition_score_segments(spark, sf):
+    t = SE.with_segments(V.long_chat(spark, sf), "session_id")
+    out = SE.repetition_score(t, "masked_text", keys=["session_id", "segment"])
+    return out.withColumn("repetition", F.round("repetition", 6))
+
+
+@query
+def session_view_live(spark, sf):
+    return SE.session_view_live(_long_calls(spark, sf), AS_OF)
 
 
 def _repetition(spark, sf):

@@ -133,6 +133,16 @@ def screened_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_turns(screen_turns(chat_events(spark, sf_dir)), "session_id", "ts", "message_id")
 
 
+def as_long_sessions(turns: DataFrame) -> DataFrame:
+    """Sessions that go on over days, with silences of more than a day: three for each user."""
+    return turns.withColumn("session_id", F.concat_ws("-", "user_id", (F.col("message_id") % 3).cast("string")))
+
+
+def long_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Screened turns of long sessions, without raw texts."""
+    return number_turns(as_long_sessions(screen_turns(chat_events(spark, sf_dir)).drop("text")), "session_id", "ts", "message_id")
+
+
 def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = {n: table(spark, sf_dir, n) for n in ("documents", "benchmark", "conversations")}
     chat = spark.sql(CHAT_EVENTS, events=table(spark, sf_dir, "events"))
