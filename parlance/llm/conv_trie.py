@@ -4,14 +4,14 @@ A node is a distinct sequence of first turns; conversations that begin with it a
 digests of (role, text) in the scan, so texts are never moved, and a prefix is told by the xor
 of the digests of its (place, turn) pairs, 128 bits that can be summed over blocks of turns: no task sorts a whole conversation.
 
-1. Equal conversations become one sequence with a count and the digest of its ends.
-2. Nodes with more than ``SHARD_TURNS`` turns of sequences below them, and the root, are *upper* nodes.
+1. Nodes with more than ``SHARD_TURNS`` turns at or below them, and the root, are *upper* nodes.
    The subtrees right below them are whole in one prefix shard, many small ones in each.
-3. A shard numbers its distinct turns densely and packs its trie into BASE and CHECK: the child of node s by turn
+2. A shard numbers its distinct turns densely and packs its trie into BASE and CHECK: the child of node s by turn
    x is slot BASE[s] + x if CHECK there is s.  Its sequences traverse the arrays, all of them one turn a step; the slots gather
-   members, children, leaves and what sharing saves.
-4. Upper nodes, which many shards share, are merged globally by key: members from the sequences, children and sums
-   below from the shards' subtrees, then sums over upper nodes by pointer doubling in log2(depth) rounds.
+   members, children, leaves, ends and what sharing saves.
+3. Upper nodes, which many shards share, are merged globally by key: members from partial counts, children and sums
+   below from the shards' subtrees, then sums over upper nodes by pointer doubling in log2(depth) rounds.  Copies of one
+   conversation, however many, make upper nodes and meet as counts.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 
 from parlance.session import materialise
 
-#: Turns of distinct sequences that a shard is made for.
+#: Turns that a shard is made for.
 SHARD_TURNS = 1 << 16
 #: Turns of a conversation that are put in order at a time, and ids of one piece of a list of ends.
 BLOCK = 4096
@@ -45,33 +45,46 @@ def digest_turns(conversations: DataFrame) -> DataFrame:
         F.length(text).cast("long").alias("chars"))
 
 
-def number_turns(turns: DataFrame) -> DataFrame:
-    """Replace ``turn`` by ``pos``, the place from 0 in the order of turns, null first; equal ones by digest.
+def number_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``turns`` with ``pos`` in place of ``turn``, conversations with their number of turns ``n``).
 
-    Turns are ranked inside (conversation, BLOCK turn numbers); the counts of earlier blocks give the offset.
+    ``pos`` is the place from 0 in the order of turns, null first; equal ones by digest.  Turns are ranked inside
+    (conversation, BLOCK turn numbers); only conversations over several blocks need the counts of the blocks before.
     """
     dealt = turns.withColumn("b", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
-    sizes = dealt.groupBy("conv_id", "b").agg(F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy("conv_id").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("conv_id", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = W.partitionBy("conv_id", "b").orderBy(F.asc_nulls_first("turn"), "t1", "t2")
-    return dealt.join(offsets, ["conv_id", "b"]).select(
-        "conv_id", (F.col("offset") + F.row_number().over(inside) - 1).alias("pos"), "t1", "t2", "chars")
+    ranked = materialise(dealt.withColumn("pos", (F.row_number().over(inside) - 1).cast("long")).drop("turn"), "trie-turns")
+    sizes = materialise(ranked.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi")), "trie-sizes")
+    blocks = ranked.join(sizes.where("lo < hi").select("conv_id"), "conv_id", "left_semi").groupBy("conv_id", "b").agg(F.count(F.lit(1)).alias("k"))
+    before = W.partitionBy("conv_id").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = materialise(blocks.select("conv_id", "b", F.sum("k").over(before).alias("offset")).where("offset > 0"), "trie-offsets")
+    placed = ranked.join(offsets, ["conv_id", "b"], "left").withColumn("pos", F.col("pos") + F.coalesce("offset", F.lit(0)))
+    return placed.select("conv_id", "pos", "t1", "t2", "chars"), sizes.select("conv_id", "n")
 
 
 def with_prefixes(turns: DataFrame) -> DataFrame:
-    """Add the key (p1, p2) of the prefix that ends with each turn and that of its parent (q1, q2)."""
+    """Add the key (p1, p2) of the prefix that ends with each turn, that of its parent (q1, q2), and the turns ``left`` from it on.
+
+    Blocks of turns are summed by themselves; only conversations over several blocks need the sums of the blocks before.
+    """
     keyed = turns.withColumns({"h1": F.xxhash64(F.lit(3), "pos", "t1", "t2"), "h2": F.xxhash64(F.lit(4), "t2", "t1", "pos"),
                                "b": F.floor(F.col("pos") / BLOCK)})
-    within = W.partitionBy("conv_id", "b").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = keyed.withColumns({"p1": F.bit_xor("h1").over(within), "p2": F.bit_xor("h2").over(within)})
-    totals = keyed.groupBy("conv_id", "b").agg(F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"))
-    before = W.partitionBy("conv_id").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("conv_id", "b", *[F.coalesce(F.bit_xor(f"x{i}").over(before), F.lit(0)).alias(f"o{i}") for i in (1, 2)])
-    both = inside.join(offsets, ["conv_id", "b"])
-    p = {i: F.col(f"p{i}").bitwiseXOR(F.col(f"o{i}")) for i in (1, 2)}
-    return both.select("conv_id", "pos", "t1", "t2", "chars", *[p[i].alias(f"p{i}") for i in (1, 2)],
-                       *[p[i].bitwiseXOR(F.col(f"h{i}")).alias(f"q{i}") for i in (1, 2)])
+    block = W.partitionBy("conv_id", "b").orderBy("pos")
+    upto, from_ = block.rowsBetween(W.unboundedPreceding, W.currentRow), block.rowsBetween(W.currentRow, W.unboundedFollowing)
+    inside = materialise(keyed.withColumns({
+        "p1": F.bit_xor("h1").over(upto), "p2": F.bit_xor("h2").over(upto), "left": F.count(F.lit(1)).over(from_)}), "trie-blocks")
+    # conversations with a second block: their length, and for each block what the full blocks before it sum to
+    lengths = inside.where((F.col("pos") >= BLOCK) & (F.col("pos") % BLOCK == 0)).groupBy("conv_id").agg(F.max(F.col("pos") + F.col("left")).alias("len"))
+    so_far = W.partitionBy("conv_id").orderBy("b").rowsBetween(W.unboundedPreceding, W.currentRow)
+    full = inside.where(F.col("pos") % BLOCK == BLOCK - 1).select(
+        "conv_id", (F.col("b") + 1).alias("b"), *[F.bit_xor(f"p{i}").over(so_far).alias(f"o{i}") for i in (1, 2)])
+    zero = F.lit(0).cast("long")
+    behind = full.join(lengths, "conv_id").union(lengths.select("conv_id", zero, zero, zero, "len"))
+    behind = materialise(behind.toDF("conv_id", "b", "o1", "o2", "len"), "trie-behind")
+    both = inside.join(behind, ["conv_id", "b"], "left")
+    p = {i: F.col(f"p{i}").bitwiseXOR(F.coalesce(f"o{i}", F.lit(0))) for i in (1, 2)}
+    return both.select("conv_id", "pos", "t1", "t2", "chars", F.coalesce(F.col("len") - F.col("pos"), "left").alias("left"),
+                       *[p[i].alias(f"p{i}") for i in (1, 2)], *[p[i].bitwiseXOR(F.col(f"h{i}")).alias(f"q{i}") for i in (1, 2)])
 
 
 def _digest_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +194,10 @@ def build(sequences: np.ndarray, starts: np.ndarray, ends: np.ndarray, labels: i
         depth += 1
 
 
-NODE = ("p1 long, p2 long, q1 long, q2 long, depth long, conv_id long, parent_conv_id long, n_convs long, n_children long, "
-        "n_leaves long, saved_tokens long, top boolean")
-_SCHEMA = pa.schema([(n, pa.bool_() if n == "top" else pa.int64()) for n in [x.split()[0] for x in NODE.split(", ")]])
+NODE = ("q1 long, q2 long, depth long, conv_id long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, "
+        "top boolean, ends_sha256 string")
+_SCHEMA = pa.schema([(n, {"top": pa.bool_(), "ends_sha256": pa.string()}.get(n, pa.int64())) for n in [x.split()[0] for x in NODE.split(", ")]])
+NOTHING = hashlib.sha256(b"").hexdigest()
 
 
 def _shard_nodes(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -202,8 +216,7 @@ def _shard_nodes(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
     dense[order] = np.cumsum(fresh) - 1
     trie, slot = build(dense, first, last, int(fresh.sum()))
     size = len(trie.base)
-    n_convs, smallest = np.zeros(size, np.int64), np.full(size, np.iinfo(np.int64).max)
-    np.add.at(n_convs, slot, rows["mult"])
+    n_convs, smallest = np.bincount(slot, minlength=size), np.full(size, np.iinfo(np.int64).max)
     np.minimum.at(smallest, slot, conv)
     # one row that reached each slot names it
     nodes, named = np.unique(slot, return_index=True)
@@ -223,11 +236,16 @@ def _shard_nodes(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
         up = trie.check[part]
         np.add.at(leaves, up, np.where(up > 0, leaves[part], 0))
         np.add.at(saved, up, np.where(up > 0, saved[part], 0))
+    # conversations that end at each slot; they come in ascending order
+    ends: dict[int, list[str]] = {}
+    for at, c in zip(slot[last - 1].tolist(), conv[first].tolist()):
+        ends.setdefault(at, []).append(str(c))
+    digests = [hashlib.sha256(",".join(ends[at]).encode()).hexdigest() if at in ends else NOTHING for at in nodes.tolist()]
     top = parent == 0
     return pa.RecordBatch.from_arrays(
-        [pa.array(x) for x in (rows["p1"][named], rows["p2"][named], rows["q1"][named], rows["q2"][named], depth[nodes], smallest[nodes])]
+        [pa.array(x) for x in (rows["q1"][named], rows["q2"][named], depth[nodes], smallest[nodes])]
         + [pa.array(smallest[parent], pa.int64(), mask=top)]
-        + [pa.array(x) for x in (n_convs[nodes], children[nodes], leaves[nodes], saved[nodes], top)], schema=_SCHEMA)
+        + [pa.array(x) for x in (n_convs[nodes], children[nodes], leaves[nodes], saved[nodes], top)] + [pa.array(digests, pa.string())], schema=_SCHEMA)
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,53 +288,47 @@ def _sums_below(upper: DataFrame) -> DataFrame:
     return state.select(*KEY, F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"))
 
 
-def trie_nodes(turns: DataFrame, conversations: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
+def trie_nodes(turns: DataFrame, turnless: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
     """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of every node.
 
     ``turns`` has (conv_id, pos, t1, t2, chars), see ``digest_turns``, with the places 0, 1, ... of each conversation;
-    ``conversations`` the distinct conv_id of all of them, so that one without turns counts as a member of the root.  conv_id is a
+    ``turnless`` the conv_id of each conversation without turns, which are members of the root.  conv_id is a
     node's smallest member and names it together with its depth.  Without conversations there is no node, not even the root.
     """
-    rows = materialise(with_prefixes(turns), "trie-prefixes")
-    lengths = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("len"))
-    last = rows.join(lengths, "conv_id").where("pos + 1 = len").select("conv_id", "len", *KEY)
-    ends = materialise(conversations.select("conv_id").join(last, "conv_id", "left").select(
-        "conv_id", F.coalesce("len", F.lit(0)).alias("len"), *[F.coalesce(k, F.lit(0)).alias(k) for k in KEY]), "trie-ends")
-    classes = ends.groupBy(*KEY).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("mult"), F.first("len").alias("len"))
-    classes = materialise(classes, "trie-classes")
-    seqs = materialise(rows.join(classes.where("len > 0").select("conv_id", "mult", "len"), "conv_id"), "trie-sequences")
-    # upper nodes: more turns of distinct sequences below than a shard is made for
-    heavy = materialise(seqs.groupBy(*KEY).agg(F.sum(F.col("len") - F.col("pos")).alias("w")).where(F.col("w") > shard_turns).select(*KEY), "trie-heavy")
-    cuts = seqs.join(heavy, KEY, "left_semi").groupBy("conv_id").agg((F.max("pos") + 1).alias("cut"))
-    cut = materialise(seqs.join(cuts, "conv_id", "left").withColumn("cut", F.coalesce("cut", F.lit(0))), "trie-cut")
-    below = cut.where("pos >= cut")
-    tops = below.where("pos = cut").select("conv_id", F.col("p1").alias("r1"), F.col("p2").alias("r2"))
-    shards = max(1, -(-below.count() // shard_turns))
+    rows = with_prefixes(turns)
+    heavy = materialise(rows.groupBy(*KEY).agg(F.sum("left").alias("w")).where(F.col("w") > shard_turns).select(*KEY), "trie-heavy")
+    zero = F.lit(0).cast("long")
+    above = heavy.select(F.col("p1").alias("q1"), F.col("p2").alias("q2"))
+    below = rows.join(heavy, KEY, "left_anti")
+    tops = below.join(above.union(above.sparkSession.range(1).select(zero.alias("q1"), zero.alias("q2"))), ["q1", "q2"], "left_semi").select(
+        "conv_id", F.col("p1").alias("r1"), F.col("p2").alias("r2"))
+    shards = rows.count() // shard_turns + 1
     dealt = below.join(tops, "conv_id").select(
-        F.pmod(F.xxhash64("r1", "r2"), F.lit(shards)).alias("shard"), "conv_id", "pos", "t1", "t2", "chars", "mult", *KEY, "q1", "q2")
+        F.pmod(F.xxhash64("r1", "r2"), F.lit(shards)).alias("shard"), "conv_id", "pos", "t1", "t2", "chars", *KEY, "q1", "q2")
     lower = materialise(dealt.repartition(min(shards, 1 << 16), "shard").sortWithinPartitions("shard", "conv_id", "pos").mapInArrow(_shards, NODE), "trie-nodes")
-    # upper nodes are merged from all sequences, the root from all conversations
-    root = ends.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).where("n_convs > 0").select(
-        F.lit(0).cast("long").alias("p1"), F.lit(0).cast("long").alias("p2"), F.lit(None).cast("long").alias("q1"), F.lit(None).cast("long").alias("q2"),
-        F.lit(0).cast("long").alias("depth"), "conv_id", "n_convs", F.lit(0).cast("long").alias("chars"))
-    shared = cut.where("pos < cut").groupBy(*KEY, "q1", "q2", "pos", "chars").agg(F.min("conv_id").alias("conv_id"), F.sum("mult").alias("n_convs")).select(
+    # upper nodes are merged from all turns that reach them, the root from all conversations
+    none = F.lit(None).cast("long")
+    shared = rows.join(heavy, KEY, "left_semi")
+    counted = shared.groupBy(*KEY, "q1", "q2", "pos", "chars").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).select(
         *KEY, "q1", "q2", (F.col("pos") + 1).alias("depth"), "conv_id", "n_convs", "chars")
-    upper = materialise(shared.union(root), "trie-upper")
+    root = rows.where("pos = 0").select("conv_id").union(turnless.select("conv_id")).agg(
+        F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).where("n_convs > 0").select(
+        zero.alias("p1"), zero.alias("p2"), none.alias("q1"), none.alias("q2"), zero.alias("depth"), "conv_id", "n_convs", zero.alias("chars"))
+    ends = ends_of(shared.where("left = 1").select("conv_id", *KEY).union(turnless.select("conv_id", zero, zero)))
+    upper = materialise(counted.union(root).join(ends, KEY, "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(NOTHING))), "trie-upper")
     children = lower.where("top").select("q1", "q2", "n_leaves", "saved_tokens").union(
-        upper.where("q1 IS NOT NULL").select("q1", "q2", F.lit(0).cast("long"), F.lit(0).cast("long"))).groupBy("q1", "q2").agg(
+        upper.where("q1 IS NOT NULL").select("q1", "q2", zero, zero)).groupBy("q1", "q2").agg(
         F.count(F.lit(1)).alias("n_children"), F.sum("n_leaves").alias("l"), F.sum("saved_tokens").alias("s")).select(
         F.col("q1").alias("p1"), F.col("q2").alias("p2"), "n_children", "l", "s")
     own = materialise(upper.join(children, KEY, "left").select(
-        *KEY, "q1", "q2", "depth", "conv_id", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"),
+        *KEY, "q1", "q2", "depth", "conv_id", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"), "ends_sha256",
         F.coalesce("l", F.lit(1)).alias("leaves"), (F.coalesce("s", F.lit(0)) + (F.col("n_convs") - 1) * F.col("chars")).alias("saved")), "trie-upper")
     parents = own.select(F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("conv_id").alias("parent"))
-    above = own.drop("leaves", "saved").join(_sums_below(own), KEY).withColumns({"parent_conv_id": F.lit(None).cast("long"), "top": F.lit(True)})
-    nodes = lower.unionByName(above.select(*lower.columns))
-    placed = nodes.where("top").join(parents, ["q1", "q2"], "left").withColumn("parent_conv_id", F.col("parent")).select(*lower.columns).union(
-        nodes.where("NOT top").select(*lower.columns))
-    return placed.join(ends_of(ends.select("conv_id", *KEY)), KEY, "left").select(
-        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
-        F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+    summed = own.drop("leaves", "saved").join(_sums_below(own), KEY)
+    out = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    joints = lower.where("top").drop("parent_conv_id").unionByName(summed.withColumn("top", F.lit(True)).drop(*KEY))
+    return joints.join(parents, ["q1", "q2"], "left").withColumnRenamed("parent", "parent_conv_id").select(*out).union(
+        lower.where("NOT top").select(*out))
 
 
 #: A rebuilt conversation takes a number of turns below this from the first conversation of its hundred.
@@ -324,22 +336,20 @@ HEADS, HUNDRED = 6, 100
 
 
 def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(turns, conversations) for ``trie_nodes`` of the rebuilt conversations.
+    """(turns, turnless) for ``trie_nodes`` of the rebuilt conversations.
 
     Conversation c gets the first h turns of conversation c - c % 100 (all if it has fewer, none if it is absent), then its own behind its
-    first h; h = crc32(decimal c) % 6.  Rows with a null conv_id are left out; rows that repeat are turns of their own.
+    first h; h = crc32(decimal c) % 6.  Rows with a null conv_id are left out; rows that repeat are turns of their own; turns
+    with equal or null numbers come in the order of their digests.
     """
-    own = materialise(number_turns(digest_turns(conversations)), "trie-turns")
-    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % HEADS).alias("h")
-    base = (F.col("conv_id") - F.col("conv_id") % HUNDRED).alias("base")
-    sizes = own.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    firsts = own.where((F.col("conv_id") % HUNDRED == 0) & (F.col("pos") < HEADS - 1))
-    known = firsts.groupBy(F.col("conv_id").alias("base")).agg(F.count(F.lit(1)).alias("n_base"))
-    ids = sizes.select("conv_id", base, h).join(known, "base", "left").select(
-        "conv_id", "base", "h", F.least("h", F.coalesce("n_base", F.lit(0))).alias("k"))
-    ids = materialise(ids, "trie-conversations")
-    behind = own.join(ids.select("conv_id", "h", "k"), "conv_id").where("pos >= h").select(
-        "conv_id", (F.col("pos") - F.col("h") + F.col("k")).alias("pos"), "t1", "t2", "chars")
-    heads = firsts.select(F.col("conv_id").alias("base"), "pos", "t1", "t2", "chars")
+    own, sizes = number_turns(digest_turns(conversations))
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % HEADS
+    base = F.col("conv_id") - F.col("conv_id") % HUNDRED
+    known = materialise(sizes.where(F.col("conv_id") % HUNDRED == 0).select(F.col("conv_id").alias("base"), F.least("n", F.lit(HEADS - 1)).alias("n_base")), "trie-bases")
+    k = F.least("h", F.coalesce("n_base", F.lit(0)))
+    ids = sizes.select("conv_id", "n", base.alias("base"), h.alias("h")).join(known, "base", "left").withColumn("k", k)
+    behind = own.withColumns({"base": base, "h": h}).where("pos >= h").join(known, "base", "left").select(
+        "conv_id", (F.col("pos") - F.col("h") + k).alias("pos"), "t1", "t2", "chars")
+    heads = materialise(own.where((F.col("conv_id") % HUNDRED == 0) & (F.col("pos") < HEADS - 1)).withColumnRenamed("conv_id", "base"), "trie-heads")
     taken = ids.where("k > 0").select("conv_id", "base", "k").join(heads, "base").where("pos < k").select("conv_id", "pos", "t1", "t2", "chars")
-    return behind.union(taken), ids.select("conv_id")
+    return behind.union(taken), ids.where("k = 0 AND n <= h").select("conv_id")
