@@ -162,42 +162,62 @@ def with_component(df: DataFrame, components: DataFrame | None, column: str, nam
     return df.join(own, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def bucket_components(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """Components (node, component) of all confirmed pairs of ``buckets`` (bucket long, rep long); None without any.
+#: A bucket with more members than this is refined before any of them are compared.
+CROWD = 8
 
-    ``alike`` drops pairs (a, b) that cannot be links, ``confirm`` those that are none.  No bucket emits all
-    its pairs: in each round its first members (4, 32, 256, ...) meet
+
+def bucket_components(buckets: DataFrame, refine: Callable[[DataFrame], DataFrame], fits: str,
+                      confirm: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """Components (node, component) of all confirmed pairs of ``buckets`` (bucket long, rep long, ...); None without any.
+
+    ``refine`` takes the rows of crowded buckets and returns rows like them that still hold every link of theirs: members
+    that can have no link are gone, or buckets are split.  ``fits`` is a condition on the other columns of two members, as x.name and
+    y.name, that all links meet; ``confirm`` keeps the pairs (a, b) that are links.
+
+    No bucket emits all its pairs: in each round its first members (4, 32, 256, ...) meet
     the others, then leave it, and a bucket whose members lie in one component is finished.
-    So every pair of a bucket is confirmed or refuted, or lies in one component already.
+    So every pair of a bucket that fits is confirmed or refuted, or lies in one component already.
     First come those that meet most others over all buckets: the text that copies were made from is
-    closer to each of them than they are to one another.
+    closer to each of them than they are to one another.  No bucket is sorted whole: its first members
+    are found by a limit before the shuffle as well as behind it, and joined to the rest.
     """
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    order = materialise(buckets.join(sizes, "bucket").groupBy("rep").agg((-F.sum("n")).alias("turn")), "pairs-order")
-    buckets = buckets.join(order, "rep").select("bucket", "rep", "turn")
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    crowds = materialise(sizes.where(F.col("size") > CROWD).select("bucket"), "pairs-crowds")
+    refined = refine(buckets.join(crowds, "bucket", "left_semi")).select(*buckets.columns)
+    buckets = materialise(buckets.join(crowds, "bucket", "left_anti").unionByName(refined), "pairs-refined")
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    turns = buckets.join(sizes, "bucket").groupBy("rep").agg((-F.sum("size")).alias("turn"))
+    columns = buckets.columns
+    buckets = buckets.join(turns, "rep").select(*columns, F.struct("turn", F.xxhash64("rep").alias("h"), "rep").alias("turn"))
     links = components = None
     pivots = 4
     while True:
         state = with_component(buckets, components, "rep", "component")
-        mixed = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-        turn = W.partitionBy("bucket").orderBy("turn", F.xxhash64("rep"), "rep")
-        ranked = materialise(state.join(mixed, "bucket").withColumn("rank", F.row_number().over(turn)), "pairs-open")
-        if ranked.isEmpty():
+        mixed = state.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+        open_ = materialise(state.join(mixed, "bucket", "left_semi"), "pairs-open")
+        if open_.isEmpty():
             return components
-        heads = ranked.where(F.col("rank") <= pivots).select(
-            "bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("rank").alias("ra"))
-        pairs = ranked.join(heads, "bucket").where("ra < rank AND ca <> component").select("a", F.col("rep").alias("b")).distinct()
-        near = materialise(alike(pairs), "pairs-near")
+        first = W.partitionBy("bucket").orderBy("turn")
+        heads = open_.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= pivots).drop("rank")
+        met = heads.alias("x").join(open_.alias("y"), F.expr(f"x.bucket = y.bucket AND x.turn < y.turn AND x.component <> y.component AND ({fits})"))
+        near = materialise(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.turn").alias("turn")).distinct(), "pairs-near")
         # first one pair for each member, with the head that comes first of all; then those that it did not bring together
-        turns = near.join(order.select(F.col("rep").alias("a"), "turn"), "a")
-        first = turns.groupBy("b").agg(F.min_by("a", F.struct("turn", F.xxhash64("a"))).alias("a")).select("a", "b")
-        found = materialise(confirm(first), "pairs-links")
+        one = materialise(near.groupBy("b").agg(F.min_by("a", "turn").alias("a")).select("a", "b"), "pairs-first")
+        found = materialise(confirm(one), "pairs-links")
         stars = found.select(F.col("b").alias("node"), F.col("a").alias("component"))
         apart = with_component(with_component(near, stars, "a", "ca"), stars, "b", "cb").where("ca <> cb").select("a", "b")
-        more = materialise(confirm(apart.join(first, ["a", "b"], "left_anti")), "pairs-links")
+        more = materialise(confirm(apart.join(one, ["a", "b"], "left_anti")), "pairs-links")
         both = found.union(more)
         if not both.isEmpty():
             links = both if links is None else links.union(both)
             components = fold_min(links, "pairs-components")
-        buckets = ranked.where(F.col("rank") > pivots).select("bucket", "rep", "turn")
+        buckets = open_.join(heads.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select(*columns, "turn")
         pivots *= 8
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -8,7 +8,10 @@ be matched with (its own segments among them), and the lines that meet under
 one (length, segment, substring) are candidates.  They are verified on their whole texts by
 a bit-parallel edit distance that works on a band of 2 * e + 1 diagonals.
 
-Equal lines of any length are one line from the start.  Groups under one substring never emit all their pairs (see
+Equal lines of any length are one line from the start.  Where many lines meet under one substring, the rest of them is looked at
+before any are compared: what lies before the segment and behind it is halved, and of the four pieces, each fixed to a line's end or to
+the segment, at most e can be touched by e edits.  So linked lines share all but e of them, and such a
+group is dealt again by each choice of 4 - e pieces.  Groups never emit all their pairs (see
 ``bucket_components``); lines that are linked, directly or over others, form a class, and the first
 line of a class stays.  Line ids are 64-bit hashes: among ten thousand million lines
 some three pairs can be expected to share one.
@@ -17,6 +20,7 @@ some three pairs can be expected to share one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import bucket_components, slices
+from parlance.llm.common import bucket_components, fresh, slices
 from parlance.session import materialise
 
 EDITS = 2
@@ -156,19 +160,56 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("doc_id").take(pa.array(rows)), pa.array(number, pa.int32()), pa.array(ids)], names=["doc_id", "line", "id"])
 
 
+#: Choices of pieces by bound: all but as many as there may be edits.
+CHOICES = {e: list(combinations(range(4), 4 - e)) for e in range(1, EDITS + 1)}
+
+
+class _Plans(dict):
+    """By length: (start, end, seed, lengths of the four pieces, choices) of each probe of a line."""
+
+    def __missing__(self, n: int) -> list[tuple]:
+        plan = []
+        for length, i, a, size in bounded_probes(n):
+            e = bound(length)
+            before = segments(length, e)[i][0]
+            behind = length - before - size
+            halves = (before // 2, before - before // 2, behind // 2, behind - behind // 2)
+            plan.append((a, a + size, length * 8 + i, halves, CHOICES[e]))
+        self[n] = plan
+        return plan
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    h, plans = xxhash.xxh3_64_intdigest, {}
+    h, plans = xxhash.xxh3_64_intdigest, _Plans()
     for batch in slices(batches):
         names = _lines(batch)[2].unique().to_pylist()
         keys, counts = [], []
         for x in names:
-            n = len(x)
-            plan = plans.get(n)
-            if plan is None:
-                plan = plans[n] = [(a, a + size, length * 8 + i) for length, i, a, size in bounded_probes(n)]
-            keys += [h(x[a:b], seed) for a, b, seed in plan]
+            plan = plans[len(x)]
+            keys += [h(x[a:b], seed) for a, b, seed, _, _ in plan]
             counts.append(len(plan))
-        yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(_ids(names), counts))], names=["bucket", "rep"])
+        sizes = np.repeat(np.array([len(x) for x in names], np.int32), counts)
+        yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(_ids(names), counts)), pa.array(sizes)],
+                              names=["bucket", "rep", "n"])
+
+
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each probe of a line the keys of the choices of pieces."""
+    h, plans = xxhash.xxh3_64_intdigest, _Plans()
+    for batch in slices(batches, "line"):
+        ids, keys, finer, ends = [], [], [], [0]
+        for rep, x in zip(batch.column("id").to_pylist(), batch.column("line").to_pylist()):
+            n = len(x)
+            for a, b, seed, (x1, x2, y1, y2), choices in plans[n]:
+                key = h(x[a:b], seed)
+                pieces = (x[:x1], x[max(0, a - x2) : a], x[b : b + y1], x[max(b, n - y2) :])
+                ids.append((rep, n))
+                keys.append(key)
+                finer += [h("\n".join([pieces[k] for k in choice]), key ^ (c + 1)) for c, choice in enumerate(choices)]
+                ends.append(len(finer))
+        yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array([i for i, _ in ids], pa.int64()), pa.array([n for _, n in ids], pa.int32()),
+                               pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(finer, np.uint64).view(np.int64)))],
+                              names=["bucket", "rep", "n", "finer"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,38 +224,35 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+#: Lines as long as a link allows.
+FITS = f"abs(x.n - y.n) <= least({EDITS}, least(x.n, y.n) div {EDIT_CHARS})"
+
+
 def line_classes(slim: DataFrame) -> DataFrame | None:
-    """(node, component) of the line ids that are linked with another, but for the smallest of each class; ``slim`` has doc_id and text."""
-    dealt = slim.mapInArrow(_keys, "bucket long, rep long").repartition("bucket")
+    """(node, component) of the line ids that are linked with another, but for the smallest of each class; ``slim`` has the text."""
+    slim = slim.select("text")
+    dealt = slim.mapInArrow(_keys, "bucket long, rep long, n int").repartition("bucket")
     many = dealt.groupBy("bucket").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("bucket")
     buckets = materialise(dealt.join(many, "bucket").distinct(), "lines-buckets")
     wanted = buckets.select(F.col("rep").alias("id")).distinct()
     texts = materialise(slim.mapInArrow(_texts, "id long, line string").join(wanted, "id").dropDuplicates(["id"]), "lines-texts")
-    sizes = texts.select("id", F.length("line").alias("n"))
-    fits = f"abs(na - nb) <= least({EDITS}, least(na, nb) div {EDIT_CHARS})"
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        return pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(
-            sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").where(fits).select("a", "b")
+    def refine(crowded: DataFrame) -> DataFrame:
+        lines = texts.join(crowded.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+        probed = lines.mapInArrow(_finer, "bucket long, rep long, n int, finer array<long>")
+        return probed.join(crowded.select("bucket").distinct(), "bucket", "left_semi").select(F.explode("finer").alias("bucket"), "rep", "n").distinct()
 
     def confirm(pairs: DataFrame) -> DataFrame:
         return pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("tb")), "b").join(
             texts.select(F.col("id").alias("a"), F.col("line").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
 
-    return bucket_components(buckets, alike, confirm)
+    return bucket_components(buckets, refine, FITS, confirm)
 
 
-def line_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_near, first_docs, drop_lines) of every document with a doc_id.
-
-    n_lines counts all lines that are not empty; n_near those of them whose class has a different line.
-    drop_lines are the numbers (from 0, in the text's split at line ends) of the lines that are not the first of their
-    class, first_docs the smallest doc_ids of the classes of its lines.  "First" is the smallest doc_id, then line number.
-    Null and empty texts have no lines; rows with a null doc_id are left out; rows that repeat a doc_id
-    count as one document.  Empty tables give empty results.
-    """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    seen = materialise(slim.mapInArrow(_occurrences, "doc_id long, line int, id long"), "lines-seen")
+def _report(slim: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_near, first_docs, drop_lines) of the documents of ``slim`` (doc_id, text), which have lines; doc_id is of any ordered type."""
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    seen = materialise(slim.mapInArrow(_occurrences, f"doc_id {kind}, line int, id long"), "lines-seen")
     linked = line_classes(slim)
     if linked is None:
         own = seen.withColumns({"class": F.col("id"), "near": F.lit(False)})
@@ -229,17 +267,38 @@ def line_report(docs: DataFrame) -> DataFrame:
     cut = held.join(first, "class").select(
         "doc_id", "near", "first_doc", F.size("lines").alias("n"),
         F.when(F.col("doc_id") == F.col("first_doc"), F.slice("lines", 2, F.size("lines"))).otherwise(F.col("lines")).alias("drop"))
-    per = cut.groupBy("doc_id").agg(
+    return cut.groupBy("doc_id").agg(
         F.sum("n").alias("n_lines"), F.sum("near").alias("n_near"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"),
         F.array_sort(F.flatten(F.collect_list("drop"))).alias("drop_lines"))
-    return slim.select("doc_id").distinct().join(per, "doc_id", "left").select(
+
+
+def line_report(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_near, first_docs, drop_lines) of every document with a doc_id.
+
+    n_lines counts all lines that are not empty; n_near those of them whose class has a different line.
+    drop_lines are the numbers (from 0, in the text's split at line ends) of the lines that are not the first of their
+    class, first_docs the smallest doc_ids of the classes of its lines.  "First" is the smallest doc_id, then line number.
+    Null and empty texts have no lines; rows with a null doc_id are left out; rows that repeat a doc_id
+    count as one document (``dedup_lines`` tells them apart).  Empty tables give empty results; other columns are ignored.
+    """
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    return slim.select("doc_id").distinct().join(_report(slim), "doc_id", "left").select(
         "doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.coalesce("first_docs", F.array().cast("array<bigint>")).alias("first_docs"),
         F.coalesce("drop_lines", F.array().cast("array<int>")).alias("drop_lines"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the lines that ``line_report`` drops cut from ``text``; other columns stay."""
-    drops = line_report(docs).select("doc_id", "drop_lines")
-    lines = F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains(F.coalesce("drop_lines", F.array().cast("array<int>")), k))
-    return docs.join(drops, "doc_id", "left").withColumn("text", F.array_join(lines, "\n")).select(*docs.columns)
+    """``docs`` without the lines that repeat one that comes before; all columns stay, whatever their names.
+
+    "Before" is the smaller doc_id, of rows with one doc_id the smaller hash of the text, then line number: rows that repeat a doc_id
+    with another text are documents of their own, so that a line of either that is the first of its class stays.  Rows equal in
+    doc_id and text are one document and come out alike.  Rows with a null doc_id and null texts stay as they are.
+    """
+    key, drops = fresh(docs, "_key"), fresh(docs, "_drop")
+    text = F.col("text").cast("string")
+    keyed = docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("text"))))
+    slim = keyed.select(F.col(key).alias("doc_id"), text.alias("text")).where("doc_id IS NOT NULL")
+    cut = _report(slim).select(F.col("doc_id").alias(key), F.col("drop_lines").alias(drops))
+    lines = F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains(F.coalesce(drops, F.array().cast("array<int>")), k))
+    return keyed.join(cut, key, "left").withColumn("text", F.array_join(lines, "\n")).select(*docs.columns)

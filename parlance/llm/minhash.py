@@ -7,7 +7,10 @@ name a document's buckets.  At a similarity of 0.75 a pair shares no bucket with
 probability of some 1e-7.
 
 Documents with equal shingle sets form a class first, and only one of each
-class goes on.  A bucket never emits all its pairs.  In each round its first
+class goes on.  Members of crowded buckets are refined exactly: a shingle that no other member of any
+crowded bucket has lies in no intersection, so a document with more than a quarter of such shingles has no link there, and two that have some
+can share no more than the rest.  Documents that meet only over a very common passage go this way.
+Then a bucket never emits all its pairs.  In each round its first
 members (4, 32, 256, ...; those that meet most others first) are compared with the others, then leave it; a bucket whose
 remaining members lie in one component is finished.  Rounds go on until no
 bucket is left, so no pair of a bucket with different components stays unchecked.
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from parlance.llm.common import bucket_components, mix64, shingle_sets, slices
+from parlance.llm.common import bucket_components, fresh, mix64, shingle_sets, slices
 from parlance.session import materialise
 
 WORDS = 5
@@ -107,6 +110,27 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        sets = list(shingle_sets(batch.column("text"), WORDS))
+        ids = batch.column("rep").take(pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets])))
+        yield pa.record_batch([ids, pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "shingle"])
+
+
+#: Two members fit if what either can share, x.c and y.c of its n shingles, is enough for a link.
+FITS = f"{100 + NUMER} * least(x.c, y.c) >= {NUMER} * (x.n + y.n)"
+
+
+def _shared(crowded: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of crowded buckets (bucket, rep, n, c) with c lowered by the shingles that no other member has; without those who then have no link."""
+    members = texts.withColumnRenamed("doc_id", "rep").join(crowded.select("rep").distinct(), "rep", "left_semi")
+    held = members.select("rep", "text").mapInArrow(_shingles, "rep long, shingle long")
+    alone = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep")).where("k = 1")
+    own = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+    left = crowded.join(own, "rep", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0)))
+    return left.where(f"100 * c >= {NUMER} * n")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text, ...).
 
@@ -119,21 +143,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialise(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "minhash-classes")
     reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     # one deal by bucket serves the count and the join
-    dealt = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket")).repartition("bucket")
+    dealt = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).repartition("bucket")
     many = dealt.groupBy("bucket").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("bucket")
-    open_ = materialise(dealt.join(many, "bucket").distinct(), "minhash-buckets")
-    sizes = classes.select("rep", "n")
+    open_ = materialise(dealt.join(many, "bucket").distinct().select("bucket", "rep", "n", F.col("n").alias("c")), "minhash-buckets")
     wanted = open_.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                         .join(wanted, "doc_id").dropDuplicates(["doc_id"]), "minhash-texts")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        return (
-            pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a")
-            .join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-            .where(f"100 * least(na, nb) >= {NUMER} * greatest(na, nb)").select("a", "b"))
-
-    components = bucket_components(open_, alike, lambda pairs: _confirmed(pairs, texts))
+    components = bucket_components(open_, lambda rows: _shared(rows, texts), FITS, lambda pairs: _confirmed(pairs, texts))
     own = full.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "rep").distinct()
     return _labelled(signs, own, components)
 
@@ -159,5 +175,6 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     kept = near_duplicates(docs.select("doc_id", "text")).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
     first = W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    one = named.withColumn("_turn", F.row_number().over(first)).where("_turn = 1").drop("_turn")
+    turn = fresh(docs, "_turn")
+    one = named.withColumn(turn, F.row_number().over(first)).where(F.col(turn) == 1).drop(turn)
     return one.unionByName(docs.where("doc_id IS NULL"))
