@@ -10,16 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import sqltext as Q
+from parlance.functions.rulesets import BASE, CASED, Rule, RuleSet
 from parlance.rules import safety as R
 
 HIT_TYPE = "array<struct<label:string,snippet:string,matched:string>>"
 PII_TYPE = "array<struct<pii_type:string,ordinal:bigint,value:string,start:bigint,end:bigint>>"
 NO_PII = f"cast(array() as {PII_TYPE})"
 
-# U: Unicode classes and boundaries, d: only "\n" ends a line.
-CASELESS = "(?iUd)"
-CASED = "(?Ud)"
-
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row."""
@@ -32,42 +29,35 @@ def _folded(text: str) -> str:
     return f"lower({text})"
 
 
-def _possible(rule: str) -> str:
-    """Necessary condition on the folded text ``_low``."""
-    either = [" AND ".join(f"contains(_low, {Q.text(w)})" for w in alt.split("&")) for alt in R.RULE_NEEDS[rule]]
-    return "(" + " OR ".join(f"({e})" for e in either) + ")"
-
-
-def injection_pattern(label: str, pattern: str) -> str:
-    return ("(?imUd)" if label in R.MULTILINE_RULES else CASELESS) + pattern
+def _matches(rule: Rule, text: str) -> str:
+    found = f"regexp_like({text}, {Q.regex(rule.pattern)})"
+    return f"{rule.possible} AND {found}" if rule.possible else found
 
 
-def injection_hits_sql(text: str) -> str:
+def injection_hits_sql(text: str, rules: RuleSet = BASE) -> str:
     items = []
-    for label, pattern in R.INJECTION_RULES:
-        p = Q.regex(injection_pattern(label, pattern))
-        hit = Q.let(f"regexp_extract({text}, {p}, 0)", "_v", f"named_struct('label', '{label}', 'snippet', "
+    for rule in rules.injection:
+        hit = Q.let(f"regexp_extract({text}, {Q.regex(rule.pattern)}, 0)", "_v", f"named_struct('label', '{rule.label}', 'snippet', "
                     f"substring(_v, 1, {R.INJECTION_SNIPPET_CHARS}), 'matched', _v)")
-        items.append(f"CASE WHEN {_possible(label)} AND regexp_like({text}, {p}) THEN {hit} END")
+        items.append(f"CASE WHEN {_matches(rule, text)} THEN {hit} END")
     hits = Q.let(_folded(text), "_low", "array(" + ", ".join(items) + ")")
-    return f"cast(filter({hits}, _h -> _h IS NOT NULL) as {HIT_TYPE})"
+    return f"cast(filter({hits}, _h -> _h IS NOT NULL) as {HIT_TYPE})" if items else f"cast(array() as {HIT_TYPE})"
 
 
-def injection_hits(text: str) -> Column:
+def injection_hits(text: str, rules: RuleSet = BASE) -> Column:
     """Labels that fire, in rule order, with the first match, whole and cut to 40 characters."""
-    return F.expr(injection_hits_sql(text))
+    return F.expr(injection_hits_sql(text, rules))
 
 
-def nsfw_categories_sql(text: str) -> str:
-    items = [f"CASE WHEN {_possible(c)} AND regexp_like({text}, {Q.regex(CASELESS + p)}) THEN '{c}' END"
-             for c, p in R.NSFW_RULES]
+def nsfw_categories_sql(text: str, rules: RuleSet = BASE) -> str:
+    items = [f"CASE WHEN {_matches(rule, text)} THEN '{rule.label}' END" for rule in rules.nsfw]
     cats = Q.let(_folded(text), "_low", "array(" + ", ".join(items) + ")")
-    return f"cast(filter({cats}, _c -> _c IS NOT NULL) as array<string>)"
+    return f"cast(filter({cats}, _c -> _c IS NOT NULL) as array<string>)" if items else "cast(array() as array<string>)"
 
 
-def nsfw_categories(text: str) -> Column:
+def nsfw_categories(text: str, rules: RuleSet = BASE) -> Column:
     """Categories that fire, in rule order."""
-    return F.expr(nsfw_categories_sql(text))
+    return F.expr(nsfw_categories_sql(text, rules))
 
 
 def injection_reason(hits: str) -> Column:
@@ -83,24 +73,26 @@ def fingerprint(value: Column) -> Column:
     return F.substring(F.sha2(value, 256), 1, R.FINGERPRINT_CHARS)
 
 
-def _masked(rule, text: str) -> str:
+def _masked(rule: Rule, text: str) -> str:
     """One replacement, run only on texts that can hold a match."""
-    pii_type, pattern, token = rule
-    needs = Q.regex("(?U)" + R.PII_NEEDS[pii_type])
-    return (f"CASE WHEN regexp_like({text}, {needs}) THEN "
-            f"regexp_replace({text}, {Q.regex(CASED + pattern)}, {Q.text(token)}) ELSE {text} END")
+    replaced = f"regexp_replace({text}, {Q.regex(CASED + rule.pattern)}, {Q.text(rule.mask)})"
+    return f"CASE WHEN regexp_like({text}, {Q.regex('(?U)' + rule.possible)}) THEN {replaced} ELSE {text} END" if rule.possible else replaced
+
+
+def _gated(text: str, rules: RuleSet, found: str, other: str) -> str:
+    return f"CASE WHEN regexp_like({text}, {Q.regex('(?U)' + rules.pii_any)}) THEN {found} ELSE {other} END" if rules.pii_any else found
 
 
-def mask_pii_sql(text: str) -> str:
+def mask_pii_sql(text: str, rules: RuleSet = BASE) -> str:
     out = text
-    for i, rule in enumerate(R.PII_RULES):
+    for i, rule in enumerate(rules.pii):
         out = Q.let(out, f"_m{i}", _masked(rule, f"_m{i}"))
-    return f"CASE WHEN regexp_like({text}, {Q.regex('(?U)' + R.PII_ANY)}) THEN {out} ELSE {text} END"
+    return _gated(text, rules, out, text)
 
 
-def mask_pii(text: str) -> Column:
+def mask_pii(text: str, rules: RuleSet = BASE) -> Column:
     """Masked text only (no match table)."""
-    return F.expr(mask_pii_sql(text))
+    return F.expr(mask_pii_sql(text, rules))
 
 
 def _located(pii_type: str, before: str, pattern: str) -> str:
@@ -122,25 +114,25 @@ def _located(pii_type: str, before: str, pattern: str) -> str:
             f"_a -> _a.items)")
 
 
-def pii_scan_sql(text: str) -> str:
+def pii_scan_sql(text: str, rules: RuleSet = BASE) -> str:
     """struct(masked, items): rule i reads the text masked by rules 1..i-1.
 
     Matches are extracted only where a rule's replacement changed the text.
     """
     none = f"named_struct('masked', {text}, 'items', {NO_PII})"
     state = none
-    for i, rule in enumerate(R.PII_RULES):
+    for i, rule in enumerate(rules.pii):
         s, r = f"_s{i}", f"_r{i}"
-        found = _located(rule[0], f"{s}.masked", CASED + rule[1])
+        found = _located(rule.label, f"{s}.masked", CASED + rule.pattern)
         after = f"named_struct('masked', {r}, 'items', CASE WHEN {r} <> {s}.masked THEN concat({s}.items, {found}) ELSE {s}.items END)"
         state = Q.let(state, s, Q.let(_masked(rule, f"{s}.masked"), r, after))
-    return f"CASE WHEN regexp_like({text}, {Q.regex('(?U)' + R.PII_ANY)}) THEN {state} ELSE {none} END"
+    return _gated(text, rules, state, none)
 
 
-def scan_pii(df: DataFrame, text: str, where: str = "true") -> DataFrame:
+def scan_pii(df: DataFrame, text: str, where: str = "true", rules: RuleSet = BASE) -> DataFrame:
     """Add ``pii`` (matches) and ``masked_text``; rows outside ``where`` stay unscanned."""
     none = f"named_struct('masked', {text}, 'items', {NO_PII})"
-    return (df.withColumn("_scan", F.expr(f"CASE WHEN {where} THEN {pii_scan_sql(text)} ELSE {none} END"))
+    return (df.withColumn("_scan", F.expr(f"CASE WHEN {where} THEN {pii_scan_sql(text, rules)} ELSE {none} END"))
             .withColumns({"pii": F.col("_scan.items"), "masked_text": F.col("_scan.masked")})
             .drop("_scan"))
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, StringIndexer
+from pyspark.ml.feature import HashingTF, StringIndexer, StringIndexerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -70,56 +76,137 @@ def linear_model(labelled: DataFrame, vocabulary: DataFrame, text: str = "text",
     return weights.unionByName(bias)
 
 
+#: Bound of the weights that are broadcast: tokens of the vocabulary x classes of all heads x 8 bytes.
+MODEL_BYTES = 256 << 20
+#: Cells (texts x tokens) of the count matrix that a task multiplies at a time.
+CELLS = 4 << 20
+SCORED = "intent string, confidence double, tags array<string>"
+
+
+def _weights(model: DataFrame) -> tuple[list[tuple[str, str]], np.ndarray, list[str], np.ndarray]:
+    """(classes by head and name, their bias, tokens, weights token x class); checked against MODEL_BYTES before any weight is read."""
+    bias = model.where(F.col("token").isNull()).select("head", "class", "w").orderBy("head", "class").collect()
+    classes = [(b["head"], b["class"]) for b in bias]
+    tokens = model.where(F.col("token").isNotNull()).select("token").distinct().count()
+    if tokens * len(classes) * 8 > MODEL_BYTES:
+        raise ValueError(f"{tokens} tokens x {len(classes)} classes are more than {MODEL_BYTES} bytes: use a smaller vocabulary")
+    place = {c: i for i, c in enumerate(classes)}
+    known = F.create_map(*[x for (h, c), i in place.items() for x in (F.concat_ws("\x01", F.lit(h), F.lit(c)), F.lit(i))])
+    rows = model.where(F.col("token").isNotNull()).select("token", known[F.concat_ws("\x01", "head", "class")].alias("at"), "w").toArrow()
+    coded = rows.column("token").combine_chunks().dictionary_encode()
+    matrix = np.zeros((len(coded.dictionary), len(classes)))
+    matrix[coded.indices.to_numpy(zero_copy_only=False), rows.column("at").to_numpy()] = rows.column("w").to_numpy()
+    return classes, np.array([b["w"] for b in bias]), coded.dictionary.to_pylist(), matrix
+
+
+def _scorer(classes: list[tuple[str, str]], shared, threshold: float, width: int) -> Callable:
+    """Scores Arrow batches whose last column holds the tokens of a text."""
+    intents = [i for i, (h, _) in enumerate(classes) if h == "intent"]
+    heads = sorted({h for h, _ in classes if h != "intent"})
+    yes, no = ([classes.index((h, c)) for h in heads] for c in ("yes", "no"))
+    names = pa.array([h.removeprefix("tag:") for h in heads], pa.string())
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bias, tokens, matrix = shared.value
+        vocabulary = pa.array(tokens, pa.string())
+        rows_at_once = max(1, CELLS // max(1, len(tokens)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(at, rows_at_once)
+                lists = part.column(width)
+                rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+                ids = pc.fill_null(pc.index_in(pc.list_flatten(lists), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+                seen = ids >= 0
+                cells = rows[seen] * len(tokens) + ids[seen]
+                counts = np.bincount(cells, minlength=part.num_rows * len(tokens)).reshape(part.num_rows, len(tokens))
+                z = counts.astype(np.float64) @ matrix + bias
+                own = z[:, intents]
+                # of equal scores the last class wins
+                best = len(intents) - 1 - np.argmax(own[:, ::-1], axis=1)
+                top = own[np.arange(len(own)), best]
+                confidence = 1 / np.exp(own - top[:, None]).sum(axis=1)
+                fired = 1 / (1 + np.exp(z[:, no] - z[:, yes])) > threshold
+                ends = np.concatenate([[0], np.cumsum(fired.sum(axis=1))]).astype(np.int32)
+                tags = pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(np.nonzero(fired)[1])))
+                labels = pa.array([classes[i][1] for i in intents], pa.string()).take(pa.array(best))
+                yield pa.record_batch([*part.columns[:width], labels, pa.array(confidence), tags],
+                                      names=[*part.schema.names[:width], "intent", "confidence", "tags"])
+
+    return score
+
+
 def linear_scores(df: DataFrame, model: DataFrame, keys: list[str], text: str = "text",
                   threshold: float = C.TAG_THRESHOLD) -> DataFrame:
     """Best intent with its confidence, and the tags above the threshold, from whole texts.
 
-    Pass the model as a written table: its class list (label-set sized) is read
-    when the plan is built, and Spark broadcasts the weights when their size
-    allows.  Weights are pivoted to one row per token and summed per text
-    before the shuffle, which then carries one row per text.
+    Pass the model as a written table: its class list (label-set sized) and its weights, whose
+    bound is checked, are read when the plan is built.  Tokens are counted against the fixed vocabulary within
+    the row and multiplied by the weights of all classes at once, a block of texts a time: nothing is
+    shuffled, however many tags there are.  A null text has no tokens and is scored by the bias alone.
     """
-    bias = model.where(F.col("token").isNull()).select("head", "class", "w").orderBy("head", "class").collect()
-    cell = [F.max(F.when((F.col("head") == b["head"]) & (F.col("class") == b["class"]), F.col("w"))).alias(f"w{i}")
-            for i, b in enumerate(bias)]
-    weights = model.where(F.col("token").isNotNull()).groupBy("token").agg(*cell)
-    rows = df.select(*keys, F.explode_outer(let(X.words(F.col(text)), X.tokens)).alias("token"))
-    sums = rows.join(weights, "token", "left").groupBy(*keys).agg(
-        *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(len(bias))])
-    z = {(b["head"], b["class"]): F.col(f"s{i}") + F.lit(b["w"]) for i, b in enumerate(bias)}
-    intents = [(c, z[h, c]) for h, c in z if h == "intent"]
-    logits = F.array(*[F.struct(v.alias("z"), F.lit(c).alias("class")) for c, v in intents])
-    best = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x["z"] - best["z"]))
-    fired = [F.when(1 / (1 + F.exp(z[h, "no"] - z[h, "yes"])) > threshold, F.lit(h.removeprefix("tag:")))
-             for h in sorted({h for h, _ in z if h != "intent"})]
-    tags = F.filter(F.array(*fired), lambda t: t.isNotNull()) if fired else F.array()
-    return sums.select(*keys, best["class"].alias("intent"), (1 / total).alias("confidence"),
-                       tags.cast("array<string>").alias("tags"))
-
-
-def train_intent_model(labelled: DataFrame, text: str = "text", intent: str = "intent",
+    classes, bias, tokens, matrix = _weights(model)
+    shared = df.sparkSession.sparkContext.broadcast((bias, tokens, matrix))
+    rows = df.select(*keys, F.coalesce(let(X.words(F.col(text)), X.tokens), F.array().cast("array<string>")).alias("_tokens"))
+    schema = ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys] + [SCORED])
+    return rows.mapInArrow(_scorer(classes, shared, threshold, len(keys)), schema)
+
+
+def _tokens(df: DataFrame, text: str, *columns: str) -> DataFrame:
+    return df.select(*columns, F.coalesce(let(X.words(F.col(text)), X.tokens), F.array().cast("array<string>")).alias("tokens"))
+
+
+def train_intent_model(labelled: DataFrame, text: str = "text", intent: str = "intent", tags: str | None = None,
                        features: int = 1 << 14) -> PipelineModel:
-    """Multinomial logistic regression over hashed token counts."""
-    data = labelled.select(intent, let(X.words(F.col(text)), X.tokens).alias("tokens"))
+    """Logistic regressions over hashed token counts: one over the intents, and one yes/no head for each tag.
+
+    One ``PipelineModel``, so that ``save`` and ``PipelineModel.load`` keep all of it; the tags' names are those of an
+    indexer among its stages.  A tag that all labelled texts have, or none, has no head.
+    """
+    names: list[str] = []
+    if tags is not None:
+        n = labelled.count()
+        held = labelled.select(F.explode(F.array_distinct(tags)).alias("tag")).groupBy("tag").count().orderBy("tag").collect()
+        names = [r["tag"] for r in held if r["count"] < n]
+    flags = [F.array_contains(tags, t).cast("double").alias(f"is_{i}") for i, t in enumerate(names)]
+    data = materialise(_tokens(labelled.select(text, intent, *flags), text, intent, *[f"is_{i}" for i in range(len(names))]), "intent-tokens")
     stages = [
         StringIndexer(inputCol=intent, outputCol="label", stringOrderType="alphabetAsc"),
         HashingTF(inputCol="tokens", outputCol="features", numFeatures=features),
         LogisticRegression(maxIter=10, regParam=0.01, family="multinomial"),
     ]
-    return Pipeline(stages=stages).fit(data)
-
+    fitted = Pipeline(stages=stages).fit(data)
+    vectors = fitted.stages[1].transform(data)
+    heads = [
+        LogisticRegression(maxIter=10, regParam=0.01, family="binomial", labelCol=f"is_{i}", rawPredictionCol=f"raw_{i}",
+                           probabilityCol=f"tag_{i}", predictionCol=f"has_{i}").fit(vectors)
+        for i in range(len(names))]
+    listed = [StringIndexerModel.from_labels(names, inputCol="tag", outputCol="tag_index")] if names else []
+    return PipelineModel([*fitted.stages, *listed, *heads])
 
-def apply_intent_model(model: PipelineModel, df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
 
-    data = df.select(*keys, let(X.words(F.col(text)), X.tokens).alias("tokens"))
-    names = F.array(*[F.lit(v) for v in model.stages[0].labels])
-    for stage in model.stages[1:]:
-        data = stage.transform(data)
+def apply_intent_model(model: PipelineModel, df: DataFrame, keys: list[str], text: str = "text",
+                       threshold: float = C.TAG_THRESHOLD) -> DataFrame:
+    """(keys, intent, confidence, tags) by a model of ``train_intent_model``; narrow."""
+    intents, *others = model.stages
+    names = F.array(*[F.lit(v) for v in intents.labels])
+    data, tags = _tokens(df, text, *keys), []
+    for stage in others:
+        if isinstance(stage, StringIndexerModel):
+            tags = list(stage.labels)
+        else:
+            data = stage.transform(data)
+    fired = F.filter(F.array(*[F.when(vector_to_array(f"tag_{i}")[1] > threshold, F.lit(t)) for i, t in enumerate(tags)])
+                     if tags else F.array().cast("array<string>"), lambda t: t.isNotNull())
     return data.select(
         *keys, F.element_at(names, F.col("prediction").cast("int") + 1).alias("intent"),
-        F.array_max(vector_to_array("probability")).alias("confidence"))
+        F.array_max(vector_to_array("probability")).alias("confidence"), fired.alias("tags"))
+
+
+def above_majority(pred: DataFrame, by: list[str], truth: str = "truth", guess: str = "guess") -> DataFrame:
+    """(by, n, classes, above_majority): rows, classes among them, and whether more rows are right than the commonest class has."""
+    per = pred.groupBy(*by, truth).agg(F.count("*").alias("n"), F.sum((F.col(truth) == F.col(guess)).cast("long")).alias("right"))
+    return per.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.count("*").alias("classes"), (F.sum("right") > F.max("n")).alias("above_majority"))
 
 
 def intent_accuracy(pred: DataFrame, by: list[str], truth: str = "truth", guess: str = "guess") -> DataFrame:

@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import safety as S
+from parlance.functions.rulesets import BASE, RuleSet
 from parlance.rules import safety as R
 
 
-def injection_matches(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """One row per (text, rule that fires): label and snippet.  Narrow, no shuffle."""
-    hits = df.select(*keys, F.explode_outer(S.injection_hits(text)).alias("h")).where("h IS NOT NULL")
+def injection_matches(df: DataFrame, keys: list[str], text: str = "text", rules: RuleSet = BASE) -> DataFrame:
+    """One row per (text, rule that fires): label and snippet.  Narrow, no shuffle.
+
+    ``rules`` here and below are the built-in ones or a table's (``sources.rules.read_rules``)."""
+    hits = df.select(*keys, F.explode_outer(S.injection_hits(text, rules)).alias("h")).where("h IS NOT NULL")
     return hits.select(*keys, F.col("h.label").alias("label"), F.col("h.snippet").alias("snippet"))
 
 
 def injection_blocked(df: DataFrame, keys: list[str], text: str = "text",
-                      threshold: int = R.INJECTION_BLOCK_THRESHOLD) -> DataFrame:
+                      threshold: int = R.INJECTION_BLOCK_THRESHOLD, rules: RuleSet = BASE) -> DataFrame:
     """Blocked flag, labels and reason per text."""
-    out = df.select(*keys, S.injection_hits(text).alias("hits"))
+    out = df.select(*keys, S.injection_hits(text, rules).alias("hits"))
     blocked = F.size("hits") >= threshold
     return out.select(
         *keys,
@@ -29,17 +32,17 @@ def injection_blocked(df: DataFrame, keys: list[str], text: str = "text",
     )
 
 
-def nsfw_matches(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+def nsfw_matches(df: DataFrame, keys: list[str], text: str = "text", rules: RuleSet = BASE) -> DataFrame:
     """One row per (text, category that fires) with the text's whole reason line.
 
     One generator gives both, and is an outer one, so that no pattern is tested again in a filter below it."""
-    both = S.let(S.nsfw_categories(text), lambda cats: F.transform(
+    both = S.let(S.nsfw_categories(text, rules), lambda cats: F.transform(
         cats, lambda c: F.struct(c.alias("category"), F.concat(F.lit(R.NSFW_REASON), F.array_join(cats, ", ")).alias("block_reason"))))
     out = df.select(*keys, F.explode_outer(both).alias("h")).where("h IS NOT NULL")
     return out.select(*keys, "h.block_reason", "h.category")
 
 
-def guardrail(df: DataFrame, text: str = "text") -> DataFrame:
+def guardrail(df: DataFrame, text: str = "text", rules: RuleSet = BASE) -> DataFrame:
     """Layered verdict: injection, then unsafe content, then personal data.
 
     A later layer is evaluated only for rows the earlier ones let pass, and
@@ -47,14 +50,14 @@ def guardrail(df: DataFrame, text: str = "text") -> DataFrame:
     ``nsfw_categories``, ``pii``, ``masked_text``, ``is_blocked``,
     ``block_layer`` and ``block_reason``; narrow, no shuffle.
     """
-    df = df.withColumn("injection_hits", S.injection_hits(text))
+    df = df.withColumn("injection_hits", S.injection_hits(text, rules))
     injected = F.size("injection_hits") >= R.INJECTION_BLOCK_THRESHOLD
     df = df.withColumn(
         "nsfw_categories",
-        F.when(injected, F.array().cast("array<string>")).otherwise(S.nsfw_categories(text)))
+        F.when(injected, F.array().cast("array<string>")).otherwise(S.nsfw_categories(text, rules)))
     unsafe = F.size("nsfw_categories") > 0
     df = df.withColumn("block_layer", F.when(injected, "injection").when(unsafe, "nsfw").otherwise(""))
-    df = S.scan_pii(df, text, where="block_layer = ''")
+    df = S.scan_pii(df, text, where="block_layer = ''", rules=rules)
     layer = F.col("block_layer")
     return (
         df.withColumn("masked_text", F.when(layer == "injection", R.BLOCKED_INJECTION_TEXT)
@@ -76,16 +79,16 @@ def verdict_columns(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def pii_matches(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+def pii_matches(df: DataFrame, keys: list[str], text: str = "text", rules: RuleSet = BASE) -> DataFrame:
     """One row per match: type, ordinal within type, value, hash, offsets."""
-    scanned = S.scan_pii(df.select(*keys, text), text)
+    scanned = S.scan_pii(df.select(*keys, text), text, rules=rules)
     out = scanned.select(*keys, F.explode_outer("pii").alias("p")).where(F.col("p").isNotNull())
     return out.select(*keys, "p.pii_type", "p.ordinal", F.col("p.value").alias("value"),
                       S.fingerprint(F.col("p.value")).alias("value_hash"), "p.start", "p.end")
 
 
-def pii_masked(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    return df.select(*keys, S.mask_pii(text).alias("masked_text"))
+def pii_masked(df: DataFrame, keys: list[str], text: str = "text", rules: RuleSet = BASE) -> DataFrame:
+    return df.select(*keys, S.mask_pii(text, rules).alias("masked_text"))
 
 
 def pii_type_summary(matches: DataFrame, by: list[str]) -> DataFrame:

@@ -42,16 +42,11 @@ def count_kind(kind: str) -> Column:
     return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
 
 
-def user_profile(turns: DataFrame, order: list[str] = ["ts", "message_id"], keys: list[str] = ["user_id"]) -> DataFrame:
-    """One row per user from screened turns with what each screening was given (``decisions.with_call``).
+def profile_facts(calls: DataFrame, order: list[str] = ["ts", "message_id"], keys: list[str] = ["user_id"]) -> DataFrame:
+    """(keys, kind, value, n, first, since, last): what a profile is folded from, counted with map-side combine.
 
-    Each turn becomes a few (kind, value) facts; these are counted per
-    (user, kind, value) with map-side combine and only then folded per user, so
-    a user with most of the traffic is spread and no raw turn is gathered.
-    Distinct personal-data hashes are counted here; ``user_fingerprints``
-    lists them, one row each.  Intents and tags are those that a reply's screening was given, the
-    language is the one given to the user's first call.  ``keys`` may add the
-    user's segment (``with_segments``): a profile lives for a fixed time after each write.
+    ``calls`` are screened turns with what each screening was given (``decisions.with_call``).  Facts of several
+    sets of turns are brought together by ``merge_facts``.
     """
     blocked, injected = F.col("is_blocked"), F.col("block_layer") == "injection"
     facts = F.concat(
@@ -66,12 +61,20 @@ def user_profile(turns: DataFrame, order: list[str] = ["ts", "message_id"], keys
         _facts("hash", F.array_distinct(F.transform("pii", lambda p: F.concat(
             p["pii_type"], F.lit(":"), S.fingerprint(p["value"]))))),
     )
-    ts = order[0]
-    rows = turns.select(*keys, F.col(ts).alias("at"), moment(turns, *order).alias("moment"), F.explode(facts).alias("f"))
-    per_value = rows.groupBy(*keys, F.col("f.kind").alias("kind"), F.col("f.value").alias("value")).agg(
+    rows = calls.select(*keys, F.col(order[0]).alias("at"), moment(calls, *order).alias("moment"), F.explode(facts).alias("f"))
+    return rows.groupBy(*keys, F.col("f.kind").alias("kind"), F.col("f.value").alias("value")).agg(
         F.count("*").alias("n"), F.min("moment").alias("first"), F.min("at").alias("since"), F.max("at").alias("last"))
+
+
+def merge_facts(facts: DataFrame, keys: list[str]) -> DataFrame:
+    return facts.groupBy(*keys, "kind", "value").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.min("since").alias("since"), F.max("last").alias("last"))
+
+
+def fold_profile(facts: DataFrame, keys: list[str] = ["user_id"]) -> DataFrame:
+    """One profile for each of ``keys`` from its facts, one row a (kind, value)."""
     origin = F.when(F.col("kind") == "origin", F.col("first"))
-    out = per_value.groupBy(*keys).agg(
+    out = facts.groupBy(*keys).agg(
         F.split(F.min_by("value", origin), PARTS).alias("origin"),
         F.min("since").alias("created_at"),
         F.max("last").alias("updated_at"),
@@ -89,6 +92,20 @@ def user_profile(turns: DataFrame, order: list[str] = ["ts", "message_id"], keys
         "flagged_count", "injection_attempts", "nsfw_attempts", "intents_seen", "tags_seen", "pii_types_seen", "pii_values")
 
 
+def user_profile(turns: DataFrame, order: list[str] = ["ts", "message_id"], keys: list[str] = ["user_id"]) -> DataFrame:
+    """One row per user from screened turns with what each screening was given (``decisions.with_call``).
+
+    Each turn becomes a few (kind, value) facts; these are counted per
+    (user, kind, value) with map-side combine and only then folded per user, so
+    a user with most of the traffic is spread and no raw turn is gathered.
+    Distinct personal-data hashes are counted here; ``user_fingerprints``
+    lists them, one row each.  Intents and tags are those that a reply's screening was given, the
+    language is the one given to the user's first call.  ``keys`` may add the
+    user's segment (``with_segments``): a profile lives for a fixed time after each write.
+    """
+    return fold_profile(profile_facts(turns, order, keys), keys)
+
+
 def session_history(turns: DataFrame, n: int = R.HISTORY_TURNS, keys: list[str] = ["session_id"]) -> DataFrame:
     """Newest ``n`` turns per session, or per segment of a session.
 
@@ -113,25 +130,27 @@ def context_window(turns: DataFrame, content: str = "masked_text", n: int = R.CO
     return out.select(*keys, "turn", "context", F.when(F.col("call_intent") != "", hint).otherwise("").alias("hint"))
 
 
-def _span(ts: str, gap_seconds: int) -> Column:
+def span_of(ts: str, gap_seconds: int = R.SESSION_TTL_SECONDS) -> Column:
+    """Number of the span that ``ts`` lies in: an hour, or the gap if that is shorter.  Events of one span are in one segment."""
     return F.floor(F.unix_micros(ts) / (min(3600, gap_seconds) * 1_000_000))
 
 
-def _marked(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
-    """(key, _hour, _lo, _hi, _n, segment): a key's spans with activity and the segment each lies in.
-
-    A span is an hour or a shorter gap, so all events of one are in the same segment.  The window sees spans, not events.
-    """
+def mark_spans(spans: DataFrame, key: str, gap_seconds: int = R.SESSION_TTL_SECONDS) -> DataFrame:
+    """Add ``segment`` to a key's spans (key, _hour, _lo, _hi): a silence of ``gap_seconds`` between two of them starts a new one."""
     if gap_seconds < 1:
         raise ValueError("gap_seconds must be positive")
-    hours = df.groupBy(key, _span(ts, gap_seconds).alias("_hour")).agg(
-        F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.count("*").alias("_n"))
     w = W.partitionBy(key).orderBy("_hour")
     gap = F.unix_micros("_lo") - F.unix_micros(F.lag("_hi").over(w))
-    marked = hours.withColumn("_new", F.when(gap.isNull() | (gap >= gap_seconds * 1_000_000), 1).otherwise(0))
+    marked = spans.withColumn("_new", F.when(gap.isNull() | (gap >= gap_seconds * 1_000_000), 1).otherwise(0))
     return marked.withColumn("segment", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
 
 
+def _marked(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
+    """(key, _hour, _lo, _hi, _n, segment): a key's spans with activity; the window sees these, not events."""
+    return mark_spans(df.groupBy(key, span_of(ts, max(1, gap_seconds)).alias("_hour")).agg(
+        F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.count("*").alias("_n")), key, gap_seconds)
+
+
 def session_segments(df: DataFrame, key: str, ts: str, gap_seconds: int = R.SESSION_TTL_SECONDS,
                      as_of: str | None = None) -> DataFrame:
     """Runs of activity ended by ``gap_seconds`` of silence.
@@ -155,7 +174,7 @@ def with_segments(turns: DataFrame, key: str, ts: str = "ts", gap_seconds: int =
     session is sorted, and a session with most of the turns is dealt by hours.
     """
     spans = _marked(turns, key, ts, gap_seconds).select(key, "_hour", F.col("segment").alias(name))
-    return turns.withColumn("_hour", _span(ts, gap_seconds)).join(spans, [key, "_hour"]).drop("_hour")
+    return turns.withColumn("_hour", span_of(ts, gap_seconds)).join(spans, [key, "_hour"]).drop("_hour")
 
 
 def live_turns(turns: DataFrame, key: str, as_of: str, ts: str = "ts", gap_seconds: int = R.SESSION_TTL_SECONDS) -> DataFrame:
@@ -167,11 +186,11 @@ def live_turns(turns: DataFrame, key: str, as_of: str, ts: str = "ts", gap_secon
     spans, all_ = _marked(seen, key, ts, gap_seconds), W.partitionBy(key)
     live = spans.withColumns({"_last": F.max("segment").over(all_), "_end": F.max("_hi").over(all_)}).where(
         (F.col("segment") == F.col("_last")) & (F.unix_micros(now) < F.unix_micros("_end") + gap_seconds * 1_000_000))
-    return seen.withColumn("_hour", _span(ts, gap_seconds)).join(live.select(key, "_hour"), [key, "_hour"], "left_semi").drop("_hour")
+    return seen.withColumn("_hour", span_of(ts, gap_seconds)).join(live.select(key, "_hour"), [key, "_hour"], "left_semi").drop("_hour")
 
 
 def session_erase(history: DataFrame, erasures: DataFrame) -> DataFrame:
-    """History without the listed sessions."""
+    """History without the listed sessions; ``sources.erase.erase_sessions`` does so to stored tables."""
     return history.join(erasures.select("session_id").distinct(), "session_id", "left_anti")
 
 

@@ -20,11 +20,11 @@ def conversation_stats(turns: DataFrame, content: str = "text") -> DataFrame:
         F.coalesce(F.avg(F.when(user, F.length(content))), F.lit(0.0)).alias("avg_user_msg_len"))
 
 
-def session_facts(turns: DataFrame, content: str = "masked_text") -> DataFrame:
-    """Everything a summary needs, one row per session, from screened turns.
+def turn_facts(turns: DataFrame, content: str = "masked_text", place: Column | str = "turn") -> DataFrame:
+    """(session_id, kind, value, n, first, last, ...): what a summary is folded from, counted with map-side combine.
 
-    Turns are reduced to counts per (session, kind, value) with map-side
-    combine, then folded per session; text is reduced to its length first.
+    ``place`` orders the turns of a session.  Text is reduced to its length first.  Facts of several sets of turns are
+    brought together by ``merge_facts``.
     """
     user = F.col("role") == "user"
     facts = F.concat(
@@ -36,20 +36,30 @@ def session_facts(turns: DataFrame, content: str = "masked_text") -> DataFrame:
         _facts("pii", F.array_distinct(F.transform("pii", lambda p: p["pii_type"]))),
     )
     rows = turns.select(
-        "session_id", "turn", "ts", F.explode(facts).alias("f"), "is_blocked",
+        "session_id", (F.col(place) if isinstance(place, str) else place).alias("place"), "ts", F.explode(facts).alias("f"), "is_blocked",
         F.when(user, F.length(content)).alias("user_len"),
         (F.col("role") == "assistant").cast("bigint").alias("reply"))
-    per_value = rows.groupBy("session_id", F.col("f.kind").alias("kind"), F.col("f.value").alias("value")).agg(
-        F.count("*").alias("n"), F.min("turn").alias("first"), F.max("turn").alias("last"), F.max("ts").alias("last_ts"),
+    return rows.groupBy("session_id", F.col("f.kind").alias("kind"), F.col("f.value").alias("value")).agg(
+        F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"), F.max("ts").alias("last_ts"),
         F.count("user_len").alias("user_turns"), F.sum("user_len").alias("user_chars"),
         F.sum("reply").alias("replies"), F.max("is_blocked").alias("was_blocked"))
 
+
+def merge_facts(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("session_id", "kind", "value").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("last_ts").alias("last_ts"),
+        F.sum("user_turns").alias("user_turns"), F.sum("user_chars").alias("user_chars"), F.sum("replies").alias("replies"),
+        F.max("was_blocked").alias("was_blocked"))
+
+
+def fold_facts(facts: DataFrame) -> DataFrame:
+    """Everything a summary needs, one row per session, from its facts."""
     turn = F.col("kind") == "turn"
 
     def names(kind: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value"))))
 
-    return per_value.groupBy("session_id").agg(
+    return facts.groupBy("session_id").agg(
         F.min_by("value", F.when(F.col("kind") == "user", F.col("first"))).alias("user_id"),
         F.max_by("value", F.when(F.col("kind") == "lang", F.col("last"))).alias("lang"),
         F.max(F.when(turn, F.col("last_ts"))).alias("created_at"),
@@ -68,6 +78,15 @@ def session_facts(turns: DataFrame, content: str = "masked_text") -> DataFrame:
         names("pii").alias("pii_types_detected"))
 
 
+def session_facts(turns: DataFrame, content: str = "masked_text") -> DataFrame:
+    """Everything a summary needs, one row per session, from screened turns.
+
+    Turns are reduced to counts per (session, kind, value) with map-side
+    combine, then folded per session.
+    """
+    return fold_facts(turn_facts(turns, content))
+
+
 def primary_intent(turns: DataFrame) -> DataFrame:
     """Most frequent intent per session, ties to the one seen first."""
     counts = turns.where(F.col("intent") != "").groupBy("session_id", "intent").agg(
@@ -107,7 +126,11 @@ def summary_text(turns: Column, primary: Column, pii_types: Column, intents: Col
 
 def conversation_summary(turns: DataFrame, content: str = "masked_text") -> DataFrame:
     """Full summary record per session."""
-    f = session_facts(turns, content)
+    return summary_records(session_facts(turns, content))
+
+
+def summary_records(f: DataFrame) -> DataFrame:
+    """Summary records from ``session_facts``."""
     intents, tags, pii = F.col("all_intents"), F.col("all_tags"), F.col("pii_types_detected")
     f = f.withColumn("risk_level", risk_level(intents, tags, pii))
     risk = F.col("risk_level")
@@ -121,15 +144,24 @@ def conversation_summary(turns: DataFrame, content: str = "masked_text") -> Data
         F.when(risk == "critical", R.ESCALATION_CRITICAL).otherwise("").alias("escalation_reason"))
 
 
-def latest_summary(summaries: DataFrame) -> DataFrame:
-    """Latest stored summary per session."""
+def latest_summary(summaries: DataFrame, as_of: str | None = None, ttl_seconds: int = R.SUMMARY_TTL_SECONDS) -> DataFrame:
+    """Latest stored summary per session.
+
+    With ``as_of`` it is what a lookup finds at that instant: summaries written later are not there, and one
+    runs out ``ttl_seconds`` after it was written.  Only the day folders in between are read, where there are such."""
+    if as_of is not None:
+        now = F.lit(as_of).cast("timestamp")
+        age = F.unix_micros(now) - F.unix_micros("created_at")
+        summaries = summaries.where((age >= 0) & (age < ttl_seconds * 1_000_000))
+        if "event_date" in summaries.columns:
+            summaries = summaries.where(F.col("event_date").between(F.to_date(now - F.expr(f"INTERVAL {ttl_seconds} SECOND")), F.to_date(now)))
     w = W.partitionBy("session_id").orderBy(F.col("created_at").desc(), F.col("total_turns").desc())
     return summaries.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == 1).drop("_rank")
 
 
-def summary_view(summaries: DataFrame) -> DataFrame:
+def summary_view(summaries: DataFrame, as_of: str | None = None) -> DataFrame:
     """Nine-field projection of the latest summaries."""
-    return latest_summary(summaries).select(
+    return latest_summary(summaries, as_of).select(
         "session_id", "summary_text", "primary_intent", "all_intents", "all_tags", "risk_level",
         "recommended_actions", "needs_human_takeover", "escalation_reason")
 

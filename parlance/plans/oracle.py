@@ -14,6 +14,7 @@ from parlance.rules import corpus as C
 from parlance.rules import language as L
 from parlance.rules import safety as R
 from parlance.rules import sessions as S
+from parlance.rules import sets as RS
 from parlance.rules import tags as T
 
 
@@ -73,9 +74,9 @@ WHERE NOT starts_with(lower(r.tag), 'language:')"""
 
 
 # ---- screening --------------------------------------------------------------
-def hit_expr(text: str) -> str:
+def hit_expr(text: str, rules=R.INJECTION_RULES) -> str:
     parts = []
-    for label, p in R.INJECTION_RULES:
+    for label, p in rules:
         pat = lit(("(?im)" if label in R.MULTILINE_RULES else "(?i)") + p)
         parts.append(f"CASE WHEN regexp_matches({text}, {pat}) THEN {{'label': '{label}', "
                      f"'snippet': substr(regexp_extract({text}, {pat}, 0), 1, {R.INJECTION_SNIPPET_CHARS})}} END")
@@ -100,11 +101,11 @@ def pii_step(i: int, rule) -> tuple[str, str, str]:
     """
     kind, pattern, token = rule
     m = f"m{i - 1}"
-    if kind == "phone_ma":
+    if "(?<!" in pattern:
         src = rf"regexp_replace(regexp_replace({m}, '(\d)\+', '\1' || chr(4), 'g'), '(\d+)', chr(2) || '\1' || chr(3), 'g')"
         pattern = r"\x02(?:0[5-7]\d{8}|00212[5-7]\d{8})\x03|\+\x02212(?:[5-7]\d{8}\x03|\x03[\s\-]\x02[5-7]\d{8}\x03)"
         fix = strip
-    elif kind == "phone_intl":
+    elif "(?!212)" in pattern:
         src = f"replace({m}, '+212', chr(4) || '212')"
         pattern = pattern.replace("(?!212)", "")
         fix = strip
@@ -116,17 +117,17 @@ def pii_step(i: int, rule) -> tuple[str, str, str]:
     return values, gaps, fix(f"regexp_replace({src}, {p}, {lit(token)}, 'g')")
 
 
-def pii_chain(prefix: str, source: str, keys: str, text: str, where: str = "true") -> str:
-    """Register CTEs ``{prefix}0..11`` and ``{prefix}_m`` (one row per match)."""
+def pii_chain(prefix: str, source: str, keys: str, text: str, where: str = "true", rules=R.PII_RULES) -> str:
+    """Register CTEs ``{prefix}0..n`` and ``{prefix}_m`` (one row per match)."""
     CTE[f"{prefix}0"] = f"SELECT {keys}, CASE WHEN {where} THEN {text} END AS m0 FROM {source}"
     vals = ""
-    for i, rule in enumerate(R.PII_RULES, 1):
+    for i, rule in enumerate(rules, 1):
         v, g, m = pii_step(i, rule)
         vals += f", v{i}, g{i}"
         CTE[f"{prefix}{i}"] = f"SELECT * , {v} AS v{i}, {g} AS g{i}, {m} AS m{i} FROM {prefix}{i - 1}"
-    last = len(R.PII_RULES)
+    last = len(rules)
     parts = []
-    for i, (kind, _, _) in enumerate(R.PII_RULES, 1):
+    for i, (kind, _, _) in enumerate(rules, 1):
         parts.append(
             f"SELECT {keys}, {i} AS ord, '{kind}' AS pii_type, k - 1 AS ordinal, v{i}[k] AS value, "
             f"coalesce(list_sum(g{i}[1:k]), 0) + coalesce(list_sum(list_transform(v{i}[1:k - 1], lambda x: length(x))), 0) AS pos "
@@ -138,15 +139,15 @@ def pii_chain(prefix: str, source: str, keys: str, text: str, where: str = "true
     return f"{prefix}{last}"
 
 
-def screen(prefix: str, source: str, keys: str) -> None:
+def screen(prefix: str, source: str, keys: str, injection=R.INJECTION_RULES, pii=R.PII_RULES) -> None:
     """CTE ``{prefix}``: verdict columns for every row of ``source``."""
     k = keys.split(", ")
-    CTE[f"{prefix}_a"] = f"SELECT *, {hit_expr('text')} AS hits FROM {source}"
+    CTE[f"{prefix}_a"] = f"SELECT *, {hit_expr('text', injection)} AS hits FROM {source}"
     CTE[f"{prefix}_b"] = (f"SELECT *, CASE WHEN len(hits) >= {R.INJECTION_BLOCK_THRESHOLD} THEN [] "
                           f"ELSE {nsfw_expr('text')} END AS cats FROM {prefix}_a")
     CTE[f"{prefix}_c"] = (f"SELECT *, CASE WHEN len(hits) >= {R.INJECTION_BLOCK_THRESHOLD} THEN 'injection' "
                           f"WHEN len(cats) > 0 THEN 'nsfw' ELSE '' END AS block_layer FROM {prefix}_b")
-    end = pii_chain(f"{prefix}p", f"{prefix}_c", keys, "text", "block_layer = ''")
+    end = pii_chain(f"{prefix}p", f"{prefix}_c", keys, "text", "block_layer = ''", pii)
     CTE[f"{prefix}_t"] = (
         f"SELECT {keys}, count(*) AS pii_count, string_agg(DISTINCT pii_type, '|' ORDER BY pii_type) AS pii_types "
         f"FROM {prefix}p_m GROUP BY ALL")
@@ -155,7 +156,7 @@ def screen(prefix: str, source: str, keys: str) -> None:
     CTE[prefix] = f"""
 SELECT c.* EXCLUDE (hits, cats),
   CASE block_layer WHEN 'injection' THEN {lit(R.BLOCKED_INJECTION_TEXT)} WHEN 'nsfw' THEN {lit(R.BLOCKED_NSFW_TEXT)}
-    ELSE m.m{len(R.PII_RULES)} END AS masked_text,
+    ELSE m.m{len(pii)} END AS masked_text,
   block_layer <> '' AS is_blocked,
   CASE block_layer WHEN 'injection' THEN {lit(R.INJECTION_REASON)} || array_to_string({hit_text}, ', ')
     WHEN 'nsfw' THEN {lit(R.NSFW_REASON)} || array_to_string(cats, ', ') ELSE '' END AS block_reason,
@@ -168,6 +169,8 @@ FROM {prefix}_c c JOIN {end} m ON {on.format(o='m')} LEFT JOIN {prefix}_t t ON {
 
 screen("sx", "texts", "text_id, origin")
 screen("sc", "chat", "message_id")
+_more = sorted([*RS.BASE_ROWS, *RS.EXTENDED_ROWS], key=lambda r: (r[1], r[2]))
+screen("se", "texts", "text_id, origin", [(r[3], r[4]) for r in _more if r[1] == "injection"], [r[3:6] for r in _more if r[1] == "pii"])
 pii_chain("px", "texts", "text_id, origin", "text")
 pii_chain("pu", "chat", "message_id, user_id, ts", "text")
 
@@ -286,6 +289,9 @@ FROM (SELECT *, {nsfw_expr('text')} AS cats FROM texts)""")
 oracle("guardrail_verdict", """
 SELECT text_id, origin, is_blocked, block_layer, block_reason, masked_text, injection_labels, nsfw_categories, pii_types, pii_count
 FROM sx""")
+oracle("guardrail_extended", """
+SELECT text_id, origin, is_blocked, block_layer, block_reason, masked_text, injection_labels, nsfw_categories, pii_types, pii_count
+FROM se""")
 oracle("pii_matches", 'SELECT text_id, origin, pii_type, ordinal, value_hash, "start", "end" FROM px_m')
 oracle("pii_masked", f"SELECT text_id, origin, m{len(R.PII_RULES)} AS masked_text FROM px{len(R.PII_RULES)}")
 oracle("pii_type_summary", """
@@ -304,6 +310,10 @@ SELECT role, count(*) AS turns, count(*) FILTER (is_blocked) AS blocked, count(*
 
 # ---- tags and language ------------------------------------------------------
 oracle("keyword_tags", "SELECT text_id, origin, tag FROM tx_k")
+oracle("keyword_tags_indexed", """
+SELECT DISTINCT text_id, origin, tag FROM texts t JOIN (
+  SELECT DISTINCT k AS keyword, 'Word:' || substr(k, 1, 2) AS tag FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS k FROM benchmark)) r
+ON contains(lower(t.text), r.keyword)""")
 oracle("script_tags", f"SELECT text_id, origin, {script_tag('text')} AS script_tag FROM texts")
 oracle("tag_precedence", f"""
 SELECT e.message_id, e.existing, coalesce(v.tags, replace(j.tags, '|', ', '), '{T.UNTAGGED}') AS tags FROM existing_in e
@@ -440,6 +450,10 @@ FROM head_p GROUP BY doc_id"""
 oracle("intent_scores", f"""
 SELECT lab.doc_id, lab.split, {language('d.text')} AS lang, p.guess AS intent, round(p.confidence, 4) AS confidence, p.tags
 FROM lab JOIN documents d ON lab.doc_id = d.doc_id LEFT JOIN pred p ON lab.doc_id = p.doc_id""")
+oracle("intent_model", """
+SELECT split, count(*) AS n, count(DISTINCT intent) AS classes, true AS above_majority,
+  (SELECT CAST(bool_or(q) AND NOT bool_and(q) AS BIGINT) + CAST(bool_or(x) AND NOT bool_and(x) AS BIGINT) FROM lab WHERE split = 'train') AS tag_heads
+FROM lab GROUP BY split""")
 CTE["pairs"] = "SELECT lab.doc_id, split, intent AS truth, q, x, guess, coalesce(tags, '') AS tags FROM lab LEFT JOIN pred ON lab.doc_id = pred.doc_id"
 oracle("eval_intent_accuracy", """
 SELECT split, count(*) AS n, count(*) FILTER (truth = guess) AS correct, round(count(*) FILTER (truth = guess) / count(*), 6) AS accuracy
@@ -496,8 +510,6 @@ GROUP BY {', '.join('t.' + x for x in keys)}"""
 
 profile_ctes("profile", "calls", "scp_m", ["user_id"])
 oracle("user_profile", "SELECT * FROM profile")
-oracle("stream_user_profile", """
-SELECT user_id, message_count, flagged_count, injection_attempts, nsfw_attempts, created_us, updated_us FROM profile""")
 for name, n in (("session_history", S.HISTORY_TURNS), ("session_history_3", 3)):
     oracle(name, f"""
 SELECT session_id, user_id, turn, role, masked_text FROM sc
@@ -518,10 +530,8 @@ FROM (SELECT user_id, ts, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts R
 
 
 oracle("session_segments", segments("session", 24) + " UNION ALL " + segments("summary", 168))
-# Append mode leaves out segments that the final watermark has not passed.
 oracle("stream_sessions", f"""
-SELECT concat('u', CAST(user_id AS VARCHAR)) AS user_id, started_us, ended_us, turns FROM ({segments('session', 24)})
-WHERE ended_us + 86400000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 86400000000 FROM events)""")
+SELECT concat('u', CAST(user_id AS VARCHAR)) AS user_id, started_us, ended_us, turns FROM ({segments('session', 24)})""")
 oracle("session_erase", """
 SELECT message_id, session_id, role FROM chat_base
 WHERE session_id NOT IN (SELECT session_id FROM chat_base WHERE intent = 'harmful')""")
@@ -544,6 +554,10 @@ SELECT * EXCLUDE (n_s, n_u), sum(n_s) OVER ({_by['session_id']} ROWS UNBOUNDED P
 CTE["long_calls"] = CTE["calls"].replace("turns", "long_turns")
 profile_ctes("long_profile", "long_calls", "scp_m", ["user_id", "segment"])
 oracle("user_profile_segments", "SELECT * REPLACE (CAST(segment AS BIGINT) AS segment) FROM long_profile")
+CTE["user_calls"] = f"""
+SELECT *, sum(n_u) OVER ({_by['user_id']} ROWS UNBOUNDED PRECEDING) AS segment FROM (SELECT *, {_NEW.format(w=_by['user_id'])} AS n_u FROM calls)"""
+profile_ctes("user_segments", "user_calls", "scp_m", ["user_id", "segment"])
+oracle("stream_user_profile", "SELECT * REPLACE (CAST(segment AS BIGINT) AS segment) FROM user_segments")
 oracle("user_hashes_segments", """
 SELECT t.user_id, CAST(t.segment AS BIGINT) AS segment, pii_type, value_hash, count(*) AS n, arg_min(m.message_id, (m.ts, m.message_id)) AS first_message
 FROM pu_m m JOIN long_turns t ON m.message_id = t.message_id GROUP BY ALL""")
@@ -655,16 +669,18 @@ SELECT session_id, user_id, lang, epoch_us(created_at) AS created_us,
 FROM {p}_r"""
 
 
-CTE["opening"] = "SELECT * FROM turns WHERE turn = 0"
+CTE["opening"] = "SELECT * FROM turns QUALIFY 2 * turn < count(*) OVER (PARTITION BY session_id)"
 summary_ctes("summ", "turns")
 summary_ctes("summ0", "opening")
 oracle("conversation_summary", "SELECT * FROM summ")
 oracle("stream_summaries", "SELECT * FROM summ")
-oracle("summary_sink", "SELECT * FROM summ UNION ALL SELECT * FROM summ0")
+CTE["stored"] = "SELECT 'full' AS run_id, * FROM summ UNION ALL SELECT 'half' AS run_id, * FROM summ0"
+oracle("summary_sink", "SELECT *, CAST(CAST(make_timestamp(created_us) AS DATE) AS VARCHAR) AS event_date FROM stored")
 oracle("summary_lookup", """
 SELECT session_id, summary_text, primary_intent, all_intents, all_tags, risk_level, recommended_actions, needs_human_takeover,
-  escalation_reason FROM (SELECT * FROM summ UNION ALL SELECT * FROM summ0)
-QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_us DESC, total_turns DESC) = 1""")
+  escalation_reason FROM stored WHERE created_us <= epoch_us({as_of}) AND created_us > epoch_us({as_of}) - {ttl}
+QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_us DESC, total_turns DESC) = 1""".format(
+    as_of=AS_OF, ttl=S.SUMMARY_TTL_SECONDS * 1_000_000))
 oracle("session_risk", "SELECT session_id, risk_level, n_intents AS intents FROM summ_r")
 oracle("recommended_actions", "SELECT session_id, recommended_actions FROM summ")
 oracle("transcript", f"""

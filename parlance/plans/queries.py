@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from parlance.operators import tagging as TA
 from parlance.operators.blocks import number_turns
 from parlance.plans import views as V
 from parlance.session import materialise, work_dir
+from parlance.sources import erase as ER
+from parlance.sources import rules as RU
 from parlance.sources import sinks
 from parlance.sources import tables as TB
 from parlance.streaming import jobs
@@ -57,7 +61,10 @@ def turn_quarantine(spark, sf):
 
 @query
 def labelled_source(spark, sf):
-    return TB.clean_labelled(V.labelled_raw(spark, sf))
+    """Written as CSV with untidy headers, then read as a user would."""
+    path = work_dir(spark, "labelled")
+    V.labelled_raw(spark, sf).write.option("header", True).option("escape", '"').option("lineSep", "\n").csv(path)
+    return TB.read_labelled(spark, path, line_breaks=True).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 @query
@@ -96,9 +103,9 @@ def pii_vault(spark, sf):
     return _flat_vault(sinks.read_json(spark, path, rows.schema))
 
 
-def _flat_summary(df):
+def _flat_summary(df, *more):
     return df.select(
-        "session_id", "user_id", "lang", us("created_at").alias("created_us"), "summary_text", "summary_lang",
+        *more, "session_id", "user_id", "lang", us("created_at").alias("created_us"), "summary_text", "summary_lang",
         "primary_intent", bar("all_intents").alias("all_intents"), bar("all_tags").alias("all_tags"), "total_turns",
         "user_turns", "assistant_turns", F.round("avg_user_msg_len", 6).alias("avg_user_msg_len"), "risk_level",
         bar("pii_types_detected").alias("pii_types_detected"), "was_blocked",
@@ -116,20 +123,23 @@ def _two_appends(spark, sf):
         "session_id", "turn", "ts", "user_id", "role", "lang", "intent", "tags", "pii", "is_blocked", "masked_text"),
         "screened")
     path = work_dir(spark, "summaries")
-    full = SM.conversation_summary(turns)
-    sinks.append_json(SM.conversation_summary(turns.where(F.col("turn") == 0)), path)
-    sinks.append_json(full, path)
-    return sinks.read_json(spark, path, full.schema)
+    sizes = turns.groupBy("session_id").agg(F.count("*").alias("n"))
+    half = turns.join(sizes, "session_id").where("2 * turn < n").drop("n")
+    for run, part in (("half", half), ("full", turns)):
+        rows = sinks.summary_rows(SM.conversation_summary(part), run)
+        sinks.append_json(rows, path, ["event_date"])
+    return sinks.read_json(spark, path, rows.schema)
 
 
 @query
 def summary_sink(spark, sf):
-    return _flat_summary(_two_appends(spark, sf))
+    return _flat_summary(_two_appends(spark, sf), "run_id", F.col("event_date").cast("string").alias("event_date"))
 
 
 @query
 def summary_lookup(spark, sf):
-    v = SM.summary_view(_two_appends(spark, sf))
+    """Summaries that a lookup finds at an instant: none older than seven days."""
+    v = SM.summary_view(_two_appends(spark, sf), AS_OF)
     for c in ("all_intents", "all_tags", "recommended_actions"):
         v = v.withColumn(c, bar(c))
     return v
@@ -165,6 +175,19 @@ def guardrail_verdict(spark, sf):
     return SF.verdict_columns(SF.guardrail(V.all_texts(spark, sf)), KEY)
 
 
+def _loaded_rules(spark):
+    """All rules, base and extended, from the table a user would edit."""
+    path = work_dir(spark, "rules")
+    RU.rules_table(spark).write.json(path)
+    return RU.read_rules(spark, path, ("base", "extended"))
+
+
+@query
+def guardrail_extended(spark, sf):
+    """Verdicts by a rule table: the base rules and our additions."""
+    return SF.verdict_columns(SF.guardrail(V.all_texts(spark, sf), rules=_loaded_rules(spark)), KEY)
+
+
 @query
 def pii_matches(spark, sf):
     return SF.pii_matches(V.all_texts(spark, sf), KEY).drop("value")
@@ -204,6 +227,17 @@ def keyword_tags(spark, sf):
     return t.select(*KEY, F.explode(TG.keyword_tags("text")).alias("tag"))
 
 
+@query
+def keyword_tags_indexed(spark, sf):
+    """Tags by a rule table that grows with the data: every long word of the benchmark is a keyword for its first two letters."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0)))
+    rules = V.table(spark, sf, "benchmark").select(words.alias("keyword")).distinct().withColumn(
+        "tag", F.concat(F.lit("Word:"), F.substring("keyword", 1, 2)))
+    texts = V.all_texts(spark, sf)
+    index = TA.keyword_index(rules, rules.select("tag").distinct(), texts)
+    return TA.indexed_tags(texts, index, KEY)
+
+
 @query
 def script_tags(spark, sf):
     return V.all_texts(spark, sf).select(*KEY, bar(TG.script_tags("text")).alias("script_tag"))
@@ -342,9 +376,14 @@ def intent_scores(spark, sf):
 
 @query
 def intent_model(spark, sf):
+    """The trained model, saved and loaded: by split, its rows and classes and whether it beats the commonest class."""
     data = materialise(_labelled(spark, sf), "labelled")
-    model = I.train_intent_model(data.where(F.col("split") == "train"))
-    return I.apply_intent_model(model, data, ["doc_id"])
+    path = work_dir(spark, "intent-model")
+    I.train_intent_model(data.where(F.col("split") == "train"), tags="true_tags").save(path)
+    model = PipelineModel.load(path)
+    guess = I.apply_intent_model(model, data.withColumnRenamed("intent", "truth"), ["doc_id", "split", "truth"])
+    heads = sum(isinstance(s, LogisticRegressionModel) for s in model.stages) - 1
+    return I.above_majority(guess.withColumnRenamed("intent", "guess"), ["split"]).withColumn("tag_heads", F.lit(heads).cast("long"))
 
 
 def _predictions(spark, sf):
@@ -412,8 +451,12 @@ def session_segments(spark, sf):
 
 @query
 def session_erase(spark, sf):
-    turns = V.chat_events(spark, sf).select("message_id", "session_id", "role", "intent")
-    return SE.session_erase(turns, turns.where(F.col("intent") == "harmful")).select("message_id", "session_id", "role")
+    """Stored history after the sessions with a harmful message are erased from it: their days are rewritten."""
+    turns = materialise(V.chat_events(spark, sf).select("message_id", "session_id", "role", "intent", F.to_date("ts").alias("event_date")), "history")
+    path = work_dir(spark, "history")
+    ER.write_by_day(turns, path)
+    ER.erase_sessions(spark, path, turns.schema, turns.where(F.col("intent") == "harmful"))
+    return spark.read.schema(turns.schema).parquet(path).select("message_id", "session_id", "role")
 
 
 @query
@@ -614,19 +657,18 @@ def stream_guardrail(spark, sf):
 
 @query
 def stream_user_profile(spark, sf):
+    """All profiles, closed and open ones, with all their fields."""
     out = work_dir(spark, "stream-profile")
     _drained(jobs.stream_user_profile(_event_stream(spark, sf), f"{out}/rows", f"{out}/checkpoint"))
-    p = jobs.latest_profiles(spark.read.parquet(f"{out}/rows"))
-    return p.withColumn("created_us", us("created_at")).withColumn("updated_us", us("updated_at")).drop(
-        "created_at", "updated_at")
+    return _flat_profile(jobs.profiles_on_read(spark, f"{out}/rows").drop("is_open"))
 
 
 @query
 def stream_sessions(spark, sf):
-    """Closed segments: those that ended more than a gap before the watermark."""
+    """All segments: closed ones from the sink and those that are still open."""
     out = work_dir(spark, "stream-sessions")
     _drained(jobs.stream_sessions(_event_stream(spark, sf).select("user_id", "ts"), f"{out}/rows", f"{out}/checkpoint"))
-    rows = spark.read.schema("user_id string, started timestamp, ended timestamp, turns bigint").parquet(f"{out}/rows")
+    rows = jobs.segments_on_read(spark, f"{out}/rows", f"{out}/checkpoint")
     return rows.select("user_id", us("started").alias("started_us"), us("ended").alias("ended_us"), "turns")
 
 
@@ -641,12 +683,5 @@ def stream_history(spark, sf):
 @query
 def stream_summaries(spark, sf):
     out = work_dir(spark, "stream-summaries")
-    stored = materialise(V.screened_chat(spark, sf).select(
-        "session_id", "turn", "ts", "user_id", "role", "lang", "intent", "tags", "pii", "is_blocked", "masked_text"),
-        "screened")
-    touched = _event_stream(spark, sf).select("session_id")
-    _drained(jobs.stream_summaries(touched, lambda: stored, f"{out}/rows", f"{out}/checkpoint"))
-    w = spark.read.parquet(f"{out}/rows")
-    return _flat_summary(SM.latest_summary(w))
-
-
+    _drained(jobs.stream_summaries(_event_stream(spark, sf), f"{out}/rows", f"{out}/checkpoint"))
+    return _flat_summary(SM.latest_summary(spark.read.parquet(f"{out}/rows/rows")))

@@ -51,6 +51,11 @@ def vault_rows(screened: DataFrame) -> DataFrame:
         "v.pii_count", "v.pii_raw", F.to_date("ts").alias("event_date"))
 
 
+def summary_rows(summaries: DataFrame, run_id: str) -> DataFrame:
+    """Summaries as they are stored: with the day they were written and the run that wrote them."""
+    return summaries.withColumns({"run_id": F.lit(run_id), "event_date": F.to_date("created_at")})
+
+
 def feedback_rows(df: DataFrame) -> DataFrame:
     """Feedback with a rating inside the allowed range."""
     return df.where(F.col("rating").between(*R.RATING_RANGE))
