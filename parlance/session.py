@@ -48,12 +48,17 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return path
 
 
+def written(df: DataFrame, purpose: str) -> str:
+    """The new folder below the shared one that ``df`` is written to."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return path
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage in a way that survives lost executors, and gives the planner
     the table's true size for its broadcast decision.
     """
-    path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, purpose))
