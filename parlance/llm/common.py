@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from parlance.session import materialise
+from parlance.session import materialise, written
 
 #: White space that separates words, as a character class of a Java pattern.
 SPACE = r"\x20\x09-\x0D"
@@ -131,6 +131,28 @@ def shingle_sets(texts: pa.Array, n: int = 5) -> Iterator[np.ndarray]:
         begin = end
 
 
+#: Rows of small intermediate tables that a task is given.
+ROWS_A_TASK = 100_000
+
+
+def sized_session(spark: SparkSession, rows: int) -> SparkSession:
+    """A session like ``spark`` whose shuffles have no more partitions than ``rows`` rows fill.
+
+    Steps that are repeated over small tables cost mostly tasks without rows where the planner does not bring
+    partitions together.  Only the number of partitions differs, and it is never raised.
+    """
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(usual, rows // ROWS_A_TASK + 1)
+    if wanted == usual:
+        return spark
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return own
+
+
 def fold_min(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """Connected components of undirected ``edges`` (a, b long): (node, component), component the smallest node.
 
@@ -147,10 +169,10 @@ def fold_min(edges: DataFrame, purpose: str = "components") -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v")))
         cur = materialise(small.where("u <> v").distinct(), purpose)
-        # done if no node has two parents and no parent has one
-        tops = cur.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        inner = cur.select(F.col("v").alias("u")).distinct().join(tops, "u", "left_semi")
-        if tops.where("n > 1").select("u").union(inner).isEmpty():
+        # done if no node has two parents and no parent has one: counted for each node in one aggregate
+        ends = cur.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e"))
+        seen = ends.groupBy("e.node").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("down"))
+        if seen.where("ups > 1 OR ups = 1 AND down = 0").isEmpty():
             return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
@@ -174,23 +196,27 @@ def bucket_components(buckets: DataFrame, refine: Callable[[DataFrame], DataFram
     that can have no link are gone, or buckets are split.  ``fits`` is a condition on the other columns of two members, as x.name and
     y.name, that all links meet; ``confirm`` keeps the pairs (a, b) that are links.
 
-    No bucket emits all its pairs: in each round its first members (4, 32, 256, ...) meet
+    No bucket emits all its pairs: in each round its first members (1, 16, 256, ...) meet
     the others, then leave it, and a bucket whose members lie in one component is finished.
     So every pair of a bucket that fits is confirmed or refuted, or lies in one component already.
-    First come those that meet most others over all buckets: the text that copies were made from is
+    First comes the one that meets most others over all buckets: the text that copies were made from is
     closer to each of them than they are to one another.  No bucket is sorted whole: its first members
     are found by a limit before the shuffle as well as behind it, and joined to the rest.
     """
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
     crowds = materialise(sizes.where(F.col("size") > CROWD).select("bucket"), "pairs-crowds")
     refined = refine(buckets.join(crowds, "bucket", "left_semi")).select(*buckets.columns)
-    buckets = materialise(buckets.join(crowds, "bucket", "left_anti").unionByName(refined), "pairs-refined")
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    turns = buckets.join(sizes, "bucket").groupBy("rep").agg((-F.sum("size")).alias("turn"))
+    spark, schema = buckets.sparkSession, buckets.schema
+    path = written(buckets.join(crowds, "bucket", "left_anti").unionByName(refined), "pairs-refined")
+    small = sized_session(spark, spark.read.schema(schema).parquet(path).count())
+    buckets = small.read.schema(schema).parquet(path)
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     columns = buckets.columns
-    buckets = buckets.join(turns, "rep").select(*columns, F.struct("turn", F.xxhash64("rep").alias("h"), "rep").alias("turn"))
+    sized = buckets.join(sizes, "bucket")
+    turns = sized.groupBy("rep").agg((-F.sum("size")).alias("turn"))
+    buckets = sized.join(turns, "rep").select(*columns, F.struct("turn", F.xxhash64("rep").alias("h"), "rep").alias("turn"))
     links = components = None
-    pivots = 4
+    pivots = 1
     while True:
         state = with_component(buckets, components, "rep", "component")
         mixed = state.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
@@ -200,19 +226,13 @@ def bucket_components(buckets: DataFrame, refine: Callable[[DataFrame], DataFram
         first = W.partitionBy("bucket").orderBy("turn")
         heads = open_.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= pivots).drop("rank")
         met = heads.alias("x").join(open_.alias("y"), F.expr(f"x.bucket = y.bucket AND x.turn < y.turn AND x.component <> y.component AND ({fits})"))
-        near = materialise(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.turn").alias("turn")).distinct(), "pairs-near")
-        # first one pair for each member, with the head that comes first of all; then those that it did not bring together
-        one = materialise(near.groupBy("b").agg(F.min_by("a", "turn").alias("a")).select("a", "b"), "pairs-first")
-        found = materialise(confirm(one), "pairs-links")
-        stars = found.select(F.col("b").alias("node"), F.col("a").alias("component"))
-        apart = with_component(with_component(near, stars, "a", "ca"), stars, "b", "cb").where("ca <> cb").select("a", "b")
-        more = materialise(confirm(apart.join(one, ["a", "b"], "left_anti")), "pairs-links")
-        both = found.union(more)
-        if not both.isEmpty():
-            links = both if links is None else links.union(both)
+        near = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+        found = materialise(confirm(near), "pairs-links")
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
             components = fold_min(links, "pairs-components")
         buckets = open_.join(heads.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select(*columns, "turn")
-        pivots *= 8
+        pivots *= 16
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -9,9 +9,11 @@ one (length, segment, substring) are candidates.  They are verified on their who
 a bit-parallel edit distance that works on a band of 2 * e + 1 diagonals.
 
 Equal lines of any length are one line from the start.  Where many lines meet under one substring, the rest of them is looked at
-before any are compared: what lies before the segment and behind it is halved, and of the four pieces, each fixed to a line's end or to
-the segment, at most e can be touched by e edits.  So linked lines share all but e of them, and such a
-group is dealt again by each choice of 4 - e pieces.  Groups never emit all their pairs (see
+before any are compared.  What lies before the segment and behind it is cut into pieces that are at least two more than
+the edits, so that linked lines share two of them, each at a place told by a line's end, by the segment or up to one character
+beside; such a group is dealt again by each choice of pieces that may be shared.  And each line carries the parities of its
+characters in 64 classes: an edit changes two of them at most, so that lines whose parities differ more are never paired.
+Groups never emit all their pairs (see
 ``bucket_components``); lines that are linked, directly or over others, form a class, and the first
 line of a class stays.  Line ids are 64-bit hashes: among ten thousand million lines
 some three pairs can be expected to share one.
@@ -160,21 +162,57 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("doc_id").take(pa.array(rows)), pa.array(number, pa.int32()), pa.array(ids)], names=["doc_id", "line", "id"])
 
 
-#: Choices of pieces by bound: all but as many as there may be edits.
-CHOICES = {e: list(combinations(range(4), 4 - e)) for e in range(1, EDITS + 1)}
+def cuts(length: int, pieces: int) -> list[int]:
+    """The ends of an even partition of ``length`` into ``pieces``, from 0."""
+    return [length * k // pieces for k in range(pieces + 1)]
+
+
+def shared_pieces(x: str, a: int, b: int, length: int, before: int, edits: int) -> list[str]:
+    """What a line ``x`` that has a segment of a line of ``length`` at [a, b) may share with it besides, one string a choice.
+
+    ``before`` is where the segment is in that line.  Of what lies before and behind it, in two halves each, all pieces but ``edits`` are
+    untouched, and each half is fixed to a line's end or to the segment.  If there is nothing on one side, the other is cut into
+    ``edits`` + 2 pieces, two of which are untouched; one within may have been moved by an edit beside it.
+    """
+    behind, n = length - before - (b - a), len(x)
+    if before and behind:
+        x1, y1 = before // 2, behind // 2
+        x2, y2 = before - x1, behind - y1
+        p = (x[:x1], x[max(0, a - x2) : a], x[b : b + y1], x[max(b, n - y2) :])
+        return [f"{i}\n" + "\n".join(p[k] for k in kept) for i, kept in enumerate(combinations(range(4), 4 - edits))]
+    lo, hi = (0, a) if before else (b, n)
+    size = before or behind
+    c = cuts(size, edits + 2)
+
+    def left(i: int, j: int, shift: int = 0) -> str:  # pieces i to j, by their distance from the left
+        return x[max(lo, lo + c[i] + shift) : min(hi, lo + c[j] + shift)]
+
+    def right(i: int) -> str:  # pieces from i on, by their distance from the right
+        return x[max(lo, hi - (size - c[i])) : hi]
+
+    if edits == 1:
+        return [f"0\n{left(0, 2)}", f"1\n{right(1)}", f"2\n{left(0, 1)}\n{right(2)}"]
+    out = [f"0\n{left(0, 2)}", f"1\n{right(2)}", f"2\n{left(0, 1)}\n{right(3)}"]
+    for shift in (-1, 0, 1):
+        out += [f"3\n{left(0, 1)}\n{left(2, 3, shift)}", f"4\n{left(1, 2, shift)}\n{right(3)}", f"5\n{left(1, 3, shift)}"]
+    return out
+
+
+def parities(x: str) -> int:
+    """Bit k: whether the number of characters of class k is odd."""
+    out = 0
+    for ch in x:
+        out ^= 1 << (ord(ch) * 0x9E3779B97F4A7C15 >> 58 & 63)
+    return out - (1 << 64) if out >> 63 else out
 
 
 class _Plans(dict):
-    """By length: (start, end, seed, lengths of the four pieces, choices) of each probe of a line."""
+    """By length: (start, end, seed, matched length, place of the segment in it, edits) of each probe of a line."""
 
     def __missing__(self, n: int) -> list[tuple]:
         plan = []
         for length, i, a, size in bounded_probes(n):
-            e = bound(length)
-            before = segments(length, e)[i][0]
-            behind = length - before - size
-            halves = (before // 2, before - before // 2, behind // 2, behind - behind // 2)
-            plan.append((a, a + size, length * 8 + i, halves, CHOICES[e]))
+            plan.append((a, a + size, length * 8 + i, length, segments(length, bound(length))[i][0], bound(length)))
         self[n] = plan
         return plan
 
@@ -186,30 +224,30 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [], []
         for x in names:
             plan = plans[len(x)]
-            keys += [h(x[a:b], seed) for a, b, seed, _, _ in plan]
+            keys += [h(x[p[0] : p[1]], p[2]) for p in plan]
             counts.append(len(plan))
-        sizes = np.repeat(np.array([len(x) for x in names], np.int32), counts)
-        yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(_ids(names), counts)), pa.array(sizes)],
-                              names=["bucket", "rep", "n"])
+        sizes, odd = (np.repeat(np.array(v, kind), counts) for v, kind in (([len(x) for x in names], np.int32), ([parities(x) for x in names], np.int64)))
+        yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(_ids(names), counts)), pa.array(sizes), pa.array(odd)],
+                              names=["bucket", "rep", "n", "odd"])
 
 
 def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each probe of a line the keys of the choices of pieces."""
+    """For each probe of a line the keys of what it may share besides."""
     h, plans = xxhash.xxh3_64_intdigest, _Plans()
     for batch in slices(batches, "line"):
-        ids, keys, finer, ends = [], [], [], [0]
+        owners, keys, finer, ends = [], [], [], [0]
         for rep, x in zip(batch.column("id").to_pylist(), batch.column("line").to_pylist()):
-            n = len(x)
-            for a, b, seed, (x1, x2, y1, y2), choices in plans[n]:
+            odd = parities(x)
+            for a, b, seed, length, before, edits in plans[len(x)]:
                 key = h(x[a:b], seed)
-                pieces = (x[:x1], x[max(0, a - x2) : a], x[b : b + y1], x[max(b, n - y2) :])
-                ids.append((rep, n))
+                owners.append((rep, len(x), odd))
                 keys.append(key)
-                finer += [h("\n".join([pieces[k] for k in choice]), key ^ (c + 1)) for c, choice in enumerate(choices)]
+                finer += [h(piece, key) for piece in shared_pieces(x, a, b, length, before, edits)]
                 ends.append(len(finer))
-        yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array([i for i, _ in ids], pa.int64()), pa.array([n for _, n in ids], pa.int32()),
+        yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)),
+                               *[pa.array([o[k] for o in owners], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64()))],
                                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(finer, np.uint64).view(np.int64)))],
-                              names=["bucket", "rep", "n", "finer"])
+                              names=["bucket", "rep", "n", "odd", "finer"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,14 +262,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-#: Lines as long as a link allows.
-FITS = f"abs(x.n - y.n) <= least({EDITS}, least(x.n, y.n) div {EDIT_CHARS})"
+#: Lines as long as a link allows, and with as many equal parities.
+FITS = (f"abs(x.n - y.n) <= least({EDITS}, least(x.n, y.n) div {EDIT_CHARS}) "
+        f"AND bit_count(x.odd ^ y.odd) <= 2 * least({EDITS}, least(x.n, y.n) div {EDIT_CHARS})")
 
 
 def line_classes(slim: DataFrame) -> DataFrame | None:
     """(node, component) of the line ids that are linked with another, but for the smallest of each class; ``slim`` has the text."""
     slim = slim.select("text")
-    dealt = slim.mapInArrow(_keys, "bucket long, rep long, n int").repartition("bucket")
+    dealt = slim.mapInArrow(_keys, "bucket long, rep long, n int, odd long").repartition("bucket")
     many = dealt.groupBy("bucket").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("bucket")
     buckets = materialise(dealt.join(many, "bucket").distinct(), "lines-buckets")
     wanted = buckets.select(F.col("rep").alias("id")).distinct()
@@ -239,8 +278,8 @@ def line_classes(slim: DataFrame) -> DataFrame | None:
 
     def refine(crowded: DataFrame) -> DataFrame:
         lines = texts.join(crowded.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-        probed = lines.mapInArrow(_finer, "bucket long, rep long, n int, finer array<long>")
-        return probed.join(crowded.select("bucket").distinct(), "bucket", "left_semi").select(F.explode("finer").alias("bucket"), "rep", "n").distinct()
+        probed = lines.mapInArrow(_finer, "bucket long, rep long, n int, odd long, finer array<long>")
+        return probed.join(crowded.select("bucket").distinct(), "bucket", "left_semi").select(F.explode("finer").alias("bucket"), "rep", "n", "odd").distinct()
 
     def confirm(pairs: DataFrame) -> DataFrame:
         return pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("tb")), "b").join(

@@ -11,7 +11,7 @@ class goes on.  Members of crowded buckets are refined exactly: a shingle that n
 crowded bucket has lies in no intersection, so a document with more than a quarter of such shingles has no link there, and two that have some
 can share no more than the rest.  Documents that meet only over a very common passage go this way.
 Then a bucket never emits all its pairs.  In each round its first
-members (4, 32, 256, ...; those that meet most others first) are compared with the others, then leave it; a bucket whose
+members (1, 16, 256, ...; those that meet most others first) are compared with the others, then leave it; a bucket whose
 remaining members lie in one component is finished.  Rounds go on until no
 bucket is left, so no pair of a bucket with different components stays unchecked.
 Pairs are confirmed on the full shingle sets of their whole texts.
