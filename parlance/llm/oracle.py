@@ -56,11 +56,8 @@ _sql = {
     "long_word": "word_chars / greatest(n_words, 1)",
     "few_words": "CAST(-n_words AS DOUBLE)",
 }
-_p = quality.ALPHA / len(quality.GRID)
-_tests = sum(len(c) for c in quality.GRID.values())
-_rejected = " UNION ALL ".join(
-    f"SELECT stratum, {lit(m)} AS measure, CAST({c!r} AS DOUBLE) AS cutoff, count(*) AS n, count(*) FILTER ({m} > {c!r}) AS k FROM holdout GROUP BY stratum"
-    for m, cs in quality.GRID.items() for c in cs)
+_p = quality.ALPHA
+_first = "CASE " + " ".join(f"WHEN {m} > {c!r} THEN {i}" for i, (m, c) in enumerate(quality.PATH, 1)) + " END"
 ORACLE["op6_quality_rules"] = f"""
 WITH w AS (SELECT doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
 runs AS (SELECT doc_id, unnest(range(1, len(w) - {quality.WINDOW} + 2)) AS i, w FROM w WHERE len(w) >= {quality.WINDOW}),
@@ -76,13 +73,14 @@ c AS (SELECT w.doc_id, stratum, t, CAST(len(w) AS BIGINT) AS n_words, CAST(lengt
 m AS (SELECT doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {', '.join(f'{e} AS {k}' for k, e in _sql.items())} FROM c),
 holdout AS (SELECT * FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-tested AS ({_rejected}),
-passed AS (SELECT stratum, measure, min(cutoff) AS cutoff FROM tested
-  WHERE k < n * {_p!r} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
-      + i * ln({_p!r}) + (n - i) * ln(1 - {_p!r})))) <= {quality.DELTA!r} / ({_tests} * (SELECT count(DISTINCT stratum) FROM holdout))
-  GROUP BY stratum, measure)
+firsts AS (SELECT stratum, {_first} AS step FROM holdout),
+tested AS (SELECT f.stratum, i, count(*) AS n, count(*) FILTER (step <= i) AS k FROM firsts f, range(1, {len(quality.PATH) + 1}) r(i) GROUP BY ALL),
+failed AS (SELECT stratum, i FROM tested
+  WHERE NOT (k < n * {_p!r} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+      + i * ln({_p!r}) + (n - i) * ln(1 - {_p!r})))) <= {quality.DELTA!r} / (SELECT count(DISTINCT stratum) FROM holdout))),
+passed AS (SELECT stratum, count(*) AS steps FROM tested t WHERE i < coalesce((SELECT min(i) FROM failed f WHERE f.stratum = t.stratum), 1000000) GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT ({' OR '.join(f"coalesce({k} > (SELECT cutoff FROM passed p WHERE p.stratum = m.stratum AND p.measure = {lit(k)}), false)" for k in quality.GRID)}) AS kept
+  NOT base_failed AND coalesce({_first} > (SELECT steps FROM passed p WHERE p.stratum = m.stratum), true) AS kept
 FROM m"""
 
 
