@@ -33,9 +33,9 @@ SEED = 7
 ALL = (1 << 63) - 1
 
 
-def with_size(docs: DataFrame) -> DataFrame:
-    """Add ``size``: the number of words of the text (0 for null)."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long"))
+def words_of(text: str = "text") -> Column:
+    """The number of words of a text (0 for null)."""
+    return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long").alias("size")
 
 
 def source_key(source: Column) -> Column:
@@ -151,9 +151,9 @@ def shard_quotas(draws: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select(F.col("lo").alias("shard"), F.explode("counts").alias("c")).select("c.key", "shard", "c.n")
 
 
-def row_columns(seed: int) -> dict[str, Column]:
-    """``_key`` and ``_hash`` of a row; equal rows have equal hashes."""
-    return {"_key": source_key(F.col("source")), "_hash": F.xxhash64(F.lit(seed), "doc_id", "text")}
+def row_columns(seed: int) -> list[Column]:
+    """``_key``, ``_hash`` and ``size`` of a row; equal rows have equal hashes."""
+    return [source_key(F.col("source")).alias("_key"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_hash"), words_of()]
 
 
 def with_block(keyed: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -220,21 +220,29 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, weights: tuple[
     word nothing is taken.  Own columns of the names added are replaced.  Runs on the same rows agree.
     """
     docs = docs.drop("mix_pass", "mix_shard", "mix_order")
-    keyed = docs.withColumns(row_columns(seed))
-    slim = materialise(with_size(keyed).select("_key", "_hash", "size"), "mix-rows")
+    # a row travels as one value, so that none of its columns can meet one of the plan's
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *row_columns(seed))
+    slim = materialise(keyed.select("_key", "_hash", "size"), "mix-rows")
     sources, plan = mix_plan(slim, shards, seed, weights, share, most)
-    rows = with_block(keyed, sources.select("_key", "blocks")).join(plan, ["_key", "_block"])
+    # the plan has MAX_BLOCKS rows and one more a source at most, so that texts need not be shuffled
+    rows = with_block(keyed.select("_row", "_key", "_hash"), sources.select("_key", "blocks")).join(F.broadcast(plan), ["_key", "_block"])
     drawn = rows.withColumn("_draw", F.explode("draws")).where("_hash <= _draw.upto")
-    return drawn.select(*docs.columns, F.col("_draw.pass").alias("mix_pass"), F.col("_draw.shard").alias("mix_shard"),
+    return drawn.select("_row.*", F.col("_draw.pass").alias("mix_pass"), F.col("_draw.shard").alias("mix_shard"),
                         F.xxhash64("_hash", "_draw.pass", F.lit(seed + 1)).alias("mix_order"))
 
 
+def write_mix(mixed: DataFrame, path: str) -> None:
+    """Write what ``mix`` gives: one folder for each output shard, its rows shuffled by their order."""
+    mixed.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order").write.partitionBy("mix_shard").parquet(path)
+
+
 def mix_report(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, passes) of every row of ``docs``: how often the mix takes it, in words."""
-    keyed = with_size(docs.withColumns(row_columns(seed))).select("doc_id", "_key", "_hash", "size")
-    slim = materialise(keyed, "mix-rows")
+    """(doc_id, size, source_size, target, taken, passes, mix_shards) of every row of ``docs``: how often the mix takes it, in words,
+    and the output shards that the splitting tree gives these copies to, by pass."""
+    slim = materialise(docs.select("doc_id", *row_columns(seed)), "mix-rows")
     sources, plan = mix_plan(slim, shards, seed)
     rows = with_block(slim, sources.select("_key", "blocks", "source_size", "target")).join(plan, ["_key", "_block"], "left")
-    passes = F.coalesce(F.size(F.filter("draws", lambda d: F.col("_hash") <= d["upto"])), F.lit(0))
-    return rows.withColumn("passes", F.when(F.col("draws").isNull(), 0).otherwise(passes)).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "passes")
+    own = F.coalesce(F.filter("draws", lambda d: F.col("_hash") <= d["upto"]), F.array().cast("array<struct<pass:int,shard:int,upto:bigint>>"))
+    return rows.withColumn("_own", own).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("_own")).alias("taken"), F.size("_own").alias("passes"),
+        F.array_join(F.transform("_own", lambda d: d["shard"].cast("string")), ",").alias("mix_shards"))
