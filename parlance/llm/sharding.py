@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from parlance.llm.common import fresh
 from parlance.session import materialise
 
 SHARDS = 24
-BUCKET_BYTES = 4 << 20
+#: Bytes of texts that are shuffled as one array, and that one task is given, some buckets at a time.
+BUCKET_BYTES, TASK_BYTES = 4 << 20, 256 << 20
 SEED = 20_24
 
 
@@ -28,12 +30,13 @@ def with_shards(docs: DataFrame, shards: int) -> DataFrame:
     """Add ``shard`` among ``shards`` and ``grown_shard`` among one more."""
     draws = F.array(*[F.xxhash64("doc_id", F.lit(j)) for j in range(shards)])
     extra = F.xxhash64("doc_id", F.lit(shards))
+    name, most = fresh(docs, "_shard_draws"), fresh(docs, "_shard_most")
     return (
-        docs.withColumn("_draws", draws)
-        .withColumn("_most", F.array_max("_draws"))
-        .withColumn("shard", (F.array_position("_draws", F.col("_most")) - 1).cast("int"))
-        .withColumn("grown_shard", F.when(extra > F.col("_most"), shards).otherwise(F.col("shard")).cast("int"))
-        .drop("_draws", "_most")
+        docs.withColumn(name, draws)
+        .withColumn(most, F.array_max(name))
+        .withColumn("shard", (F.array_position(name, F.col(most)) - 1).cast("int"))
+        .withColumn("grown_shard", F.when(extra > F.col(most), shards).otherwise(F.col("shard")).cast("int"))
+        .drop(name, most)
     )
 
 
@@ -59,8 +62,8 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int = BUCKET
     order = F.xxhash64("doc_id", "text_crc32", F.lit(seed))
     scattered = placed.select(
         "shard", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(seed + 1)), F.lit(buckets)).alias("bucket"),
-        F.struct(order.alias("_order"), "grown_shard", *names).alias("row"))
-    parts = shards * buckets
+        F.struct(order.alias("order"), "grown_shard", F.struct(*[F.col(f"`{n}`") for n in names]).alias("own")).alias("row"))
+    parts = min(shards * buckets, max(shards, math.ceil(total / TASK_BYTES)))
     gathered = scattered.repartition(parts, "shard", "bucket").groupBy("shard", "bucket").agg(F.sort_array(F.collect_list("row")).alias("rows"))
     written = materialise(gathered, "shuffle-buckets")
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -69,5 +72,5 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int = BUCKET
     # shuffle() draws from the seed and the partition's number: fixed partitions in a fixed order make it repeatable.
     fixed = written.join(starts, ["shard", "bucket"]).repartition(parts, "shard", "bucket").sortWithinPartitions("shard", "bucket")
     mixed = fixed.select("shard", "start", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("at", "row"))
-    return mixed.select(*[F.col(f"row.{n}").alias(n) for n in names], F.lit("key").alias("law"), "shard",
+    return mixed.select("row.own.*", F.lit("key").alias("law"), "shard",
                         (F.col("start") + F.col("at")).cast("long").alias("slot"), F.col("row.grown_shard").alias("grown_shard"))
