@@ -3,7 +3,9 @@
 Features are the lower-cased words of a text and their prefixes; a few thousand are
 selected by how they differ between labelled toxic and other documents.  A logistic regression
 is fitted on them with two penalties: the usual one on weights, and one on the change of the
-score when an identity term of a labelled sentence is swapped for another.  So a
+score between two versions of each labelled sentence.  In the second version every identity term is swapped for another
+of its language; a sentence that names no group gets a neutral mention, of one group in the first version and of another in the
+second.  Both versions are described whole, so repeated terms and words that share a prefix with one count as they do in a score.  So a
 neutral mention of a group cannot carry a score, whatever the labels say.
 
 The fit sees at most ``SAMPLE_ROWS`` labelled rows, the first in the order of a hash; the
@@ -13,6 +15,7 @@ features come to the driver.  Scoring is one narrow pass over whole texts.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,13 +32,21 @@ from parlance.session import materialise
 SAMPLE_ROWS, FEATURES = 20_000, 3_000
 #: Characters of the shortest and longest prefix that is a feature.
 PREFIX = (3, 8)
-#: Terms that name groups of people; any two of them can be swapped for one another.
-IDENTITY_TERMS = (
-    "women", "men", "gay", "straight", "lesbian", "transgender", "muslim", "muslims", "christian", "christians", "jewish", "jews",
-    "hindu", "buddhist", "atheist", "black", "white", "asian", "african", "european", "latino", "arab", "immigrants", "refugees",
-    "disabled", "blind", "deaf", "elderly", "young", "poor", "rich",
-)
+#: Terms that name groups of people, by language; any two of one language can be swapped for one another.
+IDENTITY_TERMS: dict[str, tuple[str, ...]] = {
+    "en": ("women", "men", "gay", "straight", "lesbian", "transgender", "muslim", "muslims", "christian", "christians", "jewish", "jews", "hindu",
+           "buddhist", "atheist", "black", "white", "asian", "african", "european", "latino", "arab", "immigrants", "refugees", "disabled", "blind",
+           "deaf", "elderly", "young", "poor", "rich"),
+    "fr": ("femmes", "hommes", "gays", "lesbiennes", "musulmans", "chrétiens", "juifs", "bouddhistes", "athées", "noirs", "blancs", "asiatiques",
+           "africains", "européens", "arabes", "immigrés", "réfugiés", "handicapés", "aveugles", "sourds", "jeunes", "pauvres", "riches"),
+    "de": ("frauen", "männer", "schwule", "lesben", "muslime", "christen", "juden", "buddhisten", "atheisten", "schwarze", "weiße", "asiaten",
+           "afrikaner", "europäer", "araber", "einwanderer", "flüchtlinge", "behinderte", "blinde", "gehörlose", "rentner", "arme", "reiche"),
+    "es": ("mujeres", "hombres", "gais", "lesbianas", "musulmanes", "cristianos", "judíos", "budistas", "ateos", "negros", "blancos", "asiáticos",
+           "africanos", "europeos", "árabes", "inmigrantes", "refugiados", "discapacitados", "ciegos", "sordos", "ancianos", "pobres", "ricos"),
+}
 L2, PAIR_PENALTY, STEPS = 1e-4, 1.0, 400
+#: The features of the terms themselves; they are always selected.
+ALL_TERMS = tuple(dict.fromkeys(f"{t}$" for terms in IDENTITY_TERMS.values() for t in terms))
 #: Empty clean texts that the fit sees beside the labelled ones: without evidence a text is not toxic.
 CLEAN = 8
 #: The bias of a model without examples of both labels: a score near 0.
@@ -120,62 +131,77 @@ def select_features(sample: DataFrame, features: int = FEATURES) -> tuple[str, .
     n1, n0 = float(n1 or 0), float(n0 or 0)
     n = n1 + n0
     if not n1 or not n0:
-        return tuple(f"{t}$" for t in IDENTITY_TERMS)
+        return ALL_TERMS
     all_ = F.col("a") + F.col("b")
     gap = F.col("a") / n1 - F.col("b") / n0
     strength = F.abs(gap) / F.sqrt(all_ / n * (1 - all_ / n + 1 / n) * (1 / n1 + 1 / n0))
     top = both.select("feature", strength.alias("s")).orderBy(F.desc("s"), "feature").limit(features).collect()
-    return tuple(dict.fromkeys([*(r.feature for r in top), *(f"{t}$" for t in IDENTITY_TERMS)]))
+    return tuple(dict.fromkeys([*(r.feature for r in top), *ALL_TERMS]))
 
 
-def swaps(text: str, terms: tuple[str, ...] = IDENTITY_TERMS) -> list[int]:
-    """The swaps of a labelled text's identity terms, each as own term * len(terms) + the term put in its place.
+def _swap_pattern(languages: dict[str, tuple[str, ...]]) -> re.Pattern:
+    words = sorted({t for terms in languages.values() for t in terms}, key=lambda t: (-len(t), t))
+    return re.compile(r"(?<![^\W_])(?:" + "|".join(map(re.escape, words)) + r")(?![^\W_])", re.IGNORECASE)
 
-    Every occurrence gives one.  A text without any gives one for a neutral mention
-    that is put beside it, its terms chosen by the text's length.
+
+def versions(text: str, languages: dict[str, tuple[str, ...]] = IDENTITY_TERMS, pattern: re.Pattern | None = None) -> tuple[str, str]:
+    """The two versions of a labelled sentence that must score alike.
+
+    The first is the sentence, the second has every identity term swapped for another of its language, repeated terms for the same one.
+    Without any term, both get a neutral mention behind the sentence; the text's length chooses which.
     """
-    known, n = {t: i for i, t in enumerate(terms)}, len(terms)
-    out = []
-    for k, word in enumerate((text or "").lower().split()):
-        i = known.get(word.strip(".,;:!?\"'()"))
-        if i is not None:
-            out.append(i * n + (i + 1 + k % (n - 1)) % n)
-    size = len(text or "")
-    return out or [size % n * n + (size % n + 1 + size // n % (n - 1)) % n]
-
-
-def swap_rows(counts: Counter, features: tuple[str, ...], terms: tuple[str, ...] = IDENTITY_TERMS):
-    """(row, feature, value) of the feature differences that the counted swaps make; values carry the root of their share."""
-    at, total = {f: i for i, f in enumerate(features)}, sum(counts.values())
-    rows, cols, vals = [], [], []
-    for r, (code, n) in enumerate(sorted(counts.items())):
-        for term, sign in ((terms[code // len(terms)], 1.0), (terms[code % len(terms)], -1.0)):
-            for f in _features(term):
-                if f in at:
-                    rows.append(r)
-                    cols.append(at[f])
-                    vals.append(sign * (n / total) ** 0.5)
-    return np.array(rows, np.int64), np.array(cols, np.int64), np.array(vals, float)
+    pattern = pattern or _swap_pattern(languages)
+    size, homes = len(text), {t: terms for terms in languages.values() for t in terms}
+
+    def other(m: re.Match) -> str:
+        own = m.group().lower()
+        terms = homes.get(own)
+        if terms is None:
+            return m.group()
+        i = terms.index(own)
+        return terms[(i + 1 + size % (len(terms) - 1)) % len(terms)]
+
+    swapped, n = pattern.subn(other, text)
+    if n:
+        return text, swapped
+    listed = list(languages.values())
+    terms = listed[size % len(listed)]
+    i = size // len(listed) % len(terms)
+    return f"{text} {terms[i]}", f"{text} {terms[(i + 1 + size % (len(terms) - 1)) % len(terms)]}"
+
+
+def changes(texts: pa.Array, features: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, difference) of the features of the two versions of each text, where they differ."""
+    pattern = _swap_pattern(IDENTITY_TERMS)
+    both = [versions(t or "", pattern=pattern) for t in texts.to_pylist()]
+    keys, vals = [], []
+    for side, sign in ((0, 1.0), (1, -1.0)):
+        rows, cols, v = indices(pa.array([x[side] for x in both], pa.string()), features)
+        keys.append(rows * len(features) + cols)
+        vals.append(sign * v)
+    flat, at = np.unique(np.concatenate(keys), return_inverse=True)
+    gap = np.bincount(at, np.concatenate(vals), len(flat)) if len(flat) else np.empty(0)
+    kept = np.abs(gap) > 1e-12
+    return flat[kept] // len(features), flat[kept] % len(features), gap[kept]
+
+
+SAMPLED = "doc_id long, toxic int, cols array<int>, vals array<float>, pair_cols array<int>, pair_vals array<float>"
 
 
 def _rows(batches: Iterator[pa.RecordBatch], features: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cols", pa.list_(pa.int32())), ("vals", pa.list_(pa.float32())),
-                        ("swaps", pa.list_(pa.int32()))])
     for batch in slices(batches):
-        rows, cols, vals = indices(batch.column("text"), features)
-        ends = np.searchsorted(rows, np.arange(batch.num_rows + 1), "left").astype(np.int32)
-        yield pa.record_batch([
-            batch.column("doc_id"), batch.column("toxic"),
-            pa.ListArray.from_arrays(pa.array(ends), pa.array(cols.astype(np.int32))),
-            pa.ListArray.from_arrays(pa.array(ends), pa.array(vals.astype(np.float32))),
-            pa.array([swaps(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], schema=schema)
+        lists = []
+        for rows, cols, vals in (indices(batch.column("text"), features), changes(batch.column("text"), features)):
+            ends = pa.array(np.searchsorted(rows, np.arange(batch.num_rows + 1), "left").astype(np.int32))
+            lists += [pa.ListArray.from_arrays(ends, pa.array(cols.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(vals.astype(np.float32)))]
+        yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), *lists], names=["doc_id", "toxic", "cols", "vals", "pair_cols", "pair_vals"])
 
 
 def fit_weights(n: int, rows, cols, vals, y, pairs, l2: float = L2, pair_penalty: float = PAIR_PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch Adam; ``pairs`` is (row, col, val) of the feature differences of swaps."""
+    """Weights and bias by full-batch Adam; ``pairs`` is (row, col, val) of the feature differences between the versions of each row."""
     w, b = np.zeros(n), float(np.log((y.sum() + 1) / (len(y) - y.sum() + CLEAN)))
     pr, pcol, pv = pairs
-    m = int(pr.max()) + 1 if len(pr) else 0
+    m = len(y) if len(pr) else 0
     moment, square = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, steps + 1):
         z = b + np.bincount(rows, w[cols] * vals, len(y))
@@ -183,7 +209,7 @@ def fit_weights(n: int, rows, cols, vals, y, pairs, l2: float = L2, pair_penalty
         grad = np.bincount(cols, r[rows] * vals, n) + 2 * l2 * w
         if m:
             change = np.bincount(pr, w[pcol] * pv, m)
-            grad += pair_penalty * 2 * np.bincount(pcol, change[pr] * pv, n)
+            grad += pair_penalty * 2 * np.bincount(pcol, change[pr] * pv, n) / m
         g = np.append(grad, r.sum() + CLEAN / (1 + np.exp(-b)) / len(y))
         moment, square = 0.9 * moment + 0.1 * g, 0.999 * square + 0.001 * g * g
         move = 0.05 * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-9)
@@ -201,18 +227,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
     sample = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                          .join(picked.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").where("text IS NOT NULL"), "toxicity-sample")
     names = select_features(sample, features)
-    got = sample.mapInArrow(lambda it: _rows(it, names), "doc_id long, toxic int, cols array<int>, vals array<float>, swaps array<int>")
-    y, lengths, cols, vals, swapped = [], [], [], [], Counter()
+    got = sample.mapInArrow(lambda it: _rows(it, names), SAMPLED)
+    y, parts = [], {k: ([], []) for k in ("", "pair_")}
+    lengths: dict[str, list[int]] = {k: [] for k in parts}
     for r in got.orderBy("doc_id").toLocalIterator():
         y.append(r.toxic)
-        lengths.append(len(r.cols))
-        cols.append(np.array(r.cols, np.int32))
-        vals.append(np.array(r.vals, np.float32))
-        swapped.update(r.swaps)
+        for k, (cols, vals) in parts.items():
+            lengths[k].append(len(r[f"{k}cols"]))
+            cols.append(np.array(r[f"{k}cols"], np.int32))
+            vals.append(np.array(r[f"{k}vals"], np.float32))
     if not y or len(set(y)) < 2:
         return Model(names, np.zeros(len(names)), UNTAUGHT)
-    w, b = fit_weights(len(names), np.repeat(np.arange(len(y)), lengths), np.concatenate(cols), np.concatenate(vals).astype(float),
-                       np.array(y, float), swap_rows(swapped, names))
+    own, pairs = ((np.repeat(np.arange(len(y)), lengths[k]), np.concatenate(cols), np.concatenate(vals).astype(float)) for k, (cols, vals) in parts.items())
+    w, b = fit_weights(len(names), *own, np.array(y, float), pairs)
     return Model(names, w, b)
 
 
