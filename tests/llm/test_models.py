@@ -92,6 +92,35 @@ def test_near_duplicates(spark, copies):
     assert minhash.near_duplicates(copies.limit(0)).count() == 0
 
 
+def test_no_pair_at_the_threshold_is_lost(spark):
+    """Pairs at a similarity of exactly 0.75, and just below it, of sets of 4, 8, 100 and 2,000 shingles; some in crowded buckets."""
+    rows, i = [], 0
+    for n, pairs in ((4, 60), (8, 60), (100, 60), (2000, 4)):
+        for k in range(pairs):
+            words = [f"n{n}k{k}w{j}" for j in range(n + 4)]
+            for size in (n, n * 3 // 4):
+                rows.append((i, " ".join(words[: size + 4]), "en", "s", 0))
+                i += 1
+            below = [f"b{n}k{k}w{j}" for j in range(n + 4)]
+            for size in (n, n * 3 // 4 - 1):
+                rows.append((i, " ".join(below[: size + 4]), "en", "s", 0))
+                i += 1
+    # a crowd: 40 versions of one text, each linked with the text and hardly with one another
+    base = [f"c{j}" for j in range(204)]
+    rows.append((i, " ".join(base), "en", "s", 0))
+    hub = i
+    for k in range(40):
+        own = list(base)
+        for e in range(4):
+            own[(k * 17 + e * 50) % 204] = f"edit{k}x{e}"
+        i += 1
+        rows.append((i, " ".join(own), "en", "s", 0))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(4)).collect()}
+    for at in range(0, hub, 4):
+        assert got[at + 1] == at and got[at + 2] == at + 2 and got[at + 3] == at + 3
+    assert {got[x] for x in range(hub, i + 1)} == {hub}
+
+
 def test_near_duplicates_of_the_table(spark):
     docs = spark.read.parquet(f"{SF1}/documents.parquet")
     want = brute_groups([(r.doc_id, r.text) for r in docs.collect()])
@@ -290,6 +319,63 @@ def test_swaps_level_identity_terms(spark):
     assert toxicity.fit(docs, labels.limit(0)).score(pa.array(["x"]))[0] < 0.5
 
 
+def test_versions_rewrite_the_sentence():
+    a, b = toxicity.versions("Muslims and muslims met the poets, not muslimsx")
+    assert a == "Muslims and muslims met the poets, not muslimsx"
+    words = b.split()
+    assert words[0] == words[2] != "muslims" and words[0] in toxicity.IDENTITY_TERMS["en"] and words[-1] == "muslimsx"
+    for lang, term in (("fr", "chrétiens"), ("de", "männer"), ("es", "jóvenes" if "jóvenes" in toxicity.IDENTITY_TERMS["es"] else "árabes")):
+        a, b = toxicity.versions(f"xx {term}. yy")
+        assert b != a and b.startswith("xx ") and b.split()[1].strip(".") in toxicity.IDENTITY_TERMS[lang]
+    for text in ("", "no group here"):
+        a, b = toxicity.versions(text)
+        assert a != b and a.startswith(text + " ") and b.startswith(text + " ")
+    features = tuple(f for w in ("muslims", "christians", "the", "muscle") for f in toxicity._features(w))
+    rows, cols, vals = toxicity.changes(pa.array(["muslims muslims muscle", "the muslims", None]), features)
+    for i, text in enumerate(["muslims muslims muscle", "the muslims", ""]):
+        want = np.zeros(len(features))
+        for side, sign in zip(toxicity.versions(text), (1, -1)):
+            _, c, v = toxicity.indices(pa.array([side]), features)
+            want[c] += sign * v
+        got = np.zeros(len(features))
+        got[cols[rows == i]] = vals[rows == i]
+        assert np.allclose(got, want)
+
+
+def test_scores_by_hand(spark):
+    """A model's score is the logistic of its bias and 1 + log(count) of each known feature, and fitting lowers the loss that is stated."""
+    model = toxicity.Model(("bad$", "bad", "goo"), np.array([1.5, 0.25, -2.0]), -0.5)
+    texts = ["Bad bad, badly good", "", None, "bad_good", "x" * 10000 + " bad"]
+    for text, got in zip(texts, model.score(pa.array(texts))):
+        words = re.findall(r"[^\W_]+", (text or "").lower())
+        n = Counter(f for w in words for f in toxicity._features(w))
+        z = -0.5 + sum(w * (1 + np.log(n[f])) for f, w in zip(model.features, model.weights) if n[f])
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-12
+    rnd = np.random.default_rng(3)
+    rows, cols, vals, y = np.repeat(np.arange(60), 3), rnd.integers(0, 8, 180), rnd.random(180), (np.arange(60) % 3 == 0).astype(float)
+    pairs = (np.arange(60), rnd.integers(0, 8, 60), rnd.normal(size=60))
+
+    def loss(w, b):
+        z = b + np.bincount(rows, w[cols] * vals, 60)
+        change = np.bincount(pairs[0], w[pairs[1]] * pairs[2], 60)
+        return (np.log1p(np.exp(-np.where(y == 1, z, -z))).mean() + toxicity.CLEAN * np.log1p(np.exp(b)) / 60 + toxicity.L2 * (w**2).sum()
+                + toxicity.PAIR_PENALTY * (change**2).mean())
+
+    w, b = toxicity.fit_weights(8, rows, cols, vals, y, pairs)
+    best = loss(w, b)
+    assert all(loss(w + 0.02 * rnd.normal(size=8), b + 0.02 * rnd.normal()) > best - 1e-6 for _ in range(200))
+
+
+@pytest.mark.parametrize(("lang", "named", "other"), [("en", "muslims", "christians"), ("fr", "musulmans", "juifs"), ("de", "flüchtlinge", "frauen"), ("es", "negros", "mujeres")])
+def test_neutral_mentions_score_alike_in_each_language(spark, lang, named, other):
+    rows = [(i, f"{named if i % 2 else 'xyz'} zz {named if i % 6 == 1 else ''} uu {i}" + (" scum trash" if i % 4 == 1 else ""), lang, "s", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 1)) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    a, b, c, d, bad = model.score(pa.array([f"{named} zz uu", f"{other} zz uu", f"{named} {named} {named} zz uu", f"{other} {other} {other} zz uu", "scum trash"]))
+    assert abs(a - b) < 0.05 and abs(c - d) < 0.1 and max(a, b, c, d) < 0.5 < bad
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",

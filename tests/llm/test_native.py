@@ -103,10 +103,29 @@ def test_cutoffs_hold_their_bound(spark):
         got = spark.range(1).select(quality.binomial_tail(F.lit(k).cast("long"), F.lit(n).cast("long"), 0.01)).first()[0]
         want = 1.0 if k >= n * 0.01 else sum(math.comb(n, i) * 0.01**i * 0.99 ** (n - i) for i in range(k + 1))
         assert abs(got - want) < 1e-9
-    grid = {"m": (1.0, 2.0, 3.0)}
+    path = (("m", 3.0), ("m", 2.0), ("m", 1.0))
     rows = [("s", float(i < 200) * 1.5 + float(i < 5)) for i in range(5000)] + [("t", 9.0)] * 10
-    got = {r.stratum: r.m for r in quality.certified_cutoffs(spark.createDataFrame(rows, "stratum string, m double"), grid).collect()}
-    assert got == {"s": 2.0}
+    got = {r.stratum: (r.n, r.steps, r.m) for r in quality.certified_cutoffs(spark.createDataFrame(rows, "stratum string, m double"), path).collect()}
+    assert got == {"s": (5000, 2, 2.0), "t": (10, 0, None)}
+
+
+def test_bound_holds_in_a_simulation(spark):
+    """Of 400 strata that lose 1.2 % by the second step, each tested at 5 %, some 5 % or fewer certify it; those that lose nothing do."""
+    rnd = random.Random(11)
+    rows = [(f"s{s}", 1.5 if rnd.random() < 0.012 else 0.0, 0.0) for s in range(400) for _ in range(700)]
+    got = quality.certified_cutoffs(spark.createDataFrame(rows, "stratum string, a double, b double"), (("b", 5.0), ("a", 1.0), ("b", 1.0)), 0.01, 400 * 0.05).collect()
+    assert all(r.steps >= 1 for r in got)
+    assert sum(r.steps >= 2 for r in got) <= 400 * 0.05 + 3 * math.sqrt(400 * 0.05 * 0.95)
+
+
+def test_rules_reject_what_the_base_rules_pass(spark):
+    """On the given labels cutoffs are certified: labelled junk goes, and no more good documents than allowed."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").repartition(8), spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.judge(docs, labels).join(labels, "doc_id").where("NOT base_failed").groupBy("quality").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("int")).alias("kept"))
+    of = {r.quality: (r.n, r.kept) for r in got.collect()}
+    assert of[0][1] < 0.2 * of[0][0] and of[1][1] > 0.99 * of[1][0]
 
 
 def water(sizes):
@@ -148,6 +167,41 @@ def test_mix_meets_its_targets(spark, odd_docs, own):
     assert {r.doc_id: r["count"] for r in mixed} == {k: v for k, v in passes.items() if v}
 
 
+CLASHES = ["blocks", "draws", "_block", "_key", "_hash", "_draw", "_row", "shard", "slot", "law", "bucket", "row", "rows", "start", "_order", "_draws", "order",
+           "size_", "target", "turn", "_turn", "class", "mix_plan"]
+
+
+def test_output_shards_hold_their_quotas(spark, odd_docs, tmp_path):
+    """Each output shard holds as many blocks as every other, give or take one, and exactly the rows that the tree gave it."""
+    slim = odd_docs.select(*mixing.row_columns(mixing.SEED))
+    sources, plan = mixing.mix_plan(slim, 4, mixing.SEED)
+    draws = [(r["_key"], r["_block"], d["pass"], d.shard, d.upto) for r in plan.collect() for d in r.draws]
+    per_shard = Counter(d[3] for d in draws)
+    assert set(per_shard) <= set(range(4)) and max(per_shard.values()) - min(per_shard[s] for s in range(4)) <= 1
+    blocks = {r["_key"]: r.blocks for r in sources.collect()}
+    rows = odd_docs.select("doc_id", *mixing.row_columns(mixing.SEED)).collect()
+    want = Counter((r.doc_id, p, s) for r in rows for k, b, p, s, upto in draws
+                   if k == r["_key"] and b == r["_hash"] % blocks[k] and r["_hash"] <= upto)
+    mixed = mixing.mix(odd_docs, 4)
+    assert Counter((r.doc_id, r.mix_pass, r.mix_shard) for r in mixed.collect()) == want
+    told = mixing.mix_report(odd_docs, 4).collect()
+    assert Counter((r.doc_id, int(s)) for r in told for s in r.mix_shards.split(",") if s) == Counter((d, s) for d, _, s in want.elements())
+    mixing.write_mix(mixed, str(tmp_path / "m"))
+    back = spark.read.parquet(str(tmp_path / "m"))
+    assert Counter((r.doc_id, r.mix_pass, r.mix_shard) for r in back.collect()) == want
+    for s in range(4):
+        orders = [r.mix_order for r in spark.read.parquet(str(tmp_path / "m" / f"mix_shard={s}")).collect()]
+        assert orders == sorted(orders)
+
+
+def test_columns_of_any_name_travel_along(spark, odd_docs):
+    docs = odd_docs.drop("shard", "size_").withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+    for out in (mixing.mix(docs), sharding.shard_rows(sharding.with_digests(docs))):
+        added = {"shard", "slot", "law"} if "text_crc32" in out.columns else set()
+        r = out.first()
+        assert all(r[c] == f"own {c}" for c in CLASHES if c not in added)
+
+
 def test_mix_of_nothing(spark):
     none = spark.createDataFrame([], DOCS)
     assert mixing.mix_report(none).count() == 0 and mixing.mix(none).count() == 0
