@@ -125,7 +125,7 @@ def _scorer(classes: list[tuple[str, str]], shared, threshold: float, width: int
                 best = len(intents) - 1 - np.argmax(own[:, ::-1], axis=1)
                 top = own[np.arange(len(own)), best]
                 confidence = 1 / np.exp(own - top[:, None]).sum(axis=1)
-                fired = 1 / (1 + np.exp(z[:, no] - z[:, yes])) > threshold
+                fired = 1 / (1 + np.exp(np.minimum(z[:, no] - z[:, yes], 700))) > threshold
                 ends = np.concatenate([[0], np.cumsum(fired.sum(axis=1))]).astype(np.int32)
                 tags = pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(np.nonzero(fired)[1])))
                 labels = pa.array([classes[i][1] for i in intents], pa.string()).take(pa.array(best))

@@ -10,7 +10,7 @@ from parlance.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session("8", memory="8g")
+    s = local_session("8", shuffle_partitions=4, memory="8g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

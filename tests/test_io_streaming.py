@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from parlance.operators import decisions as D
 from parlance.operators.blocks import number_turns
+from parlance.operators import sessions as SE
 from parlance.operators import summaries as SM
 from parlance.session import materialise
 from parlance.sources import sinks
 from parlance.sources import tables as TB
 from parlance.streaming import jobs
+from parlance.streaming.store import BucketStore
 
 SCHEMA = "session_id string, turn bigint, user_id string, role string, text string, lang_hint string, ts timestamp, " \
          "message_id bigint, intent string, model_tags string, confidence double"
@@ -116,35 +118,71 @@ def test_materialise_round_trip(spark):
     assert sorted(materialise(df, "t").collect()) == sorted(df.collect())
 
 
-def test_stream_guardrail_equals_batch(spark, source, tmp_path):
-    jobs.stream_guardrail(stream(spark, source), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+@pytest.fixture
+def waves(spark, tmp_path):
+    """The same turns in the order of time, one file for each of five waves: most replies come in a later one than their message."""
+    path = str(tmp_path / "waves")
+    for k in range(5):
+        turns(spark).where((F.col("message_id") >= 8 * k) & (F.col("message_id") < 8 * k + 8)).drop("turn").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def wave_stream(spark, path):
+    return spark.readStream.schema(turns(spark).drop("turn").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def calls(spark):
     placed = number_turns(turns(spark).drop("turn"), "session_id", "ts", "message_id")
-    want = sinks.audit_rows(D.with_call(D.screen_turns(placed)))
+    return D.with_call(D.screen_turns(placed))
+
+
+def test_stream_guardrail_equals_batch(spark, waves, tmp_path):
+    jobs.stream_guardrail(wave_stream(spark, waves), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+    want = sinks.audit_rows(calls(spark))
     got = sinks.read_json(spark, str(tmp_path / "o" / "audit"), want.schema)
-    # the source comes in several batches: a reply in a later one than its message is given none of its intent, tags and language
-    cut = lambda df: df.select(*want.columns).withColumns({
-        c: F.when(F.col("role") != "assistant", F.col(c)) for c in ("intent", "tags", "lang")})
-    assert sorted(map(str, cut(got).collect())) == sorted(map(str, cut(want).collect()))
+    assert len(os.listdir(tmp_path / "o" / "audit")) == 5
+    assert want.where("role = 'assistant' AND intent <> ''").count() > 0
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     # A second run finds nothing new.
-    jobs.stream_guardrail(stream(spark, source), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+    jobs.stream_guardrail(wave_stream(spark, waves), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
     assert sinks.read_json(spark, str(tmp_path / "o" / "audit"), want.schema).count() == 50
 
 
-def test_stream_profile_equals_batch(spark, source, tmp_path):
-    jobs.stream_user_profile(stream(spark, source), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
-    got = jobs.latest_profiles(spark.read.parquet(str(tmp_path / "o")))
-    want = jobs.user_counters(D.screen_turns(turns(spark)))
-    assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
-
-
-def test_stream_sessions_closed_segments(spark, source, tmp_path):
-    # One batch, so nothing is late; segments still open at the watermark stay out.
-    src = spark.readStream.schema(turns(spark).schema).parquet(source).select("user_id", "ts")
-    jobs.stream_sessions(src, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
-    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
-    everything = [tuple(r) for r in jobs.session_windows(turns(spark), watermark=None).collect()]
-    mark = max(r[2] for r in everything) - dt.timedelta(days=1)
-    assert got == {r for r in everything if r[2] + dt.timedelta(hours=24) <= mark} and len(got) < len(everything)
+def test_stream_profiles_run_out(spark, waves, tmp_path):
+    out, check = str(tmp_path / "o"), str(tmp_path / "c")
+    jobs.stream_user_profile(wave_stream(spark, waves), out, check).awaitTermination()
+    got = jobs.profiles_on_read(spark, out)
+    want = SE.user_profile(SE.with_segments(calls(spark), "user_id"), keys=["user_id", "segment"])
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert want.count() > 3 and {r.is_open for r in got.collect()} == {True, False}
+    assert jobs.read_progress(spark, out).agg(F.sum("late_turns"), F.sum("turns")).first() == (0, 40)
+    # a turn that comes ten days late is counted and left out; one ten days on closes all that was open
+    one = lambda i, user, ts: turns(spark).limit(1).drop("turn").withColumns({
+        "message_id": F.lit(i).cast("long"), "user_id": F.lit(user), "ts": F.lit(ts), "session_id": F.lit("z")})
+    end = max(r.ts for r in turns(spark).collect())
+    for row in (one(100, "u1", end - dt.timedelta(days=10)), one(101, "new", end + dt.timedelta(days=10))):
+        row.coalesce(1).write.mode("append").parquet(waves)
+        jobs.stream_user_profile(wave_stream(spark, waves), out, check).awaitTermination()
+    assert jobs.read_progress(spark, out).agg(F.sum("late_turns")).first()[0] == 1
+    left = BucketStore(spark, f"{out}/state/facts", "user_id", jobs.PROFILE_FACTS).read()
+    assert {r.user_id for r in left.collect()} == {"new"}
+    after = jobs.profiles_on_read(spark, out).where("user_id <> 'new'")
+    assert sorted(map(str, after.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert not after.where("is_open").collect()
+
+
+def test_stream_sessions_closed_and_open_segments(spark, waves, tmp_path):
+    out, check = str(tmp_path / "o"), str(tmp_path / "c")
+    q = jobs.stream_sessions(wave_stream(spark, waves).select("user_id", "ts"), out, check)
+    q.awaitTermination()
+    everything = sorted(tuple(r) for r in jobs.session_windows(turns(spark), watermark=None).collect())
+    assert sorted(tuple(r) for r in jobs.segments_on_read(spark, out, check).collect()) == everything
+    assert 0 < spark.read.parquet(out).count() < len(everything) and jobs.late_rows(q) == 0
+    turns(spark).limit(3).withColumn("ts", F.lit(DAY - dt.timedelta(days=9))).drop("turn").coalesce(1).write.mode("append").parquet(waves)
+    q = jobs.stream_sessions(wave_stream(spark, waves).select("user_id", "ts"), out, check)
+    q.awaitTermination()
+    assert jobs.late_rows(q) == 3
+    assert sorted(tuple(r) for r in jobs.segments_on_read(spark, out, check).collect()) == everything
 
 
 def test_stream_history_and_ttl(spark, source, tmp_path):
@@ -155,10 +193,29 @@ def test_stream_history_and_ttl(spark, source, tmp_path):
     assert jobs.history_on_read(stored, 2, "2030-01-01 00:00:00").count() == 0
 
 
-def test_stream_summaries_equal_batch(spark, source, tmp_path):
-    stored = D.screen_turns(spark.read.parquet(source))
-    touched = stream(spark, source).select("session_id")
-    jobs.stream_summaries(touched, lambda: stored, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
-    got = SM.latest_summary(spark.read.parquet(str(tmp_path / "o")))
-    want = SM.conversation_summary(stored)
+def test_stream_summaries_equal_batch(spark, waves, tmp_path):
+    jobs.stream_summaries(wave_stream(spark, waves), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+    got = SM.latest_summary(spark.read.parquet(str(tmp_path / "o" / "rows")))
+    want = SM.conversation_summary(calls(spark))
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_batch_reads_only_the_buckets_of_its_keys(spark, tmp_path):
+    store = BucketStore(spark, str(tmp_path / "s"), "k", "k string, n bigint", buckets=8)
+    rows = lambda *r: spark.createDataFrame(r, "k string, n bigint")
+    first = rows(*[(f"k{i}", i) for i in range(40)])
+    store.write(first, store.touched(first), 0)
+    mine = store.touched(rows(("k7", 0)))
+    assert len(mine) == 1
+    held = store.read(mine)
+    assert 0 < held.count() < 40 and all(f"bucket={mine[0]}" in f for f in held.inputFiles())
+    store.write(rows(("k7", 70)), mine, 1)
+    assert [tuple(r) for r in store.read(mine).collect()] == [("k7", 70)]
+    # a replay of version 1 finds what it found before, and an emptied bucket has no rows
+    assert store.read(mine, before=1).count() > 0 and len(store.read(before=1).collect()) == 40
+    store.write(rows(("k7", 70)).limit(0), mine, 2)
+    assert store.read(mine).count() == 0 and store.versions() == [0, 1, 2]
+    everything = list(range(8))
+    for v in (3, 4):
+        store.write(first, everything, v)
+    assert store.versions() == [3, 4] and store.read().count() == 40

@@ -1,6 +1,4 @@
-"""Registered queries against their SQL twins in DuckDB (sf0.001).
-
-A spread of queries runs by default; PARLANCE_ALL=1 runs all of them."""
+"""Registered queries against their SQL twins in DuckDB (sf0.001), all of them."""
 
 import os
 
@@ -11,10 +9,6 @@ from parlance.plans.oracle import ORACLE
 from parlance.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-DEFAULT = ["turn_source", "turn_quarantine", "official_tags", "pii_matches", "guardrail_verdict", "tag_conflicts", "language_id",
-           "encoded_sequences", "augmented_corpus", "audit_log", "user_profile", "context_window", "stream_history", "generations_parsed", "tag_precedence", "session_segments", "repetition_flags_10", "conversation_summary",
-           "turn_decisions", "corpus_split"]
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -29,7 +23,7 @@ def canon(rows, cols):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
-@pytest.mark.parametrize("name", list(ORACLE) if os.environ.get("PARLANCE_ALL") else DEFAULT)
+@pytest.mark.parametrize("name", list(ORACLE))
 def test_matches_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     rel = duck.execute(ORACLE[name])
@@ -39,5 +33,5 @@ def test_matches_sql(spark, duck, name):
     assert canon(df.collect(), sorted(names)) == canon(want, sorted(names))
 
 
-def test_only_the_trained_model_lacks_sql():
-    assert set(QUERIES) - set(ORACLE) == {"intent_model"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)
