@@ -189,12 +189,12 @@ CROWD = 8
 
 
 def bucket_components(buckets: DataFrame, refine: Callable[[DataFrame], DataFrame], fits: str,
-                      confirm: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+                      confirm: Callable[[DataFrame], DataFrame], measures: DataFrame | None = None) -> DataFrame | None:
     """Components (node, component) of all confirmed pairs of ``buckets`` (bucket long, rep long, ...); None without any.
 
     ``refine`` takes the rows of crowded buckets and returns rows like them that still hold every link of theirs: members
-    that can have no link are gone, or buckets are split.  ``fits`` is a condition on the other columns of two members, as x.name and
-    y.name, that all links meet; ``confirm`` keeps the pairs (a, b) that are links.
+    that can have no link are gone, or buckets are split; columns that it adds are null in the other buckets.  ``fits`` is a condition on the other columns of two members, as x.name and
+    y.name, that all links meet, ``measures`` may bring such columns by rep; ``confirm`` keeps the pairs (a, b) that are links.
 
     No bucket emits all its pairs: in each round its first members (1, 16, 256, ...) meet
     the others, then leave it, and a bucket whose members lie in one component is finished.
@@ -205,15 +205,17 @@ def bucket_components(buckets: DataFrame, refine: Callable[[DataFrame], DataFram
     """
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
     crowds = materialise(sizes.where(F.col("size") > CROWD).select("bucket"), "pairs-crowds")
-    refined = refine(buckets.join(crowds, "bucket", "left_semi")).select(*buckets.columns)
-    spark, schema = buckets.sparkSession, buckets.schema
-    path = written(buckets.join(crowds, "bucket", "left_anti").unionByName(refined), "pairs-refined")
+    refined = refine(buckets.join(crowds, "bucket", "left_semi"))
+    spark, schema = buckets.sparkSession, refined.schema
+    path = written(refined.unionByName(buckets.join(crowds, "bucket", "left_anti"), allowMissingColumns=True), "pairs-refined")
     small = sized_session(spark, spark.read.schema(schema).parquet(path).count())
     buckets = small.read.schema(schema).parquet(path)
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    columns = buckets.columns
     sized = buckets.join(sizes, "bucket")
     turns = sized.groupBy("rep").agg((-F.sum("size")).alias("turn"))
+    if measures is not None:
+        turns = turns.join(measures, "rep")
+    columns = [*buckets.columns, *(measures.columns[1:] if measures is not None else [])]
     buckets = sized.join(turns, "rep").select(*columns, F.struct("turn", F.xxhash64("rep").alias("h"), "rep").alias("turn"))
     links = components = None
     pivots = 1

@@ -226,9 +226,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             plan = plans[len(x)]
             keys += [h(x[p[0] : p[1]], p[2]) for p in plan]
             counts.append(len(plan))
-        sizes, odd = (np.repeat(np.array(v, kind), counts) for v, kind in (([len(x) for x in names], np.int32), ([parities(x) for x in names], np.int64)))
-        yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(_ids(names), counts)), pa.array(sizes), pa.array(odd)],
-                              names=["bucket", "rep", "n", "odd"])
+        yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(_ids(names), counts))], names=["bucket", "rep"])
 
 
 def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,17 +235,21 @@ def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "line"):
         owners, keys, finer, ends = [], [], [], [0]
         for rep, x in zip(batch.column("id").to_pylist(), batch.column("line").to_pylist()):
-            odd = parities(x)
             for a, b, seed, length, before, edits in plans[len(x)]:
                 key = h(x[a:b], seed)
-                owners.append((rep, len(x), odd))
+                owners.append(rep)
                 keys.append(key)
                 finer += [h(piece, key) for piece in shared_pieces(x, a, b, length, before, edits)]
                 ends.append(len(finer))
-        yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)),
-                               *[pa.array([o[k] for o in owners], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64()))],
+        yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(owners, pa.int64()),
                                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(finer, np.uint64).view(np.int64)))],
-                              names=["bucket", "rep", "n", "odd", "finer"])
+                              names=["bucket", "rep", "finer"])
+
+
+def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "line"):
+        odd = [parities(x) for x in batch.column("line").to_pylist()]
+        yield pa.record_batch([batch.column("id"), pc.utf8_length(batch.column("line")), pa.array(odd, pa.int64())], names=["rep", "n", "odd"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +272,7 @@ FITS = (f"abs(x.n - y.n) <= least({EDITS}, least(x.n, y.n) div {EDIT_CHARS}) "
 def line_classes(slim: DataFrame) -> DataFrame | None:
     """(node, component) of the line ids that are linked with another, but for the smallest of each class; ``slim`` has the text."""
     slim = slim.select("text")
-    dealt = slim.mapInArrow(_keys, "bucket long, rep long, n int, odd long").repartition("bucket")
+    dealt = slim.mapInArrow(_keys, "bucket long, rep long").repartition("bucket")
     many = dealt.groupBy("bucket").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("bucket")
     buckets = materialise(dealt.join(many, "bucket").distinct(), "lines-buckets")
     wanted = buckets.select(F.col("rep").alias("id")).distinct()
@@ -278,14 +280,15 @@ def line_classes(slim: DataFrame) -> DataFrame | None:
 
     def refine(crowded: DataFrame) -> DataFrame:
         lines = texts.join(crowded.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-        probed = lines.mapInArrow(_finer, "bucket long, rep long, n int, odd long, finer array<long>")
-        return probed.join(crowded.select("bucket").distinct(), "bucket", "left_semi").select(F.explode("finer").alias("bucket"), "rep", "n", "odd").distinct()
+        probed = lines.mapInArrow(_finer, "bucket long, rep long, finer array<long>")
+        return probed.join(crowded.select("bucket").distinct(), "bucket", "left_semi").select(F.explode("finer").alias("bucket"), "rep").distinct()
 
     def confirm(pairs: DataFrame) -> DataFrame:
         return pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("tb")), "b").join(
             texts.select(F.col("id").alias("a"), F.col("line").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
 
-    return bucket_components(buckets, refine, FITS, confirm)
+    measures = materialise(texts.mapInArrow(_measures, "rep long, n int, odd long"), "lines-measures")
+    return bucket_components(buckets, refine, FITS, confirm, measures)
 
 
 def _report(slim: DataFrame) -> DataFrame:

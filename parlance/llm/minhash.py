@@ -117,18 +117,19 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([ids, pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "shingle"])
 
 
-#: Two members fit if what either can share, x.c and y.c of its n shingles, is enough for a link.
-FITS = f"{100 + NUMER} * least(x.c, y.c) >= {NUMER} * (x.n + y.n)"
+#: Two members fit if what either can share, c of its n shingles where that is known, is enough for a link.
+FITS = f"{100 + NUMER} * least(coalesce(x.c, x.n), coalesce(y.c, y.n)) >= {NUMER} * (x.n + y.n)"
 
 
-def _shared(crowded: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows of crowded buckets (bucket, rep, n, c) with c lowered by the shingles that no other member has; without those who then have no link."""
-    members = texts.withColumnRenamed("doc_id", "rep").join(crowded.select("rep").distinct(), "rep", "left_semi")
-    held = members.select("rep", "text").mapInArrow(_shingles, "rep long, shingle long")
+def _shared(crowded: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of crowded buckets with c, the shingles that another member has, without those who have too few for a link."""
+    reps = crowded.select("rep").distinct()
+    held = texts.withColumnRenamed("doc_id", "rep").join(reps, "rep", "left_semi").select("rep", "text").mapInArrow(_shingles, "rep long, shingle long")
     alone = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep")).where("k = 1")
     own = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-    left = crowded.join(own, "rep", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0)))
-    return left.where(f"100 * c >= {NUMER} * n")
+    left = materialise(sizes.join(reps, "rep", "left_semi").join(own, "rep", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).where(
+        f"100 * c >= {NUMER} * n").select("rep", "c"), "minhash-shared")
+    return crowded.join(left, "rep").select("bucket", "rep", "c")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -143,13 +144,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialise(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "minhash-classes")
     reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     # one deal by bucket serves the count and the join
-    dealt = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).repartition("bucket")
+    dealt = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket")).repartition("bucket")
     many = dealt.groupBy("bucket").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("bucket")
-    open_ = materialise(dealt.join(many, "bucket").distinct().select("bucket", "rep", "n", F.col("n").alias("c")), "minhash-buckets")
+    open_ = materialise(dealt.join(many, "bucket").distinct(), "minhash-buckets")
+    sizes = classes.groupBy("rep").agg(F.max("n").alias("n"))
     wanted = open_.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                         .join(wanted, "doc_id").dropDuplicates(["doc_id"]), "minhash-texts")
-    components = bucket_components(open_, lambda rows: _shared(rows, texts), FITS, lambda pairs: _confirmed(pairs, texts))
+    components = bucket_components(open_, lambda rows: _shared(rows, texts, sizes), FITS, lambda pairs: _confirmed(pairs, texts), sizes)
     own = full.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "rep").distinct()
     return _labelled(signs, own, components)
 
