@@ -21,8 +21,8 @@ from parlance.llm.common import fresh
 from parlance.session import materialise
 
 SHARDS = 24
-#: Bytes of texts that are shuffled as one array, and that one task is given, some buckets at a time.
-BUCKET_BYTES, TASK_BYTES = 4 << 20, 256 << 20
+#: Bytes of texts that are shuffled as one array.  A task holds all arrays of its partition, so each bucket is a partition.
+BUCKET_BYTES = 4 << 20
 SEED = 20_24
 
 
@@ -63,7 +63,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int = BUCKET
     scattered = placed.select(
         "shard", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(seed + 1)), F.lit(buckets)).alias("bucket"),
         F.struct(order.alias("order"), "grown_shard", F.struct(*[F.col(f"`{n}`") for n in names]).alias("own")).alias("row"))
-    parts = min(shards * buckets, max(shards, math.ceil(total / TASK_BYTES)))
+    parts = shards * buckets
     gathered = scattered.repartition(parts, "shard", "bucket").groupBy("shard", "bucket").agg(F.sort_array(F.collect_list("row")).alias("rows"))
     written = materialise(gathered, "shuffle-buckets")
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
