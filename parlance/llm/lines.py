@@ -12,7 +12,8 @@ Equal lines of any length are one line from the start.  Where many lines meet un
 before any are compared.  What lies before the segment and behind it is cut into pieces that are at least two more than
 the edits, so that linked lines share two of them, each at a place told by a line's end, by the segment or up to one character
 beside; such a group is dealt again by each choice of pieces that may be shared.  And each line carries the parities of its
-characters in 64 classes: an edit changes two of them at most, so that lines whose parities differ more are never paired.
+characters, and twice of its pairs of neighbours, in 64 classes each: an edit changes two and four of them at most, so that lines whose
+parities differ more are never paired.
 Groups never emit all their pairs (see
 ``bucket_components``); lines that are linked, directly or over others, form a class, and the first
 line of a class stays.  Line ids are 64-bit hashes: among ten thousand million lines
@@ -198,12 +199,22 @@ def shared_pieces(x: str, a: int, b: int, length: int, before: int, edits: int)
     return out
 
 
-def parities(x: str) -> int:
-    """Bit k: whether the number of characters of class k is odd."""
-    out = 0
-    for ch in x:
-        out ^= 1 << (ord(ch) * 0x9E3779B97F4A7C15 >> 58 & 63)
-    return out - (1 << 64) if out >> 63 else out
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def parities(x: str) -> tuple[int, int, int]:
+    """Bit k of the first: whether the number of characters of class k is odd; of the others: that of pairs of neighbours, in classes of two kinds."""
+    ones = twos = more = 0
+    before = 0
+    for code in map(ord, x):
+        ones ^= 1 << (code * 0x9E3779B97F4A7C15 >> 58 & 63)
+        if before:
+            mixed = (before * 0xC2B2AE3D27D4EB4F + code * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+            twos ^= 1 << (mixed >> 58)
+            more ^= 1 << ((mixed ^ mixed >> 29) * 0xBF58476D1CE4E5B9 >> 40 & 63)
+        before = code
+    return _signed(ones), _signed(twos), _signed(more)
 
 
 class _Plans(dict):
@@ -249,7 +260,8 @@ def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "line"):
         odd = [parities(x) for x in batch.column("line").to_pylist()]
-        yield pa.record_batch([batch.column("id"), pc.utf8_length(batch.column("line")), pa.array(odd, pa.int64())], names=["rep", "n", "odd"])
+        yield pa.record_batch([batch.column("id"), pc.utf8_length(batch.column("line")), *[pa.array([o[k] for o in odd], pa.int64()) for k in (0, 1, 2)]],
+                              names=["rep", "n", "ones", "twos", "more"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,9 +276,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+_BOUND = f"least({EDITS}, least(x.n, y.n) div {EDIT_CHARS})"
 #: Lines as long as a link allows, and with as many equal parities.
-FITS = (f"abs(x.n - y.n) <= least({EDITS}, least(x.n, y.n) div {EDIT_CHARS}) "
-        f"AND bit_count(x.odd ^ y.odd) <= 2 * least({EDITS}, least(x.n, y.n) div {EDIT_CHARS})")
+FITS = f"abs(x.n - y.n) <= {_BOUND} AND bit_count(x.ones ^ y.ones) <= 2 * {_BOUND} AND bit_count(x.twos ^ y.twos) <= 4 * {_BOUND} AND bit_count(x.more ^ y.more) <= 4 * {_BOUND}"
 
 
 def line_classes(slim: DataFrame) -> DataFrame | None:
@@ -287,7 +299,7 @@ def line_classes(slim: DataFrame) -> DataFrame | None:
         return pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("tb")), "b").join(
             texts.select(F.col("id").alias("a"), F.col("line").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
 
-    measures = materialise(texts.mapInArrow(_measures, "rep long, n int, odd long"), "lines-measures")
+    measures = materialise(texts.mapInArrow(_measures, "rep long, n int, ones long, twos long, more long"), "lines-measures")
     return bucket_components(buckets, refine, FITS, confirm, measures)
 
 
