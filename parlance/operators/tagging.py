@@ -11,8 +11,10 @@ from parlance.rules import corpus as C
 from parlance.rules import tags as T
 from parlance.session import materialise
 
-#: Length of the pieces that keywords are found by, and texts whose pieces tell how rare each is.
-PIECE, SAMPLE_TEXTS = 3, 2_000
+#: Lengths of the pieces that keywords are found by, the longest that fits, and texts whose pieces tell how rare each is.
+PIECES, SAMPLE_TEXTS = (6, 3), 2_000
+#: Bytes of an index that is broadcast; a larger one is shuffled to the texts' pieces.
+INDEX_BYTES = 64 << 20
 
 
 def tag_frequency(df: DataFrame, tags: str = "tags", min_freq: int = C.MIN_TAG_FREQ) -> DataFrame:
@@ -58,7 +60,7 @@ def intent_auto_tags(df: DataFrame, intent: str = "intent") -> DataFrame:
     return df.withColumn("auto_tags", out)
 
 
-def _pieces(text: Column, size: int = PIECE) -> Column:
+def _pieces(text: Column, size: int) -> Column:
     """Distinct pieces of ``size`` characters: a look-ahead that takes no character matches at each place, in one pass."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
@@ -68,14 +70,17 @@ def keyword_index(rules: DataFrame, official: DataFrame, texts: DataFrame, text:
 
     ``rules`` has (keyword, tag), ``official`` the tags that may be given, whose spelling is used; ``language:`` rules are
     left out.  How rare a piece is comes from the first SAMPLE_TEXTS texts at hand, and matters for speed alone.
-    A keyword shorter than PIECE is its own piece; an empty one is in no text.
+    A keyword shorter than all PIECES is its own piece; an empty one is in no text.
     """
     names = official.select(F.lower("tag").alias("low"), "tag").groupBy("low").agg(F.max("tag").alias("tag"))
     known = rules.where(F.length("keyword") > 0).select("keyword", F.lower("tag").alias("low")).where(
         ~F.col("low").startswith(T.LANGUAGE_PREFIX)).join(names, "low").select("keyword", "tag").distinct()
-    pieces = F.when(F.length("keyword") < PIECE, F.array("keyword")).otherwise(_pieces(F.col("keyword")))
+    pieces = F.array("keyword")
+    for size in sorted(PIECES):
+        pieces = F.when(F.length("keyword") >= size, _pieces(F.col("keyword"), size)).otherwise(pieces)
     each = known.select("keyword", F.explode(pieces).alias("piece")).distinct()
-    seen = texts.select(F.lower(text).alias("t")).limit(SAMPLE_TEXTS).select(F.explode(_pieces(F.col("t"))).alias("piece")).groupBy("piece").count()
+    sample = texts.select(F.lower(text).alias("t")).limit(SAMPLE_TEXTS)
+    seen = sample.select(F.explode(F.concat(*[_pieces(F.col("t"), n) for n in PIECES])).alias("piece")).groupBy("piece").count()
     rarest = each.join(seen, "piece", "left").groupBy("keyword").agg(F.min(F.struct(F.coalesce("count", F.lit(0)), "piece"))["piece"].alias("piece"))
     return materialise(rarest.join(known, "keyword").select("piece", "keyword", "tag"), "keyword-index")
 
@@ -83,16 +88,22 @@ def keyword_index(rules: DataFrame, official: DataFrame, texts: DataFrame, text:
 def indexed_tags(texts: DataFrame, index: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, tag): the distinct tags with a keyword inside the lower-cased text, by a ``keyword_index``.
 
-    The distinct pieces of a text probe the index, which is a written table, so that its true size decides whether it is
-    broadcast; a piece brings the keywords that have it as their rare one, and these alone are
-    looked for in the text.  No expression grows with the rules.  Rows without a text have no tags; rows that repeat ``keys`` are one text.
+    The distinct pieces of a text probe the index; a piece brings the keywords that have it as their rare one, and these
+    alone are looked for in the text.  An index of at most INDEX_BYTES is broadcast, so a keyword is looked for where its
+    text lies and only tags that were found leave the scan's partition; a larger one meets the pieces in a shuffle, and the keywords
+    their texts in another.  No expression grows with the rules.  Rows without a text have no tags; rows that repeat ``keys`` are one text.
     """
     low = texts.select(*keys, F.lower(text).alias("_low"))
-    sizes = [PIECE, *[n for n in range(1, PIECE) if not index.where(F.length("piece") == n).isEmpty()]]
-    probes = F.concat(*[_pieces(F.col("_low"), n) for n in sizes])
-    found = low.select(*keys, F.explode(probes).alias("piece")).join(index, "piece").select(*keys, "keyword", "tag").distinct()
-    both = low.join(found, keys)
-    return both.where(F.col("_low").contains(F.col("keyword"))).select(*keys, "tag").distinct()
+    held = index.agg(F.sort_array(F.collect_set(F.length("piece"))).alias("sizes"),
+                     F.sum(F.octet_length("piece") + F.octet_length("keyword") + F.octet_length("tag")).alias("bytes")).first()
+    probes = F.concat(F.array().cast("array<string>"), *[_pieces(F.col("_low"), n) for n in held.sizes])
+    inside = F.col("_low").contains(F.col("keyword"))
+    # an outer generator: no filter below it cuts the pieces a second time
+    if (held.bytes or 0) <= INDEX_BYTES:
+        pieces = low.select(*keys, "_low", F.explode_outer(probes).alias("piece"))
+        return pieces.join(F.broadcast(index), "piece").where(inside).select(*keys, "tag").distinct()
+    found = low.select(*keys, F.explode_outer(probes).alias("piece")).join(index, "piece").select(*keys, "keyword", "tag").distinct()
+    return low.join(found, keys).where(inside).select(*keys, "tag").distinct()
 
 
 def official_tags(sheet: DataFrame, tag: str, order: str) -> DataFrame:
