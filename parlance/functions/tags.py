@@ -41,7 +41,7 @@ def keyword_tags_sql(text: str, rules=RULES, official=OFFICIAL) -> str:
 
 def script_tags_sql(text: str) -> str:
     darija = " OR ".join(f"contains(_low, {Q.text(w)})" for w in L.DARIJA_TAG_SUBSTRINGS)
-    chars = f"length(regexp_replace({text}, {Q.regex('[^' + L.ARABIC_BLOCK + ']')}, ''))"
+    chars = f"length(regexp_replace({text}, {Q.regex('[^' + L.ARABIC_BLOCK + ']+')}, ''))"
     return Q.let(f"lower({text})", "_low",
                  f"CASE WHEN {darija} THEN array('{T.TAG_DARIJA}') "
                  f"WHEN {chars} > {L.ARABIC_TAG_MIN_CHARS} THEN array('{T.TAG_ARABIC}') ELSE {NONE} END")

@@ -288,7 +288,8 @@ def tag_frequency(spark, sf):
 
 @query
 def tag_multi_hot(spark, sf):
-    t = V.all_texts(spark, sf).select(*KEY, TG.rule_tags("text").alias("tags"))
+    """Texts are tagged once: the written tags are counted, then turned into vectors."""
+    t = materialise(V.all_texts(spark, sf).select(*KEY, TG.rule_tags("text").alias("tags")), "rule-tags")
     hot = TA.tag_multi_hot(t, TA.tag_frequency(t), KEY)
     return hot.select(*KEY, F.array_join(F.transform("vector", lambda v: v.cast("int").cast("string")), "").alias("vector"))
 
