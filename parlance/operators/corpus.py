@@ -22,13 +22,19 @@ def tokens(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return df.select(*keys, F.posexplode(toks).alias("pos", "token")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def token_counts(df: DataFrame, text: str = "text") -> DataFrame:
+def word_counts(df: DataFrame, by: list[str], text: str = "text") -> DataFrame:
+    """(by, word, n): occurrences of every word in the texts of each group, counted with map-side combine."""
+    return df.select(*by, F.explode(X.words(F.col(text))).alias("word")).groupBy(*by, "word").agg(F.count("*").alias("n"))
+
+
+def token_counts(df: DataFrame, text: str = "text", words: DataFrame | None = None) -> DataFrame:
     """Corpus frequency of every token.
 
     Words are counted first; shingles are then cut from the distinct words and
-    weighted, so they are never generated per occurrence.
+    weighted, so they are never generated per occurrence.  ``words`` are the ``word_counts`` of ``df`` by any
+    columns, where they are at hand: the texts are then not read again.
     """
-    per_word = df.select(F.explode(X.words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    per_word = word_counts(df, [], text) if words is None else words.groupBy("word").agg(F.sum("n").alias("n"))
     parts = per_word.select(F.explode(F.concat(F.array("word"), X.shingles(F.col("word")))).alias("token"), "n")
     return parts.groupBy("token").agg(F.sum("n").alias("n"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
@@ -17,30 +17,30 @@ from pyspark.sql.window import Window as W
 
 from parlance.functions import text as X
 from parlance.functions.safety import let
+from parlance.operators import corpus as CO
 from parlance.rules import corpus as C
 from parlance.session import materialise
 
 
 def linear_model(labelled: DataFrame, vocabulary: DataFrame, text: str = "text", intent: str = "intent",
-                 tags: str = "tags") -> DataFrame:
+                 tags: str = "tags", words: DataFrame | None = None) -> DataFrame:
     """Closed-form linear heads: rows (head, class, token, w), NULL token = bias.
 
     One softmax head over intents and one yes/no head per tag, with add-one
-    smoothed log likelihoods.  Counts are per (head, class, token), combined
-    before the shuffle; a tag's "no" side is the total minus its "yes" side, so
-    a text is expanded by its own tags only.  Fitting runs jobs (it writes the
+    smoothed log likelihoods.  Words are counted by the labels of their texts, (intent, tags), so a text
+    is never expanded by its heads; counts per (head, class, token) come from
+    the distinct words, and a tag's "no" side is the total minus its "yes" side.
+    ``words`` are the written ``corpus.word_counts`` by these two columns, where they are at hand.  Fitting runs jobs (it writes the
     counts to the shared folder); the weights themselves stay lazy.
     """
     head = F.concat(
         F.array(F.struct(F.lit("intent").alias("head"), F.col(intent).alias("class")),
                 F.struct(F.lit("all").alias("head"), F.lit("all").alias("class"))),
         F.transform(tags, lambda t: F.struct(F.concat(F.lit("tag:"), t).alias("head"), F.lit("yes").alias("class"))))
+    docs = labelled.select(F.explode(head).alias("h")).groupBy("h.head", "h.class").agg(F.count("*").alias("docs"))
     # Words first, shingles from the distinct words of each class.
-    rows = labelled.select(X.words(F.col(text)).alias("words"), F.explode(head).alias("h"))
-    rows = rows.select("h.head", "h.class", "words")
-    docs = rows.groupBy("head", "class").agg(F.count("*").alias("docs"))
-    per_word = rows.select("head", "class", F.explode("words").alias("word")).groupBy("head", "class", "word").agg(
-        F.count("*").alias("n"))
+    counted = CO.word_counts(labelled, [intent, tags], text) if words is None else words
+    per_word = counted.select(F.explode(head).alias("h"), "word", "n").groupBy("h.head", "h.class", "word").agg(F.sum("n").alias("n"))
     parts = per_word.select("head", "class", "n",
                             F.explode(F.concat(F.array("word"), X.shingles(F.col("word")))).alias("token"))
     known = F.broadcast(vocabulary.select("token"))
@@ -100,24 +100,56 @@ def _weights(model: DataFrame) -> tuple[list[tuple[str, str]], np.ndarray, list[
 
 
 def _scorer(classes: list[tuple[str, str]], shared, threshold: float, width: int) -> Callable:
-    """Scores Arrow batches whose last column holds the tokens of a text."""
+    """Scores Arrow batches whose last column holds the words of a text; shingles are cut once from a batch's distinct words."""
     intents = [i for i, (h, _) in enumerate(classes) if h == "intent"]
     heads = sorted({h for h, _ in classes if h != "intent"})
     yes, no = ([classes.index((h, c)) for h in heads] for c in ("yes", "no"))
     names = pa.array([h.removeprefix("tag:") for h in heads], pa.string())
 
+    def codes_of(text: str) -> np.ndarray:
+        """One number for each three characters in a row."""
+        c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        return c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:]
+
+    def listed(tokens: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(tokens, codes of the shingles among them in order, their places)."""
+        places = np.array([i for i, t in enumerate(tokens) if len(t) == 4 and t[0] == "#"], np.int64)
+        codes = np.array([codes_of(tokens[i][1:])[0] for i in places], np.uint64)
+        order = np.argsort(codes)
+        return pa.array(tokens, pa.string()), codes[order], places[order]
+
+    def known_tokens(words: pa.Array, vocabulary: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """(borders, token): the places of each word's known tokens, itself and its shingles, end to end."""
+        tokens, codes, places = vocabulary
+        own = pc.fill_null(pc.index_in(words, value_set=tokens), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        word, found = np.flatnonzero(own >= 0), own[own >= 0]
+        if len(codes) and lengths.sum() >= 3:
+            owner = np.repeat(np.arange(len(words)), lengths)
+            cut = codes_of("".join(words.to_pylist()))
+            at = np.minimum(np.searchsorted(codes, cut), len(codes) - 1)
+            hit = (codes[at] == cut) & (owner[:-2] == owner[2:])
+            word, found = np.concatenate([word, owner[:-2][hit]]), np.concatenate([found, places[at[hit]]])
+        order = np.argsort(word, kind="stable")
+        return np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))]), found[order]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, tokens, matrix = shared.value
-        vocabulary = pa.array(tokens, pa.string())
+        vocabulary = listed(tokens)
         rows_at_once = max(1, CELLS // max(1, len(tokens)))
         for batch in batches:
+            lists = batch.column(width)
+            coded = pc.list_flatten(lists).dictionary_encode()
+            borders, known = known_tokens(coded.dictionary, vocabulary)
+            words = coded.indices.to_numpy(zero_copy_only=False)
+            of_row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
             for at in range(0, batch.num_rows, rows_at_once):
                 part = batch.slice(at, rows_at_once)
-                lists = part.column(width)
-                rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-                ids = pc.fill_null(pc.index_in(pc.list_flatten(lists), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
-                seen = ids >= 0
-                cells = rows[seen] * len(tokens) + ids[seen]
+                lo, hi = np.searchsorted(of_row, [at, at + part.num_rows])
+                word, row = words[lo:hi], of_row[lo:hi] - at
+                n = borders[word + 1] - borders[word]
+                tokens_at = np.repeat(borders[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                cells = np.repeat(row, n) * len(tokens) + known[tokens_at]
                 counts = np.bincount(cells, minlength=part.num_rows * len(tokens)).reshape(part.num_rows, len(tokens))
                 z = counts.astype(np.float64) @ matrix + bias
                 own = z[:, intents]
@@ -140,13 +172,13 @@ def linear_scores(df: DataFrame, model: DataFrame, keys: list[str], text: str =
     """Best intent with its confidence, and the tags above the threshold, from whole texts.
 
     Pass the model as a written table: its class list (label-set sized) and its weights, whose
-    bound is checked, are read when the plan is built.  Tokens are counted against the fixed vocabulary within
-    the row and multiplied by the weights of all classes at once, a block of texts a time: nothing is
+    bound is checked, are read when the plan is built.  Words leave the row; their tokens are counted against the fixed vocabulary
+    in the same task and multiplied by the weights of all classes at once, a block of texts a time: nothing is
     shuffled, however many tags there are.  A null text has no tokens and is scored by the bias alone.
     """
     classes, bias, tokens, matrix = _weights(model)
     shared = df.sparkSession.sparkContext.broadcast((bias, tokens, matrix))
-    rows = df.select(*keys, F.coalesce(let(X.words(F.col(text)), X.tokens), F.array().cast("array<string>")).alias("_tokens"))
+    rows = df.select(*keys, F.coalesce(X.words(F.col(text)), F.array().cast("array<string>")).alias("_words"))
     schema = ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys] + [SCORED])
     return rows.mapInArrow(_scorer(classes, shared, threshold, len(keys)), schema)
 
@@ -168,20 +200,18 @@ def train_intent_model(labelled: DataFrame, text: str = "text", intent: str = "i
         held = labelled.select(F.explode(F.array_distinct(tags)).alias("tag")).groupBy("tag").count().orderBy("tag").collect()
         names = [r["tag"] for r in held if r["count"] < n]
     flags = [F.array_contains(tags, t).cast("double").alias(f"is_{i}") for i, t in enumerate(names)]
-    data = materialise(_tokens(labelled.select(text, intent, *flags), text, intent, *[f"is_{i}" for i in range(len(names))]), "intent-tokens")
-    stages = [
-        StringIndexer(inputCol=intent, outputCol="label", stringOrderType="alphabetAsc"),
-        HashingTF(inputCol="tokens", outputCol="features", numFeatures=features),
-        LogisticRegression(maxIter=10, regParam=0.01, family="multinomial"),
-    ]
-    fitted = Pipeline(stages=stages).fit(data)
-    vectors = fitted.stages[1].transform(data)
+    hashing = HashingTF(inputCol="tokens", outputCol="features", numFeatures=features)
+    tokens = _tokens(labelled.select(text, intent, *flags), text, intent, *[f"is_{i}" for i in range(len(names))])
+    # all heads are fitted on the written vectors: texts are cut and hashed once
+    vectors = materialise(hashing.transform(tokens).drop("tokens"), "intent-vectors")
+    index = StringIndexer(inputCol=intent, outputCol="label", stringOrderType="alphabetAsc").fit(vectors)
+    intents = LogisticRegression(maxIter=10, regParam=0.01, family="multinomial").fit(index.transform(vectors))
     heads = [
         LogisticRegression(maxIter=10, regParam=0.01, family="binomial", labelCol=f"is_{i}", rawPredictionCol=f"raw_{i}",
                            probabilityCol=f"tag_{i}", predictionCol=f"has_{i}").fit(vectors)
         for i in range(len(names))]
     listed = [StringIndexerModel.from_labels(names, inputCol="tag", outputCol="tag_index")] if names else []
-    return PipelineModel([*fitted.stages, *listed, *heads])
+    return PipelineModel([index, hashing, intents, *listed, *heads])
 
 
 def apply_intent_model(model: PipelineModel, df: DataFrame, keys: list[str], text: str = "text",

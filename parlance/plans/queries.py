@@ -361,8 +361,9 @@ def _labelled(spark, sf):
 def _scored(spark, sf):
     data = materialise(_labelled(spark, sf), "labelled")
     train = data.where(F.col("split") == "train")
-    v = materialise(CO.vocab(CO.token_counts(train)), "vocab")
-    model = materialise(I.linear_model(train, v, tags="true_tags"), "model")
+    words = materialise(CO.word_counts(train, ["intent", "true_tags"]), "word-counts")
+    v = materialise(CO.vocab(CO.token_counts(train, words=words)), "vocab")
+    model = materialise(I.linear_model(train, v, tags="true_tags", words=words), "model")
     scores = I.linear_scores(data, model, ["doc_id"])
     return data, scores
 
