@@ -33,6 +33,8 @@ from parlance.llm.common import mix64, slices, split_words
 LEAST, TIMES = 24, 3
 #: Words of the shortest context.  A run matches LEAST - q or (TIMES - 1) * q words at its lag, never fewer than twice this.
 CONTEXT = 8
+#: Bytes of text that a task judges at a time: some 30 times as much is held meanwhile.
+SLICE = 1 << 20
 RUNS = "array<struct<start:bigint,length:bigint,period:bigint>>"
 FOUND = f"n_words bigint, runs {RUNS}, collapsed string"
 
@@ -114,7 +116,7 @@ def find_runs(rows: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     item = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
     for whole in batches:
-        for batch in slices(iter([whole])):
+        for batch in slices(iter([whole]), limit=SLICE):
             rows, flat = split_words(batch.column("text"))
             rows = rows.astype(np.int64)
             coded = flat.dictionary_encode()
