@@ -33,6 +33,8 @@ LAST_TURN = "session_id string, ts timestamp, message_id bigint, role string, is
 PROFILE_FACTS = "user_id string, span bigint, kind string, value string, n bigint, first decimal(38,0), since timestamp, last timestamp"
 SUMMARY_FACTS = ("session_id string, kind string, value string, n bigint, first decimal(38,0), last decimal(38,0), last_ts timestamp, "
                  "user_turns bigint, user_chars bigint, replies bigint, was_blocked boolean")
+#: What a profile is counted from, apart from the types and values of personal data.
+PROFILE_INPUT = ["session_id", "user_id", "ts", "message_id", "role", "intent", "lang_hint", "lang", "tags", "is_blocked", "block_layer"]
 PROGRESS = "batch_id bigint, turns bigint, late_turns bigint, watermark timestamp, swept timestamp"
 
 
@@ -110,9 +112,11 @@ def stream_user_profile(turns: DataFrame, out: str, checkpoint: str, trigger: di
     ``sweep_seconds``: users who have fallen silent leave the store.
     """
 
+    found = F.transform("pii", lambda p: F.struct(p["pii_type"], p["value"]))
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        screened = materialise(batch.drop("text", "masked_text", "injection_hits"), "stream-screened")
+        screened = materialise(batch.select(*PROFILE_INPUT, found.alias("pii")), "stream-screened")
         so_far = read_progress(spark, out, batch_id).agg(F.max("watermark"), F.max("swept")).first()
         seen = screened.agg(F.max("ts"), F.count(F.lit(1))).first()
         if not seen[1]:
