@@ -9,7 +9,9 @@ probability of some 1e-7.
 Documents with equal shingle sets form a class first, and only one of each
 class goes on.  Members of crowded buckets are refined exactly: a shingle that no other member of any
 crowded bucket has lies in no intersection, so a document with more than a quarter of such shingles has no link there, and two that have some
-can share no more than the rest.  Documents that meet only over a very common passage go this way.
+can share no more than the rest.  Documents that meet only over a very common passage go this way.  Those who stay carry the parities
+of their other shingles in 512 classes: each class where two differ has a shingle that one of them lacks, so copies of one text
+whose edits are too many for a link are never paired.
 Then a bucket never emits all its pairs.  In each round its first
 members (1, 16, 256, ...; those that meet most others first) are compared with the others, then leave it; a bucket whose
 remaining members lie in one component is finished.  Rounds go on until no
@@ -117,19 +119,42 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([ids, pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "shingle"])
 
 
-#: Two members fit if what either can share, c of its n shingles where that is known, is enough for a link.
-FITS = f"{100 + NUMER} * least(coalesce(x.c, x.n), coalesce(y.c, y.n)) >= {NUMER} * (x.n + y.n)"
+#: Words of 64 bits of a member's marks.
+LANES = 8
+_APART = " + ".join(f"bit_count(x.p{k} ^ y.p{k})" for k in range(LANES))
+#: Two members fit if what either can share, c of its n shingles where that is known, is enough for a link, and
+#: if it still is without the classes of shingles that only one of them can have an odd number of.
+FITS = (f"{100 + NUMER} * least(coalesce(x.c, x.n), coalesce(y.c, y.n)) >= {NUMER} * (x.n + y.n) AND "
+        f"coalesce({100 + NUMER} * (x.c + y.c - ({_APART})) >= {2 * NUMER} * (x.n + y.n), true)")
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bit b of word k of a text: whether it has an odd number of shingles of class 64 * k + b, the hash's lowest bits."""
+    for batch in slices(batches):
+        marks = np.zeros((batch.num_rows, LANES), np.uint64)
+        for own, s in zip(marks, shingle_sets(batch.column("text"), WORDS)):
+            np.bitwise_xor.at(own, ((s >> np.uint64(6)) % np.uint64(LANES)).astype(np.int64), np.uint64(1) << (s & np.uint64(63)))
+        yield pa.record_batch([batch.column("rep"), *[pa.array(marks[:, k].view(np.int64)) for k in range(LANES)]],
+                              names=["rep", *[f"p{k}" for k in range(LANES)]])
 
 
 def _shared(crowded: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows of crowded buckets with c, the shingles that another member has, without those who have too few for a link."""
+    """Rows of crowded buckets without those who share too few shingles with the others for a link.
+
+    c counts the shingles that another member has, p0, p1, ... hold the parities of their numbers by class of hash.  Each class
+    in which two members differ has a shingle that only one of them has.
+    """
     reps = crowded.select("rep").distinct()
-    held = texts.withColumnRenamed("doc_id", "rep").join(reps, "rep", "left_semi").select("rep", "text").mapInArrow(_shingles, "rep long, shingle long")
+    members = texts.withColumnRenamed("doc_id", "rep").join(reps, "rep", "left_semi").select("rep", "text")
+    held = members.mapInArrow(_shingles, "rep long, shingle long")
+    marks = members.mapInArrow(_marks, "rep long, " + ", ".join(f"p{k} long" for k in range(LANES)))
     alone = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep")).where("k = 1")
-    own = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-    left = materialise(sizes.join(reps, "rep", "left_semi").join(own, "rep", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).where(
-        f"100 * c >= {NUMER} * n").select("rep", "c"), "minhash-shared")
-    return crowded.join(left, "rep").select("bucket", "rep", "c")
+    lane, bit = F.expr(f"shiftright(shingle, 6) & {LANES - 1}"), F.expr("shiftleft(1L, cast(shingle & 63 as int))")
+    own = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"), *[F.bit_xor(F.when(lane == k, bit)).alias(f"q{k}") for k in range(LANES)])
+    left = materialise(
+        sizes.join(marks, "rep").join(own, "rep", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).where(f"100 * c >= {NUMER} * n")
+        .select("rep", "c", *[F.expr(f"p{k} ^ coalesce(q{k}, 0L)").alias(f"p{k}") for k in range(LANES)]), "minhash-shared")
+    return crowded.join(left, "rep").select("bucket", *left.columns)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
