@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = open_.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                         .join(wanted, "doc_id").dropDuplicates(["doc_id"]), "minhash-texts")
-    components = bucket_components(open_, lambda rows: _shared(rows, texts, sizes), FITS, lambda pairs: _confirmed(pairs, texts), sizes)
+    components = bucket_components(open_, lambda rows: _shared(rows, texts, sizes), FITS, lambda pairs: _confirmed(pairs, texts), sizes, once=False)
     own = full.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "rep").distinct()
     return _labelled(signs, own, components)
 
